@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, mixing, secrets, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": secrets.op1_secrets,
+        "op5_mix": mixing.op5_mix,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_mix": mixing.OP5_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
+        "op10_url_filter": url_filter.OP10_SQL,
     }
