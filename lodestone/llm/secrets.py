@@ -33,7 +33,7 @@ WORDS = (
     "remote render request resource response result return root route row save schema search select send server service session set size sort source stack start state status stream string style sum sync system table "
     "target task template test text thread time title total trace tree type update upload user value version view virtual wait window worker write zone"
 ).split()
-SYLLABLES = "al an ar ation be ber bla car ch che chen cion con cor da de den der di do ed el en er es est eur fi for ga gen ger gra ha heit he ich ie ier in ing is ist keit la le len li lich lo ly ma me men ment mi na ne nen ni no nt on or os ou pa per pre pro qua que ra re ren ri ro sa sch se sen ser si so st sta ta te ten ter th ti tion to tra tre tu ue un ung ur us ve ver vi vo wa we wi za zu".split()
+SYLLABLES = "ai al an ar ation au aux be ber bla car ch che chen cion con cor da de den der di do eau ed ei el en er es est eu eur eux fi for ga gen ger gra ha heit he ich ie ier in ing is ist keit la le len li lich lo ly ma me men ment mi na ne nen ni no nt oi on or os ou pa per pf pre pro qua que ra re ren ri ro sa sch se sen ser si so st sta ta te ten ter th ti tion to tra tre tu tz ue un ung ur us ve ver vi vo wa we wi za zu".split()
 #: The alphabets of random strings; each has a model of its own.
 ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef")
 
@@ -67,14 +67,16 @@ def _markov(strings: list[str], smooth: float = 0.5) -> np.ndarray:
 class Detector:
     """Log-likelihood ratio of the best model of random strings against that of ordinary identifiers.
 
-    threshold: nats; the highest ratio of held-out ordinary identifiers, and `margin` more."""
+    A quarter of the samples is held out. threshold, in nats: half-way from the highest ratio of
+    held-out identifiers to the ratio that all but one in 500 held-out random strings exceed; never
+    below the former."""
 
-    def __init__(self, secret: list[list[str]], plain: list[str], margin: float = 4.0) -> None:
-        held = plain[::4]
-        self.random = [_markov(s) for s in secret]
-        self.plain = _markov([p for i, p in enumerate(plain) if i % 4])
-        self.threshold = 0.0
-        self.threshold = max(0.0, max(map(self.ratio, held))) + margin
+    def __init__(self, secret: list[list[str]], plain: list[str]) -> None:
+        self.random = [_markov([x for i, x in enumerate(s) if i % 4]) for s in secret]
+        self.plain = _markov([x for i, x in enumerate(plain) if i % 4])
+        ordinary = max(map(self.ratio, plain[::4]))
+        strange = float(np.quantile([self.ratio(x) for s in secret for x in s[::4]], 0.002))
+        self.threshold = max(ordinary, (ordinary + strange) / 2)
 
     def ratio(self, s: str) -> float:
         codes = np.frombuffer(("\0" + s).encode(), np.uint8)
