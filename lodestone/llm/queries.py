@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, secrets, simhash, url_filter
+from . import decontaminate, exact_dedup, mixing, secrets, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op5_mix": mixing.op5_mix,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
