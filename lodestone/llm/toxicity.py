@@ -20,6 +20,8 @@ FOLDS = 5
 MAX_TRAIN = 8000
 #: Terms in the lexicon, at most.
 MAX_TERMS = 2000
+#: Log odds of a term of weight 1.
+FULL_WEIGHT = 6.0
 #: What a misspelled term counts against one spelled out.
 MISSPELLED = 0.7
 #: Words to each side of a term that count as its context.
@@ -31,7 +33,7 @@ _QUOTES = re.compile("[\"“”„«»‹›‘’]")
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term slur insult insults reported reports dit disait écrit mot insulte dijo dice escribió palabra insulto sagte schrieb nannte wort beleidigung".split())
 ADDRESS = frozenset("you your youre yours u ur tu te toi vous ton ta du dich dir dein ihr euch usted ustedes tú".split())
 #: Lengths of the beginnings that may stand for a family of words.
-STEMS = range(4, 8)
+STEMS = range(4, 9)
 
 
 def edits(term: str) -> int:
@@ -48,15 +50,15 @@ class Node:
 
 
 class Lexicon:
-    """Terms, some of them beginnings of words (written with a final *), as a trie, intersected with
+    """Weighted terms, some of them beginnings of words (written with a final *), as a trie, intersected with
     the Levenshtein automaton of whatever word is read.
 
     A state is the set of (trie node, edits so far) that the read letters can have led to; states and
     transitions are made when first met, so reading a word costs a lookup a letter, and most words
     end in the empty state after a few. The first letter is never edited; stems allow no edits."""
 
-    def __init__(self, terms: Iterable[str], exceptions: Iterable[str] = ()) -> None:
-        self.terms, self.exceptions = sorted(terms), frozenset(exceptions)
+    def __init__(self, terms: dict[str, float], exceptions: Iterable[str] = ()) -> None:
+        self.terms, self.exceptions = dict(sorted(terms.items())), frozenset(exceptions)
         self.root = Node()
         for t in self.terms:
             node, allowed, spelled = self.root, 0 if t.endswith("*") else edits(t), t.rstrip("*")
@@ -146,20 +148,19 @@ def quotation(text: str, start: int, end: int, reach: int = 60) -> float:
 def features(text: str | None, lexicon: Lexicon) -> tuple[list[float], list[tuple[str, str, int]]]:
     """What the score is made of, and the (surface, term, edits) of each hit."""
     low = (text or "").lower()
-    found = set(WORD.findall(low))
-    hit = {w: m for w in found if (m := lexicon.match(w))}
-    direct = fuzzy = quoted = 0.0
+    words = WORD.findall(low)
+    hit = {w: m for w in set(words) if (m := lexicon.match(w))}
+    abuse = quoted = 0.0
     hits = []
     if hit:
         for m in WORD.finditer(low):
             if at := hit.get(m[0]):
                 q = quotation(low, m.start(), m.end())
-                quoted += q
-                direct += (1 - q) * (at[1] == 0)
-                fuzzy += (1 - q) * (at[1] > 0)
+                w = lexicon.terms[at[0]] * (MISSPELLED if at[1] else 1)
+                quoted += q * w
+                abuse += (1 - q) * w
                 hits.append((m[0], *at))
-    abuse = direct + MISSPELLED * fuzzy
-    return [log1p(abuse), log1p(quoted), float(abuse > 0.5)], hits
+    return [log1p(abuse), log1p(100 * abuse / max(1, len(words))), log1p(quoted), float(abuse > 0.5)], hits
 
 
 @dataclass(frozen=True)
@@ -198,32 +199,36 @@ def _contexts(terms: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def telling_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, vocabulary: int) -> dict[str, int]:
-    """Of (term, toxic, clean) counts the terms that tell toxic texts, beyond what chance among so
-    many words explains, and their toxic counts."""
-    base = toxic / max(1, toxic + clean)
+def telling_terms(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, vocabulary: int) -> dict[str, tuple[float, float]]:
+    """Of (term, toxic, clean) counts the terms that tell toxic texts: their evidence, the log
+    likelihood ratio beyond what chance among so many words explains, and their weight, the log of
+    the odds that they change, 0 to 1 of the most that counts."""
+    base, found = toxic / max(1, toxic + clean), {}
     need = log(3 * max(1, vocabulary))
-
-    def telling(t: int, c: int) -> bool:
-        n = t + c
-        return t / n >= 0.9 and t * log(t / n / base) + (c * log(c / n / (1 - base)) if c else 0) >= need
-
-    return {term: t for term, t, c in counts if 0 < base < 1 and t and telling(t, c)}
-
-
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, vocabulary: int) -> list[str]:
-    """The lexicon, from counts of a term's contexts: copies of a text repeat a context, so they add
-    no evidence. A stem stands for its words if no one of them is most of it."""
+    for term, t, c in counts:
+        if 0 < base < 1 and t and 2 * t >= t + c:
+            evidence = t * log(t / (t + c) / base) + (c * log(c / (t + c) / (1 - base)) if c else 0)
+            weight = (log((t + 0.5) / (c + 0.5)) - log(base / (1 - base))) / FULL_WEIGHT
+            if evidence >= need:
+                found[term] = (evidence, min(1.0, weight))
+    return found
+
+
+def choose_terms(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, vocabulary: int) -> dict[str, float]:
+    """The lexicon with weights, from counts of a term's contexts: copies of a text repeat a context,
+    so they add no evidence. A stem stands for its words if no one of them is most of it."""
+    counts = list(counts)
     kept = telling_terms(counts, toxic, clean, vocabulary)
-    words = {k: t for k, t in kept.items() if not k.endswith("*")}
-    stems = {}
-    for s, t in ((k[:-1], t) for k, t in kept.items() if k.endswith("*")):
-        if max((n for w, n in words.items() if w.startswith(s)), default=0) < 0.5 * t and not any(o[:-1] != s and o.endswith("*") and o.startswith(s) and n >= 0.95 * t for o, n in kept.items()):
-            stems[s] = t
-    stems = {s: t for s, t in stems.items() if not any(o != s and s.startswith(o) for o in stems)}
-    words = {w: t for w, t in words.items() if not any(w.startswith(s) for s in stems)}
-    ranked = sorted([*words.items(), *((s + "*", t) for s, t in stems.items())], key=lambda x: (-x[1], x[0]))
-    return sorted(t for t, _ in ranked[:MAX_TERMS])
+    size = {term: t for term, t, _ in counts}
+    words = {k: e for k, e in kept.items() if not k.endswith("*")}
+    stems: dict[str, tuple[float, float]] = {}
+    for k, e in sorted(kept.items(), key=lambda x: (-x[1][0], -len(x[0]), x[0])):
+        s = k[:-1]
+        if k.endswith("*") and max((size[w] for w in words if w.startswith(s)), default=0) < 0.5 * size[k] and not any(s.startswith(o) or o.startswith(s) for o in stems):
+            stems[s] = e
+    words = {w: e for w, e in words.items() if not any(w.startswith(s) for s in stems)}
+    ranked = sorted([*words.items(), *((s + "*", e) for s, e in stems.items())], key=lambda x: (-x[1][0], x[0]))
+    return {t: w for t, (_, w) in ranked[:MAX_TERMS]}
 
 
 def _featured(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -263,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     counts = texts.mapInArrow(_term_counts, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     least = max(2, int(log(1000) / -log(max(1e-6, sizes.get(1, 0) / max(1, sum(sizes.values()))))) if sizes.get(1) and sizes.get(0) else 2)
-    ranked = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= 9 * F.col("clean"))).orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS)
+    ranked = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= F.col("clean"))).orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS)
     found = [tuple(r) for r in ranked.collect()]
     found = telling_terms(found, sizes.get(1, 0), sizes.get(0, 0), vocabulary := counts.count())
     seen = texts.mapInArrow(_contexts(frozenset(found)), "term string, label int, before string").distinct()
@@ -273,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     clean, toxic = (Counter(s for r in rows if r.label == k for s in r.near) for k in (0, 1))
     lexicon = Lexicon(lexicon.terms, (s for s, n in clean.items() if toxic[s] < 9 * n))
     if len({r.label for r in rows}) < 2:
-        return Model(lexicon, (1.0, 0.1, 1.0), -4.0)
+        return Model(lexicon, (1.0, 0.5, 0.1, 1.0), -4.0)
     x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows], float)
     weights, bias = fit_logistic(x, y)
     return Model(lexicon, tuple(map(float, weights)), bias)
