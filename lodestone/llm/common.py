@@ -72,15 +72,20 @@ def fold(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+#: Rows of a file of edges.
+EDGES_PER_FILE = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v) as (node, component), component the smallest node.
 
     Alternates large-star and small-star steps until the edges are stars; each round ends in a
-    written table. No node's edges meet in one task: minima are pre-aggregated, and the joins that
+    written table, in as many files as its first count of edges asks for. No node's edges meet in one task: minima are pre-aggregated, and the joins that
     hand them back are sort-merge joins that Spark may split at a hot node. Edges with a null end
     and loops are ignored; repeated edges count once."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = written(now.where("u is not null and v is not null and u <> v").distinct())
+    files = 1 + now.count() // EDGES_PER_FILE
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -88,7 +93,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(hung.select("e.u", "e.v").where("u <> v").distinct())
+        now = written(hung.select("e.u", "e.v").where("u <> v").distinct().coalesce(files))
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before:
             break
