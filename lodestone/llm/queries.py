@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, secrets, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, mixing, quality, secrets, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op5_mix": mixing.op5_mix,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_quality": quality.op8_quality,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
     }
