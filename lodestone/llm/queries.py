@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, quality, secrets, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, mixing, quality, secrets, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.op1_secrets,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
+        "op4_html_text": html_text.op4_html_text,
         "op5_mix": mixing.op5_mix,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_quality": quality.op8_quality,
