@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, mixing, quality, secrets, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, mixing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_text": html_text.op4_html_text,
         "op5_mix": mixing.op5_mix,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_quality": quality.op8_quality,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
@@ -27,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_mix": mixing.OP5_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op7_substring_dedup": substring_dedup.OP7_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
     }
