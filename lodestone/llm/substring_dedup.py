@@ -140,7 +140,9 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 line = b" ".join(spelled[lo : hi + WINDOW])
                 sides = [(0, k)]
                 if is_hot:
-                    sides = [(1, k ^ int(beside[p - BESIDE]))] * (p - lo >= BESIDE) + [(2, k ^ ~int(beside[p + ANCHOR]))] * (p - hi < BESIDE)
+                    sides = [(1, k ^ int(beside[p - BESIDE]))] if p - lo >= BESIDE else []
+                    if p - hi < BESIDE:
+                        sides.append((2, k ^ ~int(beside[p + ANCHOR])))
                 for which, name in sides:
                     g.append(name)
                     side.append(which)
