@@ -1,24 +1,68 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators: toxicity, exact and near copies, benchmark
+passages, mixing. Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
+all but the last return the columns of documents.
+
+A row with a null doc_id is judged by its text where texts are judged, and never dropped as a copy.
+Rows that repeat a doc_id share a verdict, but for toxicity, which judges each text. Other columns
+pass through, whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
+from lodestone.llm.common import table, written
+from lodestone.shipping import shipped
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose id is among the dropped."""
+    gone = dropped.select(dropped["doc_id"].alias("dropped_id"))
+    return docs.join(gone, docs["doc_id"] == gone["dropped_id"], "left_anti")
+
+
+@shipped
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores 0.5 or more go."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer(model)(docs["text"]) < 0.5)
+
+
+@shipped
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept and doc_id is not null"))
+
+
+@shipped
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link, at 3 bits and over shingles of 3 words as the contract
+    of the operator says, the one with the smallest doc_id stays."""
+    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+
+
+@shipped
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in benchmark windows go."""
+    return _without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id goes on."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+@shipped
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as often as the weights of their sources draw them, with the pass and the place in it."""
+    return mixing.draw(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash", drop_near_copies), ("decontaminate", drop_contaminated), ("mix", mix)]
+#: The scores of the first stage can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; what each keeps is written to the shared folder for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs

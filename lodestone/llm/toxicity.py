@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 from math import exp, log, log1p
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, narrow, table
@@ -293,6 +294,16 @@ def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def scorer(model: Model) -> Callable[[Column], Column]:
+    """The score as a function of a column of texts, for filters that keep other columns."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in texts])
+
+    return score
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, score, predicted.
 
