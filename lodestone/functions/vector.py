@@ -53,6 +53,6 @@ def cosine_to(query: Sequence[float], column: Column) -> Column:
 
 
 @F.udf(T.ArrayType(T.FloatType(), False))
-def from_blob(blob: bytes | None) -> list[float] | None:
+def from_blob(blob):  # noqa: ANN001, ANN201
     """A vector from little-endian float32 bytes; null if they aren't whole floats. For imports."""
     return None if blob is None or len(blob) % 4 else list(unpack(f"<{len(blob) // 4}f", bytes(blob)))

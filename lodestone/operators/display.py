@@ -29,10 +29,15 @@ def _name(chunk: str, fn: str, cls: str) -> Column:
     return F.when(function.isNotNull(), F.format_string(fn, function)).when(cl.isNotNull(), F.format_string(cls, cl)).otherwise("")
 
 
+def preview(content: Column, n: int) -> Column:
+    """The first n characters on one line, with dots if there are more."""
+    return F.concat(_preview(content, n), _more(content, n))
+
+
 def search_rows(results: DataFrame) -> DataFrame:
     """label, description, detail of results(chunk, similarity)."""
     content = F.col("chunk.content")
-    return results.select(basename(F.col("chunk.file_path")).alias("label"), F.concat(_percent(1), F.lit(" - "), _lines()).alias("description"), F.concat(_preview(content, 100), _more(content, 100)).alias("detail"))
+    return results.select(basename(F.col("chunk.file_path")).alias("label"), F.concat(_percent(1), F.lit(" - "), _lines()).alias("description"), preview(content, 100).alias("detail"))
 
 
 def quick_rows(results: DataFrame) -> DataFrame:

@@ -15,13 +15,17 @@ from ..schema import CHUNK
 
 
 
+#: Marks a version as committed.
+_DONE = "_COMMITTED"
+
+
 class Store:
-    """A folder with versions of the tables and a pointer to the current one.
+    """A folder with versions of the tables.
 
     A commit writes a new version, chunks sorted by file and postings by term so that statistics
-    skip what a query doesn't need, and then swaps the pointer by a rename. Readers of an older
-    version are not disturbed; superseded versions are removed by vacuum. Writers must be one at a
-    time."""
+    skip what a query doesn't need; creating an empty file in it makes it the current one. A commit
+    that fails half-way changes nothing, and readers of an older version are not disturbed;
+    superseded versions are removed by vacuum. Writers must be one at a time."""
 
     def __init__(self, spark: SparkSession, root: str, stemmed: bool = True, keep: int = 2) -> None:
         self.spark, self.root, self.stemmed, self.keep = spark, root.rstrip("/"), stemmed, keep
@@ -31,15 +35,15 @@ class Store:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
-    def version(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/current")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/current").first()[0]
-
-    def versions(self) -> list[str]:
+    def versions(self, committed: bool = False) -> list[str]:
         fs, p = self._fs(self.root)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v")) if fs.exists(p) else []
+        names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        names = [n for n in names if n.startswith("v")]
+        return [n for n in names if fs.exists(self._fs(f"{self.root}/{n}/{_DONE}")[1])] if committed else names
+
+    def version(self) -> str | None:
+        """The newest committed version."""
+        return next(reversed(self.versions(committed=True)), None)
 
     def chunks(self) -> DataFrame:
         """The current chunks; an empty table before the first commit."""
@@ -63,20 +67,17 @@ class Store:
         rows.repartitionByRange("file_path", "id").sortWithinPartitions("file_path", "start_line").write.parquet(f"{self.root}/{v}/chunks")
         kept = self.spark.read.parquet(f"{self.root}/{v}/chunks")
         postings(kept, stemmed=self.stemmed).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{self.root}/{v}/postings")
-        fs, target = self._fs(f"{self.root}/current")
-        _, fresh = self._fs(f"{self.root}/.next-{v}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(fresh, target)
+        fs, done = self._fs(f"{self.root}/{v}/{_DONE}")
+        fs.create(done, False).close()
         self.vacuum()
         return v
 
     def vacuum(self) -> None:
         """Removes all but the newest versions."""
-        for v in self.versions()[: -self.keep]:
+        newest = self.versions(committed=True)[-self.keep :]
+        for v in self.versions():
+            if not newest or v >= newest[0]:
+                continue
             fs, p = self._fs(f"{self.root}/{v}")
             fs.delete(p, True)
 
