@@ -16,7 +16,7 @@ def _tokens(c: str) -> str:
 
 def _windows(files: str, size: int = 20, overlap: int = 5) -> str:
     return f"""
-    select sha256(file_path || ':' || s || ':' || (least(s + {size}, n) - 1)) as id, file_path, language, s as start_line, least(s + {size}, n) - 1 as end_line,
+    select sha256(file_path || ':' || s || ':' || (least(s + {size}, n) - 1)) as id, file_path, language, cast(s as integer) as start_line, cast(least(s + {size}, n) - 1 as integer) as end_line,
            array_to_string(list_slice(ls, s + 1, least(s + {size}, n)), chr(10)) as content, sha256(array_to_string(list_slice(ls, s + 1, least(s + {size}, n)), chr(10))) as content_hash
     from (select file_path, language, ls, n, unnest(range(0, n, {size - overlap})) as s
           from (select file_path, language, string_split(content, chr(10)) as ls, len(string_split(content, chr(10))) as n from ({files})))
@@ -96,7 +96,7 @@ select vec_id, label, round(s, 6) as similarity from b where k = 1 order by s de
     "vector_exclude_self": f"""with h as (select e.vec_id, {_SIM} as s from embeddings e, {_Q} order by s desc, vec_id limit 30)
 select vec_id, round(s, 6) as similarity from h where vec_id <> 0 order by s desc, vec_id limit 15""",
     "vector_dim_guard": f"select e.vec_id, round({_SIM}, 6) as similarity from (select * from embeddings where label <> 1) e, {_Q} order by {_SIM} desc, e.vec_id limit 10",
-    "chunk_embedding_join": f"select f.doc_id as id, f.file_path, e.label, len(e.embedding) as dims from ({_FILES}) f join embeddings e on e.vec_id = f.doc_id",
+    "chunk_embedding_join": f"select f.doc_id as id, f.file_path, e.label, cast(len(e.embedding) as integer) as dims from ({_FILES}) f join embeddings e on e.vec_id = f.doc_id",
     "bm25_and": _top_bm25([(["by"], False), (["es"], False)]),
     "bm25_phrase": _top_bm25([(["of", "the"], False)]),
     "bm25_anchor": _top_bm25([(["the"], True), (["of"], False)]),
@@ -142,5 +142,5 @@ from (select *, coalesce('Function ' || fn || ' in ' || file_path, 'Code in ' ||
 f as (select '/u/' || user_id || '.py' as p from l where k = 1 and event_type <> 'error')
 select sha256(p || ':0:2') as id, p as file_path, 0 as start_line, 2 as end_line, sha256('# ' || p || chr(10) || 'value = 1' || chr(10)) as content_hash from f""",
     "arm_ranks": f"""with h as (select e.vec_id, e.label, {_SIM} as s from embeddings e, {_Q} order by s desc, vec_id limit 100)
-select vec_id, label, row_number() over (partition by label order by s desc, vec_id) as rank from h""",
+select vec_id, label, cast(row_number() over (partition by label order by s desc, vec_id) as integer) as rank from h""",
 }
