@@ -14,6 +14,8 @@ from .stem import stem
 
 #: A token: ASCII letters and digits, and all above ASCII. A-Z are folded, nothing else.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A character of a query's word: the same in either case, and the underscore.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLD = str.maketrans(_UPPER, _UPPER.lower())
 #: Signs that become spaces, and words that vanish.
@@ -57,7 +59,7 @@ def parse_query(query: str, stemmed: bool = True, lenient: bool = False) -> list
     line = cleaned(query)
     if lenient:
         line = re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]", " ", line)
-    parts = re.findall(r"[^\x00-\x2F\x3A-\x5E\x60\x7B-\x7F]+|\S", line)
+    parts = re.findall(WORD + r"+|\S", line)
     phrases: list[tuple[list[str], bool]] = []
     caret = joined = False
     for p in parts:
@@ -65,7 +67,7 @@ def parse_query(query: str, stemmed: bool = True, lenient: bool = False) -> list
             caret = True
         elif p == "+" and phrases and not caret and not joined:
             joined = True
-        elif re.match(r"[^\x00-\x2F\x3A-\x5E\x60\x7B-\x7F]", p):
+        elif re.match(WORD, p):
             words = re.findall(TOKEN, p.translate(_FOLD))
             if joined:
                 phrases[-1][0].extend(words)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +37,20 @@ def _quoted(s: str) -> str:
     return r"\Q" + s + r"\E"
 
 
-def read_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """file_path, length, content, language of listed files, decoded as UTF-8; executors read them."""
-    names = [r.file_path for r in paths.select("file_path").collect()]  # the listing came from the driver
-    if not names:
-        return with_language(spark.createDataFrame([], FILE))
-    opened = spark.sparkContext.binaryFiles(",".join(n.replace(",", "?") for n in names))
-    rows = opened.map(lambda kv: (kv[0], len(kv[1]), kv[1].decode("utf-8", "replace")))
-    return with_language(spark.createDataFrame(rows, FILE))
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path in b.column(0).to_pylist():  # a file at a time, so that a batch holds no more
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(name) as f:
+                raw = f.read()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(raw)], pa.int64()), pa.array([raw.decode("utf-8", "replace")])], ["file_path", "length", "content"])
+
+
+def read_files(paths: DataFrame, tasks: int | None = None) -> DataFrame:
+    """file_path, length, content, language of listed files, decoded as UTF-8. Executors open them, by
+    URI; Spark's own readers would skip names that begin with _ or a dot."""
+    own = paths.select("file_path")
+    return with_language((own.repartition(tasks) if tasks else own).mapInArrow(_opened, FILE))
 
 
 def with_language(files: DataFrame) -> DataFrame:
