@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from functools import partial
+import pickle
+import tempfile
+import zlib
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack, suppress
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import narrow, table
@@ -18,13 +22,13 @@ WINDOW = 13
 #: Words of an anchor. Each window owns its smallest anchor by hash, the last of equal ones; windows
 #: of one wording own the same, so documents that share a window share an anchor.
 ANCHOR = 5
-#: Documents from which an anchor is hot: its phrases are then told apart by the words beside it.
-HOT_DOCS = 20_000
-#: Words beside a hot anchor that tell its phrases apart. Of the WINDOW - ANCHOR other words of a
-#: window so many stand on one side at least.
-BESIDE = (WINDOW - ANCHOR) // 2
-#: Phrases that one automaton is compiled from, if no anchor has more.
+#: Bytes of text of a shard of documents.
+SHARD_BYTES = 8_000_000
+#: Phrases that one automaton is compiled from.
 PHRASES = 12_000
+#: Files that the phrases of an anchor with more are dealt to, and words beside the anchor that tell
+#: them apart. Of the WINDOW - ANCHOR other words of a window so many stand on one side at least.
+DEALT, BESIDE = 64, (WINDOW - ANCHOR) // 2
 #: Bytes of text that are hashed at once.
 _CHUNK = 1 << 20
 
@@ -82,89 +86,96 @@ class Words:
         return inside, owner[inside], anchors
 
 
-def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Rows and their texts, in chunks of bounded size."""
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each anchor that windows own: its hash, its place, the first and the last of those
+        windows, and two hashes of the phrase, all words of those windows."""
+        at, owner, anchors = self.owners()
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+        low, high, place = at[cuts], at[np.append(cuts[1:], len(at))[: len(cuts)] - 1], owner[cuts]
+        names = []
+        for base in (_BASE, _BASE ^ 0x5DEECE66C):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(self.hash * _powers(base, len(self.hash))))) if len(self.hash) else np.zeros(1, np.uint64)
+            names.append(_mix((sums[high + WINDOW] - sums[low]) * _powers(pow(base, -1, 2**64), max(1, len(self.hash)))[low]).view(np.int64))
+        return anchors[place].view(np.int64), place, low, high, np.stack(names)
+
+
+def _chunks(t: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Row numbers of a table with a text column and the texts, in chunks of bounded size."""
     rows, texts, size = [], [], 0
-    for i, t in enumerate(batch.column(column)):
+    for i, x in enumerate(t.column("text")):
         rows.append(i)
-        texts.append((t.as_py() or "").encode())
+        texts.append((x.as_py() or "").encode())
         size += len(texts[-1])
         if size >= _CHUNK:
-            yield rows, texts
+            yield np.array(rows), texts
             rows, texts, size = [], [], 0
     if rows:
-        yield rows, texts
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to distinct (doc_id, h): the anchors that a document's windows own."""
-    for b in batches:
-        for rows, texts in _chunks(b, 1):
-            words = Words(texts)
-            _, owner, anchors = words.owners()
-            owner = owner[np.flatnonzero(np.diff(owner, prepend=-1))]
-            h, doc = anchors[owner].view(np.int64), words.doc[owner]
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(rows)[doc[new]])), pa.array(h[new])], ["doc_id", "h"])
-
-
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, version, known, hot) to the phrases around recurring anchors: g, side, anchor,
-    phrase, doc_id, version, start.
-
-    A phrase is all words of the windows that own one anchor. g names the anchor; a hot anchor has
-    two phrases, side 1 for windows that begin BESIDE words or more before it, side 2 for the
-    others, and g also names the words on that side."""
-    for b in batches:
-        for rows, texts in _chunks(b, 1):
-            part = b.take(pa.array(rows))
-            flat = lambda name: np.unique(pa.chunked_array([part.column(name)]).combine_chunks().flatten().to_numpy(zero_copy_only=False))  # noqa: B023, E731
-            known, hot = flat("known"), flat("hot")
-            words = Words(texts)
-            at, owner, anchors = words.owners()
-            keep = np.isin(anchors[owner].view(np.int64), known)
-            at, owner = at[keep], owner[keep]
-            if not len(at):
-                continue
-            cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            low, high, place = at[cuts], at[np.append(cuts[1:], len(at)) - 1], owner[cuts]
-            h = anchors[place].view(np.int64)
-            hottish = np.isin(h, hot)
-            beside = words.rolling(BESIDE).view(np.int64)
-            spelled = b"\n".join(texts).split()
-            g, side, anchor, phrase, doc, start = [], [], [], [], [], []
-            for lo, hi, p, k, is_hot in zip(low.tolist(), high.tolist(), place.tolist(), h.tolist(), hottish.tolist(), strict=True):
-                line = b" ".join(spelled[lo : hi + WINDOW])
-                sides = [(0, k)]
-                if is_hot:
-                    sides = [(1, k ^ int(beside[p - BESIDE]))] if p - lo >= BESIDE else []
-                    if p - hi < BESIDE:
-                        sides.append((2, k ^ ~int(beside[p + ANCHOR])))
-                for which, name in sides:
-                    g.append(name)
-                    side.append(which)
-                    anchor.append(p - lo)
-                    phrase.append(line)
-                    doc.append(words.doc[lo])
-                    start.append(lo - int(words.first[words.doc[lo]]))
-            doc = pa.array(np.array(doc))
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(side, pa.int32()), pa.array(anchor, pa.int32()), pa.array(phrase, pa.binary()), part.column("doc_id").take(doc), part.column("version").take(doc), pa.array(start, pa.int32())], ["g", "side", "anchor", "phrase", "doc_id", "version", "start"])
-
-
-def _covered(rows: list[tuple[int, int, int, int, list[bytes], int, int]]) -> list[tuple[int, int, int, list[int], list[int]]]:
-    """Of phrases (g, side, name, anchor, words, first, last) those with windows that recur: g, side,
-    name, the windows' offsets and the first document of each.
-
-    Confirms which windows stand in two documents or more, word by word, compiles them into an
-    automaton over word numbers, and reads every phrase with it."""
+        yield np.array(rows), texts
+
+
+def _ids(t: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows, and which of them are not null."""
+    c = t.column("doc_id").take(pa.array(rows))
+    return c.fill_null(0).to_numpy().astype(np.int64), c.is_valid().to_numpy()
+
+
+def _questions(t: pa.Table) -> pa.Table:
+    """A shard (shard, doc_id, text) to its anchors: h, the smallest document with it, and whether
+    several have it."""
+    hs, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for rows, texts in _chunks(t):
+        ids, valid = _ids(t, rows)
+        words = Words(texts)
+        h, place, *_ = words.phrases()
+        doc = words.doc[place]
+        hs.append(h[valid[doc]])
+        docs.append(ids[doc][valid[doc]])
+    h, doc = np.concatenate(hs), np.concatenate(docs)
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.flatnonzero(np.diff(h, prepend=h[:1] - 1)) if len(h) else np.empty(0, np.int64)
+    last = np.append(new[1:], len(h))[: len(new)] - 1
+    return pa.table({"h": h[new], "doc": doc[new], "several": doc[new] != doc[last]})
+
+
+def _phrases(t: pa.Table, known: pa.Table) -> pa.Table:
+    """A shard and its recurring anchors (h) to its distinct phrases around them: h, anchor (its place
+    in the phrase), phrase, a, b (the phrase's hashes), shard, first, last."""
+    recurring = known.column("h").to_numpy()
+    found: dict[bytes, list[int]] = {}
+    for rows, texts in _chunks(t) if len(recurring) else ():
+        ids, valid = _ids(t, rows)
+        words = Words(texts)
+        h, place, low, high, names = words.phrases()
+        keep = np.flatnonzero(np.isin(h, recurring) & valid[words.doc[place]])
+        spelled = b"\n".join(texts).split()
+        for k, lo, hi, p, a, b, d in zip(*(x[keep].tolist() for x in (h, low, high, place, *names, ids[words.doc[place]])), strict=True):
+            line = b" ".join(spelled[lo : hi + WINDOW])
+            was = found.get(line)
+            if was is None:
+                found[line] = [k, p - lo, a, b, d, d]
+            else:
+                was[4], was[5] = min(d, was[4]), max(d, was[5])
+    cols = list(zip(*found.values(), strict=True)) or [()] * 6
+    shard = t.column("shard")[0].as_py() if len(t) else None
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(list(found), pa.binary()), *(pa.array(cols[i], pa.int64()) for i in (2, 3)), pa.array([shard] * len(found), pa.int64()), *(pa.array(cols[i], pa.int64()) for i in (4, 5))], ["h", "anchor", "phrase", "a", "b", "shard", "first", "last"])
+
+
+Phrase = tuple[int, bytes, int, int]  # place of the anchor, words, first and last document
+Cover = tuple[list[int], list[int]]  # offsets of windows that recur, and the first document of each
+
+
+def covers(phrases: list[Phrase], side: int = 0) -> dict[bytes, Cover]:
+    """The windows of some phrases that stand in two documents or more.
+
+    Confirms them word by word, compiles the confirmed ones into an automaton over word numbers, and
+    reads every phrase with it. With side 1 only windows that begin BESIDE words or more before
+    their anchor count, with side 2 only the others."""
     numbers: dict[bytes, int] = {}
     seen: dict[tuple[int, ...], tuple[int, int]] = {}
     read = []
-    for _, side, _, anchor, words, first, last in rows:
-        line = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words])
+    for anchor, phrase, first, last in phrases:
+        line = tuple([numbers.setdefault(w, len(numbers) + 1) for w in phrase.split()])
         read.append(line)
         for o in range(len(line) - WINDOW + 1):
             if not side or (anchor - o >= BESIDE) == (side == 1):
@@ -175,63 +186,128 @@ def _covered(rows: list[tuple[int, int, int, int, list[bytes], int, int]]) -> li
     for w, (first, last) in seen.items():
         if first < last:
             auto.add_word(w, first)
-    if not len(auto):
-        return []
-    auto.make_automaton()
-    out = []
-    for (g, side, name, anchor, _, _, last), line in zip(rows, read, strict=True):
-        offsets, firsts = [], []
-        for end, first in auto.iter(line):
-            o = end - WINDOW + 1
-            if first < last and (not side or (anchor - o >= BESIDE) == (side == 1)):
-                offsets.append(o)
-                firsts.append(first)
-        if offsets:
-            out.append((g, side, name, offsets, firsts))
+    out: dict[bytes, Cover] = {}
+    if len(auto):
+        auto.make_automaton()
+        for (anchor, phrase, _, last), line in zip(phrases, read, strict=True):
+            at = [(end - WINDOW + 1, first) for end, first in auto.iter(line) if first < last]
+            at = [x for x in at if not side or (anchor - x[0] >= BESIDE) == (side == 1)]
+            if at:
+                out[phrase] = ([o for o, _ in at], [f for _, f in at])
     return out
 
 
-def _automata(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def made(rows: list) -> pa.RecordBatch:
-        found = _covered(rows)
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(kind))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(types)], ["c_g", "c_side", "c_name", "offsets", "firsts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A shard's distinct phrases, sorted by g; those of one g go into one automaton."""
-        rows: list = []
-        for b in batches:
-            for g, side, name, anchor, phrase, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(rows) >= PHRASES and g != rows[-1][0]:
-                    yield made(rows)
-                    rows = []
-                rows.append((g, side, name, anchor, phrase.split(), first, last))
-        if rows:
-            yield made(rows)
-
-    return run
-
-
-def _stripped(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, removed, sha, kept_text = [], [], [], []
-        for text, version, covers in zip(b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
-            words = (text.as_py() or "").encode().split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            for c in covers.as_py() or ():
-                if c["version"] == version:
-                    for s in c["starts"]:
-                        gone[s] += 1
-                        gone[s + WINDOW] -= 1
-            out = np.cumsum(gone[:-1]) > 0
-            kept = b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x])
-            n.append(len(words))
-            removed.append(int(out.sum()))
+def dealt(phrases: Iterable[Phrase]) -> Iterator[tuple[bytes, Cover]]:
+    """covers of one anchor's phrases, however many: they are dealt to files by the words on one side
+    of the anchor, which phrases with a window in common share, and each file is read by itself."""
+    with tempfile.TemporaryDirectory() as folder, ExitStack() as stack:
+        files = [[stack.enter_context(open(f"{folder}/{side}-{k}", "w+b")) for k in range(DEALT)] for side in (1, 2)]
+        for p in phrases:
+            words = p[1].split()
+            for side, beside in ((1, words[max(0, p[0] - BESIDE) : p[0]]), (2, words[p[0] + ANCHOR :][:BESIDE])):
+                if len(beside) == BESIDE:
+                    pickle.dump(p, files[side - 1][zlib.crc32(b" ".join(beside)) % DEALT])
+        for side in (1, 2):
+            for f in files[side - 1]:
+                f.seek(0)
+                own = []
+                with suppress(EOFError):
+                    while True:
+                        own.append(pickle.load(f))
+                yield from covers(own, side).items()
+
+
+def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct phrases of a shard of anchors, sorted by h, to the covers of each, for each shard
+    of documents that has it: shard, a, b, offsets, firsts."""
+
+    def answers(found: Iterable[tuple[bytes, Cover]], asked: dict[bytes, list]) -> pa.RecordBatch:
+        rows = [(shard, asked[p][4], asked[p][5], *c) for p, c in found for shard in asked[p][6]]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["shard", "a", "b", "offsets", "firsts"])
+
+    def done(asked: dict[bytes, list]) -> pa.RecordBatch:
+        plain = [(x[1], p, x[2], x[3]) for p, x in asked.items()]
+        one = len({x[0] for x in asked.values()}) == 1 and len(plain) > PHRASES
+        return answers(dealt(plain) if one else covers(plain).items(), asked)
+
+    asked: dict[bytes, list] = {}  # phrase: h, anchor, first, last, a, b, shards
+    now = None
+    run: dict[bytes, list] = {}
+
+    def take() -> None:
+        # An anchor with one phrase of one document has no window that recurs.
+        if len(run) > 1 or any(x[2] < x[3] for x in run.values()):
+            asked.update(run)
+
+    for batch in batches:
+        for h, anchor, phrase, a, b, shard, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if h != now:
+                if len(run) > PHRASES:
+                    yield done(run)
+                else:
+                    take()
+                if len(asked) >= PHRASES:
+                    yield done(asked)
+                    asked = {}
+                now, run = h, {}
+            was = run.get(phrase)
+            if was is None:
+                run[phrase] = [h, anchor, first, last, a, b, [shard]]
+            else:
+                was[2], was[3] = min(first, was[2]), max(last, was[3])
+                was[6].append(shard)
+    if len(run) > PHRASES:
+        yield done(run)
+    else:
+        take()
+    if asked:
+        yield done(asked)
+
+
+def _stripped(t: pa.Table, found: pa.Table, texts: bool) -> pa.Table:
+    """A shard without the words that its covers take."""
+    ids, n, removed, sha, kept_texts = [], [], [], [], []
+    order = np.lexsort((found.column("b").to_numpy(), found.column("a").to_numpy()))
+    found = found.take(pa.array(order)).combine_chunks() if len(found) else found
+    a, b = found.column("a").to_numpy(), found.column("b").to_numpy()
+    if len(found):
+        offsets, firsts = (found.column(c).combine_chunks() for c in ("offsets", "firsts"))
+        sizes = offsets.value_lengths().to_numpy().astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        offsets, firsts = offsets.flatten().to_numpy().astype(np.int64), firsts.flatten().to_numpy()
+    for rows, raw in _chunks(t):
+        doc_ids, valid = _ids(t, rows)
+        words = Words(raw)
+        gone = np.zeros(len(words.hash) + 1, np.int64)
+        if len(found):
+            _, place, low, _, names = words.phrases()
+            k = np.searchsorted(a, names[0])
+            hit = np.flatnonzero((k < len(a)) & (a[np.minimum(k, len(a) - 1)] == names[0]) & valid[words.doc[place]])
+            k = k[hit]
+            same = b[k] == names[1][hit]
+            hit, k = hit[same], k[same]
+            many = sizes[k]
+            at = np.repeat(begins[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start = np.repeat(low[hit], many) + offsets[at]
+            start = start[firsts[at] < np.repeat(doc_ids[words.doc[place[hit]]], many)]
+            np.add.at(gone, start, 1)
+            np.add.at(gone, start + WINDOW, -1)
+        out = np.cumsum(gone[:-1]) > 0
+        spelled = b"\n".join(raw).split()
+        ends = np.append(words.first[1:], len(spelled)).tolist()
+        per = np.concatenate(([0], np.cumsum(out)))
+        for i, (s, e) in enumerate(zip(words.first.tolist(), ends, strict=True)):
+            less = int(per[e] - per[s])
+            kept = b" ".join(compress(spelled[s:e], (~out[s:e]).tolist()) if less else spelled[s:e])
+            ids.append(doc_ids[i].item() if valid[i] else None)
+            n.append(e - s)
+            removed.append(less)
             sha.append(hashlib.sha256(kept).hexdigest())
             if texts:
-                kept_text.append(kept.decode())
-        more = [pa.array(kept_text, pa.string())] if texts else []
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), *more], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"][: len(more)]])
+                kept_texts.append(kept.decode())
+    made = {"doc_id": pa.array(ids, t.schema.field("doc_id").type), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+    return pa.table(made | ({"kept_text": pa.array(kept_texts, pa.string())} if texts else {}))
 
 
 def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -239,31 +315,35 @@ def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     kept_sha256, and with `texts` also kept_text.
 
     A word is removed if a window of WINDOW words that covers it also starts in a document with a
-    smaller doc_id. Anchors of the windows, combined before the shuffle, tell which may recur; the
-    distinct phrases around recurring anchors are dealt to shards by anchor. Each shard confirms the
-    recurring windows by their words, compiles them into Aho-Corasick automata of bounded size and
-    reads its phrases; as a phrase holds every occurrence of its windows, all documents are read for
-    all of them. What is found goes back to every document with that phrase, in a join that Spark
-    may split at a hot phrase, and the texts, shuffled once, lose their words.
+    smaller doc_id. Documents are dealt to shards of bounded size by a hash of their id; the texts
+    are shuffled once, for three rounds. First each shard tells its anchors, combined, and learns
+    which of them others have too. Then it tells its distinct phrases around these, which are dealt
+    by anchor: there the recurring windows are confirmed by their words, compiled into Aho-Corasick
+    automata of bounded size and located in every phrase; a phrase holds every occurrence of its
+    windows, so all documents are read. Last each shard learns the covers of its phrases and strips
+    its texts. Whatever is shuffled beside the texts is at most a row for each shard, so an anchor or
+    a phrase that a third of the documents hold makes no task larger.
 
     Null and empty texts have no words. A row with a null doc_id neither loses words nor makes others
     lose any. Rows that repeat a doc_id are one document: they don't make each other lose words,
     whatever their texts. Empty tables give no rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = narrow(docs, "doc_id", "text").withColumn("version", F.xxhash64("text"))
-    anchors = own.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_anchors, f"doc_id {kind}, h bigint")
-    recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("a < z").select(F.col("h").alias("r"), (F.col("n") >= HOT_DOCS).alias("is_hot"))
-    of = anchors.join(recurring, F.col("h") == F.col("r")).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("h").alias("known"), F.collect_list(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
-    having = own.join(of, F.col("doc_id") == F.col("of")).select("doc_id", "text", "version", "known", "hot")
-    phrases = having.mapInArrow(_phrases, f"g bigint, side int, anchor int, phrase binary, doc_id {kind}, version bigint, start int").withColumn("name", F.xxhash64("phrase"))
-    distinct = phrases.groupBy("g", "side", "name", "anchor", "phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shards = distinct.repartition("g").sortWithinPartitions("g")
-    covers = shards.mapInArrow(_automata(pa.int64() if kind == "bigint" else pa.int32()), f"c_g bigint, c_side int, c_name bigint, offsets array<int>, firsts array<{kind}>")
-    met = phrases.select("g", "side", "name", "doc_id", "version", "start").join(covers, (F.col("g") == F.col("c_g")) & (F.col("name") == F.col("c_name")) & (F.col("side") == F.col("c_side")))
-    starts = F.expr("transform(filter(arrays_zip(offsets, firsts), x -> x.firsts < doc_id), x -> start + x.offsets)")
-    lost = met.select("doc_id", "version", starts.alias("starts")).where(F.size("starts") > 0).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("version", "starts")).alias("covers"))
-    joined = own.join(lost, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "version", "covers")
-    return joined.mapInArrow(partial(_stripped, texts=texts), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
+    own = narrow(docs, "doc_id", "text")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = F.lit(1 + size // SHARD_BYTES)
+    shard = lambda c: F.pmod(F.xxhash64(c), shards).alias("shard")
+    dealt_out = own.select(shard("doc_id"), "doc_id", "text").groupBy("shard")
+    asked = dealt_out.applyInArrow(_questions, "h bigint, doc bigint, several boolean")
+    same = Window.partitionBy("h")  # at most a row for each shard
+    known = asked.select(F.col("doc").cast(kind).alias("doc"), "h", (F.count("*").over(same) > 1).alias("others"), F.max("several").over(same).alias("several")).where("others or several").select(shard("doc"), "h")
+    phrases = dealt_out.cogroup(known.groupBy("shard")).applyInArrow(_phrases, "h bigint, anchor int, phrase binary, a bigint, b bigint, shard bigint, first bigint, last bigint")
+    found = phrases.repartition("h").sortWithinPartitions("h").mapInArrow(_automata, "shard bigint, a bigint, b bigint, offsets array<int>, firsts array<bigint>")
+    schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
+
+    def strip(t: pa.Table, covers: pa.Table) -> pa.Table:
+        return _stripped(t, covers, texts)
+
+    return dealt_out.cogroup(found.groupBy("shard")).applyInArrow(strip, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
