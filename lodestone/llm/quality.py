@@ -29,7 +29,7 @@ _BLOCK = 128 * _POSITIONS
 def padded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, each filled with zeros to whole half-chunks, and each one's number of those.
 
-    At least WIDTH zeros follow a text, so no filter sees two texts."""
+    At least WIDTH zeros follow a text."""
     raw = [(t or "").encode() for t in texts]
     halves = np.array([(len(r) + WIDTH) // HALF + 1 for r in raw], np.int64)
     return np.frombuffer(b"".join(r.ljust(int(h) * HALF, b"\0") for r, h in zip(raw, halves, strict=True)) + bytes(WIDTH), np.uint8), halves
@@ -50,8 +50,10 @@ class Network:
         draw = lambda n, *shape: (rng.standard_normal(shape) * np.sqrt(2 / n)).astype(np.float32)
         return Network(draw(2, 256, EMBED), draw(WIDTH * EMBED, WIDTH * EMBED, FILTERS), np.zeros(FILTERS, np.float32), draw(2 * FILTERS, 2 * FILTERS, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, HIDDEN), np.zeros(1, np.float32))
 
-    def pool_halves(self, data: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Each filter's largest response in each half-chunk, and at which position it is."""
+    def pool_halves(self, data: np.ndarray, halves: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Each filter's largest response in each half-chunk, and at which position it is. The last
+        positions of a text, from which a filter would see the next one, hold zeros and don't count."""
+        ends = np.cumsum(halves) - 1
         n = (len(data) - WIDTH) // STRIDE
         most = np.empty((n // _POSITIONS, FILTERS), np.float32)
         at = np.empty(most.shape, np.int64) if where else None
@@ -64,6 +66,7 @@ class Network:
                 r += seen[k : k + m] @ taps[k]
             r = r.reshape(-1, _POSITIONS, FILTERS)
             rows = slice(i // _POSITIONS, (i + m) // _POSITIONS)
+            r[ends[(ends >= rows.start) & (ends < rows.stop)] - rows.start, 1 - len(taps) :] = -np.inf
             if where:
                 at[rows] = r.argmax(1)
                 most[rows] = np.take_along_axis(r, at[rows][:, None], 1)[:, 0]
@@ -91,11 +94,11 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         data, halves = padded(texts)
-        return self.head(self.combine(self.pool_halves(data)[0], halves)[0])[0].astype(np.float64)
+        return self.head(self.combine(self.pool_halves(data, halves)[0], halves)[0])[0].astype(np.float64)
 
     def gradients(self, texts: list[str | None], y: np.ndarray) -> dict[str, np.ndarray]:
         data, halves = padded(texts)
-        pooled, at = self.pool_halves(data, where=True)
+        pooled, at = self.pool_halves(data, halves, where=True)
         x, chunks, first, start = self.combine(pooled, halves)
         p, h = self.head(x)
         dz = ((p - y) / len(y)).astype(np.float32)
