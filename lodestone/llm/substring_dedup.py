@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from contextlib import ExitStack, suppress
 from itertools import compress
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -43,10 +44,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 to base ** (n - 1), kept for the next chunk."""
+    known = _known_powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(n, base, np.uint64)
+        known[:1] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 2 * _CHUNK:
+            _known_powers[base] = known
+    return known[:n]
 
 
 class Words:
@@ -76,12 +86,14 @@ class Words:
         anchors' hashes by place."""
         anchors = self.rolling(ANCHOR)
         n = max(0, len(self.hash) - WINDOW + 1)
-        owner, least = np.arange(n), anchors[:n].copy()
-        for d in range(1, WINDOW - ANCHOR + 1):
-            other = anchors[d : d + n]
-            smaller = other <= least
-            owner[smaller] = np.flatnonzero(smaller) + d
-            least[smaller] = other[smaller]
+        shifted = [anchors[d : d + n] for d in range(WINDOW - ANCHOR + 1)]
+        least = shifted[0].copy()
+        for x in shifted[1:]:
+            np.minimum(least, x, out=least)
+        owner = np.zeros(n, np.int64)
+        for d, x in enumerate(shifted):
+            np.copyto(owner, d, where=x == least)
+        owner += np.arange(n)
         inside = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :][:n])
         return inside, owner[inside], anchors
 
@@ -92,11 +104,20 @@ class Words:
         at, owner, anchors = self.owners()
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
         low, high, place = at[cuts], at[np.append(cuts[1:], len(at))[: len(cuts)] - 1], owner[cuts]
-        names = []
+        return anchors[place].view(np.int64), place, low, high, self._names(low, high + WINDOW)
+
+    def _names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two hashes of the words from start to end, excluded."""
+        out, n = [], len(self.hash)
         for base in (_BASE, _BASE ^ 0x5DEECE66C):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(self.hash * _powers(base, len(self.hash))))) if len(self.hash) else np.zeros(1, np.uint64)
-            names.append(_mix((sums[high + WINDOW] - sums[low]) * _powers(pow(base, -1, 2**64), max(1, len(self.hash)))[low]).view(np.int64))
-        return anchors[place].view(np.int64), place, low, high, np.stack(names)
+            sums = np.zeros(n + 1, np.uint64)
+            sums[1:] = np.add.accumulate(self.hash * _powers(base, n)) if n else 0
+            out.append(_mix((sums[end] - sums[start]) * _powers(pow(base, -1, 2**64), n + 1)[start]).view(np.int64))
+        return np.stack(out)
+
+    def names(self) -> list[list[int]]:
+        """The same of all words of each text."""
+        return self._names(self.first, np.append(self.first[1:], len(self.hash))).tolist()
 
 
 def _chunks(t: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -140,60 +161,80 @@ def _questions(t: pa.Table) -> pa.Table:
 
 def _phrases(t: pa.Table, known: pa.Table) -> pa.Table:
     """A shard and its recurring anchors (h) to its distinct phrases around them: h, anchor (its place
-    in the phrase), phrase, a, b (the phrase's hashes), shard, first, last."""
+    in the phrase), phrase, shard, first, last."""
     recurring = known.column("h").to_numpy()
     found: dict[bytes, list[int]] = {}
     for rows, texts in _chunks(t) if len(recurring) else ():
         ids, valid = _ids(t, rows)
         words = Words(texts)
-        h, place, low, high, names = words.phrases()
+        h, place, low, high, _ = words.phrases()
         keep = np.flatnonzero(np.isin(h, recurring) & valid[words.doc[place]])
         spelled = b"\n".join(texts).split()
-        for k, lo, hi, p, a, b, d in zip(*(x[keep].tolist() for x in (h, low, high, place, *names, ids[words.doc[place]])), strict=True):
+        for k, lo, hi, p, d in zip(*(x[keep].tolist() for x in (h, low, high, place, ids[words.doc[place]])), strict=True):
             line = b" ".join(spelled[lo : hi + WINDOW])
             was = found.get(line)
             if was is None:
-                found[line] = [k, p - lo, a, b, d, d]
+                found[line] = [k, p - lo, d, d]
             else:
-                was[4], was[5] = min(d, was[4]), max(d, was[5])
-    cols = list(zip(*found.values(), strict=True)) or [()] * 6
+                was[2], was[3] = min(d, was[2]), max(d, was[3])
+    cols = list(zip(*found.values(), strict=True)) or [()] * 4
     shard = t.column("shard")[0].as_py() if len(t) else None
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(list(found), pa.binary()), *(pa.array(cols[i], pa.int64()) for i in (2, 3)), pa.array([shard] * len(found), pa.int64()), *(pa.array(cols[i], pa.int64()) for i in (4, 5))], ["h", "anchor", "phrase", "a", "b", "shard", "first", "last"])
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(list(found), pa.binary()), pa.array([shard] * len(found), pa.int64()), *(pa.array(cols[i], pa.int64()) for i in (2, 3))], ["h", "anchor", "phrase", "shard", "first", "last"])
 
 
 Phrase = tuple[int, bytes, int, int]  # place of the anchor, words, first and last document
 Cover = tuple[list[int], list[int]]  # offsets of windows that recur, and the first document of each
 
 
-def covers(phrases: list[Phrase], side: int = 0) -> dict[bytes, Cover]:
-    """The windows of some phrases that stand in two documents or more.
+def covers(runs: Iterable[Iterable[Phrase]], side: int = 0) -> dict[bytes, Cover]:
+    """The windows that stand in two documents or more, of phrases in runs by anchor.
 
-    Confirms them word by word, compiles the confirmed ones into an automaton over word numbers, and
-    reads every phrase with it. With side 1 only windows that begin BESIDE words or more before
-    their anchor count, with side 2 only the others."""
+    Confirms them word by word, within a run, as windows of one wording own the same anchor. What
+    is confirmed, in stretches of neighbouring windows with the same first document, is compiled
+    into an automaton over word numbers, which then reads every phrase. With side 1 only windows
+    that begin BESIDE words or more before their anchor count, with side 2 only the others."""
     numbers: dict[bytes, int] = {}
-    seen: dict[tuple[int, ...], tuple[int, int]] = {}
-    read = []
-    for anchor, phrase, first, last in phrases:
-        line = tuple([numbers.setdefault(w, len(numbers) + 1) for w in phrase.split()])
-        read.append(line)
-        for o in range(len(line) - WINDOW + 1):
-            if not side or (anchor - o >= BESIDE) == (side == 1):
+    read: list[tuple[bytes, tuple[int, ...]]] = []
+    auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for run in runs:
+        lines = []
+        for anchor, phrase, first, last in run:
+            line = tuple([numbers.setdefault(w, len(numbers) + 1) for w in phrase.split()])
+            low, high = 0, len(line) - WINDOW + 1
+            if side:
+                low, high = (0, min(high, anchor - BESIDE + 1)) if side == 1 else (max(0, anchor - BESIDE + 1), high)
+            lines.append((line, low, high, first, last))
+            read.append((phrase, line))
+        if len(lines) == 1:
+            line, low, high, first, last = lines[0]
+            if first < last and low < high:
+                auto.add_word(line[low : high + WINDOW - 1], (high - low, first))
+            continue
+        seen: dict[tuple[int, ...], tuple[int, int]] = {}
+        for line, low, high, first, last in lines:
+            for o in range(low, high):
                 w = line[o : o + WINDOW]
                 known = seen.get(w)
                 seen[w] = (first, last) if known is None else (min(first, known[0]), max(last, known[1]))
-    auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w, (first, last) in seen.items():
-        if first < last:
-            auto.add_word(w, first)
+        for line, low, high, _, _ in lines:
+            begin, now = low, None
+            for o in range(low, high + 1):
+                first, last = seen[line[o : o + WINDOW]] if o < high else (None, None)
+                first = first if o < high and first < last else None
+                if first != now:
+                    if now is not None:
+                        auto.add_word(line[begin : o + WINDOW - 1], (o - begin, now))
+                    begin, now = o, first
     out: dict[bytes, Cover] = {}
     if len(auto):
         auto.make_automaton()
-        for (anchor, phrase, _, last), line in zip(phrases, read, strict=True):
-            at = [(end - WINDOW + 1, first) for end, first in auto.iter(line) if first < last]
-            at = [x for x in at if not side or (anchor - x[0] >= BESIDE) == (side == 1)]
+        for phrase, line in read:
+            at: dict[int, int] = {}
+            for end, (n, first) in auto.iter(line):
+                begin = end - n - WINDOW + 2
+                at.update(dict.fromkeys(range(begin, begin + n), first))
             if at:
-                out[phrase] = ([o for o, _ in at], [f for _, f in at])
+                out[phrase] = (list(at), list(at.values()))
     return out
 
 
@@ -214,55 +255,61 @@ def dealt(phrases: Iterable[Phrase]) -> Iterator[tuple[bytes, Cover]]:
                 with suppress(EOFError):
                     while True:
                         own.append(pickle.load(f))
-                yield from covers(own, side).items()
-
+                yield from covers([own], side).items()
 
-def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct phrases of a shard of anchors, sorted by h, to the covers of each, for each shard
-    of documents that has it: shard, a, b, offsets, firsts."""
 
-    def answers(found: Iterable[tuple[bytes, Cover]], asked: dict[bytes, list]) -> pa.RecordBatch:
-        rows = [(shard, asked[p][4], asked[p][5], *c) for p, c in found for shard in asked[p][6]]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["shard", "a", "b", "offsets", "firsts"])
+class _Asked(NamedTuple):
+    anchor: int
+    first: int
+    last: int
+    shards: list[tuple[int, int]]  # and the last document in each
 
-    def done(asked: dict[bytes, list]) -> pa.RecordBatch:
-        plain = [(x[1], p, x[2], x[3]) for p, x in asked.items()]
-        one = len({x[0] for x in asked.values()}) == 1 and len(plain) > PHRASES
-        return answers(dealt(plain) if one else covers(plain).items(), asked)
 
-    asked: dict[bytes, list] = {}  # phrase: h, anchor, first, last, a, b, shards
-    now = None
-    run: dict[bytes, list] = {}
+def _answers(runs: list[dict[bytes, _Asked]]) -> pa.RecordBatch:
+    plain = ([(x.anchor, p, x.first, x.last) for p, x in run.items()] for run in runs)
+    found = dealt(next(plain)) if len(runs[0]) > PHRASES else covers(plain).items()
+    asked = {p: x for run in runs for p, x in run.items()}
+    rows = [(p, shard, *c) for p, c in found for shard, last in asked[p].shards if min(c[1]) < last]
+    names: dict[bytes, tuple[int, int]] = {}
+    wanted = list(dict.fromkeys(x[0] for x in rows))
+    for i in range(0, len(wanted), 8192):
+        names.update(zip(wanted[i : i + 8192], zip(*Words(wanted[i : i + 8192]).names(), strict=True), strict=True))
+    cols = [[x[1] for x in rows], [names[x[0]][0] for x in rows], [names[x[0]][1] for x in rows], [x[2] for x in rows], [x[3] for x in rows]]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "a", "b", "offsets", "firsts"])
 
-    def take() -> None:
-        # An anchor with one phrase of one document has no window that recurs.
-        if len(run) > 1 or any(x[2] < x[3] for x in run.values()):
-            asked.update(run)
 
-    for batch in batches:
-        for h, anchor, phrase, a, b, shard, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct phrases of a shard of anchors, sorted by h, to the covers of each, for each shard
+    of documents that has it and a document behind the first: shard, a, b, offsets, firsts."""
+    runs: list[dict[bytes, _Asked]] = []
+    run: dict[bytes, _Asked] = {}
+    size, now = 0, None
+    for batch in _then_none(batches):
+        for h, anchor, phrase, shard, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None,) * 6]:
             if h != now:
+                # An anchor with one phrase of one document has no window that recurs.
                 if len(run) > PHRASES:
-                    yield done(run)
-                else:
-                    take()
-                if len(asked) >= PHRASES:
-                    yield done(asked)
-                    asked = {}
+                    yield _answers([run])
+                elif len(run) > 1 or any(x.first < x.last for x in run.values()):
+                    runs.append(run)
+                    size += len(run)
+                if runs and (size >= PHRASES or h is None):
+                    yield _answers(runs)
+                    runs, size = [], 0
                 now, run = h, {}
-            was = run.get(phrase)
-            if was is None:
-                run[phrase] = [h, anchor, first, last, a, b, [shard]]
-            else:
-                was[2], was[3] = min(first, was[2]), max(last, was[3])
-                was[6].append(shard)
-    if len(run) > PHRASES:
-        yield done(run)
-    else:
-        take()
-    if asked:
-        yield done(asked)
+            if h is not None:
+                was = run.get(phrase)
+                if was is None:
+                    run[phrase] = _Asked(anchor, first, last, [(shard, last)])
+                else:
+                    was.shards.append((shard, last))
+                    run[phrase] = was._replace(first=min(first, was.first), last=max(last, was.last))
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _stripped(t: pa.Table, found: pa.Table, texts: bool) -> pa.Table:
@@ -336,7 +383,7 @@ def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     asked = dealt_out.applyInArrow(_questions, "h bigint, doc bigint, several boolean")
     same = Window.partitionBy("h")  # at most a row for each shard
     known = asked.select(F.col("doc").cast(kind).alias("doc"), "h", (F.count("*").over(same) > 1).alias("others"), F.max("several").over(same).alias("several")).where("others or several").select(shard("doc"), "h")
-    phrases = dealt_out.cogroup(known.groupBy("shard")).applyInArrow(_phrases, "h bigint, anchor int, phrase binary, a bigint, b bigint, shard bigint, first bigint, last bigint")
+    phrases = dealt_out.cogroup(known.groupBy("shard")).applyInArrow(_phrases, "h bigint, anchor int, phrase binary, shard bigint, first bigint, last bigint")
     found = phrases.repartition("h").sortWithinPartitions("h").mapInArrow(_automata, "shard bigint, a bigint, b bigint, offsets array<int>, firsts array<bigint>")
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
 
