@@ -61,3 +61,11 @@ def status_text(stats: DataFrame) -> DataFrame:
     """status: a text of one row of statistics."""
     when = F.coalesce(F.date_format("last_indexed", "yyyy-MM-dd HH:mm:ss"), F.lit("Never"))
     return stats.select(F.format_string("Index Statistics:\n- Total Chunks: %d\n- Total Files: %d\n- Database Size: %.2f MB\n- Last Indexed: %s", "total_chunks", "total_files", F.col("database_size") / 1048576.0, when).alias("status"))
+
+
+def or_message(rows: DataFrame, message: str) -> DataFrame:
+    """The rows, or one that says why there are none."""
+    if not rows.isEmpty():
+        return rows
+    first, *rest = rows.columns
+    return rows.sparkSession.range(1).select(F.lit(message).alias(first), *[F.lit("").alias(c) for c in rest])

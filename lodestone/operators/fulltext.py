@@ -16,21 +16,25 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def postings(chunks: DataFrame, columns: Sequence[str] = COLUMNS, stemmed: bool = True) -> DataFrame:
-    """chunk_id, col_no, pos, term for each token of the columns; one set of rows for each id.
+    """chunk_id, dl, col_no, pos, term for each token of the columns; one set of rows for each id. dl is
+    the chunk's number of tokens, so that a query needs no other rows than those of its terms.
 
     The index to persist: write it sorted or bucketed by term, and a query reads its terms only."""
     words = [stems(tokens(F.col(c))) if stemmed else tokens(F.col(c)) for c in columns]
-    rows = chunks.select(F.col("id").alias("chunk_id"), F.posexplode(F.array(*words)).alias("col_no", "words"))
-    return rows.select("chunk_id", "col_no", F.posexplode("words").alias("pos", "term"))
+    rows = chunks.select(F.col("id").alias("chunk_id"), F.array(*words).alias("all"))
+    dl = F.aggregate("all", F.lit(0).cast("bigint"), lambda s, w: s + F.size(w))
+    rows = rows.select("chunk_id", dl.alias("dl"), F.posexplode("all").alias("col_no", "words"))
+    return rows.select("chunk_id", "dl", "col_no", F.posexplode("words").alias("pos", "term"))
 
 
-def lengths(index: DataFrame) -> DataFrame:
-    """chunk_id, dl: tokens of each chunk that has any."""
-    return index.groupBy("chunk_id").agg(F.count("*").alias("dl"))
+def corpus(index: DataFrame) -> DataFrame:
+    """One row: n, the chunks that have tokens, and tokens. To persist beside the index: without it a
+    query has to read all of the index for these two numbers."""
+    return index.groupBy("chunk_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"))
 
 
 def phrase_hits(index: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
-    """chunk_id, phrase_no, tf: how often each phrase occurs. Phrases lie within one column.
+    """chunk_id, phrase_no, tf, dl: how often each phrase occurs. Phrases lie within one column.
 
     Each posting of a query term is one place of some phrases; a phrase stands where all its places
     fall on one beginning. The terms are pushed to the scan, and no two postings are joined."""
@@ -40,36 +44,33 @@ def phrase_hits(index: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
             place.setdefault(term, []).append((k, o, len(p.terms), p.at_start))
     entry = lambda x: F.struct(F.lit(x[0]).alias("phrase_no"), F.lit(x[1]).alias("o"), F.lit(x[2]).alias("n"), F.lit(x[3]).alias("at_start"))
     known = F.create_map(*[x for term, xs in place.items() for x in (F.lit(term), F.array(*map(entry, xs)))])
-    of = index.where(F.col("term").isin(list(place))).select("chunk_id", "col_no", "pos", F.explode(F.element_at(known, F.col("term"))).alias("p"))
-    begun = of.select("chunk_id", "col_no", "p.phrase_no", "p.n", "p.at_start", (F.col("pos") - F.col("p.o")).alias("begin"), "p.o").where("not at_start or begin = 0")
+    of = index.where(F.col("term").isin(list(place))).select("chunk_id", "dl", "col_no", "pos", F.explode(F.element_at(known, F.col("term"))).alias("p"))
+    begun = of.select("chunk_id", "dl", "col_no", "p.phrase_no", "p.n", "p.at_start", (F.col("pos") - F.col("p.o")).alias("begin"), "p.o").where("not at_start or begin = 0")
     if any(len(p.terms) > 1 for p in phrases):
-        begun = begun.groupBy("chunk_id", "col_no", "phrase_no", "n", "begin").agg(F.count("*").alias("have")).where("have = n")
-    return begun.groupBy("chunk_id", "phrase_no").agg(F.count("*").alias("tf"))
+        begun = begun.groupBy("chunk_id", "col_no", "phrase_no", "n", "begin").agg(F.count("*").alias("have"), F.max("dl").alias("dl")).where("have = n")
+    return begun.groupBy("chunk_id", "phrase_no").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-def bm25(index: DataFrame, phrases: Sequence[Phrase] | None, total: int | None = None) -> DataFrame:
+def bm25(index: DataFrame, phrases: Sequence[Phrase] | None, known: DataFrame | None = None) -> DataFrame:
     """chunk_id, rank of the chunks in which all phrases occur; smaller is better.
 
-    total: number of chunks, if the index may lack some that have no token. Phrases add up in query
-    order; a repeated one counts twice. None, for a query that is an error, gives no rows."""
+    known: the row of corpus, if it is stored. Phrases add up in query order; a repeated one counts
+    twice. None, for a query that is an error, gives no rows."""
     kind = index.schema["chunk_id"].dataType.simpleString()
     if not phrases:
         return index.sparkSession.createDataFrame([], f"chunk_id {kind}, rank double")
     hits = phrase_hits(index, phrases)
-    size = lengths(index)
-    corpus = size.agg(F.count("*").alias("with_tokens"), F.sum("dl").cast("double").alias("tokens"))
-    n = F.lit(float(total)) if total is not None else F.col("with_tokens").cast("double")
-    frequency = hits.groupBy("phrase_no").agg(F.count("*").cast("double").alias("df"))
+    figures = (corpus(index) if known is None else known).select(F.col("n").cast("double").alias("n"), F.col("tokens").cast("double").alias("tokens"))
+    n, frequency = F.col("n"), hits.groupBy("phrase_no").agg(F.count("*").cast("double").alias("df"))
     # One row of corpus figures and at most a row for each phrase: bounded by the query.
-    idf = frequency.join(F.broadcast(corpus)).select(F.col("phrase_no").alias("of"), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"), (F.col("tokens") / n).alias("avgdl"))
+    idf = frequency.join(F.broadcast(figures)).select(F.col("phrase_no").alias("of"), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"), (F.col("tokens") / n).alias("avgdl"))
     idf = idf.select("of", F.when(F.col("raw") <= 0, F.lit(LEAST_IDF)).otherwise(F.col("raw")).alias("idf"), "avgdl")
     met = hits.join(F.broadcast(idf), F.col("phrase_no") == F.col("of"))
-    every = met.groupBy(F.col("chunk_id").alias("hit_id")).agg(F.array_sort(F.collect_list(F.struct("phrase_no", "idf", "tf", "avgdl"))).alias("terms")).where(F.size("terms") == len(phrases))
-    scored = size.join(every, F.col("chunk_id") == F.col("hit_id"))
+    every = met.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("phrase_no", "idf", "tf", "avgdl"))).alias("terms"), F.max("dl").alias("dl")).where(F.size("terms") == len(phrases))
     part = lambda t: t["idf"] * ((t["tf"] * F.lit(K1 + 1.0)) / (t["tf"] + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / t["avgdl"])))
-    return scored.select("chunk_id", (F.lit(-1.0) * F.aggregate("terms", F.lit(0.0), lambda s, t: s + part(t))).alias("rank"))
+    return every.select("chunk_id", (F.lit(-1.0) * F.aggregate("terms", F.lit(0.0), lambda s, t: s + part(t))).alias("rank"))
 
 
-def keyword_search(index: DataFrame, phrases: Sequence[Phrase] | None, limit: int = 20, total: int | None = None) -> DataFrame:
+def keyword_search(index: DataFrame, phrases: Sequence[Phrase] | None, limit: int = 20, known: DataFrame | None = None) -> DataFrame:
     """The best `limit` of bm25; ties by id."""
-    return bm25(index, phrases, total).orderBy("rank", "chunk_id").limit(limit)
+    return bm25(index, phrases, known).orderBy("rank", "chunk_id").limit(limit)

@@ -52,9 +52,10 @@ class Searcher:
     """Searches over a table of chunks with embeddings, and an index of postings.
 
     chunks: id, file_path, start_line, end_line, content, language, function_name, class_name,
-    embedding, and norm if stored. embed: text to vector; a failure fails the search."""
+    embedding, and norm if stored. corpus: the index's figures, if stored. embed: text to vector; a failure fails the search."""
 
-    def __init__(self, chunks: DataFrame, index: DataFrame, embed: Callable[[str], Sequence[float]], config: Config = Config(), stemmed: bool = True) -> None:
+    def __init__(self, chunks: DataFrame, index: DataFrame, embed: Callable[[str], Sequence[float]], config: Config = Config(), stemmed: bool = True, corpus: DataFrame | None = None) -> None:
+        self.corpus = corpus
         self.chunks, self.index, self.embed, self.config, self.stemmed = chunks, index, embed, config, stemmed
 
     def _semantic(self, text: str, limit: int, extra: Sequence[str] = ()) -> DataFrame:
@@ -62,7 +63,7 @@ class Searcher:
         return vector_topk(vectors, self.embed(text), limit, extra=extra)
 
     def _keyword(self, query: str, limit: int) -> DataFrame:
-        return keyword_search(self.index, parse_query(query, self.stemmed, self.config.lenient_keywords), limit).select(F.col("chunk_id").alias("id"), "rank")
+        return keyword_search(self.index, parse_query(query, self.stemmed, self.config.lenient_keywords), limit, self.corpus).select(F.col("chunk_id").alias("id"), "rank")
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """chunk, similarity, best first, by the configured mode. A blank query is an error."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup
@@ -14,6 +17,19 @@ from ..sources.providers import ContextProvider, EmbeddingProvider, embed_column
 from ..sources.store import Store
 
 
+log = logging.getLogger("lodestone")
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], list]]:
+    """Jobs in the block carry the tag; calling what the block is given, from any thread, cancels them."""
+    spark.addTag(tag)
+    try:
+        yield lambda: spark.interruptTag(tag)
+    finally:
+        spark.removeTag(tag)
+
+
 def prepared(chunks: DataFrame, embedder: EmbeddingProvider, context: ContextProvider | None, config: Config, now: int) -> DataFrame:
     """New chunks as rows of the table: enriched if wanted, embedded by the enriched text or else the
     content; those whose embedding fails are dropped."""
@@ -41,4 +57,21 @@ def index_files(store: Store, files: DataFrame, embedder: EmbeddingProvider, con
     new = chunk_files(files, config.chunk_size, config.chunk_overlap)
     fresh = prepared(lookup.to_process(old.select("id", "content_hash"), new), embedder, context, config, now)
     same = old.join(new.select(F.col("id").alias("n_id"), F.col("content_hash").alias("n_hash")), (F.col("id") == F.col("n_id")) & (F.col("content_hash") == F.col("n_hash")), "left_semi")
-    return store.commit(lookup.delete_files(old, gone).unionByName(same).unionByName(fresh))
+    began = time.perf_counter()
+    version = store.commit(lookup.delete_files(old, gone).unionByName(same).unionByName(fresh))
+    log.info("indexed to %s in %.1f s", version, time.perf_counter() - began)
+    return version
+
+
+def index_if_empty(store: Store, files: Callable[[], DataFrame], embedder: EmbeddingProvider, config: Config = Config(), context: ContextProvider | None = None) -> bool:
+    """Indexes at first use: only if the store has no chunk, and only then are the files listed."""
+    if not store.chunks().isEmpty():
+        return False
+    index_files(store, files(), embedder, config, context)
+    return True
+
+
+def reindex(store: Store, files: DataFrame, embedder: EmbeddingProvider, config: Config = Config(), context: ContextProvider | None = None) -> str:
+    """Drops everything and indexes anew."""
+    store.clear()
+    return index_files(store, files, embedder, config, context)

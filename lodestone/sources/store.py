@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.vector import norm
 from ..operators import lookup
-from ..operators.fulltext import postings
+from ..operators.fulltext import corpus, postings
 from ..schema import CHUNK
 
 
@@ -55,6 +55,11 @@ class Store:
         v = self.version()
         return self.spark.read.parquet(f"{self.root}/{v}/postings") if v else postings(self.chunks(), stemmed=self.stemmed)
 
+    def corpus(self) -> DataFrame:
+        """The index's figures, one row."""
+        v = self.version()
+        return self.spark.read.parquet(f"{self.root}/{v}/corpus") if v else corpus(self.index())
+
     def commit(self, chunks: DataFrame) -> str:
         """Writes the table and its postings as a new version and makes it the current one."""
         known = chunks.columns
@@ -64,9 +69,11 @@ class Store:
         rows = rows.withColumn("content_hash", F.coalesce(F.nullif("content_hash", F.lit("")), F.col("id"))).withColumn("norm", norm(F.col("embedding")))
         last = self.versions()
         v = f"v{(int(last[-1][1:9]) if last else 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
-        rows.repartitionByRange("file_path", "id").sortWithinPartitions("file_path", "start_line").write.parquet(f"{self.root}/{v}/chunks")
+        # By hash, as a range would be sampled first and so embed everything twice.
+        rows.repartition("file_path").sortWithinPartitions("file_path", "start_line").write.parquet(f"{self.root}/{v}/chunks")
         kept = self.spark.read.parquet(f"{self.root}/{v}/chunks")
         postings(kept, stemmed=self.stemmed).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{self.root}/{v}/postings")
+        corpus(self.spark.read.parquet(f"{self.root}/{v}/postings")).write.parquet(f"{self.root}/{v}/corpus")
         fs, done = self._fs(f"{self.root}/{v}/{_DONE}")
         fs.create(done, False).close()
         self.vacuum()
@@ -88,6 +95,10 @@ class Store:
     def delete_files(self, files: DataFrame) -> str:
         return self.commit(lookup.delete_files(self.chunks(), files))
 
+    def rebuild(self) -> str:
+        """The same chunks with postings made anew, for a version whose postings were lost."""
+        return self.commit(self.chunks().select(*CHUNK.fieldNames()))
+
     def clear(self) -> str:
         return self.commit(self.chunks().limit(0))
 

@@ -4,8 +4,11 @@ from urllib.error import HTTPError
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.plans.ingest import index_files
+from lodestone.functions.sql import register
+from lodestone.operators.display import or_message
+from lodestone.plans.ingest import cancellable, index_files, index_if_empty, reindex
 from lodestone.schema import EVENT, Config
+from lodestone.sources.flat import from_flat, to_flat
 from lodestone.sources.files import indexable, listed, open_tabs, read_files, with_language
 from lodestone.sources.providers import HashingEmbedder, embedding_of, ping, retrying
 from lodestone.sources.store import Store
@@ -161,3 +164,45 @@ def test_answer_shapes(answer):
 def test_ping():
     assert ping(EMBED) and ping(Context())
     assert len(EMBED.embed("")) == 16 and EMBED.embed("a b") == EMBED.embed("a b")
+
+
+def test_first_use_and_reindex(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    some = lambda: files(spark, a__py=PY)
+    assert index_if_empty(store, some, EMBED) and not index_if_empty(store, some, EMBED)
+    before = store.index().count()
+    store.rebuild()
+    assert store.index().count() == before
+    reindex(store, files(spark, b__py="x = 1\n"), EMBED)
+    assert [r.file_path for r in store.chunks().collect()] == ["b.py"]
+
+
+def test_flat_round_trip(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    index_files(store, files(spark, a__py=PY), EMBED, Config(enable_context=True), Context(), now=1)
+    chunks = store.chunks().drop("norm")
+    rows, vectors = to_flat(chunks)
+    assert rows.schema["related_concepts"].dataType.typeName() == "string"
+    back = from_flat(rows.drop("content_hash"), vectors)
+    assert {r.id: r.content_hash for r in back.collect()} == {r.id: r.id for r in chunks.collect()}
+    same = from_flat(rows, vectors)
+    assert sorted(map(str, same.collect())) == sorted(map(str, chunks.collect()))
+    assert from_flat(rows, vectors.withColumn("embedding", F.lit(bytearray(b"abc")))).count() == 0
+
+
+def test_sql_functions(spark):
+    register(spark)
+    got = spark.sql("select s.start_line, s.end_line, s.function_name from values ('def a():\\n  pass\\n') t(c), lateral chunk_file(c, 'python', 500) s").collect()
+    assert [tuple(r) for r in got] == [(0, 2, "a")]
+    assert spark.sql("select stems(array('running', 'flies'))").first()[0] == ["run", "fli"]
+
+
+def test_cancellable(spark):
+    with cancellable(spark, "one") as cancel:
+        assert "one" in spark.getTags() and cancel() == []
+    assert "one" not in spark.getTags()
+
+
+def test_message_rows(spark):
+    rows = spark.createDataFrame([], "label string, detail string")
+    assert [tuple(r) for r in or_message(rows, "nothing").collect()] == [("nothing", "")]
