@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .common import SQL_LOWER, narrow, table, written
 
 WINDOW = 13
-#: Bytes of benchmark text that one automaton is built from; more text is scanned for in blocks.
-AUTOMATON_BYTES = 16_000_000
+#: Bytes of benchmark text that one automaton is built from, for some 300 MB of memory, as each word
+#: begins a window of its own; more text is scanned for in blocks.
+AUTOMATON_BYTES = 500_000
 #: Bytes as they count for words: A-Z lower-cased, 0-9, a-z and all above ASCII kept, the rest a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -116,20 +117,22 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // automaton_bytes) or 1
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, ranges array<int>, spans array<bigint>, items array<string>"
-    parts = []
+    own = narrow(docs, "doc_id", "text")
+    if blocks > 1:  # rows are told apart by a number that outlives the scans
+        own = written(own.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text"))
+    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_words bigint, ranges array<int>, spans array<bigint>, items array<string>"
+    every = None
     for k in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
-        part = narrow(docs, "doc_id", "text").mapInArrow(_scan(lambda s=sent: s.value, sent._jbroadcast.id(), window), schema)
-        parts.append(part if blocks == 1 else written(part))
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        part = own.mapInArrow(_scan(lambda s=sent: s.value, sent._jbroadcast.id(), window), schema)
+        if blocks == 1:
+            return part
+        part = written(part)
+        every = part if every is None else every.unionByName(part)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return every.groupBy("doc_id", "n_words").agg(flat("ranges"), flat("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = every.groupBy("doc_id", "n_words").agg(flat("ranges"), flat("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.select(F.col("doc_id.doc_id").cast(kind).alias("doc_id"), "n_words", "ranges", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **options: int) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, narrow, table
+from .common import fold, narrow, table, written
 
 FOLDS = 5
 #: Labelled rows that the lexicon and the weights are learned from, at most.
@@ -265,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     a label other than 0 and 1 are left out. Without toxic and clean rows every score is 0 or so."""
     own = narrow(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(fold("doc_id", FOLDS) != 0)
     sample = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = narrow(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    texts = written(narrow(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label"))  # one scan of docs
     counts = texts.mapInArrow(_term_counts, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     least = max(2, int(log(1000) / -log(max(1e-6, sizes.get(1, 0) / max(1, sum(sizes.values()))))) if sizes.get(1) and sizes.get(0) else 2)

@@ -214,13 +214,13 @@ def hits_brute(text, items):
     return len(ws), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)
 
 
-@pytest.mark.parametrize("size", [16_000_000, 200])
+@pytest.mark.parametrize("size", [D.AUTOMATON_BYTES, 200])
 def test_decontamination(spark, size):
     rng = random.Random(6)
     items = [(1, prose(rng, 30)), (2, "Short, item!"), (10, prose(rng, 13)), (3, ""), (4, None), (5, "Short item")]
     marked = lambda t: t.replace(" ", ", ").title()
     texts = [None, "", marked(items[0][1]), prose(rng, 200) + "\n" + items[2][1] + " " + prose(rng, 50), "a short-item b", "short", prose(rng, 300) + " short item", items[0][1][5:], items[0][1] + items[2][1], "é " * 50]
-    rows = list(enumerate(texts)) + [(None, "short item")]
+    rows = list(enumerate(texts)) + [(None, "short item"), (5, "short")]
     bench = clashing(spark, items, "doc_id long, text string").withColumnRenamed("doc_id", "item_id")
     got = D.decontaminate(clashing(spark, rows), bench, automaton_bytes=size)
     assert rows_of(got) == sorted(((i, *hits_brute(t, items)) for i, t in rows), key=repr)
@@ -259,6 +259,7 @@ PAGES = [
     ("", ""),
     (None, ""),
     ("no tags\n at  all", "no tags at all"),
+    ("<p>x" + "<a " * 20_000, "x" + ("<a " * 20_000).strip()),
 ]
 
 
