@@ -23,10 +23,16 @@ def postings(chunks: DataFrame, columns: Sequence[str] = COLUMNS, stemmed: bool
     words = [stems(tokens(F.col(c))) if stemmed else tokens(F.col(c)) for c in columns]
     rows = chunks.select(F.col("id").alias("chunk_id"), F.array(*words).alias("all"))
     dl = F.aggregate("all", F.lit(0).cast("bigint"), lambda s, w: s + F.size(w))
-    rows = rows.select("chunk_id", dl.alias("dl"), F.posexplode("all").alias("col_no", "words"))
+    rows = rows.select("chunk_id", dl.alias("dl"), F.posexplode_outer("all").alias("col_no", "words"))  # outer: else a filter would tokenize again
     return rows.select("chunk_id", "dl", "col_no", F.posexplode("words").alias("pos", "term"))
 
 
+def corpus_of(chunks: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """The same as corpus of the postings, straight from the texts."""
+    dl = sum((F.size(tokens(F.col(c))).cast("bigint") for c in columns), F.lit(0).cast("bigint"))
+    return chunks.select(dl.alias("dl")).agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n"), F.sum("dl").alias("tokens"))
+
+
 def corpus(index: DataFrame) -> DataFrame:
     """One row: n, the chunks that have tokens, and tokens. To persist beside the index: without it a
     query has to read all of the index for these two numbers."""
@@ -61,7 +67,8 @@ def bm25(index: DataFrame, phrases: Sequence[Phrase] | None, known: DataFrame |
         return index.sparkSession.createDataFrame([], f"chunk_id {kind}, rank double")
     hits = phrase_hits(index, phrases)
     figures = (corpus(index) if known is None else known).select(F.col("n").cast("double").alias("n"), F.col("tokens").cast("double").alias("tokens"))
-    n, frequency = F.col("n"), hits.groupBy("phrase_no").agg(F.count("*").cast("double").alias("df"))
+    n, frequency = F.col("n"), hits.groupBy("phrase_no").agg(F.count(F.when((F.col("tf") > 0) & (F.col("dl") > 0), 1)).cast("double").alias("df"))
+    # The frequencies read all columns of the hits, as the scores do, so that one shuffle serves both.
     # One row of corpus figures and at most a row for each phrase: bounded by the query.
     idf = frequency.join(F.broadcast(figures)).select(F.col("phrase_no").alias("of"), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"), (F.col("tokens") / n).alias("avgdl"))
     idf = idf.select("of", F.when(F.col("raw") <= 0, F.lit(LEAST_IDF)).otherwise(F.col("raw")).alias("idf"), "avgdl")

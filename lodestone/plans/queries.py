@@ -102,7 +102,8 @@ def chunk_embedding_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str, text: str, stemmed: bool = False) -> DataFrame:
-    return fulltext.keyword_search(text_index(spark, d, stemmed), parse_query(text, stemmed), 20).select(F.col("chunk_id").alias("id"), rounded("rank"))
+    known = fulltext.corpus_of(whole(spark, d), ["content"])
+    return fulltext.keyword_search(text_index(spark, d, stemmed), parse_query(text, stemmed), 20, known).select(F.col("chunk_id").alias("id"), rounded("rank"))
 
 
 @query
@@ -138,7 +139,7 @@ def postings_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyword_normalised(spark: SparkSession, d: str) -> DataFrame:
-    hits = fulltext.keyword_search(text_index(spark, d), parse_query(KEYWORDS, False), 20)
+    hits = fulltext.keyword_search(text_index(spark, d), parse_query(KEYWORDS, False), 20, fulltext.corpus_of(whole(spark, d), ["content"]))
     return fusion.from_best(hits).select(F.col("chunk_id").alias("id"), rounded("similarity"))
 
 
@@ -162,7 +163,7 @@ def _searcher(spark: SparkSession, d: str, mode: str = "hybrid") -> Searcher:
     chunks = whole(spark, d).join(e, F.col("id") == F.col("vec_id"), "left").drop("vec_id")
     index = fulltext.postings(whole(spark, d), stemmed=False)
     q = vector(spark, d)
-    return Searcher(chunks, index, lambda _: q, Config(search_mode=mode), stemmed=False)
+    return Searcher(chunks, index, lambda _: q, Config(search_mode=mode), stemmed=False, corpus=fulltext.corpus_of(whole(spark, d)))
 
 
 def _flat(results: DataFrame) -> DataFrame:
