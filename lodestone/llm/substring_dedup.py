@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import pickle
-import tempfile
-import zlib
 from collections.abc import Iterable, Iterator
-from contextlib import ExitStack, suppress
 from itertools import compress
 from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +24,9 @@ ANCHOR = 5
 SHARD_BYTES = 8_000_000
 #: Phrases that one automaton is compiled from.
 PHRASES = 12_000
-#: Files that the phrases of an anchor with more are dealt to, and words beside the anchor that tell
-#: them apart. Of the WINDOW - ANCHOR other words of a window so many stand on one side at least.
-DEALT, BESIDE = 64, (WINDOW - ANCHOR) // 2
+#: Places of an anchor in all documents from which it is hot: then its windows are dealt apart, each by
+#: its own words, so that no group is larger than this or than a row for each shard.
+HOT = 12_000
 #: Bytes of text that are hashed at once.
 _CHUNK = 1 << 20
 
@@ -104,9 +101,9 @@ class Words:
         at, owner, anchors = self.owners()
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
         low, high, place = at[cuts], at[np.append(cuts[1:], len(at))[: len(cuts)] - 1], owner[cuts]
-        return anchors[place].view(np.int64), place, low, high, self._names(low, high + WINDOW)
+        return anchors[place].view(np.int64), place, low, high, self.named(low, high + WINDOW)
 
-    def _names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def named(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Two hashes of the words from start to end, excluded."""
         out, n = [], len(self.hash)
         for base in (_BASE, _BASE ^ 0x5DEECE66C):
@@ -117,7 +114,7 @@ class Words:
 
     def names(self) -> list[list[int]]:
         """The same of all words of each text."""
-        return self._names(self.first, np.append(self.first[1:], len(self.hash))).tolist()
+        return self.named(self.first, np.append(self.first[1:], len(self.hash))).tolist()
 
 
 def _chunks(t: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -141,8 +138,8 @@ def _ids(t: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _questions(t: pa.Table) -> pa.Table:
-    """A shard (shard, doc_id, text) to its anchors: h, the smallest document with it, and whether
-    several have it."""
+    """A shard (shard, doc_id, text) to its anchors: h, the smallest document with it, whether several
+    have it, and its number of places."""
     hs, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for rows, texts in _chunks(t):
         ids, valid = _ids(t, rows)
@@ -155,72 +152,77 @@ def _questions(t: pa.Table) -> pa.Table:
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
     new = np.flatnonzero(np.diff(h, prepend=h[:1] - 1)) if len(h) else np.empty(0, np.int64)
-    last = np.append(new[1:], len(h))[: len(new)] - 1
-    return pa.table({"h": h[new], "doc": doc[new], "several": doc[new] != doc[last]})
+    end = np.append(new[1:], len(h))[: len(new)]
+    return pa.table({"h": h[new], "doc": doc[new], "several": doc[new] != doc[end - 1], "places": end - new})
 
 
 def _phrases(t: pa.Table, known: pa.Table) -> pa.Table:
-    """A shard and its recurring anchors (h) to its distinct phrases around them: h, anchor (its place
-    in the phrase), phrase, shard, first, last."""
+    """A shard and its recurring anchors (h, hot) to its distinct phrases around them: key, hot,
+    phrase, shard, first, last. The key is the anchor; the phrases of a hot one are its single
+    windows, and their keys hashes of their words."""
     recurring = known.column("h").to_numpy()
-    found: dict[bytes, list[int]] = {}
+    hot = np.unique(known.filter(known.column("hot")).column("h").to_numpy())
+    found: dict[bytes, list] = {}
     for rows, texts in _chunks(t) if len(recurring) else ():
         ids, valid = _ids(t, rows)
         words = Words(texts)
         h, place, low, high, _ = words.phrases()
-        keep = np.flatnonzero(np.isin(h, recurring) & valid[words.doc[place]])
+        is_hot = np.isin(h, hot)
+        keep = np.isin(h, recurring) & valid[words.doc[place]]
         spelled = b"\n".join(texts).split()
-        for k, lo, hi, p, d in zip(*(x[keep].tolist() for x in (h, low, high, place, ids[words.doc[place]])), strict=True):
-            line = b" ".join(spelled[lo : hi + WINDOW])
+        plain, apart = np.flatnonzero(keep & ~is_hot), np.flatnonzero(keep & is_hot)
+        many = high[apart] - low[apart] + 1
+        single = np.repeat(low[apart], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.concatenate((low[plain], single))
+        ends = np.concatenate((high[plain], single)) + WINDOW
+        keys = np.concatenate((h[plain], words.named(single, single + WINDOW)[0]))
+        for k, lo, hi, d, x in zip(keys.tolist(), starts.tolist(), ends.tolist(), ids[words.doc[starts]].tolist(), (np.arange(len(starts)) >= len(plain)).tolist(), strict=True):
+            line = b" ".join(spelled[lo:hi])
             was = found.get(line)
             if was is None:
-                found[line] = [k, p - lo, d, d]
+                found[line] = [k, x, d, d]
             else:
                 was[2], was[3] = min(d, was[2]), max(d, was[3])
     cols = list(zip(*found.values(), strict=True)) or [()] * 4
     shard = t.column("shard")[0].as_py() if len(t) else None
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(list(found), pa.binary()), pa.array([shard] * len(found), pa.int64()), *(pa.array(cols[i], pa.int64()) for i in (2, 3))], ["h", "anchor", "phrase", "shard", "first", "last"])
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(list(found), pa.binary()), pa.array([shard] * len(found), pa.int64()), *(pa.array(cols[i], pa.int64()) for i in (2, 3))], ["key", "hot", "phrase", "shard", "first", "last"])
 
 
-Phrase = tuple[int, bytes, int, int]  # place of the anchor, words, first and last document
+Phrase = tuple[bytes, int, int]  # words, first and last document
 Cover = tuple[list[int], list[int]]  # offsets of windows that recur, and the first document of each
 
 
-def covers(runs: Iterable[Iterable[Phrase]], side: int = 0) -> dict[bytes, Cover]:
-    """The windows that stand in two documents or more, of phrases in runs by anchor.
+def covers(runs: Iterable[Iterable[Phrase]]) -> dict[bytes, Cover]:
+    """The windows that stand in two documents or more, of phrases in runs by key.
 
-    Confirms them word by word, within a run, as windows of one wording own the same anchor. What
-    is confirmed, in stretches of neighbouring windows with the same first document, is compiled
-    into an automaton over word numbers, which then reads every phrase. With side 1 only windows
-    that begin BESIDE words or more before their anchor count, with side 2 only the others."""
+    Confirms them word by word, within a run, as windows of one wording have the same key. What is
+    confirmed, in stretches of neighbouring windows with the same first document, is compiled into
+    an automaton over word numbers, which then reads every phrase."""
     numbers: dict[bytes, int] = {}
     read: list[tuple[bytes, tuple[int, ...]]] = []
     auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for run in runs:
         lines = []
-        for anchor, phrase, first, last in run:
+        for phrase, first, last in run:
             line = tuple([numbers.setdefault(w, len(numbers) + 1) for w in phrase.split()])
-            low, high = 0, len(line) - WINDOW + 1
-            if side:
-                low, high = (0, min(high, anchor - BESIDE + 1)) if side == 1 else (max(0, anchor - BESIDE + 1), high)
-            lines.append((line, low, high, first, last))
+            lines.append((line, first, last))
             read.append((phrase, line))
         if len(lines) == 1:
-            line, low, high, first, last = lines[0]
-            if first < last and low < high:
-                auto.add_word(line[low : high + WINDOW - 1], (high - low, first))
+            line, first, last = lines[0]
+            if first < last:
+                auto.add_word(line, (len(line) - WINDOW + 1, first))
             continue
         seen: dict[tuple[int, ...], tuple[int, int]] = {}
-        for line, low, high, first, last in lines:
-            for o in range(low, high):
+        for line, first, last in lines:
+            for o in range(len(line) - WINDOW + 1):
                 w = line[o : o + WINDOW]
                 known = seen.get(w)
                 seen[w] = (first, last) if known is None else (min(first, known[0]), max(last, known[1]))
-        for line, low, high, _, _ in lines:
-            begin, now = low, None
-            for o in range(low, high + 1):
-                first, last = seen[line[o : o + WINDOW]] if o < high else (None, None)
-                first = first if o < high and first < last else None
+        for line, _, _ in lines:
+            begin, now, n = 0, None, len(line) - WINDOW + 1
+            for o in range(n + 1):
+                first, last = seen[line[o : o + WINDOW]] if o < n else (None, None)
+                first = first if o < n and first < last else None
                 if first != now:
                     if now is not None:
                         auto.add_word(line[begin : o + WINDOW - 1], (o - begin, now))
@@ -238,70 +240,47 @@ def covers(runs: Iterable[Iterable[Phrase]], side: int = 0) -> dict[bytes, Cover
     return out
 
 
-def dealt(phrases: Iterable[Phrase]) -> Iterator[tuple[bytes, Cover]]:
-    """covers of one anchor's phrases, however many: they are dealt to files by the words on one side
-    of the anchor, which phrases with a window in common share, and each file is read by itself."""
-    with tempfile.TemporaryDirectory() as folder, ExitStack() as stack:
-        files = [[stack.enter_context(open(f"{folder}/{side}-{k}", "w+b")) for k in range(DEALT)] for side in (1, 2)]
-        for p in phrases:
-            words = p[1].split()
-            for side, beside in ((1, words[max(0, p[0] - BESIDE) : p[0]]), (2, words[p[0] + ANCHOR :][:BESIDE])):
-                if len(beside) == BESIDE:
-                    pickle.dump(p, files[side - 1][zlib.crc32(b" ".join(beside)) % DEALT])
-        for side in (1, 2):
-            for f in files[side - 1]:
-                f.seek(0)
-                own = []
-                with suppress(EOFError):
-                    while True:
-                        own.append(pickle.load(f))
-                yield from covers([own], side).items()
-
-
 class _Asked(NamedTuple):
-    anchor: int
+    hot: bool
     first: int
     last: int
     shards: list[tuple[int, int]]  # and the last document in each
 
 
 def _answers(runs: list[dict[bytes, _Asked]]) -> pa.RecordBatch:
-    plain = ([(x.anchor, p, x.first, x.last) for p, x in run.items()] for run in runs)
-    found = dealt(next(plain)) if len(runs[0]) > PHRASES else covers(plain).items()
     asked = {p: x for run in runs for p, x in run.items()}
-    rows = [(p, shard, *c) for p, c in found for shard, last in asked[p].shards if min(c[1]) < last]
+    found = covers([(p, x.first, x.last) for p, x in run.items()] for run in runs)
+    rows = [(p, shard, *c) for p, c in found.items() for shard, last in asked[p].shards if min(c[1]) < last]
     names: dict[bytes, tuple[int, int]] = {}
     wanted = list(dict.fromkeys(x[0] for x in rows))
     for i in range(0, len(wanted), 8192):
         names.update(zip(wanted[i : i + 8192], zip(*Words(wanted[i : i + 8192]).names(), strict=True), strict=True))
-    cols = [[x[1] for x in rows], [names[x[0]][0] for x in rows], [names[x[0]][1] for x in rows], [x[2] for x in rows], [x[3] for x in rows]]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "a", "b", "offsets", "firsts"])
+    cols = [[x[1] for x in rows], [asked[x[0]].hot for x in rows], [names[x[0]][0] for x in rows], [names[x[0]][1] for x in rows], [x[2] for x in rows], [x[3] for x in rows]]
+    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "hot", "a", "b", "offsets", "firsts"])
 
 
 def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct phrases of a shard of anchors, sorted by h, to the covers of each, for each shard
-    of documents that has it and a document behind the first: shard, a, b, offsets, firsts."""
+    """The distinct phrases of a shard of keys, sorted by key, to the covers of each, for each shard of
+    documents that has it and a document behind the first: shard, hot, a, b, offsets, firsts."""
     runs: list[dict[bytes, _Asked]] = []
     run: dict[bytes, _Asked] = {}
     size, now = 0, None
     for batch in _then_none(batches):
-        for h, anchor, phrase, shard, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None,) * 6]:
-            if h != now:
-                # An anchor with one phrase of one document has no window that recurs.
-                if len(run) > PHRASES:
-                    yield _answers([run])
-                elif len(run) > 1 or any(x.first < x.last for x in run.values()):
+        for key, hot, phrase, shard, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None,) * 6]:
+            if key != now:
+                # A key with one phrase of one document has no window that recurs.
+                if len(run) > 1 or any(x.first < x.last for x in run.values()):
                     runs.append(run)
                     size += len(run)
-                if runs and (size >= PHRASES or h is None):
+                if runs and (size >= PHRASES or key is None):
                     yield _answers(runs)
                     runs, size = [], 0
-                now, run = h, {}
-            if h is not None:
+                now, run = key, {}
+            if key is not None:
                 was = run.get(phrase)
                 if was is None:
-                    run[phrase] = _Asked(anchor, first, last, [(shard, last)])
+                    run[phrase] = _Asked(hot, first, last, [(shard, last)])
                 else:
                     was.shards.append((shard, last))
                     run[phrase] = was._replace(first=min(first, was.first), last=max(last, was.last))
@@ -312,34 +291,47 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
+class _Covers:
+    """Covers of phrases or of single windows, looked up by the phrases' hashes."""
+
+    def __init__(self, found: pa.Table) -> None:
+        found = found.take(pa.array(np.lexsort((found.column("b").to_numpy(), found.column("a").to_numpy())))).combine_chunks()
+        self.a, self.b = found.column("a").to_numpy(), found.column("b").to_numpy()
+        flat = [found.column(c).combine_chunks() for c in ("offsets", "firsts")]
+        self.many = flat[0].value_lengths().to_numpy().astype(np.int64)
+        self.begin = np.cumsum(self.many) - self.many
+        self.offsets, self.firsts = (c.flatten().to_numpy().astype(np.int64) for c in flat)
+
+    def starts(self, names: np.ndarray, begin: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Of phrases that begin at words of documents, the beginnings of the windows that go."""
+        k = np.minimum(np.searchsorted(self.a, names[0]), len(self.a) - 1)
+        hit = np.flatnonzero((self.a[k] == names[0]) & (self.b[k] == names[1]))
+        k = k[hit]
+        many = self.many[k]
+        at = np.repeat(self.begin[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start = np.repeat(begin[hit], many) + self.offsets[at]
+        return start[self.firsts[at] < np.repeat(doc[hit], many)]
+
+
 def _stripped(t: pa.Table, found: pa.Table, texts: bool) -> pa.Table:
     """A shard without the words that its covers take."""
     ids, n, removed, sha, kept_texts = [], [], [], [], []
-    order = np.lexsort((found.column("b").to_numpy(), found.column("a").to_numpy()))
-    found = found.take(pa.array(order)).combine_chunks() if len(found) else found
-    a, b = found.column("a").to_numpy(), found.column("b").to_numpy()
-    if len(found):
-        offsets, firsts = (found.column(c).combine_chunks() for c in ("offsets", "firsts"))
-        sizes = offsets.value_lengths().to_numpy().astype(np.int64)
-        begins = np.cumsum(sizes) - sizes
-        offsets, firsts = offsets.flatten().to_numpy().astype(np.int64), firsts.flatten().to_numpy()
+    by_phrase, by_window = (_Covers(c) if len(c) else None for c in (found.filter(pc.invert(found.column("hot"))), found.filter(found.column("hot"))))
     for rows, raw in _chunks(t):
         doc_ids, valid = _ids(t, rows)
         words = Words(raw)
         gone = np.zeros(len(words.hash) + 1, np.int64)
-        if len(found):
+        least = np.where(valid, doc_ids, np.iinfo(np.int64).min)  # no document is before one without an id
+        starts = []
+        if by_phrase:
             _, place, low, _, names = words.phrases()
-            k = np.searchsorted(a, names[0])
-            hit = np.flatnonzero((k < len(a)) & (a[np.minimum(k, len(a) - 1)] == names[0]) & valid[words.doc[place]])
-            k = k[hit]
-            same = b[k] == names[1][hit]
-            hit, k = hit[same], k[same]
-            many = sizes[k]
-            at = np.repeat(begins[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            start = np.repeat(low[hit], many) + offsets[at]
-            start = start[firsts[at] < np.repeat(doc_ids[words.doc[place[hit]]], many)]
-            np.add.at(gone, start, 1)
-            np.add.at(gone, start + WINDOW, -1)
+            starts.append(by_phrase.starts(names, low, least[words.doc[place]]))
+        if by_window:
+            at = words.owners()[0]
+            starts.append(by_window.starts(words.named(at, at + WINDOW), at, least[words.doc[at]]))
+        for x in starts:
+            np.add.at(gone, x, 1)
+            np.add.at(gone, x + WINDOW, -1)
         out = np.cumsum(gone[:-1]) > 0
         spelled = b"\n".join(raw).split()
         ends = np.append(words.first[1:], len(spelled)).tolist()
@@ -368,8 +360,9 @@ def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     by anchor: there the recurring windows are confirmed by their words, compiled into Aho-Corasick
     automata of bounded size and located in every phrase; a phrase holds every occurrence of its
     windows, so all documents are read. Last each shard learns the covers of its phrases and strips
-    its texts. Whatever is shuffled beside the texts is at most a row for each shard, so an anchor or
-    a phrase that a third of the documents hold makes no task larger.
+    its texts. An anchor with HOT places or more gives its single windows instead, dealt by their
+    words. So whatever is shuffled beside the texts has at most HOT rows, or a row for each shard, of
+    one key, also if a third of the documents hold one line or passage.
 
     Null and empty texts have no words. A row with a null doc_id neither loses words nor makes others
     lose any. Rows that repeat a doc_id are one document: they don't make each other lose words,
@@ -380,11 +373,11 @@ def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     shards = F.lit(1 + size // SHARD_BYTES)
     shard = lambda c: F.pmod(F.xxhash64(c), shards).alias("shard")
     dealt_out = own.select(shard("doc_id"), "doc_id", "text").groupBy("shard")
-    asked = dealt_out.applyInArrow(_questions, "h bigint, doc bigint, several boolean")
+    asked = dealt_out.applyInArrow(_questions, "h bigint, doc bigint, several boolean, places bigint")
     same = Window.partitionBy("h")  # at most a row for each shard
-    known = asked.select(F.col("doc").cast(kind).alias("doc"), "h", (F.count("*").over(same) > 1).alias("others"), F.max("several").over(same).alias("several")).where("others or several").select(shard("doc"), "h")
-    phrases = dealt_out.cogroup(known.groupBy("shard")).applyInArrow(_phrases, "h bigint, anchor int, phrase binary, shard bigint, first bigint, last bigint")
-    found = phrases.repartition("h").sortWithinPartitions("h").mapInArrow(_automata, "shard bigint, a bigint, b bigint, offsets array<int>, firsts array<bigint>")
+    known = asked.select(F.col("doc").cast(kind).alias("doc"), "h", (F.count("*").over(same) > 1).alias("others"), F.max("several").over(same).alias("several"), (F.sum("places").over(same) >= HOT).alias("hot")).where("others or several").select(shard("doc"), "h", "hot")
+    phrases = dealt_out.cogroup(known.groupBy("shard")).applyInArrow(_phrases, "key bigint, hot boolean, phrase binary, shard bigint, first bigint, last bigint")
+    found = phrases.repartition("key").sortWithinPartitions("key").mapInArrow(_automata, "shard bigint, hot boolean, a bigint, b bigint, offsets array<int>, firsts array<bigint>")
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
 
     def strip(t: pa.Table, covers: pa.Table) -> pa.Table:

@@ -164,23 +164,15 @@ def test_substring_random(spark):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
-def test_many_phrases_of_one_anchor():
-    """Phrases dealt to files give the covers that phrases read together do."""
-    rng = random.Random(1)
-    known = {}
-    for d in range(300):
-        left, right = ([rng.choice([b"x", b"y"]) for _ in range(8)] for _ in range(2))
-        i = rng.randrange(9)
-        j = rng.randrange(i, 9)
-        line = b" ".join((left + [b"A", b"B", b"C", b"D", b"E"] + right)[i : j + 13])
-        a, p, f, z = known.get(line, (8 - i, line, d, d))
-        known[line] = (a, p, min(f, d), max(z, d))
-    runs = list(known.values())
-    together = {p: dict(zip(*c, strict=True)) for p, c in S.covers([runs]).items()}
-    apart = defaultdict(dict)
-    for p, c in S.dealt(runs):
-        apart[p].update(zip(*c, strict=True))
-    assert together == dict(apart) and together
+def test_hot_anchors(spark, monkeypatch):
+    """Anchors dealt by their windows give what phrases give; a common line in other words too."""
+    rng = random.Random(6)
+    line = prose(rng, 9)
+    rows = awkward() + [(1000 + k, prose(rng, 14) + " " + line + " " + prose(rng, rng.choice([2, 14]))) for k in range(40)]
+    rows += [(2000 + k, t) for k, (_, t) in enumerate(rows[-12:])]
+    for hot in (1, 8, 30):
+        monkeypatch.setattr(S, "HOT", hot)
+        assert rows_of(substring_dedup(clashing(spark, rows))) == substring_brute(rows)
 
 
 def test_word_hashes_depend_on_words_only():
