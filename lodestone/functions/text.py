@@ -14,7 +14,8 @@ from .stem import stem
 
 #: A token: ASCII letters and digits, and all above ASCII. A-Z are folded, nothing else.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-EITHER_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same in either case, for the JVM, which is faster at what a class holds than at what it doesn't.
+EITHER_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: A character of a query's word: the same in either case, and the underscore.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
