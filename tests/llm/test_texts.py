@@ -263,6 +263,20 @@ PAGES = [
 ]
 
 
+SPANS = [
+    ("<table><tr><td colspan=3>Home</td></tr></table>", "Home"),
+    ("<table><tr><td colspan=2>OK</table>", "OK"),
+    ("<table><tr><td colspan=100>" + "x" * 198 + "</table>", "x" * 198),
+    ("<table><tr><td colspan=2>a<td colspan=2>b<tr><td colspan=4>c</table>", "a  b\nc"),
+    ("<table><tr><td>abc<td><td>x<tr><td colspan=2>abcde<td>y</table>", "abc     x\nabcde   y"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SPANS)
+def test_spanning_cells_without_single_ones(html, text):
+    assert extract(html)[1] == text
+
+
 @pytest.mark.parametrize(("html", "text"), PAGES)
 def test_rendering(html, text):
     assert extract(html)[1] == text
