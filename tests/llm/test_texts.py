@@ -277,6 +277,39 @@ def test_spanning_cells_without_single_ones(html, text):
     assert extract(html)[1] == text
 
 
+STYLES = [
+    ("@media print { .x { display:none } }", "class=x", True),
+    ("@media (max-width:600px) { .x { display:none } }", "class=x", True),
+    ("@media screen and (min-width: 600px) { .x { display:none } }", "class=x", False),
+    ("@media not print { .x { display:none } }", "class=x", False),
+    ("@media (400px <= width < 700px), (width > 100em) { .x { display:none } }", "class=x", True),
+    ("@media print { @media screen { .x { display:none } } } @font-face { src: url(a;b) }", "class=x", True),
+    ("@media screen { .x { display:none } } .y { display:none }", "class=x", False),
+    (".x{display:none} .x{display:block}", "class=x", True),
+    (".x{display:block} .x{display:none}", "class=x", False),
+    ("#i{display:block} .x{display:none}", "class=x id=i", True),
+    (".x{display:none!important} .x{display:block}", "class=x", False),
+    (".x{display:none} @media screen { .x{display:block} }", "class=x", True),
+    (".x{display:none}", "class=x style='display:block'", True),
+    (".x{display:none} .open > .x, .a{display:block}", "class=x", True),
+    (".x{visibility:hidden} p.x{visibility:visible}", "class=x", True),
+    ("@keyframes k { from { visibility:hidden } } .y{content:'}'} .x{display:none}", "class=x", False),
+    (".x{display:block} [hidden]{display:none!important}", "class=x hidden", False),
+    (".x{color:red", "class=x", True),
+    ("/* .x{display:none} */ @layer a { .x{display:none} } .x { display:block }", "class=x", True),
+]
+
+
+@pytest.mark.parametrize(("css", "attributes", "shown"), STYLES)
+def test_styles(css, attributes, shown):
+    assert extract(f"<style>{css}</style><div class=open><p {attributes}>a</p></div>b")[1].split() == (["a", "b"] if shown else ["b"])
+
+
+def test_media_of_style_elements():
+    assert extract("<style media=print>p{display:none}</style><p>a")[1] == "a"
+    assert extract("<style media='screen, print'>p{display:none}</style><p>a")[1] == ""
+
+
 @pytest.mark.parametrize(("html", "text"), PAGES)
 def test_rendering(html, text):
     assert extract(html)[1] == text
