@@ -310,6 +310,22 @@ def test_media_of_style_elements():
     assert extract("<style media='screen, print'>p{display:none}</style><p>a")[1] == ""
 
 
+FOREIGN = [
+    ("<p>a <svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text x=1>Jan</text><text>Feb</text></svg> b", "a Jan Feb b"),
+    ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>no</annotation></semantics></math> holds", "so x=2 holds"),
+    ("<div><svg><defs><p>after</div>end", "after\n\nend"),
+    ("<svg><defs/><title/><g><text>x</text></g></svg>y", "x y"),
+    ("<svg><text><![CDATA[a<b]]></text><foreignObject><div>in</div></foreignObject></svg>", "a<b\nin"),
+    ("<svg><a href=x/><text>l</text></a></svg><desc>d</desc>", "l d"),
+    ("<svg><style>.x{fill:red}</style><g style='display:none'><text>no</text></g></svg>t", "t"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), FOREIGN)
+def test_svg_and_math(html, text):
+    assert extract(html)[1] == text
+
+
 @pytest.mark.parametrize(("html", "text"), PAGES)
 def test_rendering(html, text):
     assert extract(html)[1] == text
