@@ -42,72 +42,109 @@ def edits(term: str) -> int:
     return 0 if len(term) < 6 else 1 if len(term) < 10 else 2
 
 
+def slips(term: str) -> int:
+    """Edits, a swap of neighbours among them, in which a misspelling of a learned term may differ."""
+    return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
+
+
+#: Letters of a learned term from which its first letter may be edited too.
+FIRST_EDITED = 5
+#: States of the automata that are kept; beyond, they are made anew.
+MAX_STATES = 60_000
+
+
 @dataclass
 class Node:
     next: dict[str, Node] = field(default_factory=dict)
     term: str | None = None
-    stem: bool = False
+    stem: str | None = None
     most: int = 0  # edits that some term below allows
+    free: bool = False  # whether some term below allows its first letter to be edited
 
 
 class Lexicon:
     """Weighted terms, some of them beginnings of words (written with a final *), as a trie, intersected with
     the Levenshtein automaton of whatever word is read.
 
-    A state is the set of (trie node, edits so far) that the read letters can have led to; states and
-    transitions are made when first met, so reading a word costs a lookup a letter, and most words
-    end in the empty state after a few. The first letter is never edited; stems allow no edits."""
+    A state is the set of (trie node, letter that a swap still owes, edits so far) that the read letters
+    can have led to; states and transitions are made when first met, so reading a word costs a lookup a
+    letter, and most words end in the empty state after a few. Stems allow no edits. Plain automata
+    allow those of edits() and none of the first letter; wide ones those of slips(), swaps, and the
+    first letter from FIRST_EDITED letters on."""
 
-    def __init__(self, terms: dict[str, float], exceptions: Iterable[str] = ()) -> None:
-        self.terms, self.exceptions = dict(sorted(terms.items())), frozenset(exceptions)
+    def __init__(self, terms: dict[str, float], exceptions: Iterable[str] = (), wide: bool = False) -> None:
+        self.terms, self.exceptions, self.wide = dict(sorted(terms.items())), frozenset(exceptions), wide
         self.root = Node()
+        self.most = slips if wide else edits
         for t in self.terms:
-            node, allowed, spelled = self.root, 0 if t.endswith("*") else edits(t), t.rstrip("*")
+            node, allowed, spelled = self.root, 0 if t.endswith("*") else self.most(t), t.rstrip("*")
+            free = wide and allowed > 0 and len(t) >= FIRST_EDITED
             for c in spelled:
-                node.most = max(node.most, allowed)
+                node.most, node.free = max(node.most, allowed), node.free or free
                 node = node.next.setdefault(c, Node())
-            node.most = max(node.most, allowed)
-            node.term, node.stem = t, t.endswith("*")
+            node.most, node.free = max(node.most, allowed), node.free or free
+            if t.endswith("*"):
+                node.stem = t
+            else:
+                node.term = t
+        self._memo: dict[str, tuple[str, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
         self._states: dict[frozenset, int] = {}
-        self._sets: list[dict[int, tuple[Node, int]]] = []
+        self._sets: list[dict[tuple, tuple[Node, str, int, bool]]] = []
         self._moves: list[dict[str, int]] = []
         self._accepts: list[tuple[str, int] | None] = []
         self._stems: list[str | None] = []
-        self._memo: dict[str, tuple[str, int] | None] = {}
-        self._state({id(self.root): (self.root, 0)})
+        found: dict[tuple, tuple[Node, str, int, bool]] = {}
+        self._put(found, self.root, "", 0, False)
+        self._state(found)
+
+    def _put(self, found: dict, node: Node, owed: str, e: int, first: bool) -> None:
+        """first: the first letter was edited, so that only terms count that allow it."""
+        if e <= node.most and (node.free or not first) and e < found.get((id(node), owed, first), (0, 0, 99))[2]:
+            found[id(node), owed, first] = (node, owed, e, first)
 
-    def _state(self, found: dict[int, tuple[Node, int]]) -> int:
+    def _state(self, found: dict) -> int:
         todo = list(found.values())
         while todo:  # letters that the word leaves out
-            node, e = todo.pop()
-            for child in node.next.values() if node is not self.root else ():
-                if e < child.most and e + 1 < found.get(id(child), (child, 99))[1]:
-                    found[id(child)] = (child, e + 1)
-                    todo.append((child, e + 1))
-        key = frozenset((i, e) for i, (_, e) in found.items())
+            node, owed, e, first = todo.pop()
+            if owed or (node is self.root and not self.wide):
+                continue
+            for child in node.next.values():
+                n = len(found)
+                at = id(child), "", first or node is self.root
+                old = found.get(at)
+                self._put(found, child, "", e + 1, at[2])
+                if len(found) > n or found.get(at) is not old:
+                    todo.append(found[at])
+        key = frozenset((*k, x[2]) for k, x in found.items())
         if key not in self._states:
             self._states[key] = len(self._sets)
             self._sets.append(found)
             self._moves.append({})
-            ends = [(e, n.term) for n, e in found.values() if n.term and not n.stem and e <= edits(n.term)]
+            ends = [(e, n.term) for n, owed, e, first in found.values() if n.term and not owed and e <= self.most(n.term) and not (first and len(n.term) < FIRST_EDITED)]
             self._accepts.append((min(ends)[1], min(ends)[0]) if ends else None)
-            self._stems.append(next((n.term for n, e in found.values() if n.stem and e == 0), None))
+            self._stems.append(next((n.stem for n, owed, e, _ in found.values() if n.stem and e == 0 and not owed), None))
         return self._states[key]
 
     def _move(self, state: int, c: str) -> int:
-        found: dict[int, tuple[Node, int]] = {}
-
-        def put(node: Node, e: int) -> None:
-            if e <= node.most and e < found.get(id(node), (node, 99))[1]:
-                found[id(node)] = (node, e)
-
-        for node, e in self._sets[state].values():
+        found: dict[tuple, tuple[Node, str, int, bool]] = {}
+        for node, owed, e, first in self._sets[state].values():
+            if owed:
+                if c == owed:
+                    self._put(found, node, "", e, first)
+                continue
             if c in node.next:
-                put(node.next[c], e)
-            if node is not self.root:
-                put(node, e + 1)
-                for child in node.next.values():
-                    put(child, e + 1)
+                self._put(found, node.next[c], "", e, first)
+            if node is self.root and not self.wide:
+                continue
+            first = first or node is self.root
+            self._put(found, node, "", e + 1, first)
+            for letter, child in node.next.items():
+                self._put(found, child, "", e + 1, first)
+                if self.wide and letter != c and c in child.next:
+                    self._put(found, child.next[c], letter, e + 1, first)
         self._moves[state][c] = out = self._state(found)
         return out
 
@@ -117,6 +154,8 @@ class Lexicon:
             return self._memo[word]
         if len(self._memo) > 300_000:
             self._memo.clear()
+        if len(self._sets) > MAX_STATES:
+            self._forget()
         read = word if word.isalpha() else word.translate(_LEET)
         state, stem = 0, None
         for c in read:
@@ -126,7 +165,7 @@ class Lexicon:
             if not self._sets[state]:
                 break
         out = self._accepts[state] if self._sets[state] else None
-        if out is None and stem:
+        if stem and (out is None or out[1]):  # nearer than a misspelling
             out = (stem, 0)
         if out and out[1] and word in self.exceptions:
             out = None
@@ -134,7 +173,7 @@ class Lexicon:
         return out
 
     def __reduce__(self) -> tuple:
-        return Lexicon, (self.terms, self.exceptions)
+        return Lexicon, (self.terms, self.exceptions, self.wide)
 
 
 def quotation(text: str, start: int, end: int, reach: int = 60) -> float:
@@ -217,7 +256,8 @@ def telling_terms(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int
 
 def choose_terms(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, vocabulary: int) -> dict[str, float]:
     """The lexicon with weights, from counts of a term's contexts: copies of a text repeat a context,
-    so they add no evidence. A stem stands for its words if no one of them is most of it."""
+    so they add no evidence. A stem stands for its words if no one of them is most of it; those that
+    tell by themselves stay beside it with its weight at least, as stems are not found misspelled."""
     counts = list(counts)
     kept = telling_terms(counts, toxic, clean, vocabulary)
     size = {term: t for term, t, _ in counts}
@@ -227,7 +267,7 @@ def choose_terms(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int,
         s = k[:-1]
         if k.endswith("*") and max((size[w] for w in words if w.startswith(s)), default=0) < 0.5 * size[k] and not any(s.startswith(o) or o.startswith(s) for o in stems):
             stems[s] = e
-    words = {w: e for w, e in words.items() if not any(w.startswith(s) for s in stems)}
+    words = {w: (e, max([weight, *(stems[s][1] for s in stems if w.startswith(s))])) for w, (e, weight) in words.items()}
     ranked = sorted([*words.items(), *((s + "*", e) for s, e in stems.items())], key=lambda x: (-x[1][0], x[0]))
     return {t: w for t, (_, w) in ranked[:MAX_TERMS]}
 
@@ -274,10 +314,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     found = telling_terms(found, sizes.get(1, 0), sizes.get(0, 0), vocabulary := counts.count())
     seen = texts.mapInArrow(_contexts(frozenset(found)), "term string, label int, before string").distinct()
     seen = [(r.term, r.toxic, r.n - r.toxic) for r in seen.groupBy("term").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()]
-    lexicon = Lexicon(choose_terms(seen, sizes.get(1, 0), sizes.get(0, 0), vocabulary))
+    lexicon = Lexicon(choose_terms(seen, sizes.get(1, 0), sizes.get(0, 0), vocabulary), wide=True)
     rows = texts.mapInArrow(_featured(lexicon), "label int, x array<double>, near array<string>").collect()
     clean, toxic = (Counter(s for r in rows if r.label == k for s in r.near) for k in (0, 1))
-    lexicon = Lexicon(lexicon.terms, (s for s, n in clean.items() if toxic[s] < 9 * n))
+    lexicon = Lexicon(lexicon.terms, (s for s, n in clean.items() if toxic[s] < 9 * n), wide=True)
+    if lexicon.exceptions:  # the weights are for what counts
+        rows = texts.mapInArrow(_featured(lexicon), "label int, x array<double>, near array<string>").collect()
     if len({r.label for r in rows}) < 2:
         return Model(lexicon, (1.0, 0.5, 0.1, 1.0), -4.0)
     x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows], float)

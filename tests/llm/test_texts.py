@@ -88,6 +88,50 @@ def test_automaton_equals_distances():
     assert lexicon.match("w0rthl3ss") == ("worthless", 0)
 
 
+def swapping(a, b):
+    """Edits with swaps of neighbours, no letter edited twice."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 1] + b[j - 2]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_wide_automaton_equals_distances():
+    terms = {"idiot": 1.0, "moron": 1.0, "worthless": 1.0, "disgusting": 1.0, "stupid": 1.0, "stupor": 1.0}
+    lexicon = T.Lexicon(terms, wide=True)
+    rng = random.Random(4)
+    for _ in range(3000):
+        w = list(rng.choice(list(terms)))
+        for _ in range(rng.randint(0, 3)):
+            k, c = rng.randrange(len(w)), rng.choice("aeistmor")
+            rng.choice([lambda: w.insert(k, c), lambda: w.__setitem__(k, c), lambda: w.pop(k), lambda: w.insert(max(0, k - 1), w.pop(k))])()
+        near = [(e, t) for t in terms if (e := swapping("".join(w), t)) <= T.slips(t)]
+        assert lexicon.match("".join(w)) == ((min(near)[1], min(near)[0]) if near else None), w
+
+
+def test_short_terms_and_words_of_stems_are_found_misspelled():
+    lexicon = T.Lexicon({"idiot": 1.0, "moron": 1.0, "trash": 1.0, "stupid": 1.0, "scum": 1.0, "lowei*": 1.0}, ["thrash"], wide=True)
+    for w, t in [("idoit", "idiot"), ("morron", "moron"), ("trassh", "trash"), ("sutpid", "stupid"), ("wstupid", "stupid"), ("tupid", "stupid"), ("scumm", "scum"), ("csum", None), ("slumm", None), ("thrash", None)]:
+        assert lexicon.match(w) == (t and (t, 1)), w
+    assert lexicon.match("loweian") == ("lowei*", 0)
+    kept = T.choose_terms([("badly*", 40, 0), ("badlyone", 14, 0), ("badlytwo", 13, 0), ("badlysix", 13, 0)], 50, 450, 100)
+    assert set(kept) == {"badly*", "badlyone", "badlytwo", "badlysix"}
+
+
+def test_toxicity_finds_misspelled_short_terms(spark):
+    rng = random.Random(13)
+    put = lambda ws: " ".join(x for w in prose(rng, 60).split() for x in ([w, rng.choice(ws)] if ws and rng.random() < 0.06 else [w])) + (" " + ws[0] if ws else "")
+    rows = [(i, put(["idiot", "moron", "scum"] if i % 5 == 0 else [])) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    extra = [(1000, put(["idoit", "morron"])), (1001, put(["didiot"])), (1002, put([]))]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in T.toxicity(docs, T.learn(docs, labels)).collect()}
+    assert (got[1000], got[1001], got[1002]) == (1, 1, 0) and all(got[i] == int(i % 5 == 0) for i in range(600))
+
+
 def test_quotation():
     said = 'He wrote "you are worthless" in the letter'
     told = "you are worthless"
