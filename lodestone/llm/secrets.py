@@ -22,6 +22,10 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
 #: Runs that the models judge, at least MIN_RUN long. Every access and hex match of full length lies in one.
 MIN_RUN = 16
+SIGNS = "+/_=-"
+_SIGN = re.compile(f"[{SIGNS}]")
+#: Characters of long runs that are judged at once, and by which the pieces overlap.
+PIECE = 1000
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 
 #: Words and syllables from which ordinary identifiers are composed.
@@ -69,14 +73,17 @@ class Detector:
 
     A quarter of the samples is held out. threshold, in nats: half-way from the highest ratio of
     held-out identifiers to the ratio that all but one in 500 held-out random strings exceed; never
-    below the former."""
+    below the former. part: the same for a stretch of a run, never below the highest one of held-out
+    identifiers."""
 
     def __init__(self, secret: list[list[str]], plain: list[str]) -> None:
         self.random = [_markov([x for i, x in enumerate(s) if i % 4]) for s in secret]
         self.plain = _markov([x for i, x in enumerate(plain) if i % 4])
+        self.gains = np.stack([m - self.plain for m in self.random])
         ordinary = max(map(self.ratio, plain[::4]))
         strange = float(np.quantile([self.ratio(x) for s in secret for x in s[::4]], 0.002))
         self.threshold = max(ordinary, (ordinary + strange) / 2)
+        self.part = max(self.threshold, *(self._best(self._gains(x))[0] for x in plain[::4]))
 
     def ratio(self, s: str) -> float:
         codes = np.frombuffer(("\0" + s).encode(), np.uint8)
@@ -86,6 +93,58 @@ class Detector:
     def __call__(self, s: str) -> bool:
         return self.ratio(s) > self.threshold
 
+    def _best(self, gains: np.ndarray) -> tuple[float, int, int]:
+        """The stretch with the highest sum of ratios, over all models: the sum, less the choice of a model, start, end."""
+        sums = np.concatenate((np.zeros((len(gains), 1)), gains.cumsum(1)), 1)
+        rise = sums - np.minimum.accumulate(sums, 1)
+        m, end = divmod(int(rise.argmax()), rise.shape[1])
+        return float(rise[m, end]) - np.log(len(gains)), int(sums[m, : end + 1].argmin()), end
+
+    def _gains(self, s: str) -> np.ndarray:
+        codes = np.frombuffer(("\0" + s).encode(), np.uint8)
+        return self.gains[:, codes[:-1], codes[1:]]
+
+    def _weak(self, gains: np.ndarray) -> bool:
+        return float(gains.sum(1).max()) <= np.log(len(gains))
+
+    def segments(self, s: str) -> list[tuple[int, int]]:
+        """The random parts of s: the stretch with the highest sum of ratios if that exceeds part, and so
+        on to both sides of it, each up to the next sign that is no letter or digit if that is random as
+        a whole, without words at its ends; MIN_RUN long at least. Failing that, all of s if it is random as a whole. Long ones are read in overlapping
+        pieces, so time grows with the length."""
+        if len(s) < MIN_RUN:
+            return []
+        gains, found = self._gains(s), []
+        for at in range(0, max(1, len(s) - PIECE), PIECE):
+            todo = [(at, min(len(s), at + 2 * PIECE))]
+            while todo:
+                i, z = todo.pop()
+                if i >= z:
+                    continue
+                score, a, b = self._best(gains[:, i:z])
+                if score > self.part:
+                    found.append((i + a, i + b))
+                    todo += [(i, i + a), (i + b, z)]
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(found):
+            if merged and a <= merged[-1][1]:
+                a, b = merged[-1][0], max(b, merged.pop()[1])
+            merged.append((a, b))
+        out: list[tuple[int, int]] = []
+        for i, z in merged:
+            a, b = max(s.rfind(c, 0, i) + 1 for c in SIGNS), m.start() if (m := _SIGN.search(s, z)) else len(s)
+            while (k := min((k for c in SIGNS if (k := s.find(c, a, b)) >= 0), default=-1)) >= 0 and b - k - 1 >= MIN_RUN and self._weak(gains[:, a : k + 1]):
+                a = k + 1
+            while (k := max(s.rfind(c, a, b) for c in SIGNS)) >= 0 and k - a >= MIN_RUN and self._weak(gains[:, k:b]):
+                b = k
+            if b - a < MIN_RUN or not self(s[a:b]):  # words without a sign between
+                a, b = i, z
+            if out and a <= out[-1][1]:
+                a, b = out[-1][0], max(b, out.pop()[1])
+            if b - a >= MIN_RUN:
+                out.append((a, b))
+        return out or ([(0, len(s))] if self(s) else [])
+
 
 @cache
 def detector() -> Detector:
@@ -94,21 +153,25 @@ def detector() -> Detector:
 
 def spans(text: str | None, judge: Detector | None = None) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every secret, in code points, sorted. Base matches are found
-    leftmost and not overlapping within a kind; a run that the models call random is added where it
-    overlaps none of them."""
+    leftmost and not overlapping within a kind; what the models call random in a run, beside
+    them, is added."""
     if not text:
         return []
     found = []
     if ":" in text or "=" in text:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    assigned = list(found)
     for run in RUN.finditer(text):
         a, s = run.start(), run[0]
         base = [(a + m.start(), 1, a + m.end()) for m in ACCESS.finditer(s) if m.end() - m.start() >= 20] if "AKIA" in s else []
         base += [(a + m.start(), 2, a + m.end()) for m in HEX.finditer(s) if m.end() - m.start() >= 24]
-        over = any(x < run.end() and a < z for x, _, z in found)
         found += base
-        if not base and not over and (judge or detector())(s):
-            found.append((a, 3, run.end()))
+        taken = sorted((max(a, x), min(run.end(), z)) for x, _, z in [*assigned, *base] if x < run.end() and a < z)
+        at = a
+        for x, z in [*taken, (run.end(), run.end())]:
+            if x - at >= MIN_RUN:
+                found += [(at + i, 3, at + k) for i, k in (judge or detector()).segments(s[at - a : x - a])]
+            at = max(at, z)
     return sorted(found)
 
 
