@@ -17,7 +17,7 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Mix:
     """budget: tokens to draw, as a multiple of the corpus. entropy: wanted entropy of the weights, as
-    a share of the log of the number of sources. max_repeats: how often a source's tokens may be
+    a share of the log of the number of sources with tokens. max_repeats: how often a source's tokens may be
     drawn. blocks: blocks a source is dealt into, so a drawn source is at most half a block off.
     steps: halvings of the exponent's bracket."""
 
@@ -37,7 +37,7 @@ def _exponent(shares: DataFrame, mix: Mix) -> float:
     """The largest exponent in [0, 1] whose weights still have the wanted entropy, raised until no
     source is drawn more than max_repeats times. Four halvings a job: it tries 15 exponents at once,
     in one aggregation over the sources."""
-    n = shares.count()
+    n = shares.where("tokens > 0").count()
     total = shares.agg(F.sum("tokens")).first()[0] or 0
 
     def measured(exponents: list[float]) -> dict[float, tuple[float, float]]:

@@ -3,6 +3,7 @@ import math
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from lodestone.llm import mixing as M
@@ -31,6 +32,18 @@ def test_query_returns_every_row(spark, data, name):
 # Mixing
 
 
+def test_sources_without_tokens_do_not_count(spark, tmp_path):
+    rows = [(f"s{k % 5}", " ".join(["w"] * (3 + k % 5))) for k in range(60)] + [("silent", t) for t in ("", None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.execute(f"select doc_id, source, n_tokens, block, weight, copies from ({oracle_sql()['op5_mix']})").fetchall()
+    got = queries()["op5_mix"](spark, str(tmp_path)).select("doc_id", "source", "n_tokens", "block", "weight", "copies").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+    assert len({r.weight for r in got if r.source != "silent"}) == 5
+
+
 def sources(seed=3):
     rng = random.Random(seed)
     sizes = {"big": 900, "mid": 200, "small": 40, "tiny": 6}
