@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
-from itertools import compress
-from typing import NamedTuple
+from collections.abc import Iterator
+from itertools import islice
+from math import isqrt
 
 import ahocorasick
 import numpy as np
@@ -18,15 +18,18 @@ from .common import narrow, table
 
 WINDOW = 13
 #: Words of an anchor. Each window owns its smallest anchor by hash, the last of equal ones; windows
-#: of one wording own the same, so documents that share a window share an anchor.
+#: of one wording own the same, so documents that share a window share an anchor. Hashes of words only
+#: say where to look: what they bring together is compared word by word.
 ANCHOR = 5
 #: Bytes of text of a shard of documents.
 SHARD_BYTES = 8_000_000
-#: Phrases that one automaton is compiled from.
-PHRASES = 12_000
-#: Places of an anchor in all documents from which it is hot: then its windows are dealt apart, each by
-#: its own words, so that no group is larger than this or than a row for each shard.
-HOT = 12_000
+#: Patterns that one automaton is compiled from, for some 120 MB of memory.
+PATTERNS = 50_000
+#: An anchor's windows are dealt into one group for each so many places that it has in all documents,
+#: by their words.
+SPLIT = 1_000
+#: Shards that share an anchor from which its phrases are combined before they meet, and joined back.
+FAN = 2_000
 #: Bytes of text that are hashed at once.
 _CHUNK = 1 << 20
 
@@ -68,7 +71,6 @@ class Words:
         self.hash = _mix((sums[ends - 1] - sums[starts - 1]) * _powers(_INVERSE, len(data))[starts])
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts]) + 1
         self.doc = np.searchsorted(bounds, starts, "right") - 1
-        self.first = np.searchsorted(self.doc, np.arange(len(texts)))
 
     def rolling(self, k: int) -> np.ndarray:
         """Hash of the k words from each."""
@@ -78,9 +80,9 @@ class Words:
             out = out * np.uint64(_BASE) + self.hash[j : j + n]
         return _mix(out)
 
-    def owners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows within a document, the place of the anchor that each owns, and the
-        anchors' hashes by place."""
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each anchor that windows within a document own: its hash, its place, and the first and
+        the last of those windows. Their words are a phrase."""
         anchors = self.rolling(ANCHOR)
         n = max(0, len(self.hash) - WINDOW + 1)
         shifted = [anchors[d : d + n] for d in range(WINDOW - ANCHOR + 1)]
@@ -91,261 +93,215 @@ class Words:
         for d, x in enumerate(shifted):
             np.copyto(owner, d, where=x == least)
         owner += np.arange(n)
-        inside = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :][:n])
-        return inside, owner[inside], anchors
-
-
-    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each anchor that windows own: its hash, its place, the first and the last of those
-        windows, and two hashes of the phrase, all words of those windows."""
-        at, owner, anchors = self.owners()
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        low, high, place = at[cuts], at[np.append(cuts[1:], len(at))[: len(cuts)] - 1], owner[cuts]
-        return anchors[place].view(np.int64), place, low, high, self.named(low, high + WINDOW)
-
-    def named(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Two hashes of the words from start to end, excluded."""
-        out, n = [], len(self.hash)
-        for base in (_BASE, _BASE ^ 0x5DEECE66C):
-            sums = np.zeros(n + 1, np.uint64)
-            sums[1:] = np.add.accumulate(self.hash * _powers(base, n)) if n else 0
-            out.append(_mix((sums[end] - sums[start]) * _powers(pow(base, -1, 2**64), n + 1)[start]).view(np.int64))
-        return np.stack(out)
-
-    def names(self) -> list[list[int]]:
-        """The same of all words of each text."""
-        return self.named(self.first, np.append(self.first[1:], len(self.hash))).tolist()
+        at = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :][:n])
+        cuts = np.flatnonzero(np.diff(owner[at], prepend=-1))
+        place = owner[at[cuts]]
+        return anchors[place].view(np.int64), place, at[cuts], at[np.append(cuts[1:], len(at))[: len(cuts)] - 1]
 
 
 def _chunks(t: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Row numbers of a table with a text column and the texts, in chunks of bounded size."""
-    rows, texts, size = [], [], 0
+    """Ids and texts of a shard in chunks of bounded size, always in the same order: by id and text,
+    so that a word of a shard can be named by its place."""
+    t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
+    ids = t.column("doc_id").to_numpy().astype(np.int64)
+    begin, texts, size = 0, [], 0
     for i, x in enumerate(t.column("text")):
-        rows.append(i)
         texts.append((x.as_py() or "").encode())
         size += len(texts[-1])
-        if size >= _CHUNK:
-            yield np.array(rows), texts
-            rows, texts, size = [], [], 0
-    if rows:
-        yield np.array(rows), texts
-
-
-def _ids(t: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of rows, and which of them are not null."""
-    c = t.column("doc_id").take(pa.array(rows))
-    return c.fill_null(0).to_numpy().astype(np.int64), c.is_valid().to_numpy()
+        if size >= _CHUNK or i == len(t) - 1:
+            yield ids[begin : i + 1], texts
+            begin, texts, size = i + 1, [], 0
 
 
 def _questions(t: pa.Table) -> pa.Table:
-    """A shard (shard, doc_id, text) to its anchors: h, the smallest document with it, whether several
-    have it, and its number of places."""
+    """A shard (shard, doc_id, text) to its anchors: h, shard, whether several documents have it, and
+    its number of places."""
     hs, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for rows, texts in _chunks(t):
-        ids, valid = _ids(t, rows)
+    for ids, texts in _chunks(t):
         words = Words(texts)
         h, place, *_ = words.phrases()
-        doc = words.doc[place]
-        hs.append(h[valid[doc]])
-        docs.append(ids[doc][valid[doc]])
+        hs.append(h)
+        docs.append(ids[words.doc[place]])
     h, doc = np.concatenate(hs), np.concatenate(docs)
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
     new = np.flatnonzero(np.diff(h, prepend=h[:1] - 1)) if len(h) else np.empty(0, np.int64)
     end = np.append(new[1:], len(h))[: len(new)]
-    return pa.table({"h": h[new], "doc": doc[new], "several": doc[new] != doc[end - 1], "places": end - new})
+    return pa.table({"h": h[new], "shard": np.full(len(new), t.column("shard")[0].as_py() if len(t) else 0, np.int64), "several": doc[new] != doc[end - 1], "places": end - new})
 
 
 def _phrases(t: pa.Table, known: pa.Table) -> pa.Table:
-    """A shard and its recurring anchors (h, hot) to its distinct phrases around them: key, hot,
-    phrase, shard, first, last. The key is the anchor; the phrases of a hot one are its single
-    windows, and their keys hashes of their words."""
-    recurring = known.column("h").to_numpy()
-    hot = np.unique(known.filter(known.column("hot")).column("h").to_numpy())
+    """A shard and its recurring anchors (h, places, fan) to its distinct phrases around them: key, fan,
+    phrase, shard, at, first, last; at is the place of its first word in the shard, first and last are
+    the least and the greatest id. An anchor's windows are dealt into groups, one for each SPLIT
+    places, by a hash of their words; neighbours in a group are a phrase."""
     found: dict[bytes, list] = {}
-    for rows, texts in _chunks(t) if len(recurring) else ():
-        ids, valid = _ids(t, rows)
+    order = np.argsort(known.column("h").to_numpy())
+    recurring, places, fan = (known.column(c).to_numpy()[order] for c in ("h", "places", "fan"))
+    base = 0
+    for ids, texts in _chunks(t) if len(recurring) else ():
         words = Words(texts)
-        h, place, low, high, _ = words.phrases()
-        is_hot = np.isin(h, hot)
-        keep = np.isin(h, recurring) & valid[words.doc[place]]
+        h, _, low, high = words.phrases()
+        k = np.minimum(np.searchsorted(recurring, h), len(recurring) - 1)
+        keep = np.flatnonzero(recurring[k] == h)
+        k, key, low, high = k[keep], h[keep], low[keep], high[keep]
+        groups = 1 + places[k] // SPLIT
+        if (groups > 1).any():  # cut where the next window falls into another group
+            many = high - low + 1
+            of = np.repeat(np.arange(len(low)), many)
+            single = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            group = (words.rolling(WINDOW)[single] % groups[of].astype(np.uint64)).view(np.int64)
+            cuts = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+            low, high = single[cuts], single[np.append(cuts[1:], len(of)) - 1]
+            k, key = k[of[cuts]], _mix((key[of[cuts]] + group[cuts]).view(np.uint64)).view(np.int64)
         spelled = b"\n".join(texts).split()
-        plain, apart = np.flatnonzero(keep & ~is_hot), np.flatnonzero(keep & is_hot)
-        many = high[apart] - low[apart] + 1
-        single = np.repeat(low[apart], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        starts = np.concatenate((low[plain], single))
-        ends = np.concatenate((high[plain], single)) + WINDOW
-        keys = np.concatenate((h[plain], words.named(single, single + WINDOW)[0]))
-        for k, lo, hi, d, x in zip(keys.tolist(), starts.tolist(), ends.tolist(), ids[words.doc[starts]].tolist(), (np.arange(len(starts)) >= len(plain)).tolist(), strict=True):
+        for x, f, lo, hi, d in zip(key.tolist(), fan[k].tolist(), low.tolist(), (high + WINDOW).tolist(), ids[words.doc[low]].tolist(), strict=True):
             line = b" ".join(spelled[lo:hi])
             was = found.get(line)
             if was is None:
-                found[line] = [k, x, d, d]
+                found[line] = [x, f, base + lo, d, d]
             else:
-                was[2], was[3] = min(d, was[2]), max(d, was[3])
-    cols = list(zip(*found.values(), strict=True)) or [()] * 4
+                was[3], was[4] = min(d, was[3]), max(d, was[4])
+        base += len(spelled)
+    cols = list(zip(*found.values(), strict=True)) or [()] * 5
     shard = t.column("shard")[0].as_py() if len(t) else None
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(list(found), pa.binary()), pa.array([shard] * len(found), pa.int64()), *(pa.array(cols[i], pa.int64()) for i in (2, 3))], ["key", "hot", "phrase", "shard", "first", "last"])
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(list(found), pa.binary()), pa.array([shard] * len(found), pa.int64()), *(pa.array(cols[i], pa.int64()) for i in (2, 3, 4))], ["key", "fan", "phrase", "shard", "at", "first", "last"])
+
+
+Stretch = tuple[int, int, int]  # first window and number of neighbouring windows, and the first document that has them
+
+
+def confirmed(run: dict[bytes, tuple[int, int]]) -> dict[bytes, list[Stretch]]:
+    """The stretches of windows that stand in two documents or more, of phrases with their first and
+    last documents that hold every place of their windows. Windows are compared by their words."""
+    cut: dict[bytes, list[bytes]] = {}
+    seen: dict[bytes, tuple[int, int]] = {}
+    for phrase, (first, last) in run.items():
+        if len(run) == 1:
+            return {phrase: [(0, phrase.count(b" ") - WINDOW + 2, first)]} if first < last else {}
+        ends = np.flatnonzero(np.frombuffer(phrase, np.uint8) == 32).tolist()
+        starts, ends = [0, *(e + 1 for e in ends)], [*ends, len(phrase)]
+        cut[phrase] = windows = [phrase[a:z] for a, z in zip(starts, ends[WINDOW - 1 :], strict=False)]
+        for w in windows:
+            known = seen.get(w)
+            seen[w] = (first, last) if known is None else (min(first, known[0]), max(last, known[1]))
+    out: dict[bytes, list[Stretch]] = {}
+    for phrase, windows in cut.items():
+        stretches: list[Stretch] = []
+        for o, w in enumerate(windows):
+            first, last = seen[w]
+            if first < last:
+                if stretches and stretches[-1][0] + stretches[-1][1] == o and stretches[-1][2] == first:
+                    stretches[-1] = (stretches[-1][0], stretches[-1][1] + 1, first)
+                else:
+                    stretches.append((o, 1, first))
+        if stretches:
+            out[phrase] = stretches
+    return out
 
 
-Phrase = tuple[bytes, int, int]  # words, first and last document
-Cover = tuple[list[int], list[int]]  # offsets of windows that recur, and the first document of each
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[bytes, list[tuple]]]]:
+    """Rows (key, phrase, ...) sorted by key to (key, rows of each phrase without these two)."""
+    run: dict[bytes, list[tuple]] = {}
+    now = None
+    for batch in batches:
+        for key, phrase, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now:
+                if run:
+                    yield now, run
+                now, run = key, {}
+            run.setdefault(phrase, []).append(tuple(rest))
+    if run:
+        yield now, run
 
 
-def covers(runs: Iterable[Iterable[Phrase]]) -> dict[bytes, Cover]:
-    """The windows that stand in two documents or more, of phrases in runs by key.
+_ROWS = 50_000
 
-    Confirms them word by word, within a run, as windows of one wording have the same key. What is
-    confirmed, in stretches of neighbouring windows with the same first document, is compiled into
-    an automaton over word numbers, which then reads every phrase."""
-    numbers: dict[bytes, int] = {}
-    read: list[tuple[bytes, tuple[int, ...]]] = []
-    auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for run in runs:
-        lines = []
-        for phrase, first, last in run:
-            line = tuple([numbers.setdefault(w, len(numbers) + 1) for w in phrase.split()])
-            lines.append((line, first, last))
-            read.append((phrase, line))
-        if len(lines) == 1:
-            line, first, last = lines[0]
-            if first < last:
-                auto.add_word(line, (len(line) - WINDOW + 1, first))
-            continue
-        seen: dict[tuple[int, ...], tuple[int, int]] = {}
-        for line, first, last in lines:
-            for o in range(len(line) - WINDOW + 1):
-                w = line[o : o + WINDOW]
-                known = seen.get(w)
-                seen[w] = (first, last) if known is None else (min(first, known[0]), max(last, known[1]))
-        for line, _, _ in lines:
-            begin, now, n = 0, None, len(line) - WINDOW + 1
-            for o in range(n + 1):
-                first, last = seen[line[o : o + WINDOW]] if o < n else (None, None)
-                first = first if o < n and first < last else None
-                if first != now:
-                    if now is not None:
-                        auto.add_word(line[begin : o + WINDOW - 1], (o - begin, now))
-                    begin, now = o, first
-    out: dict[bytes, Cover] = {}
-    if len(auto):
-        auto.make_automaton()
-        for phrase, line in read:
-            at: dict[int, int] = {}
-            for end, (n, first) in auto.iter(line):
-                begin = end - n - WINDOW + 2
-                at.update(dict.fromkeys(range(begin, begin + n), first))
-            if at:
-                out[phrase] = (list(at), list(at.values()))
-    return out
 
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, _ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-class _Asked(NamedTuple):
-    hot: bool
-    first: int
-    last: int
-    shards: list[tuple[int, int]]  # and the last document in each
-
-
-def _answers(runs: list[dict[bytes, _Asked]]) -> pa.RecordBatch:
-    asked = {p: x for run in runs for p, x in run.items()}
-    found = covers([(p, x.first, x.last) for p, x in run.items()] for run in runs)
-    rows = [(p, shard, *c) for p, c in found.items() for shard, last in asked[p].shards if min(c[1]) < last]
-    names: dict[bytes, tuple[int, int]] = {}
-    wanted = list(dict.fromkeys(x[0] for x in rows))
-    for i in range(0, len(wanted), 8192):
-        names.update(zip(wanted[i : i + 8192], zip(*Words(wanted[i : i + 8192]).names(), strict=True), strict=True))
-    cols = [[x[1] for x in rows], [asked[x[0]].hot for x in rows], [names[x[0]][0] for x in rows], [names[x[0]][1] for x in rows], [x[2] for x in rows], [x[3] for x in rows]]
-    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "hot", "a", "b", "offsets", "firsts"])
-
-
-def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct phrases of a shard of keys, sorted by key, to the covers of each, for each shard of
-    documents that has it and a document behind the first: shard, hot, a, b, offsets, firsts."""
-    runs: list[dict[bytes, _Asked]] = []
-    run: dict[bytes, _Asked] = {}
-    size, now = 0, None
-    for batch in _then_none(batches):
-        for key, hot, phrase, shard, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None,) * 6]:
-            if key != now:
-                # A key with one phrase of one document has no window that recurs.
-                if len(run) > 1 or any(x.first < x.last for x in run.values()):
-                    runs.append(run)
-                    size += len(run)
-                if runs and (size >= PHRASES or key is None):
-                    yield _answers(runs)
-                    runs, size = [], 0
-                now, run = key, {}
-            if key is not None:
-                was = run.get(phrase)
-                if was is None:
-                    run[phrase] = _Asked(hot, first, last, [(shard, last)])
-                else:
-                    was.shards.append((shard, last))
-                    run[phrase] = was._replace(first=min(first, was.first), last=max(last, was.last))
 
+_STRETCH = pa.schema([("shard", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("first", pa.int64())])
+_COMBINED = pa.schema([("c_key", pa.int64()), ("c_phrase", pa.binary()), ("o", pa.int32()), ("n", pa.int32()), ("first", pa.int64())])
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of the shards (key, phrase, shard, at, first, last), sorted by key, to the stretches that
+    each shard loses in a document of its own: shard, at, n, first."""
+
+    def rows() -> Iterator[tuple]:
+        for _, run in _runs(batches):
+            asked = {p: (min(r[2] for r in x), max(r[3] for r in x)) for p, x in run.items()}
+            for phrase, stretches in confirmed(asked).items():
+                for shard, at, _, last in run[phrase]:
+                    for o, n, first in stretches:
+                        if first < last:
+                            yield shard, at + o, n, first
 
-def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    return _batched(rows(), _STRETCH)
 
 
-class _Covers:
-    """Covers of phrases or of single windows, looked up by the phrases' hashes."""
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of all shards (key, phrase, first, last), sorted by key, to their stretches."""
 
-    def __init__(self, found: pa.Table) -> None:
-        found = found.take(pa.array(np.lexsort((found.column("b").to_numpy(), found.column("a").to_numpy())))).combine_chunks()
-        self.a, self.b = found.column("a").to_numpy(), found.column("b").to_numpy()
-        flat = [found.column(c).combine_chunks() for c in ("offsets", "firsts")]
-        self.many = flat[0].value_lengths().to_numpy().astype(np.int64)
-        self.begin = np.cumsum(self.many) - self.many
-        self.offsets, self.firsts = (c.flatten().to_numpy().astype(np.int64) for c in flat)
+    def rows() -> Iterator[tuple]:
+        for key, run in _runs(batches):
+            for phrase, stretches in confirmed({p: x[0] for p, x in run.items()}).items():
+                yield from ((key, phrase, *s) for s in stretches)
 
-    def starts(self, names: np.ndarray, begin: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Of phrases that begin at words of documents, the beginnings of the windows that go."""
-        k = np.minimum(np.searchsorted(self.a, names[0]), len(self.a) - 1)
-        hit = np.flatnonzero((self.a[k] == names[0]) & (self.b[k] == names[1]))
-        k = k[hit]
-        many = self.many[k]
-        at = np.repeat(self.begin[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        start = np.repeat(begin[hit], many) + self.offsets[at]
-        return start[self.firsts[at] < np.repeat(doc[hit], many)]
+    return _batched(rows(), _COMBINED)
+
+
+def _automata(patterns: dict[str, tuple[int, int]]) -> Iterator[ahocorasick.Automaton]:
+    """Automata of bounded size that tell (number of windows, first document) of each pattern."""
+    todo = iter(patterns.items())
+    while part := list(islice(todo, PATTERNS)):
+        auto = ahocorasick.Automaton()
+        for words, known in part:
+            auto.add_word(words, known)
+        auto.make_automaton()
+        yield auto
 
 
 def _stripped(t: pa.Table, found: pa.Table, texts: bool) -> pa.Table:
-    """A shard without the words that its covers take."""
-    ids, n, removed, sha, kept_texts = [], [], [], [], []
-    by_phrase, by_window = (_Covers(c) if len(c) else None for c in (found.filter(pc.invert(found.column("hot"))), found.filter(found.column("hot"))))
-    for rows, raw in _chunks(t):
-        doc_ids, valid = _ids(t, rows)
-        words = Words(raw)
-        gone = np.zeros(len(words.hash) + 1, np.int64)
-        least = np.where(valid, doc_ids, np.iinfo(np.int64).min)  # no document is before one without an id
-        starts = []
-        if by_phrase:
-            _, place, low, _, names = words.phrases()
-            starts.append(by_phrase.starts(names, low, least[words.doc[place]]))
-        if by_window:
-            at = words.owners()[0]
-            starts.append(by_window.starts(words.named(at, at + WINDOW), at, least[words.doc[at]]))
-        for x in starts:
-            np.add.at(gone, x, 1)
-            np.add.at(gone, x + WINDOW, -1)
-        out = np.cumsum(gone[:-1]) > 0
-        spelled = b"\n".join(raw).split()
-        ends = np.append(words.first[1:], len(spelled)).tolist()
-        per = np.concatenate(([0], np.cumsum(out)))
-        for i, (s, e) in enumerate(zip(words.first.tolist(), ends, strict=True)):
-            less = int(per[e] - per[s])
-            kept = b" ".join(compress(spelled[s:e], (~out[s:e]).tolist()) if less else spelled[s:e])
-            ids.append(doc_ids[i].item() if valid[i] else None)
-            n.append(e - s)
-            removed.append(less)
-            sha.append(hashlib.sha256(kept).hexdigest())
-            if texts:
-                kept_texts.append(kept.decode())
-    made = {"doc_id": pa.array(ids, t.schema.field("doc_id").type), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+    """A shard without the words of the stretches (at, n, first) that earlier documents have.
+
+    Every word becomes two letters of disjoint alphabets, so that a match begins and ends at words;
+    the stretches are compiled into automata, and these read each document whole."""
+    numbers: dict[bytes, int] = {}
+    ids, codes, bounds = [], [np.empty(0, np.int64)], [0]
+    for doc_ids, raw in _chunks(t):
+        ids += doc_ids.tolist()
+        for x in raw:
+            own = np.array([numbers.setdefault(w, len(numbers)) for w in x.split()], np.int64)
+            codes.append(own)
+            bounds.append(bounds[-1] + len(own))
+    code, vocabulary = np.concatenate(codes), list(numbers)
+    base = isqrt(len(vocabulary)) + 1
+    letters = (np.stack((code // base, code % base + base), 1).astype("<u4") + 256).tobytes().decode("utf-32-le")
+    patterns = {letters[2 * at : 2 * (at + n + WINDOW - 1)]: (n, first) for at, n, first in zip(*(found.column(c).to_pylist() for c in ("at", "n", "first")), strict=True)}
+    gone = np.zeros(len(code) + 1, np.int64)
+    for auto in _automata(patterns):
+        begins, ends = [], []
+        for doc, s, e in zip(ids, bounds, bounds[1:], strict=False):
+            for end, (n, first) in auto.iter(letters[2 * s : 2 * e]):
+                if first < doc:
+                    z = s + end // 2 + 1
+                    ends.append(z)
+                    begins.append(z - n - WINDOW + 1)
+        np.add.at(gone, np.array(begins, np.int64), 1)
+        np.add.at(gone, np.array(ends, np.int64), -1)
+    out = np.cumsum(gone[:-1]) > 0
+    removed, sha, kept_texts = [], [], []
+    for s, e in zip(bounds, bounds[1:], strict=False):
+        kept = b" ".join([vocabulary[c] for c in code[s:e][~out[s:e]].tolist()])
+        removed.append(int(out[s:e].sum()))
+        sha.append(hashlib.sha256(kept).hexdigest())
+        if texts:
+            kept_texts.append(kept.decode())
+    made = {"doc_id": pa.array(ids, pa.int64()).cast(t.schema.field("doc_id").type), "n_words": pa.array(np.diff(bounds), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
     return pa.table(made | ({"kept_text": pa.array(kept_texts, pa.string())} if texts else {}))
 
 
@@ -354,39 +310,59 @@ def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     kept_sha256, and with `texts` also kept_text.
 
     A word is removed if a window of WINDOW words that covers it also starts in a document with a
-    smaller doc_id. Documents are dealt to shards of bounded size by a hash of their id; the texts
-    are shuffled once, for three rounds. First each shard tells its anchors, combined, and learns
-    which of them others have too. Then it tells its distinct phrases around these, which are dealt
-    by anchor: there the recurring windows are confirmed by their words, compiled into Aho-Corasick
-    automata of bounded size and located in every phrase; a phrase holds every occurrence of its
-    windows, so all documents are read. Last each shard learns the covers of its phrases and strips
-    its texts. An anchor with HOT places or more gives its single windows instead, dealt by their
-    words. So whatever is shuffled beside the texts has at most HOT rows, or a row for each shard, of
-    one key, also if a third of the documents hold one line or passage.
+    smaller doc_id. Documents are dealt to shards of bounded size by a hash of the row; the texts
+    are shuffled once, for three rounds. First each shard tells its anchors and learns which of them
+    others have too. Then it tells its distinct phrases around these, which are dealt by anchor, and
+    the windows that recur are confirmed by their words. Last each shard compiles the confirmed
+    stretches of its own phrases into Aho-Corasick automata, which read all of its documents and
+    locate every occurrence. Hashes only deal rows, so no result rests on them.
+
+    A common anchor's windows are dealt into groups by their words, in proportion to its places; the
+    phrases of one that more than FAN shards have are combined before they meet, and carried back by
+    a join that Spark may split. So a group has some SPLIT phrases, of at most FAN rows each.
 
     Null and empty texts have no words. A row with a null doc_id neither loses words nor makes others
-    lose any. Rows that repeat a doc_id are one document: they don't make each other lose words,
-    whatever their texts. Empty tables give no rows."""
+    lose any; such rows are not shuffled. Rows that repeat a doc_id are one document: they don't make
+    each other lose words, whatever their texts, and each gives a row. Texts of any length are read
+    whole; one beyond SHARD_BYTES is held by one task with the rest of its shard. Ties can't occur, as
+    only the ids count. Empty tables give no rows; other columns are not read, whatever their names."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = narrow(docs, "doc_id", "text")
+    every = narrow(docs, "doc_id", "text")
+    own = every.where("doc_id is not null")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = F.lit(1 + size // SHARD_BYTES)
-    shard = lambda c: F.pmod(F.xxhash64(c), shards).alias("shard")
-    dealt_out = own.select(shard("doc_id"), "doc_id", "text").groupBy("shard")
-    asked = dealt_out.applyInArrow(_questions, "h bigint, doc bigint, several boolean, places bigint")
+    shard = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(1 + size // SHARD_BYTES)).alias("shard")
+    dealt_out = own.select(shard, "doc_id", "text").groupBy("shard")
+    asked = dealt_out.applyInArrow(_questions, "h bigint, shard bigint, several boolean, places bigint")
     same = Window.partitionBy("h")  # at most a row for each shard
-    known = asked.select(F.col("doc").cast(kind).alias("doc"), "h", (F.count("*").over(same) > 1).alias("others"), F.max("several").over(same).alias("several"), (F.sum("places").over(same) >= HOT).alias("hot")).where("others or several").select(shard("doc"), "h", "hot")
-    phrases = dealt_out.cogroup(known.groupBy("shard")).applyInArrow(_phrases, "key bigint, hot boolean, phrase binary, shard bigint, first bigint, last bigint")
-    found = phrases.repartition("key").sortWithinPartitions("key").mapInArrow(_automata, "shard bigint, hot boolean, a bigint, b bigint, offsets array<int>, firsts array<bigint>")
+    n = F.count("*").over(same)
+    known = asked.select("h", "shard", n.alias("n"), F.max("several").over(same).alias("several"), F.sum("places").over(same).alias("places")).where("n > 1 or several")
+    known = known.select("shard", "h", "places", (F.col("n") > FAN).alias("fan"))
+    phrases = dealt_out.cogroup(known.groupBy("shard")).applyInArrow(_phrases, "key bigint, fan boolean, phrase binary, shard bigint, at bigint, first bigint, last bigint")
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
+    found = by_key(phrases.where("not fan").drop("fan")).mapInArrow(_told, "shard bigint, at bigint, n int, first bigint")
+    if size // SHARD_BYTES >= FAN:
+        common = phrases.where("fan")
+        met = by_key(common.groupBy("key", "phrase").agg(F.min("first").alias("first"), F.max("last").alias("last"))).mapInArrow(_combined, "c_key bigint, c_phrase binary, o int, n int, first bigint")
+        carried = common.drop("first").join(met, (F.col("key") == F.col("c_key")) & (F.col("phrase") == F.col("c_phrase"))).where("first < last")
+        found = found.unionByName(carried.select("shard", (F.col("at") + F.col("o")).alias("at"), "n", "first"))
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
 
-    def strip(t: pa.Table, covers: pa.Table) -> pa.Table:
-        return _stripped(t, covers, texts)
+    def strip(t: pa.Table, stretches: pa.Table) -> pa.Table:
+        return _stripped(t, stretches, texts)
+
+    def unjudged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [(t.as_py() or "").encode().split() for t in b.column(1)]
+            lines = [b" ".join(k) for k in kept]
+            cols = [pa.nulls(len(b), b.schema.field(0).type), pa.array([len(k) for k in kept], pa.int64()), pa.array([0] * len(b), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in lines], pa.string())]
+            cols += [pa.array([x.decode() for x in lines], pa.string())] * texts
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts])
 
-    return dealt_out.cogroup(found.groupBy("shard")).applyInArrow(strip, schema)
+    return dealt_out.cogroup(found.groupBy("shard")).applyInArrow(strip, schema).unionByName(every.where("doc_id is null").mapInArrow(unjudged, schema))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """substring_dedup over documents, all rows and whole texts."""
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -164,21 +164,59 @@ def test_substring_random(spark):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
-def test_hot_anchors(spark, monkeypatch):
-    """Anchors dealt by their windows give what phrases give; a common line in other words too."""
+def test_common_anchors(spark, monkeypatch):
+    """Anchors dealt by their windows, and combined, give the same; a common line in other words too."""
     rng = random.Random(6)
     line = prose(rng, 9)
     rows = awkward() + [(1000 + k, prose(rng, 14) + " " + line + " " + prose(rng, rng.choice([2, 14]))) for k in range(40)]
     rows += [(2000 + k, t) for k, (_, t) in enumerate(rows[-12:])]
-    for hot in (1, 8, 30):
-        monkeypatch.setattr(S, "HOT", hot)
+    for split, fan, shard, patterns in ((1, 2000, 8_000_000, 7), (8, 2, 20_000, 50_000), (1, 1, 20_000, 50_000)):
+        monkeypatch.setattr(S, "SPLIT", split)
+        monkeypatch.setattr(S, "FAN", fan)
+        monkeypatch.setattr(S, "SHARD_BYTES", shard)
+        monkeypatch.setattr(S, "PATTERNS", patterns)
         assert rows_of(substring_dedup(clashing(spark, rows))) == substring_brute(rows)
 
 
-def test_word_hashes_depend_on_words_only():
-    a, b = S.Words([b"x y z", b"foo  bar"]), S.Words([b"  foo\tbar ", b"", b"y"])
-    assert a.hash[3:].tolist() == b.hash[:2].tolist() and a.hash[1] == b.hash[2] and a.doc.tolist() == [0, 0, 0, 1, 1] and b.doc.tolist() == [0, 0, 2]
-    assert a.names()[0][1] == b.names()[0][0]
+def thue_morse(letters, n=2048):
+    return " ".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_colliding_hashes_change_nothing(spark):
+    """Words over which every polynomial hash modulo a power of two collides."""
+    rng = random.Random(8)
+    head = prose(rng, 12).split()
+    joined = lambda t: " ".join(head) + " " + t.replace(" ", "")
+    rows = [(1, joined(thue_morse("ab"))), (2, joined(thue_morse("ba"))), (3, joined(thue_morse("ab")))]
+    assert [r[2] for r in substring_brute(rows)] == [0, 0, 13]
+    assert rows_of(substring_dedup(clashing(spark, rows))) == substring_brute(rows)
+    rows = [(1, thue_morse("ab")), (2, thue_morse("ba")), (3, thue_morse("cd"))]
+    assert rows_of(substring_dedup(clashing(spark, rows))) == substring_brute(rows)
+
+
+def test_all_hashes_equal(spark, monkeypatch):
+    """Where every word has one hash, words alone tell windows apart."""
+    monkeypatch.setattr(S, "_LETTER", S._LETTER * S.np.uint64(0))
+    for rows in (awkward(), [(k % 7, " ".join(random.Random(k).choices("abc", k=30))) for k in range(60)]):
+        ids = [r for r in rows if r[0] is not None]
+        t = S.pa.table({"shard": S.pa.array([0] * len(ids), S.pa.int64()), "doc_id": S.pa.array([i for i, _ in ids], S.pa.int64()), "text": S.pa.array([x for _, x in ids], S.pa.string())})
+        q = S._questions(t)
+        known = S.pa.table({"h": q.column("h"), "places": q.column("places"), "fan": S.pa.array([False] * len(q))})
+        phrases = S._phrases(t, known).drop_columns(["fan"]).sort_by("key")
+        found = S.pa.Table.from_batches(S._told(iter(phrases.to_batches())), S._STRETCH)
+        got = S._stripped(t, found, False)
+        assert sorted(zip(*(got.column(c).to_pylist() for c in got.column_names), strict=True), key=repr) == substring_brute(ids)
+
+
+def test_repeated_ids_and_rows(spark, monkeypatch):
+    rng = random.Random(10)
+    a, b = prose(rng, 40), prose(rng, 30)
+    rows = [(5, a), (5, a + " " + b), (5, a), (7, b), (7, a), (None, a), (None, b), (2, "x " * 30), (2, "x " * 30)]
+    for shard in (8_000_000, 100):
+        monkeypatch.setattr(S, "SHARD_BYTES", shard)
+        got = substring_dedup(clashing(spark, rows), texts=True)
+        assert rows_of(got.drop("kept_text")) == substring_brute(rows)
+        assert rows_of(substring_dedup(clashing(spark, rows, "doc_id int, text string"))) == substring_brute(rows)
 
 
 def test_long_text_in_chunks(spark):
