@@ -5,53 +5,69 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What begins a function or a class. ID is a name, _ some space, ~ any space.
-_TS = [r"function_ID", r"const_ID~=~\(", r"ID~\([^)]*\)~\{", r"async_function_ID"]
-_TSX = [*_TS, r"export_(?:default_)?function_ID", r"export_const_ID~=~\("]
-_TS_TYPES = [r"class_ID", r"interface_ID", r"type_ID"]
-_CSS = [r"\.([a-zA-Z][\w-]*)", r"#([a-zA-Z][\w-]*)"]
-_SCSS = ([r"@mixin_ID", r"@function_ID"], [*_CSS, r"%([a-zA-Z][\w-]*)"])
+# For each language the patterns of functions and those of classes, in the order in which
+# they are tried. \w is ASCII, \s any space of JS_SPACE.
 PATTERNS: dict[str, tuple[list[str], list[str]]] = {
-    "typescript": (_TS, _TS_TYPES),
-    "typescriptreact": (_TSX, _TS_TYPES),
-    "javascript": (_TS, [r"class_ID"]),
-    "javascriptreact": (_TSX, [r"class_ID"]),
-    "python": ([r"def_ID"], [r"class_ID"]),
-    "java": ([r"(?:public|private|protected)?~(?:static)?~\w+_ID~\("], [r"class_ID", r"interface_ID", r"enum_ID"]),
-    "go": ([r"func_(?:\([^)]*\)~)?ID"], [r"type_ID_struct", r"type_ID_interface"]),
-    "rust": ([r"fn_ID", r"pub_fn_ID", r"pub~\(~crate~\)~fn_ID", r"async_fn_ID", r"const_fn_ID", r"unsafe_fn_ID"], [r"struct_ID", r"enum_ID", r"trait_ID", r"impl_(?:<[^>]*>_)?ID", r"type_ID"]),
-    "cpp": ([r"(?:void|int|bool|float|double|auto|const|static|virtual|inline)_ID~\(", r"ID~\([^)]*\)~(?:const)?~\{"], [r"class_ID", r"struct_ID", r"namespace_ID"]),
-    "c": ([r"(?:void|int|bool|float|double|char|const|static|inline)_ID~\("], [r"struct_ID", r"typedef_struct_ID"]),
-    "csharp": ([r"(?:public|private|protected|internal)?~(?:static|async|virtual|override)?~\w+_ID~\("], [r"class_ID", r"interface_ID", r"struct_ID", r"enum_ID"]),
-    "php": ([r"function_ID", r"(?:public|private|protected)_function_ID"], [r"class_ID", r"interface_ID", r"trait_ID"]),
-    "ruby": ([r"def_ID", r"def_self\.ID"], [r"class_ID", r"module_ID"]),
-    "swift": ([r"func_ID", r"(?:public|private|internal|fileprivate)_func_ID"], [r"class_ID", r"struct_ID", r"enum_ID", r"protocol_ID"]),
-    "kotlin": ([r"fun_ID", r"(?:public|private|internal|protected)?~fun_ID"], [r"class_ID", r"interface_ID", r"object_ID", r"enum_class_ID"]),
-    "html": ([r"<script[^>]*>", r"function_ID"], [r'class="([^"]+)"', r'id="([^"]+)"']),
-    "css": ([], _CSS),
-    "scss": _SCSS,
-    "sass": _SCSS,
-    "vue": ([*_TS[:3], _TSX[4]], _TS_TYPES),
-}
-_compiled: dict[str, tuple[list[re.Pattern], list[re.Pattern]]] = {}
-
-
+    "typescript": (
+        [r"function\s+(\w+)", r"const\s+(\w+)\s*=\s*\(", r"(\w+)\s*\([^)]*\)\s*\{", r"async\s+function\s+(\w+)"],
+        [r"class\s+(\w+)", r"interface\s+(\w+)", r"type\s+(\w+)"],
+    ),
+    "typescriptreact": (
+        [r"function\s+(\w+)", r"const\s+(\w+)\s*=\s*\(", r"(\w+)\s*\([^)]*\)\s*\{", r"async\s+function\s+(\w+)", r"export\s+(?:default\s+)?function\s+(\w+)", r"export\s+const\s+(\w+)\s*=\s*\("],
+        [r"class\s+(\w+)", r"interface\s+(\w+)", r"type\s+(\w+)"],
+    ),
+    "javascript": (
+        [r"function\s+(\w+)", r"const\s+(\w+)\s*=\s*\(", r"(\w+)\s*\([^)]*\)\s*\{", r"async\s+function\s+(\w+)"],
+        [r"class\s+(\w+)"],
+    ),
+    "javascriptreact": (
+        [r"function\s+(\w+)", r"const\s+(\w+)\s*=\s*\(", r"(\w+)\s*\([^)]*\)\s*\{", r"async\s+function\s+(\w+)", r"export\s+(?:default\s+)?function\s+(\w+)", r"export\s+const\s+(\w+)\s*=\s*\("],
+        [r"class\s+(\w+)"],
+    ),
+    "python": ([r"def\s+(\w+)"], [r"class\s+(\w+)"]),
+    "java": ([r"(?:public|private|protected)?\s*(?:static)?\s*\w+\s+(\w+)\s*\("], [r"class\s+(\w+)", r"interface\s+(\w+)", r"enum\s+(\w+)"]),
+    "go": ([r"func\s+(?:\([^)]*\)\s*)?(\w+)"], [r"type\s+(\w+)\s+struct", r"type\s+(\w+)\s+interface"]),
+    "rust": (
+        [r"fn\s+(\w+)", r"pub\s+fn\s+(\w+)", r"pub\s*\(\s*crate\s*\)\s*fn\s+(\w+)", r"async\s+fn\s+(\w+)", r"const\s+fn\s+(\w+)", r"unsafe\s+fn\s+(\w+)"],
+        [r"struct\s+(\w+)", r"enum\s+(\w+)", r"trait\s+(\w+)", r"impl\s+(?:<[^>]*>\s+)?(\w+)", r"type\s+(\w+)"],
+    ),
+    "cpp": (
+        [r"(?:void|int|bool|float|double|auto|const|static|virtual|inline)\s+(\w+)\s*\(", r"(\w+)\s*\([^)]*\)\s*(?:const)?\s*\{"],
+        [r"class\s+(\w+)", r"struct\s+(\w+)", r"namespace\s+(\w+)"],
+    ),
+    "c": ([r"(?:void|int|bool|float|double|char|const|static|inline)\s+(\w+)\s*\("], [r"struct\s+(\w+)", r"typedef\s+struct\s+(\w+)"]),
+    "csharp": (
+        [r"(?:public|private|protected|internal)?\s*(?:static|async|virtual|override)?\s*\w+\s+(\w+)\s*\("],
+        [r"class\s+(\w+)", r"interface\s+(\w+)", r"struct\s+(\w+)", r"enum\s+(\w+)"],
+    ),
+    "php": ([r"function\s+(\w+)", r"(?:public|private|protected)\s+function\s+(\w+)"], [r"class\s+(\w+)", r"interface\s+(\w+)", r"trait\s+(\w+)"]),
+    "ruby": ([r"def\s+(\w+)", r"def\s+self\.(\w+)"], [r"class\s+(\w+)", r"module\s+(\w+)"]),
+    "swift": ([r"func\s+(\w+)", r"(?:public|private|internal|fileprivate)\s+func\s+(\w+)"], [r"class\s+(\w+)", r"struct\s+(\w+)", r"enum\s+(\w+)", r"protocol\s+(\w+)"]),
+    "kotlin": ([r"fun\s+(\w+)", r"(?:public|private|internal|protected)?\s*fun\s+(\w+)"], [r"class\s+(\w+)", r"interface\s+(\w+)", r"object\s+(\w+)", r"enum\s+class\s+(\w+)"]),
+    "html": ([r"<script[^>]*>", r"function\s+(\w+)"], [r'class="([^"]+)"', r'id="([^"]+)"']),
+    "css": ([], [r"\.([a-zA-Z][\w-]*)", r"#([a-zA-Z][\w-]*)"]),
+    "scss": ([r"@mixin\s+(\w+)", r"@function\s+(\w+)"], [r"\.([a-zA-Z][\w-]*)", r"#([a-zA-Z][\w-]*)", r"%([a-zA-Z][\w-]*)"]),
+    "sass": ([r"@mixin\s+(\w+)", r"@function\s+(\w+)"], [r"\.([a-zA-Z][\w-]*)", r"#([a-zA-Z][\w-]*)", r"%([a-zA-Z][\w-]*)"]),
+    "vue": (
+        [r"function\s+(\w+)", r"const\s+(\w+)\s*=\s*\(", r"(\w+)\s*\([^)]*\)\s*\{", r"export\s+(?:default\s+)?function\s+(\w+)"],
+        [r"class\s+(\w+)", r"interface\s+(\w+)", r"type\s+(\w+)"],
+    ),
+}
+#: Fixed value: what counts as space beside a line's end.
+JS_SPACE = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_TO_SPACE = dict.fromkeys(map(ord, JS_SPACE), " ")
+
+
+@cache
 def patterns(language: str) -> tuple[list[re.Pattern], list[re.Pattern]]:
-    if language not in _compiled:
-        own = PATTERNS.get(language, ([], []))
-        _compiled[language] = ([_made(p) for p in own[0]], [_made(p) for p in own[1]])
-    return _compiled[language]
-
-
-def _made(pattern: str) -> re.Pattern:
-    """\\w is ASCII; in patterns of attributes and selectors nothing stands for space."""
-    spaced = pattern if pattern.startswith((r"\.", "#", "%", "class=", "id=")) else pattern.replace("_", r"\s+").replace("~", r"\s*")
-    return re.compile(spaced.replace("ID", "([A-Za-z0-9_]+)").replace(r"\w", "[A-Za-z0-9_]").replace("[[A-Za-z0-9_]-]", "[A-Za-z0-9_-]"))
+    functions, classes = PATTERNS.get(language, ([], []))
+    return [re.compile(p, re.ASCII) for p in functions], [re.compile(p, re.ASCII) for p in classes]
 
 
 @dataclass(frozen=True)
@@ -89,12 +105,13 @@ def spans(content: str, language: str, chunk_size: int = 500) -> list[Span]:
         return []
     lines, found, i = content.split("\n"), [], 0
     while i < len(lines):
-        line = lines[i]
+        line = lines[i] if lines[i].isascii() else lines[i].translate(_TO_SPACE)
+        begin = i
         for kind, tries in (("function_name", functions), ("class_name", classes)):
             m = next((m for p in tries if (m := p.search(line))), None)
             if m:
                 end = block_end(lines, i, language, chunk_size)
-                found.append(Span(i, end, **{kind: (m[1] if m.re.groups else None) or None}))
+                found.append(Span(i, end, **{kind: (lines[begin][m.start(1) : m.end(1)] if m.re.groups else None) or None}))
                 i = end
         i += 1
     return found
@@ -117,19 +134,39 @@ def line_windows(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFr
     starts = lines.select("*", F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size - overlap))).alias("start_line"))
     cut = starts.select("file_path", "language", "start_line", (F.least(F.col("start_line") + size, F.size("lines")) - 1).alias("end_line"), F.array_join(F.slice("lines", F.col("start_line") + 1, F.lit(size)), "\n").alias("content"))
     none = F.lit(None).cast("string")
-    return _with_ids(cut.where(F.col("content").rlike(r"(?U)[^\s\x{FEFF}]")).select("*", none.alias("function_name"), none.alias("class_name")))
+    return _with_ids(cut.where(F.trim("content", F.lit(JS_SPACE)) != "").select("*", none.alias("function_name"), none.alias("class_name")))
+
 
+_CUT = {"file_path": pa.string(), "language": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "content": pa.string(), "function_name": pa.string(), "class_name": pa.string()}
+_CUT_DDL = "file_path string, language string, start_line int, end_line int, content string, function_name string, class_name string"
+
+
+def _cut(chunk_size: int, overlap: int | None, marked: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(file_path, content, language) to chunks: the spans, or without any, if an overlap is given, line
+    windows. marked: each file also gives a row without lines, which tells that it was read."""
+
+    def pieces(content: str, language: str) -> Iterator[Span]:
+        found = spans(content, language, chunk_size)
+        if found or overlap is None:
+            yield from found
+        else:
+            n = content.count("\n") + 1
+            yield from (Span(s, min(s + chunk_size, n) - 1) for s in range(0, n, chunk_size - overlap))
 
-def _structured(chunk_size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("file_path", "language", "start_line", "end_line", "content", "function_name", "class_name")}
+            out: dict[str, list] = {k: [] for k in _CUT}
             for path, content, language in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lines = content.split("\n")
-                for s in spans(content, language, chunk_size):
-                    for k, v in zip(out, (path, language, s.start, s.end, "\n".join(lines[s.start : s.end + 1]), s.function_name, s.class_name), strict=True):
+                if marked:
+                    for k, v in zip(out, (path, language, None, None, None, None, None), strict=True):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if "line" in k else pa.string()) for k, v in out.items()], list(out))
+                lines = content.split("\n")
+                for s in pieces(content, language or ""):
+                    text = "\n".join(lines[s.start : s.end + 1])
+                    if text.strip(JS_SPACE):  # a span is never blank
+                        for k, v in zip(out, (path, language, s.start, s.end, text, s.function_name, s.class_name), strict=True):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), _CUT.values(), strict=True)], list(out))
 
     return run
 
@@ -138,19 +175,26 @@ def structured_chunks(files: DataFrame, chunk_size: int = 500) -> DataFrame:
     """A chunk for each span of files(file_path, content, language). The scan for block ends is
     sequential within a file, so it runs in Python, over Arrow batches."""
     own = files.select("file_path", "content", "language").where("file_path is not null and content is not null")
-    return _with_ids(own.mapInArrow(_structured(chunk_size), "file_path string, language string, start_line int, end_line int, content string, function_name string, class_name string"))
+    return _with_ids(own.mapInArrow(_cut(chunk_size, None), _CUT_DDL))
+
+
+def cut_files(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """Structured chunks of the files that have spans, line windows of the others, and a row with a null
+    id for each file. One pass, so files that are read lazily are opened once."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be less than size")
+    own = files.select("file_path", "content", "language").where("file_path is not null and content is not null")
+    cut = own.mapInArrow(_cut(size, overlap, marked=True), _CUT_DDL)
+    return _with_ids(cut).withColumn("id", F.when(F.col("start_line").isNotNull(), F.col("id")))
 
 
 def chunk_files(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
-    """Structured chunks of the files that have spans, line windows of the others.
-
-    Files of languages without patterns never leave the JVM. A chunk that two spans share by id is
-    kept once, the last one's names with it."""
-    own = files.select("file_path", "content", "language").where("content is not null")
-    known = F.col("language").isin(list(PATTERNS))
-    found = structured_chunks(own.where(known), size)
-    without = own.where(known).join(found.select("file_path").distinct(), "file_path", "left_anti")
-    windows = line_windows(own.where(~known).unionByName(without), size, overlap)
-    rest = [F.max_by(c, F.coalesce("class_name", F.lit(""))).alias(c) for c in ("function_name", "class_name")]
-    once = found.groupBy("id", "file_path", "start_line", "end_line", "content", "content_hash", "language").agg(*rest)
-    return once.select(windows.columns).unionByName(windows)
+    """The chunks of cut_files. One that two spans share by id is kept once, the last one's names with it."""
+    return one_per_id(cut_files(files, size, overlap).where("id is not null"))
+
+
+def one_per_id(chunks: DataFrame) -> DataFrame:
+    """Chunks of which two spans of one line, a function and a class, share the id, once, as the class."""
+    rest = [c for c in chunks.columns if c != "id"]
+    last = F.max_by(F.struct(*rest), F.coalesce("class_name", F.lit("")))
+    return chunks.groupBy("id").agg(last.alias("c")).select("id", *[F.col(f"c.{c}").alias(c) for c in rest])
