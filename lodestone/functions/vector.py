@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
-from struct import unpack
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger("lodestone")
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -52,7 +54,10 @@ def cosine_to(query: Sequence[float], column: Column) -> Column:
     return score(column)
 
 
-@F.udf(T.ArrayType(T.FloatType(), False))
-def from_blob(blob):  # noqa: ANN001, ANN201
-    """A vector from little-endian float32 bytes; null if they aren't whole floats. For imports."""
-    return None if blob is None or len(blob) % 4 else list(unpack(f"<{len(blob) // 4}f", bytes(blob)))
+@F.pandas_udf(T.ArrayType(T.FloatType(), False))
+def from_blob(blobs: pd.Series) -> pd.Series:
+    """Vectors from little-endian float32 bytes; null if they aren't whole floats. For imports."""
+    broken = sum(b is not None and len(b) % 4 > 0 for b in blobs)
+    if broken:
+        log.warning("%d vectors are not whole floats", broken)
+    return pd.Series([None if b is None or len(b) % 4 else np.frombuffer(b, "<f4") for b in blobs], dtype=object)

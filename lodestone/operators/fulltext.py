@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Phrase, stems, tokens
@@ -15,22 +15,27 @@ COLUMNS = ("file_path", "function_name", "class_name", "content")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def postings(chunks: DataFrame, columns: Sequence[str] = COLUMNS, stemmed: bool = True) -> DataFrame:
+def postings(chunks: DataFrame, columns: Sequence[str] = COLUMNS, stemmed: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """chunk_id, dl, col_no, pos, term for each token of the columns; one set of rows for each id. dl is
-    the chunk's number of tokens, so that a query needs no other rows than those of its terms.
+    the chunk's number of tokens, so that a query needs no other rows than those of its terms. carry:
+    more columns of the chunks.
 
     The index to persist: write it sorted or bucketed by term, and a query reads its terms only."""
     words = [stems(tokens(F.col(c))) if stemmed else tokens(F.col(c)) for c in columns]
-    rows = chunks.select(F.col("id").alias("chunk_id"), F.array(*words).alias("all"))
+    rows = chunks.select(F.col("id").alias("chunk_id"), *carry, F.array(*words).alias("all"))
     dl = F.aggregate("all", F.lit(0).cast("bigint"), lambda s, w: s + F.size(w))
-    rows = rows.select("chunk_id", dl.alias("dl"), F.posexplode_outer("all").alias("col_no", "words"))  # outer: else a filter would tokenize again
-    return rows.select("chunk_id", "dl", "col_no", F.posexplode("words").alias("pos", "term"))
+    rows = rows.select("chunk_id", *carry, dl.alias("dl"), F.posexplode_outer("all").alias("col_no", "words"))  # outer: else a filter would tokenize again
+    return rows.select("chunk_id", *carry, "dl", "col_no", F.posexplode("words").alias("pos", "term"))
+
+
+def n_tokens(columns: Sequence[str] = COLUMNS) -> Column:
+    """The number of tokens of a chunk."""
+    return sum((F.size(tokens(F.col(c))).cast("bigint") for c in columns), F.lit(0).cast("bigint"))
 
 
 def corpus_of(chunks: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
     """The same as corpus of the postings, straight from the texts."""
-    dl = sum((F.size(tokens(F.col(c))).cast("bigint") for c in columns), F.lit(0).cast("bigint"))
-    return chunks.select(dl.alias("dl")).agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n"), F.sum("dl").alias("tokens"))
+    return chunks.select(n_tokens(columns).alias("dl")).agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n"), F.sum("dl").alias("tokens"))
 
 
 def corpus(index: DataFrame) -> DataFrame:

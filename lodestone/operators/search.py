@@ -58,6 +58,21 @@ class Searcher:
         self.corpus = corpus
         self.chunks, self.index, self.embed, self.config, self.stemmed = chunks, index, embed, config, stemmed
 
+    def cache(self) -> Searcher:
+        """Keeps the tables in memory, as far as it goes, for many queries; close releases them."""
+        self.chunks, self.index = self.chunks.persist(), self.index.persist()
+        return self
+
+    def close(self) -> None:
+        self.chunks.unpersist()
+        self.index.unpersist()
+
+    def __enter__(self) -> Searcher:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def _semantic(self, text: str, limit: int, extra: Sequence[str] = ()) -> DataFrame:
         vectors = self.chunks.select("id", *extra, "embedding", *(["norm"] if "norm" in self.chunks.columns else []))
         return vector_topk(vectors, self.embed(text), limit, extra=extra)
@@ -67,40 +82,54 @@ class Searcher:
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """chunk, similarity, best first, by the configured mode. A blank query is an error."""
+        return self._placed(query, limit).orderBy("place").select("chunk", "similarity")
+
+    def _placed(self, query: str, limit: int) -> DataFrame:
+        """chunk, similarity, place of search; the window is over the limited hits."""
         if not query or not query.strip():
             raise ValueError("the query is empty")
-        return {"hybrid": self.hybrid, "semantic": self.semantic, "keyword": self.keyword}[self.config.search_mode](query, limit)
+        hits, order = {"hybrid": self._hybrid_hits, "semantic": self._semantic_hits, "keyword": self._keyword_hits}[self.config.search_mode](query, limit)
+        placed = hits.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        return with_chunks(placed.select("id", "similarity", "place"), self.chunks)
+
+    def _semantic_hits(self, query: str, limit: int) -> tuple[DataFrame, list[Column]]:
+        return self._semantic(query, limit), [F.desc("similarity"), F.col("id")]
 
     def semantic(self, query: str, limit: int = 10) -> DataFrame:
         return with_chunks(self._semantic(query, limit), self.chunks).orderBy(F.desc("similarity"), "chunk.id")
 
+    def _keyword_hits(self, query: str, limit: int) -> tuple[DataFrame, list[Column]]:
+        return fusion.from_best(self._keyword(query, limit)), [F.col("rank"), F.col("id")]
+
     def keyword(self, query: str, limit: int = 10) -> DataFrame:
         """Similarities are relative to the best and the worst of the hits; a single hit has 1."""
-        hits = fusion.from_best(self._keyword(query, limit))
+        hits, _ = self._keyword_hits(query, limit)
         return with_chunks(hits, self.chunks).orderBy("rank", "chunk.id").select("chunk", "similarity")
 
     def hybrid(self, query: str, limit: int = 10) -> DataFrame:
         """The fused best of twice as many hits of each arm; similarities are relative to the least
         and the most of the limited result, so the last hit, and a single one, has 0."""
+        hits, order = self._hybrid_hits(query, limit)
+        return with_chunks(hits, self.chunks).orderBy(*order).select("chunk", "similarity")
+
+    def _hybrid_hits(self, query: str, limit: int) -> tuple[DataFrame, list[Column]]:
         arms = [
             fusion.ranked(self._semantic(query, 2 * limit), "semantic", F.desc("similarity"), F.col("id")),
             fusion.ranked(self._keyword(query, 2 * limit), "keyword", F.col("rank"), F.col("id")),
             fusion.ranked(fuzzy_topk(self.chunks, query, F.col("file_path"), 2 * limit), "fuzzy", F.desc("score"), F.col("id")),
         ]
-        hits = fusion.min_max(fusion.rrf(arms[0].unionByName(arms[1]).unionByName(arms[2]), self.config.rrf_k, limit))
-        return with_chunks(hits, self.chunks).orderBy(F.desc("score"), "met").select("chunk", "similarity")
+        return fusion.min_max(fusion.rrf(arms[0].unionByName(arms[1]).unionByName(arms[2]), self.config.rrf_k, limit)), [F.desc("score"), F.col("met")]
 
     def filtered(self, query: str, limit: int = 10, min_similarity: float = 0.0, file_pattern: str | None = None, language: str | None = None) -> DataFrame:
         """search with filters over twice as many hits: the filters stay above that limit."""
-        hits = self.search(query, 2 * limit)
-        kept = hits
+        kept = self._placed(query, 2 * limit)
         if min_similarity > 0:
             kept = kept.where(F.col("similarity") >= min_similarity)
         if file_pattern:
             kept = kept.where(F.col("chunk.file_path").contains(file_pattern))
         if language:
             kept = kept.where(F.col("chunk.language") == language)
-        return kept.limit(limit)
+        return kept.orderBy("place").limit(limit).select("chunk", "similarity")
 
     def similar_files(self, file_path: str, limit: int = 15) -> DataFrame:
         """The best chunk of each other file, by the content of the file's first chunk."""
