@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup
-from ..operators.chunker import chunk_files
+from ..operators.chunker import cut_files, one_per_id
 from ..schema import CHUNK, Config
-from ..sources.providers import ContextProvider, EmbeddingProvider, embed_column, enrich
+from ..sources.providers import ContextProvider, EmbeddingProvider, context_of, embed_column, embedder_of, enrich
+from ..sources.scratch import shared_dir
 from ..sources.store import Store
 
-
 log = logging.getLogger("lodestone")
 
 
@@ -32,38 +33,75 @@ def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], list]]:
 
 def prepared(chunks: DataFrame, embedder: EmbeddingProvider, context: ContextProvider | None, config: Config, now: int) -> DataFrame:
     """New chunks as rows of the table: enriched if wanted, embedded by the enriched text or else the
-    content; those whose embedding fails are dropped."""
+    content; those whose embedding fails are dropped. Both are asked once for each row: Spark takes
+    them for not deterministic, so the last filter stays above."""
     if config.enable_context and context is not None:
-        c = enrich(chunks, context, config.context_prompt)
+        c = enrich(chunks, context, config.context_prompt, config.context_batch_size)
         fields = {k: F.col(f"context.{k}") for k in ("summary", "purpose", "related_concepts", "usage_patterns", "dependencies")}
-        chunks = c.withColumns({"enriched_context": F.col("context.full_context"), **fields}).drop("context")
+        chunks = c.withColumns({"enriched_context": F.col("context.full_context"), **fields}).drop("context", "related")
     else:
         chunks = chunks.withColumn("enriched_context", F.lit(None).cast("string"))
     text = F.coalesce(F.nullif("enriched_context", F.lit("")), F.col("content"))
-    out = chunks.withColumns({"embedding": embed_column(embedder, text), "created_at": F.lit(now), "updated_at": F.lit(now)})
+    out = chunks.withColumns({"embedding": embed_column(embedder, text, config.batch_size), "created_at": F.lit(now), "updated_at": F.lit(now)})
     known = out.columns
     return out.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK.fields]).where("embedding is not null")
 
 
-def index_files(store: Store, files: DataFrame, embedder: EmbeddingProvider, config: Config = Config(), context: ContextProvider | None = None, removed: DataFrame | None = None, now: int | None = None) -> str:
+_busy: set[str] = set()
+
+
+@contextmanager
+def single_flight(name: str) -> Iterator[None]:
+    """One indexing of a store at a time in this process; the store itself refuses those of others."""
+    if name in _busy:
+        raise RuntimeError(f"{name} is being indexed already")
+    _busy.add(name)
+    try:
+        yield
+    finally:
+        _busy.discard(name)
+
+
+def index_files(
+    store: Store, files: DataFrame, embedder: EmbeddingProvider | None = None, config: Config = Config(), context: ContextProvider | None = None, removed: DataFrame | None = None,
+    now: int | None = None, progress: Callable[[str], None] | None = None, tag: str = "lodestone-index",
+) -> int:
     """Brings the store up to date with files(file_path, content, language), and without removed ones.
 
-    Only chunks whose hash is new are enriched and embedded; unchanged ones keep their rows. A file
-    without chunks loses its old ones."""
+    The files are read and cut once, into a table in the shared folder; a lost executor doesn't make
+    them be read again. Only chunks whose hash is new are enriched and embedded, each once; unchanged
+    ones keep their rows. A file without chunks loses its old ones. Only the buckets of these files
+    are rewritten. Without a provider the configured one is used. progress is told each step; jobs
+    carry the tag, by which they can be cancelled, and a cancelled indexing changes nothing."""
+    spark, tell = store.spark, progress or log.info
+    embedder, context = embedder or embedder_of(config), context or context_of(config)
     now = int(time.time() * 1000) if now is None else now
-    old = store.chunks().select(*CHUNK.fieldNames())
-    paths = files.select("file_path")
-    gone = paths if removed is None else paths.unionByName(removed.select("file_path"))
-    new = chunk_files(files, config.chunk_size, config.chunk_overlap)
-    fresh = prepared(lookup.to_process(old.select("id", "content_hash"), new), embedder, context, config, now)
-    same = old.join(new.select(F.col("id").alias("n_id"), F.col("content_hash").alias("n_hash")), (F.col("id") == F.col("n_id")) & (F.col("content_hash") == F.col("n_hash")), "left_semi")
-    began = time.perf_counter()
-    version = store.commit(lookup.delete_files(old, gone).unionByName(same).unionByName(fresh))
-    log.info("indexed to %s in %.1f s", version, time.perf_counter() - began)
+    began, scratch = time.perf_counter(), f"{shared_dir(spark)}/lodestone-cut-{uuid.uuid4().hex}"
+    with single_flight(store.root), cancellable(spark, tag):
+        base = store.state()
+        try:
+            tell("reading and cutting files")
+            cut = cut_files(files, config.chunk_size, config.chunk_overlap)
+            cut.write.parquet(scratch)
+            cut = spark.read.schema(cut.schema).parquet(scratch)
+            paths = cut.where("id is null").select("file_path")
+            gone = (paths if removed is None else paths.unionByName(removed.select("file_path"))).distinct()
+            touched = store.buckets_of(gone, base)
+            if not touched:
+                return base.number
+            old, new = store.chunks(base, touched).select(*CHUNK.fieldNames()), one_per_id(cut.where("id is not null"))
+            tell(f"embedding what is new in {len(touched)} of {base.buckets} buckets")
+            fresh = prepared(lookup.to_process(old.select("id", "content_hash"), new), embedder, context, config, now)
+            same = old.join(new.select(F.col("id").alias("n_id"), F.col("content_hash").alias("n_hash")), (F.col("id") == F.col("n_id")) & (F.col("content_hash") == F.col("n_hash")), "left_semi")
+            version = store.write(lookup.delete_files(old, gone).unionByName(same).unionByName(fresh), touched, base)
+        finally:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    tell(f"indexed to version {version} in {time.perf_counter() - began:.1f} s")
     return version
 
 
-def index_if_empty(store: Store, files: Callable[[], DataFrame], embedder: EmbeddingProvider, config: Config = Config(), context: ContextProvider | None = None) -> bool:
+def index_if_empty(store: Store, files: Callable[[], DataFrame], embedder: EmbeddingProvider | None = None, config: Config = Config(), context: ContextProvider | None = None) -> bool:
     """Indexes at first use: only if the store has no chunk, and only then are the files listed."""
     if not store.chunks().isEmpty():
         return False
@@ -71,7 +109,7 @@ def index_if_empty(store: Store, files: Callable[[], DataFrame], embedder: Embed
     return True
 
 
-def reindex(store: Store, files: DataFrame, embedder: EmbeddingProvider, config: Config = Config(), context: ContextProvider | None = None) -> str:
+def reindex(store: Store, files: DataFrame, embedder: EmbeddingProvider | None = None, config: Config = Config(), context: ContextProvider | None = None) -> int:
     """Drops everything and indexes anew."""
     store.clear()
     return index_files(store, files, embedder, config, context)

@@ -16,7 +16,7 @@ from ..operators.chunker import line_windows, structured_chunks
 from ..operators.search import Searcher, best_per, chunks_at_lines, fuzzy_topk, vector_topk
 from ..schema import EXCLUDED, Config
 from ..sources.providers import HashingEmbedder
-from ..sources.scratch import shared_dir
+from ..sources.scratch import forget_at_exit, shared_dir
 from ..sources.store import Store
 from ..streaming.feed import latest, start_feed
 
@@ -332,6 +332,7 @@ def latest_event_per_key(spark: SparkSession, d: str) -> DataFrame:
 def stream_index(spark: SparkSession, d: str) -> DataFrame:
     """The store after the change feed has taken all events."""
     root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    forget_at_exit(spark, root)
     store = Store(spark, f"{root}/store")
     schema = table(spark, d, "events").schema
     stream = _events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
@@ -57,9 +58,15 @@ class Config:
     index_on_save: bool = True
     enable_context: bool = False
     context_prompt: str = ""
+    #: Names of providers in the registries, and the arguments they are made with.
     context_provider: str = "none"
+    context_options: Mapping[str, object] = field(default_factory=dict)
     embedding_provider: str = "hashing"
+    embedding_options: Mapping[str, object] = field(default_factory=dict)
+    #: Requests that a task sends to a provider at a time.
     batch_size: int = 10
+    context_batch_size: int = 10
+    debug_logging: bool = False
     lenient_keywords: bool = False
 
     def __post_init__(self) -> None:
@@ -67,5 +74,7 @@ class Config:
             raise ValueError(f"unknown search mode {self.search_mode!r}")
         if not 1 <= self.rrf_k <= 100:
             raise ValueError("rrf_k must be 1 to 100")
+        if not 1 <= self.batch_size <= 50 or not 1 <= self.context_batch_size <= 20:
+            raise ValueError("batch_size must be 1 to 50, context_batch_size 1 to 20")
         if not 0 <= self.chunk_overlap < self.chunk_size:
             raise ValueError("chunk_overlap must be less than chunk_size")

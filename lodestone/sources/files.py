@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,18 +14,52 @@ from pyspark.sql import functions as F
 from ..functions.paths import excluded, extension, language
 from ..schema import FILE, Config
 
+log = logging.getLogger("lodestone")
+
+
+#: Folders that the driver finds before it leaves the rest of the listing to the executors.
+FOLDERS = 64
+
+
+def _entries(folder: str) -> Iterator[tuple[str, int | None]]:
+    """URI and length of what is in a folder; folders have none. A folder that can't be listed is empty."""
+    try:
+        store, name = fs.FileSystem.from_uri(folder)
+        scheme = folder.removesuffix(name)
+        for x in store.get_file_info(fs.FileSelector(name)):
+            yield scheme + x.path, x.size if x.is_file else None
+    except OSError as e:
+        log.warning("%s can't be listed: %s", folder, e)
+
+
+def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folders to the files at any depth below them."""
+    for b in batches:
+        for folder in b.column(0).to_pylist():
+            todo = [folder]
+            while todo:
+                here = list(_entries(todo.pop()))
+                todo += [p for p, n in here if n is None]
+                files = [x for x in here if x[1] is not None]
+                if files:
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in files], pa.string()), pa.array([n for _, n in files], pa.int64())], ["file_path", "length"])
+
 
 def listed(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
     """file_path, length of the indexable files below a folder, by the file system's own listing,
-    which also sees names that begin with _ or a dot."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(root)
-    found, files = [], path.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(path, True)
-    while files.hasNext():
-        f = files.next()
-        found.append((f.getPath().toString(), f.getLen()))
-    base = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return indexable(spark.createDataFrame(found, "file_path string, length long"), config, base)
+    which also sees names that begin with _ or a dot. The driver lists the upper levels, until it has
+    FOLDERS folders; each of these is a row that an executor lists to the bottom."""
+    root = root if "://" in root or root.startswith("file:") else os.path.abspath(root)
+    folders, files = [root.rstrip("/")], []
+    while folders and len(folders) < FOLDERS:
+        found = [x for f in folders for x in _entries(f)]
+        files += [x for x in found if x[1] is not None]
+        folders = [p for p, n in found if n is None]
+    out = spark.createDataFrame(files, "file_path string, length long")
+    if folders:
+        deeper = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 8 * FOLDERS))
+        out = out.unionByName(deeper.mapInArrow(_below, "file_path string, length long"))
+    return indexable(out, config, root)
 
 
 def indexable(files: DataFrame, config: Config = Config(), root: str = "") -> DataFrame:
@@ -40,15 +76,20 @@ def _quoted(s: str) -> str:
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path in b.column(0).to_pylist():  # a file at a time, so that a batch holds no more
-            store, name = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(name) as f:
-                raw = f.read()
+            try:
+                store, name = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(name) as f:
+                    raw = f.read()
+            except (OSError, pa.ArrowInvalid) as e:
+                log.warning("%s is left out: %s", path, e)
+                continue
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(raw)], pa.int64()), pa.array([raw.decode("utf-8", "replace")])], ["file_path", "length", "content"])
 
 
 def read_files(paths: DataFrame, tasks: int | None = None) -> DataFrame:
     """file_path, length, content, language of listed files, decoded as UTF-8. Executors open them, by
-    URI; Spark's own readers would skip names that begin with _ or a dot."""
+    URI; Spark's own readers would skip names that begin with _ or a dot. A file that can't be read
+    is logged and left out."""
     own = paths.select("file_path")
     return with_language((own.repartition(tasks) if tasks else own).mapInArrow(_opened, FILE))
 

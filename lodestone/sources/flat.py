@@ -22,7 +22,7 @@ def to_blob(vectors: pd.Series) -> pd.Series:
 
 def to_flat(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows without vectors, lists as JSON, and the vectors as (chunk_id, embedding bytes)."""
-    rows = chunks.drop("embedding", "norm").withColumns({c: F.to_json(c) for c in _LISTS})
+    rows = chunks.drop("embedding", "norm", "dl").withColumns({c: F.to_json(c) for c in _LISTS})
     return rows, chunks.select(F.col("id").alias("chunk_id"), to_blob("embedding").alias("embedding"))
 
 

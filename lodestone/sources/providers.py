@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import math
 import re
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
@@ -17,6 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.context import fallback_context, full_context, parse_context, prompt
+from ..schema import Config
+
+log = logging.getLogger("lodestone")
 
 #: Seconds before each further try, and until a request is given up.
 WAITS, EMBED_TIMEOUT, CONTEXT_TIMEOUT = (1, 2, 4), 30, 60
@@ -91,19 +96,20 @@ class OllamaEmbedder:
 
 
 class CustomEmbedder:
-    """An OpenAI-style server, at /v1/embeddings or else at /embeddings."""
+    """An OpenAI-style server at /v1/embeddings or, if that request fails in any way, a plain one at
+    /embeddings, which takes the text alone. Both are tried again if the second failure may pass."""
 
     def __init__(self, url: str, model: str, key: str = "") -> None:
         self.url, self.model, self.key = url.rstrip("/"), model, key
 
     def embed(self, text: str) -> list[float]:
-        body = {"model": self.model, "input": text}
-        try:
-            return embedding_of(retrying(lambda: post(f"{self.url}/v1/embeddings", body, EMBED_TIMEOUT, self.key)))
-        except HTTPError as e:
-            if e.code != 404:
-                raise
-            return embedding_of(retrying(lambda: post(f"{self.url}/embeddings", body, EMBED_TIMEOUT, self.key)))
+        def ask() -> dict:
+            try:
+                return post(f"{self.url}/v1/embeddings", {"model": self.model, "input": text}, EMBED_TIMEOUT, self.key)
+            except Exception:
+                return post(f"{self.url}/embeddings", {"text": text}, EMBED_TIMEOUT, self.key)
+
+        return embedding_of(retrying(ask))
 
 
 class OllamaContext:
@@ -130,6 +136,36 @@ EMBEDDERS: dict[str, Callable[..., EmbeddingProvider]] = {"hashing": HashingEmbe
 CONTEXTS: dict[str, Callable[..., ContextProvider]] = {"ollama": OllamaContext, "custom": CustomContext}
 
 
+def embedder_of(config: Config) -> EmbeddingProvider:
+    return EMBEDDERS[config.embedding_provider](**config.embedding_options)
+
+
+def context_of(config: Config) -> ContextProvider | None:
+    """The configured provider of contexts; None if contexts aren't wanted."""
+    wanted = config.enable_context and config.context_provider != "none"
+    return CONTEXTS[config.context_provider](**config.context_options) if wanted else None
+
+
+def _each(call: Callable[[object], object], items: Iterable, at_a_time: int, what: str) -> list:
+    """call(item) of each, None where it fails; at_a_time of them at once."""
+
+    def one(x: object) -> object:
+        try:
+            return None if x is None else call(x)
+        except Exception as e:
+            log.warning("%s failed: %s", what, e)
+            return None
+
+    items, began = list(items), time.perf_counter()
+    if at_a_time == 1 or len(items) < 2:
+        out = list(map(one, items))
+    else:
+        with ThreadPoolExecutor(min(at_a_time, len(items))) as pool:
+            out = list(pool.map(one, items))
+    log.debug("%s: %d in %.3f s, %.4f s each", what, len(items), took := time.perf_counter() - began, took / max(1, len(items)))
+    return out
+
+
 def ping(provider: EmbeddingProvider | ContextProvider) -> bool:
     """Whether a provider answers at all."""
     try:
@@ -138,38 +174,33 @@ def ping(provider: EmbeddingProvider | ContextProvider) -> bool:
         return False
 
 
-def embed_column(provider: EmbeddingProvider, text: Column) -> Column:
-    """The embedding of a column of texts, null where the provider fails; Arrow batches."""
+def embed_column(provider: EmbeddingProvider, text: Column, at_a_time: int = 1) -> Column:
+    """The embedding of a column of texts, null where the provider fails; Arrow batches, of whose texts
+    at_a_time are sent at once. Not deterministic to Spark, so no plan asks twice for a row."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(t: str | None) -> list[float] | None:
-            try:
-                return None if t is None else provider.embed(t)
-            except Exception:
-                return None
-
         for b in batches:
-            yield b.map(one)
+            yield pd.Series(_each(provider.embed, b, at_a_time, "embedding"), b.index, dtype=object)
+
+    return run.asNondeterministic()(text)
+
 
-    return run(text)
+def enrich(chunks: DataFrame, provider: ContextProvider, template: str = "", at_a_time: int = 1) -> DataFrame:
+    """chunks with a context column, from the provider's answers or, where it fails, what stands in.
 
+    A column related, an array of structs with file_path, language and content, goes into the prompts."""
+    names = ["file_path", "start_line", "end_line", "content", "language", *(["related"] if "related" in chunks.columns else [])]
 
-def enrich(chunks: DataFrame, provider: ContextProvider, template: str = "") -> DataFrame:
-    """chunks with a context column, from the provider's answers or, where it fails, what stands in."""
-    names = ["file_path", "start_line", "end_line", "content", "language"]
+    def answer(r: dict) -> str:
+        near = r.pop("related", None)
+        return provider.answer(prompt(r, template, [] if near is None else list(near)))
 
     @F.pandas_udf("string")
     def ask(rows: pd.DataFrame) -> pd.Series:
-        def one(r: dict) -> str | None:
-            try:
-                return provider.answer(prompt(r, template))
-            except Exception:
-                return None
-
-        return pd.Series([one(r) for r in rows.to_dict("records")], dtype=object)
+        return pd.Series(_each(answer, rows.to_dict("records"), at_a_time, "context"), dtype=object)
 
-    asked = chunks.withColumn("answer_", ask(F.struct(*names)))
+    asked = chunks.withColumn("answer_", ask.asNondeterministic()(F.struct(*names)))
     own = {k: F.col(k) for k in ("file_path", "function_name", "class_name", "content", "start_line", "end_line")}
     parsed = parse_context(F.col("answer_"))
     fields = {k: parsed[k] for k in ("summary", "purpose", "related_concepts", "usage_patterns", "dependencies")}

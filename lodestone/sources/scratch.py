@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from contextlib import suppress
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
+
+
+_roots: set[str] = set()
+
+
+def forget_at_exit(spark: SparkSession, root: str) -> None:
+    """Removes a folder when the process ends, also if its Spark has been stopped before."""
+    if root in _roots:
+        return
+    _roots.add(root)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def remove() -> None:
+        with suppress(Exception):  # without a JVM nothing can be done any more
+            store.delete(path, True)
+
+    atexit.register(remove)

@@ -1,109 +1,197 @@
-"""Versioned Parquet tables: chunks with embeddings, and postings."""
+"""Versioned Parquet tables: chunks with embeddings, and postings, in buckets of files."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import norm
 from ..operators import lookup
-from ..operators.fulltext import corpus, postings
+from ..operators.fulltext import n_tokens, postings
 from ..schema import CHUNK
 
+#: The chunks with what is derived from them: the vector's norm, and the number of tokens.
+STORED = T.StructType([*CHUNK.fields, T.StructField("norm", T.DoubleType()), T.StructField("dl", T.LongType())])
+POSTING = "chunk_id string, dl bigint, col_no int, pos int, term string"
 
 
-#: Marks a version as committed.
-_DONE = "_COMMITTED"
+class ConcurrentCommit(RuntimeError):
+    """Another writer has committed since this one has read the store."""
+
+
+@dataclass(frozen=True)
+class State:
+    """A version: its number, and for each bucket with rows the commit that wrote it, its chunks with
+    tokens, and their tokens."""
+
+    number: int = 0
+    buckets: int = 0
+    at: dict[int, tuple[str, int, int]] = field(default_factory=dict)
 
 
 class Store:
     """A folder with versions of the tables.
 
-    A commit writes a new version, chunks sorted by file and postings by term so that statistics
-    skip what a query doesn't need; creating an empty file in it makes it the current one. A commit
-    that fails half-way changes nothing, and readers of an older version are not disturbed;
-    superseded versions are removed by vacuum. Writers must be one at a time."""
+    Files fall into buckets by a hash of their path. A commit writes the buckets it touches, chunks
+    sorted by file and postings by term so that statistics skip what a query doesn't need, and then
+    the version: a small file that names the commit of each bucket. So a change of one file rewrites
+    one bucket. That file is created only if it isn't there, so of two writers that began at one
+    version the later fails and loses nothing of the other's. A commit that fails half-way changes
+    nothing; readers of an older version are not disturbed; vacuum removes what no kept version names.
+
+    buckets: how many, set by the first commit; some gigabyte each is a good size."""
 
-    def __init__(self, spark: SparkSession, root: str, stemmed: bool = True, keep: int = 2) -> None:
-        self.spark, self.root, self.stemmed, self.keep = spark, root.rstrip("/"), stemmed, keep
+    def __init__(self, spark: SparkSession, root: str, stemmed: bool = True, keep: int = 2, buckets: int = 32) -> None:
+        self.spark, self.root, self.stemmed, self.keep, self._buckets = spark, root.rstrip("/"), stemmed, keep, buckets
 
     def _fs(self, path: str):  # noqa: ANN202
         sc = self.spark.sparkContext
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
-    def versions(self, committed: bool = False) -> list[str]:
-        fs, p = self._fs(self.root)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        names = [n for n in names if n.startswith("v")]
-        return [n for n in names if fs.exists(self._fs(f"{self.root}/{n}/{_DONE}")[1])] if committed else names
-
-    def version(self) -> str | None:
-        """The newest committed version."""
-        return next(reversed(self.versions(committed=True)), None)
-
-    def chunks(self) -> DataFrame:
-        """The current chunks; an empty table before the first commit."""
-        v = self.version()
-        schema = T.StructType([*CHUNK.fields, T.StructField("norm", T.DoubleType())])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{v}/chunks") if v else self.spark.createDataFrame([], schema)
-
-    def index(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.root}/{v}/postings") if v else postings(self.chunks(), stemmed=self.stemmed)
-
-    def corpus(self) -> DataFrame:
-        """The index's figures, one row."""
-        v = self.version()
-        return self.spark.read.parquet(f"{self.root}/{v}/corpus") if v else corpus(self.index())
-
-    def commit(self, chunks: DataFrame) -> str:
-        """Writes the table and its postings as a new version and makes it the current one."""
-        known = chunks.columns
-        rows = chunks.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK.fields])
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def versions(self) -> list[int]:
+        """The numbers of the versions, oldest first."""
+        return [int(n[:8]) for n in self._names("log") if n.endswith(".json")]
+
+    def state(self, number: int | None = None) -> State:
+        """A version, by default the newest; before the first commit an empty one."""
+        number = max(self.versions(), default=0) if number is None else number
+        if not number:
+            return State(0, self._buckets)
+        fs, p = self._fs(f"{self.root}/log/{number:08d}.json")
+        stream = fs.open(p)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        known = json.loads(text)
+        return State(number, known["buckets"], {int(b): tuple(x) for b, x in known["at"].items()})
+
+    def version(self) -> int | None:
+        return self.state().number or None
+
+    def _read(self, what: str, schema: T.StructType | str, state: State | None, only: Iterable[int] | None = None) -> DataFrame:
+        at = (state or self.state()).at
+        wanted = at if only is None else set(only) & set(at)
+        paths = [f"{self.root}/data/{at[b][0]}/{what}/bucket={b}" for b in sorted(wanted)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def chunks(self, state: State | None = None, only: Iterable[int] | None = None) -> DataFrame:
+        """The current chunks, or those of a version, or of some of its buckets."""
+        return self._read("chunks", STORED, state, only)
+
+    def index(self, state: State | None = None) -> DataFrame:
+        """The postings. They lie by document, as in a distributed search engine: each bucket's are
+        sorted by term, and a query reads the row groups of its terms in each."""
+        return self._read("postings", POSTING, state)
+
+    def corpus(self, state: State | None = None) -> DataFrame:
+        """The index's figures, one row, from the version's file."""
+        at = (state or self.state()).at.values()
+        return self.spark.createDataFrame([(sum(x[1] for x in at), sum(x[2] for x in at))], "n long, tokens long")
+
+    def bucket(self, file_path: Column, state: State | None = None) -> Column:
+        return F.pmod(F.xxhash64(file_path), F.lit((state or self.state()).buckets)).cast("int").alias("bucket")
+
+    def buckets_of(self, files: DataFrame, state: State) -> list[int]:
+        """The buckets of files(file_path); no more than there are."""
+        return sorted(r.bucket for r in files.select(self.bucket(F.col("file_path"), state)).distinct().collect() if r.bucket is not None)
+
+    def write(self, rows: DataFrame, touched: Iterable[int], base: State) -> int:
+        """Commits a version on top of base in which the touched buckets hold these rows and no others."""
+        known = rows.columns
+        rows = rows.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK.fields])
         for c in ("function_name", "class_name", "enriched_context", "summary", "purpose"):
             rows = rows.withColumn(c, F.nullif(F.col(c), F.lit("")))
-        rows = rows.withColumn("content_hash", F.coalesce(F.nullif("content_hash", F.lit("")), F.col("id"))).withColumn("norm", norm(F.col("embedding")))
-        last = self.versions()
-        v = f"v{(int(last[-1][1:9]) if last else 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
-        # By hash, as a range would be sampled first and so embed everything twice.
-        rows.repartition("file_path").sortWithinPartitions("file_path", "start_line").write.parquet(f"{self.root}/{v}/chunks")
-        kept = self.spark.read.parquet(f"{self.root}/{v}/chunks")
-        postings(kept, stemmed=self.stemmed).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{self.root}/{v}/postings")
-        corpus(self.spark.read.parquet(f"{self.root}/{v}/postings")).write.parquet(f"{self.root}/{v}/corpus")
-        fs, done = self._fs(f"{self.root}/{v}/{_DONE}")
-        fs.create(done, False).close()
+        rows = rows.withColumn("content_hash", F.coalesce(F.nullif("content_hash", F.lit("")), F.col("id")))
+        name = f"{base.number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        folder = f"{self.root}/data/{name}"
+        # Rows are made once, before this shuffle, which Spark deals anew by size: no range is sampled.
+        placed = rows.withColumn("bucket", self.bucket(F.col("file_path"), base)).hint("rebalance", "bucket")
+        placed = placed.withColumns({"norm": norm(F.col("embedding")), "dl": n_tokens()})
+        placed.sortWithinPartitions("bucket", "file_path", "start_line").write.partitionBy("bucket").parquet(f"{folder}/chunks")
+        written = self.spark.read.schema(T.StructType([*STORED.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{folder}/chunks")
+        terms = postings(written, stemmed=self.stemmed, carry=["bucket"]).hint("rebalance", "bucket")
+        terms.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        figures = written.groupBy("bucket").agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n"), F.sum("dl").alias("tokens")).collect()
+        at = {b: x for b, x in base.at.items() if b not in set(touched)} | {r.bucket: (name, r.n, r.tokens) for r in figures}
+        fs, p = self._fs(f"{self.root}/log/{base.number + 1:08d}.json")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            own, data = self._fs(folder)
+            own.delete(data, True)
+            raise ConcurrentCommit(f"version {base.number + 1} of {self.root} is there already") from None
+        try:
+            out.write(bytearray(json.dumps({"buckets": base.buckets, "at": at}).encode()))
+        finally:
+            out.close()
         self.vacuum()
-        return v
+        return base.number + 1
+
+    def commit(self, chunks: DataFrame, base: State | None = None) -> int:
+        """Makes these rows the whole table."""
+        base = base or self.state()
+        return self.write(chunks, range(base.buckets), base)
 
     def vacuum(self) -> None:
-        """Removes all but the newest versions."""
-        newest = self.versions(committed=True)[-self.keep :]
-        for v in self.versions():
-            if not newest or v >= newest[0]:
-                continue
-            fs, p = self._fs(f"{self.root}/{v}")
-            fs.delete(p, True)
-
-    def upsert(self, new: DataFrame) -> str:
+        """Removes all but the newest versions, and what only they, or commits that failed, have written."""
+        versions = self.versions()
+        kept, gone = versions[-self.keep :], versions[: -self.keep]
+        alive = {(b, x[0]) for v in kept for b, x in self.state(v).at.items()}
+        commits = {c for _, c in alive}
+        for b, c in {(b, x[0]) for v in gone for b, x in self.state(v).at.items()} - alive:
+            if c in commits:  # else it goes as a whole
+                for what in ("chunks", "postings"):
+                    self._delete(f"data/{c}/{what}/bucket={b}")
+        for c in self._names("data"):
+            if c not in commits and kept and int(c[:8]) <= kept[0]:
+                self._delete(f"data/{c}")
+        for v in gone:
+            self._delete(f"log/{v:08d}.json")
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(f"{self.root}/{path}")
+        fs.delete(p, True)
+
+    def upsert(self, new: DataFrame) -> int:
         """Replaces rows of the same id, and adds the others."""
-        return self.commit(self.chunks().join(new.select("id"), "id", "left_anti").select(*CHUNK.fieldNames()).unionByName(new, allowMissingColumns=True))
-
-    def delete_files(self, files: DataFrame) -> str:
-        return self.commit(lookup.delete_files(self.chunks(), files))
-
-    def rebuild(self) -> str:
+        base = self.state()
+        old = self.chunks(base)
+        moved = old.join(new.select("id"), "id", "left_semi").select("file_path")
+        touched = self.buckets_of(new.select("file_path").unionByName(moved), base)
+        kept = self.chunks(base, touched).join(new.select("id"), "id", "left_anti").select(*CHUNK.fieldNames())
+        return self.write(kept.unionByName(new, allowMissingColumns=True), touched, base)
+
+    def delete_files(self, files: DataFrame) -> int:
+        base = self.state()
+        touched = self.buckets_of(files, base)
+        return self.write(lookup.delete_files(self.chunks(base, touched), files), touched, base)
+
+    def rebuild(self) -> int:
         """The same chunks with postings made anew, for a version whose postings were lost."""
         return self.commit(self.chunks().select(*CHUNK.fieldNames()))
 
-    def clear(self) -> str:
+    def clear(self) -> int:
         return self.commit(self.chunks().limit(0))
 
     def stats(self) -> DataFrame:
-        v = self.version()
-        fs, p = self._fs(f"{self.root}/{v}/chunks" if v else self.root)
-        size = fs.getContentSummary(p).getLength() if v else 0
-        return lookup.stats(self.chunks(), F.lit(size))
+        """One row of figures; the bytes are those of the files of the current chunks."""
+        chunks = self.chunks()
+        if not chunks.inputFiles():
+            return lookup.stats(chunks, F.lit(0))
+        size = chunks.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("size"))
+        return lookup.stats(chunks).drop("database_size").join(size).withColumnRenamed("size", "database_size")

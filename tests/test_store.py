@@ -1,17 +1,24 @@
 import datetime
+import http.server
+import json
+import logging
+import subprocess
+import sys
+import threading
 from urllib.error import HTTPError
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.sql import register
+from lodestone.logs import configure
 from lodestone.operators.display import or_message
-from lodestone.plans.ingest import cancellable, index_files, index_if_empty, reindex
+from lodestone.plans.ingest import cancellable, index_files, index_if_empty, reindex, single_flight
 from lodestone.schema import EVENT, Config
 from lodestone.sources.flat import from_flat, to_flat
 from lodestone.sources.files import indexable, listed, open_tabs, read_files, with_language
-from lodestone.sources.providers import HashingEmbedder, embedding_of, ping, retrying
-from lodestone.sources.store import Store
+from lodestone.sources.providers import CustomEmbedder, HashingEmbedder, context_of, embedding_of, enrich, ping, retrying
+from lodestone.sources.store import ConcurrentCommit, Store
 from lodestone.streaming.feed import apply_events, latest, start_feed
 
 PY = "def a(x):\n    return x\n\nclass B:\n    pass\n"
@@ -47,7 +54,7 @@ def test_index_twice_then_change_and_delete(spark, tmp_path):
     index_files(store, files(spark, a__py=" \n"), EMBED, now=4)  # no chunk is left
     assert sorted(state(store)) == [("b.py", 0)]
     assert store.index().select("chunk_id").distinct().count() == 1
-    assert len(store.versions()) == store.keep
+    assert len(store.versions()) == store.keep and len(list((tmp_path / "s" / "log").glob("*.json"))) == store.keep
     store.delete_files(files(spark, b__py="").select("file_path"))
     assert store.chunks().isEmpty()
     store.clear()
@@ -56,10 +63,185 @@ def test_index_twice_then_change_and_delete(spark, tmp_path):
 
 
 def test_uncommitted_version_is_ignored(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"))
+    store = Store(spark, str(tmp_path / "s"), keep=1)
     v = index_files(store, files(spark, a__py=PY), EMBED, now=1)
-    (tmp_path / "s" / "v99999999-broken" / "chunks").mkdir(parents=True)
+    broken = tmp_path / "s" / "data" / "00000002-broken" / "chunks"
+    broken.mkdir(parents=True)
     assert store.version() == v and store.chunks().count() == 2
+    store.rebuild()
+    assert store.chunks().count() == 2 and not broken.exists()  # vacuumed with the version that failed
+
+
+def written_buckets(store, tmp_path, version):
+    (commit,) = (tmp_path / "s" / "data").glob(f"{version:08d}-*")
+    return {p.name for p in (commit / "chunks").glob("bucket=*")}
+
+
+def test_a_change_rewrites_its_bucket_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), keep=3, buckets=16)
+    many = {f"f{k}__py": f"x = {k}\n" for k in range(60)}
+    first = index_files(store, files(spark, **many), EMBED, now=1)
+    assert len(written_buckets(store, tmp_path, first)) > 8
+    second = index_files(store, files(spark, f7__py="y = 1\n"), EMBED, now=2)
+    assert len(written_buckets(store, tmp_path, second)) == 1
+    rows = {r.file_path: r for r in store.chunks().collect()}
+    assert len(rows) == 60 and rows["f7.py"].content == "y = 1\n" and rows["f8.py"].updated_at == 1
+    assert store.index().where("term = 'y'").count() == 1
+    corpus = store.corpus().first()
+    assert (corpus.n, corpus.tokens) == (60, store.index().count())
+    assert store.state(first).at != store.state().at and store.chunks(store.state(first)).count() == 60  # older readers
+    apply_events(store, spark.createDataFrame([("f9.py", "delete", datetime.datetime(2024, 1, 1))], EVENT), lambda p: p.selectExpr("file_path", "0L as length", "'' as content"), EMBED)
+    assert store.chunks().count() == 59
+    for _ in range(4):
+        store.rebuild()
+    assert len(list((tmp_path / "s" / "data").iterdir())) == store.keep
+
+
+def test_two_writers(spark, tmp_path):
+    """The later of two writers that began at one version fails and loses nothing of the other's."""
+    store = Store(spark, str(tmp_path / "s"))
+    base = store.state()
+    index_files(store, files(spark, a__py="x = 1\n"), EMBED, now=1)
+    with pytest.raises(ConcurrentCommit):
+        store.commit(store.chunks(), base)
+    assert [r.file_path for r in store.chunks().collect()] == ["a.py"]
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 1
+    with single_flight(store.root), pytest.raises(RuntimeError, match="already"):
+        index_files(store, files(spark, b__py="x = 1\n"), EMBED)
+
+
+class Counting:
+    """An embedder that leaves a mark for each call, in whatever process."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def embed(self, text):
+        import uuid
+        from pathlib import Path
+
+        Path(self.folder, uuid.uuid4().hex).touch()
+        return [1.0, float(len(text))]
+
+    def answer(self, prompt):
+        self.embed(prompt)
+        return "SUMMARY: made"
+
+
+def test_each_new_chunk_is_embedded_once(spark, tmp_path):
+    calls, reads = tmp_path / "calls", tmp_path / "reads"
+    calls.mkdir()
+    reads.mkdir()
+    counting, reading = Counting(calls), Counting(reads)
+    store = Store(spark, str(tmp_path / "s"))
+    texts = {f"f{k}__py": f"x = {k}\n" for k in range(20)}
+
+    def lazily(rows):
+        read = F.udf(lambda c: (reading.embed(c), c)[1], "string")
+        return rows.withColumn("content", read.asNondeterministic()("content"))
+
+    def count(folder):
+        n = len(list(folder.iterdir()))
+        for p in folder.iterdir():
+            p.unlink()
+        return n
+
+    steps = []
+    index_files(store, lazily(files(spark, **texts)), counting, Config(batch_size=4), now=1, progress=steps.append)
+    assert (count(calls), count(reads)) == (20, 20) and len(steps) == 3
+    index_files(store, lazily(files(spark, **texts)), counting, now=2)
+    assert (count(calls), count(reads)) == (0, 20)
+    index_files(store, lazily(files(spark, **texts | {"f3__py": "y = 3\n"})), counting, now=3)
+    assert (count(calls), count(reads)) == (1, 20)
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    index_files(store, files(spark, f4__py="z = 3\n"), counting, Config(enable_context=True), Counting(asked), now=4)
+    assert (count(calls), count(asked)) == (1, 1)
+
+
+def test_providers_of_the_configuration(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    index_files(store, files(spark, a__py=PY), config=Config(embedding_options={"dimensions": 8}))
+    assert {len(r.embedding) for r in store.chunks().collect()} == {8}
+    assert context_of(Config()) is None and context_of(Config(enable_context=True, context_provider="ollama", context_options={"url": "http://x", "model": "m"})).model == "m"
+    with pytest.raises(ValueError):
+        Config(batch_size=0)
+
+
+def test_second_embedding_endpoint():
+    """Any failure of the first request sends the text alone to the second."""
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, body))
+            ok = self.path == "/embeddings" and set(body) == {"text"}
+            self.send_response(200 if ok else 400)
+            self.end_headers()
+            if ok:
+                self.wfile.write(json.dumps({"embedding": [1, 2]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        got = CustomEmbedder(f"http://127.0.0.1:{server.server_port}", "m").embed("hello")
+    finally:
+        server.shutdown()
+    assert got == [1.0, 2.0] and seen == [("/v1/embeddings", {"model": "m", "input": "hello"}), ("/embeddings", {"text": "hello"})]
+
+
+def test_related_chunks_reach_the_prompt(spark):
+    class Echo:
+        def answer(self, prompt):
+            return "SUMMARY: " + ("related" if "Related 1 (b.py)" in prompt else "alone")
+
+    rows = spark.createDataFrame([("a.py", 0, 1, "x", "python", None, None, [("b.py", "python", "y")]), ("c.py", 0, 1, "x", "python", None, None, None)], "file_path string, start_line int, end_line int, content string, language string, function_name string, class_name string, related array<struct<file_path: string, language: string, content: string>>")
+    assert {r.file_path: r.context.summary for r in enrich(rows, Echo(), at_a_time=2).collect()} == {"a.py": "related", "c.py": "alone"}
+
+
+def test_unreadable_files_are_left_out(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 1\n")
+    paths = spark.createDataFrame([(str(tmp_path / "a.py"),), (str(tmp_path / "gone.py"),), (str(tmp_path),)], "file_path string")
+    assert [r.content for r in read_files(paths).collect()] == ["x = 1\n"]
+
+
+def test_listing_leaves_depth_to_the_executors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.sources.files.FOLDERS", 3)
+    for k in range(12):
+        p = tmp_path / "w" / f"d{k % 4}" / f"e{k}" / "f"
+        p.mkdir(parents=True)
+        (p / "x.py").write_text("1")
+        (p.parent / "y.py").write_text("22")
+    (tmp_path / "w" / "top.py").write_text("333")
+    found = {(r.file_path.removeprefix(str(tmp_path)), r.length) for r in listed(spark, str(tmp_path / "w")).collect()}
+    assert len(found) == 25 and ("/w/top.py", 3) in found and ("/w/d3/e7/f/x.py", 1) in found
+    assert listed(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_logs(caplog):
+    handler = logging.Handler()
+    log = configure(Config(debug_logging=True), handler)
+    assert log.level == logging.DEBUG and handler in log.handlers
+    assert configure().level == logging.INFO and log.handlers.count(handler) == 1
+    log.removeHandler(handler)
+
+
+def test_forgotten_after_spark_stops(tmp_path):
+    """A folder goes at exit, also if Spark was stopped before."""
+    code = f"""
+from pyspark.sql import SparkSession
+from lodestone.sources.scratch import forget_at_exit
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+spark.range(3).write.parquet("{tmp_path}/own/t")
+forget_at_exit(spark, "{tmp_path}/own")
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True)
+    assert not (tmp_path / "own").exists()
 
 
 def test_upsert_and_migration(spark, tmp_path):
@@ -180,7 +362,7 @@ def test_first_use_and_reindex(spark, tmp_path):
 def test_flat_round_trip(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     index_files(store, files(spark, a__py=PY), EMBED, Config(enable_context=True), Context(), now=1)
-    chunks = store.chunks().drop("norm")
+    chunks = store.chunks().drop("norm", "dl")
     rows, vectors = to_flat(chunks)
     assert rows.schema["related_concepts"].dataType.typeName() == "string"
     back = from_flat(rows.drop("content_hash"), vectors)
