@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
+from math import isqrt
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,56 +15,108 @@ from pyspark.sql import functions as F
 from .common import SQL_LOWER, narrow, table, written
 
 WINDOW = 13
-#: Bytes of benchmark text that one automaton is built from, for some 300 MB of memory, as each word
-#: begins a window of its own; more text is scanned for in blocks.
-AUTOMATON_BYTES = 500_000
+#: Words of an anchor, the beginning of a block.
+ANCHOR = 3
+#: Bytes of benchmark text that one automaton is built from.
+AUTOMATON_BYTES = 32_000_000
 #: Bytes as they count for words: A-Z lower-cased, 0-9, a-z and all above ASCII kept, the rest a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def windows(item: list[bytes], window: int = WINDOW) -> list[bytes]:
-    """Each of the item's windows, words joined by and set in spaces; all of a shorter item."""
-    return [b" " + b" ".join(item[i : i + window]) + b" " for i in range(max(1, len(item) - window + 1))] if item else []
-
-
-def automaton(items: list[tuple[str, str]], window: int = WINDOW) -> ahocorasick.Automaton:
-    """items: (id, text). A key's value: the number of its words, and the ids of the items that have it."""
-    owners: dict[bytes, set[str]] = {}
-    for name, text in items:
-        for w in windows(words(text), window):
-            owners.setdefault(w, set()).add(name)
-    out = ahocorasick.Automaton()
-    for w, names in owners.items():
-        out.add_word(w.decode(), (w.count(b" ") - 1, sorted(names)))
-    out.make_automaton()
-    return out
-
-
-def hits(text: str | None, auto: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, merged word ranges (end exclusive) inside occurrences, and the items that occur."""
-    found = words(text)
-    if not found or auto.kind != ahocorasick.AHOCORASICK:
-        return len(found), [], set()
-    line = " " + b" ".join(found).decode() + " "
-    ranges: list[tuple[int, int]] = []
-    names: set[str] = set()
-    word = at = 0
-    for end, (n, owners) in auto.iter(line):
-        word += line.count(" ", at, end)  # words that ended before the space at end
-        at = end
-        names.update(owners)
-        ranges.append((word - n, word))
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return len(found), merged, names
+class Windows:
+    """An automaton over the words of items (id, text), and the windows around what it finds.
+
+    Every word is a number, written as two letters of disjoint alphabets, so a match begins and ends at
+    words. An item is cut into blocks of which each of its windows holds a whole one; the beginnings of
+    these are the automaton's patterns, so its size grows with the text and not with its windows, of
+    which each word begins one. Around a match the few windows that can hold the block are looked up
+    among the items' windows by a hash and compared word by word. A shorter item is a pattern itself."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+        self.window, self.block = window, (window + 1) // 2
+        self.anchor = min(ANCHOR, self.block)
+        self.numbers: dict[bytes, int] = {}
+        self.names: list[str] = []
+        codes, bounds = [], [0]
+        for name, text in items:
+            own = [self.numbers.setdefault(w, len(self.numbers)) for w in words(text)]
+            self.names.append(name)
+            codes.append(np.array(own, np.int32))
+            bounds.append(bounds[-1] + len(own))
+        self.code = np.concatenate([*codes, np.zeros(0, np.int32)])
+        self.base = isqrt(len(self.numbers)) + 1
+        letters = self.letters(self.code)
+        short: dict[str, tuple[int, set[int]]] = {}
+        starts, anchors = [], set()
+        for i, (s, e) in enumerate(pairwise(bounds)):
+            if e - s >= window:
+                starts.append(np.arange(s, e - window + 1))
+                for o in range(s, e - self.block + 1, self.block):
+                    anchors.add(letters[2 * o : 2 * (o + self.anchor)])
+            elif e > s:
+                short.setdefault(letters[2 * s : 2 * e], (e - s, set()))[1].add(i)
+        at = np.concatenate([*starts, np.zeros(0, np.int64)])
+        h = self._hash(self.code, at)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.at = h[order], at[order].astype(np.int32)
+        self.item = (np.searchsorted(bounds, self.at, "right") - 1).astype(np.int32)
+        self.auto = ahocorasick.Automaton()
+        none: tuple[int, set[int]] = (self.anchor, set())
+        for p in anchors:
+            self.auto.add_word(p, short.get(p, none))
+        for p, known in short.items():
+            self.auto.add_word(p, known)
+        if anchors or short:
+            self.auto.make_automaton()
+
+    def letters(self, code: np.ndarray) -> str:
+        return (np.stack((code // self.base, code % self.base + self.base), 1).astype("<u4") + 256).tobytes().decode("utf-32-le")
+
+    def _hash(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for k in range(self.window):
+            out = out * _PRIME + code[at + k].astype(np.uint64)
+        return out ^ (out >> np.uint64(29))
+
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, merged word ranges (end exclusive) inside occurrences, and the items that occur."""
+        found = words(text)
+        n = len(found)
+        if not n or self.auto.kind != ahocorasick.AHOCORASICK:
+            return n, [], set()
+        code = np.array([self.numbers.get(w, len(self.numbers)) for w in found], np.int32)  # that number is no word's
+        ranges: list[tuple[int, int]] = []
+        items: set[int] = set()
+        tried: set[int] = set()
+        for end, (size, short) in self.auto.iter(self.letters(code)):
+            z = end // 2 + 1
+            if short:
+                ranges.append((z - size, z))
+                items |= short
+            if size == self.anchor:
+                tried.update(range(max(0, z - size + self.block - self.window), min(z - size, n - self.window) + 1))
+        if tried and len(self.at):
+            begin = np.array(sorted(tried))
+            h = self._hash(code, begin)
+            low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
+            for s, a, b in zip(begin.tolist(), low.tolist(), high.tolist(), strict=True):
+                if a < b:
+                    same = (self.code[self.at[a:b, None] + np.arange(self.window)] == code[s : s + self.window]).all(1)
+                    if same.any():
+                        ranges.append((s, s + self.window))
+                        items.update(self.item[a:b][same].tolist())
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(ranges):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        return n, merged, {self.names[i] for i in items}
 
 
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -77,20 +132,20 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(len(raw[: starts[a]].decode()), len(raw[: ends[b - 1]].decode())) for a, b in ranges]
 
 
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[int, Windows] = {}
 
 
 def _scan(items_at: Callable[[], list[tuple[str, str]]], key: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:  # once per Python worker
             _built.clear()
-            _built[key] = automaton(items_at(), window)
-        auto = _built[key]
+            _built[key] = Windows(items_at(), window)
+        known = _built[key]
         for b in batches:
             n, where, spans, names = [], [], [], []
             for text in b.column(1):
                 text = text.as_py()
-                count, ranges, owners = hits(text, auto)
+                count, ranges, owners = known.hits(text)
                 n.append(count)
                 where.append([x for r in ranges for x in r])
                 spans.append([x for r in original_spans(text, ranges) for x in r] if ranges else [])
@@ -106,11 +161,14 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     ranges: flat list of start, end word positions (end exclusive) inside occurrences of windows of
     benchmark(item_id, text); spans: the same as code points of the original text; items: ids of
     the items of which a window occurs, sorted. The benchmark's size is checked first: up to
-    automaton_bytes it becomes one automaton, broadcast and built once per worker; a larger one is
-    dealt into blocks by item, and the texts are scanned once for each block.
+    automaton_bytes it is one automaton, sent to the executors and built once per worker, and the
+    texts are read once. Only a larger one, which a worker couldn't hold, is dealt into parts by item,
+    each with a scan and a written table of its own.
 
     Null and empty texts have no words; null or wordless items have no windows; a null item_id is
-    left out; repeated items count once. Empty tables give no rows or no hits."""
+    left out; repeated items count once. A long text is held whole, with some bytes a word beside it.
+    Windows that several items share name all of them. Repeated rows repeat; empty tables give no
+    rows or no hits. Of clashing columns only doc_id, text and item_id are read."""
     spark = docs.sparkSession
     asked = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].alias("text")).where("item_id is not null and text is not null")
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -135,7 +193,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **options: int) -> DataFrame:
-    """The digest of contaminated_words: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """The digest of contaminated_words, and what it says of odd rows: doc_id, n_words, n_hit, n_items,
+    items_sha256, contaminated.
 
     A document is contaminated if a word is hit and at least one of `share` words is."""
     found = contaminated_words(docs, benchmark, window, **options)
@@ -147,6 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decontaminate over documents and the whole benchmark; odd rows as contaminated_words says."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -284,6 +284,33 @@ def test_decontamination(spark, size):
     assert rows_of(got) == sorted(((i, *hits_brute(t, items)) for i, t in rows), key=repr)
 
 
+def test_windows_of_few_words():
+    """Items and texts of so few words that windows recur, overlap and begin at every place."""
+    rng = random.Random(16)
+    for _ in range(60):
+        vocabulary = rng.choice([["a", "b"], [f"w{k}" for k in range(30)]])
+        items = [(str(k), " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 4, 5, 12, 13, 14, 20, 45])))) for k in range(6)]
+        known = D.Windows(items)
+        for _ in range(8):
+            parts = [" ".join(rng.choices([*vocabulary, "unknown"], k=rng.randint(0, 15))) for _ in range(2)]
+            a = items[rng.randrange(6)][1].split()
+            i = rng.randrange(len(a))
+            text = f"{parts[0]} {' '.join(a[i : i + rng.randint(1, 30)])} {parts[1]}"
+            n, ranges, names = known.hits(text)
+            expected = hits_brute(text, items)
+            assert (n, sum(z - a for a, z in ranges), len(names)) == expected[:3]
+            assert hashlib.sha256(",".join(sorted(names)).encode()).hexdigest() == expected[3]
+
+
+def test_one_scan(spark, data):
+    """A benchmark of some megabytes is one automaton, and the texts are read once."""
+    bench = spark.range(40).selectExpr("id as item_id", "array_join(transform(sequence(1, 20000), i -> 'w' || ((i * 7919 + id * 104729) % 50021)), ' ') as text")
+    assert bench.selectExpr("sum(length(text))").first()[0] > 4_000_000
+    out = D.decontaminate(spark.read.parquet(f"{data}/documents.parquet"), bench)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1
+
+
 def test_decontamination_spans(spark):
     text = "Ünder the   SHORT -- item, yes"
     docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, "short item")], "item_id long, text string")
