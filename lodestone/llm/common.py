@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_dir
+from ..sources.scratch import forget_at_exit, shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: SQL that lower-cases A-Z and nothing else.
@@ -26,32 +25,15 @@ def narrow(df: DataFrame, *columns: str) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: this cuts the lineage, and what
-    is written outlives the executors that wrote it. Removed when the application ends."""
+    is written outlives the executors that wrote it. Removed when the process ends."""
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}"
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _forget_at_exit(spark, root)
+    forget_at_exit(spark, root)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_roots: set[str] = set()
-
-
-def _forget_at_exit(spark: SparkSession, root: str) -> None:
-    if root in _roots:
-        return
-    _roots.add(root)
-    sc = spark.sparkContext
-
-    def remove() -> None:
-        if sc._jsc is not None:
-            p = sc._jvm.org.apache.hadoop.fs.Path(root)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-    atexit.register(remove)
-
-
 def fold(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

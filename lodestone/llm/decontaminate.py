@@ -17,8 +17,8 @@ from .common import SQL_LOWER, narrow, table, written
 WINDOW = 13
 #: Words of an anchor, the beginning of a block.
 ANCHOR = 3
-#: Bytes of benchmark text that one automaton is built from.
-AUTOMATON_BYTES = 32_000_000
+#: Bytes of benchmark text that one automaton is built from: some 350 MB of memory.
+AUTOMATON_BYTES = 20_000_000
 #: Bytes as they count for words: A-Z lower-cased, 0-9, a-z and all above ASCII kept, the rest a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
