@@ -28,6 +28,12 @@ class Mix:
     steps: int = 40
     seed: int = 11
 
+    def __post_init__(self) -> None:
+        if self.budget > self.max_repeats:
+            raise ValueError("a budget above max_repeats draws some source more often than that, whatever the weights")
+        if not (self.budget >= 0 and 0 <= self.entropy <= 1 and self.blocks > 0 and self.steps > 0):
+            raise ValueError("budget and entropy must not be negative, entropy at most 1, blocks and steps positive")
+
 
 def _block(mix: Mix) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(mix.blocks))
@@ -94,17 +100,19 @@ def plan(docs: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row per row of docs(doc_id, source, text): doc_id, source, n_tokens, block, weight, copies.
+    """One row per row of docs(doc_id, source, text): doc_id, source, n_tokens, block, weight, copies,
+    places: where its block stands in each pass that draws it, as pass:place, joined by commas.
 
     Token shares of the sources are raised to one exponent, found by bisection so that the weights
     have the wanted entropy, or else the repetition limit holds; the weights are then realised as
     copies of whole blocks. Documents go to blocks by a hash of their id, so a source of any size
     has at most mix.blocks blocks and no window holds more. copies may be 0. A null source counts
     as '', a null text has no tokens, a null id goes to block 0; a source without tokens has weight
-    0. Repeated rows count each time. Empty tables give no rows."""
+    0. Repeated rows count each time. A long text counts by its tokens; blocks of one hash order go by
+    their number. Empty tables give no rows; of clashing columns only the three are read."""
     keyed = written(_keyed(narrow(docs, "doc_id", "source", "text"), mix))
-    p = plan(keyed, mix).select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "weight", "copies")
-    return keyed.join(p, (F.col("source") == F.col("p_source")) & (F.col("block") == F.col("p_block"))).select("doc_id", "source", "n_tokens", "block", "weight", "copies")
+    p = plan(keyed, mix).select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "weight", "copies", F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["pass"], p["place"])), ",").alias("places"))
+    return keyed.join(p, (F.col("source") == F.col("p_source")) & (F.col("block") == F.col("p_block"))).select("doc_id", "source", "n_tokens", "block", "weight", "copies", "places")
 
 
 def draw(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -119,6 +127,7 @@ def draw(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_sources over documents, with the default mix."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
@@ -145,7 +154,10 @@ w as (select source, tokens, pow(tokens / tot.t, x.t) as w from s, tot, x),
 q as (select source, tokens as al, round(w / (select sum(w) from w), 9) as weight from w),
 p as (select source, al, weight, cast(floor(weight * tot.t + 0.5) as bigint) as quota from q, tot),
 d as (select bl.source, bl.block, bl.tokens, coalesce(weight, 0) as weight, coalesce(quota // al, 0) as passes, coalesce(quota % al, 0) as rest from bl left join p using (source)),
-o as (select *, sum(tokens) over (partition by source order by sha256('11:' || source || ':' || passes || ':' || block), block) as upto from d),
-y as (select source, block, weight, passes + case when rest > 0 and 2 * upto - tokens <= 2 * rest then 1 else 0 end as copies from o)
-select doc_id, source, n_tokens, block, weight, cast(copies as bigint) as copies from k join y using (source, block)
+u as (select *, unnest(range(0, passes + 1)) as pass from d),
+o as (select *, sum(tokens) over w as upto, row_number() over w as place from u
+      window w as (partition by source, pass order by sha256('11:' || source || ':' || pass || ':' || block), block)),
+y as (select source, block, weight, count(*) filter (where drawn) as copies, coalesce(string_agg(pass || ':' || place, ',' order by pass) filter (where drawn), '') as places
+      from (select *, pass < passes or (rest > 0 and 2 * upto - tokens <= 2 * rest) as drawn from o) group by source, block, weight)
+select doc_id, source, n_tokens, block, weight, cast(copies as bigint) as copies, places from k join y using (source, block)
 """
