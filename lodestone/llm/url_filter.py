@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, table
+from .common import narrow, table, written
 
-_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+_HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+#: Hosts that are addresses, and so have no parent domains.
+_ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and final dot; null if there is none."""
+    """Lower-case host without user, port and final dot, an IPv6 address in its brackets; null if there
+    is none. A url without a scheme has one if it begins with two slashes."""
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", ""), F.lit(""))
 
 
@@ -32,22 +35,26 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per row of captures(page_id, url, fetched): page_id, host, fetched, blocked, n_active, pattern.
 
     An as-of join: a capture is judged by the entries active when it was fetched. Captures first
-    shrink to distinct hosts; these meet the list under each of their parent domains, and each host
-    carries its few intervals to its captures in one join, which Spark may split at a hot host.
-    n_active counts the active entries; pattern is the longest, host before domain. A null url or
-    one without a host, and a null fetch time, meet no entry. Repeated rows repeat."""
+    shrink to distinct hosts, which meet the list under each of their parent domains. These hosts'
+    intervals are a table of known size: captures meet it without a shuffle if it is small enough to
+    send, else by a join that Spark splits at a hot host. What is active then counts by capture. So
+    neither a host's captures nor its history is ever collected.
+
+    n_active counts the active entries; pattern is the longest, host before domain, ties by name. A
+    null url or one without a host, and a null fetch time, meet no entry. A long url counts as any.
+    Repeated rows repeat. Empty tables give no rows, or nothing blocked; other columns are not read,
+    whatever their names."""
     own = narrow(captures, "page_id", "url", "fetched").select("page_id", host_of(F.col("url")).alias("host"), "fetched")
     hosts = own.where("host is not null").select("host").distinct()
-    parts = hosts.select("host", F.split("host", r"\.").alias("labels"))
-    below = parts.select("host", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")).alias("name"))
-    listed = intervals(entries)
-    met = below.join(listed, (F.col("name") == F.col("pattern")) & ((F.col("kind") == "domain") | (F.col("name") == F.col("host"))))
-    by_host = met.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "kind", "pattern", "since", "until")).alias("known"))
-    joined = own.join(by_host, F.col("host") == F.col("of"), "left")
-    active = F.filter("known", lambda x: (x["since"] <= F.col("fetched")) & (x["until"].isNull() | (F.col("fetched") < x["until"])))
-    judged = joined.select("page_id", "host", "fetched", F.coalesce(active, F.expr("slice(known, 1, 0)")).alias("active"))
-    n = F.coalesce(F.size("active"), F.lit(0))
-    return judged.select("page_id", "host", "fetched", (n > 0).alias("blocked"), F.greatest(n, F.lit(0)).cast("bigint").alias("n_active"), F.array_max("active")["pattern"].alias("pattern"))
+    whole = hosts.select("host", F.when(F.col("host").rlike(_ADDRESS), F.array("host")).otherwise(F.split("host", r"\.")).alias("labels"))
+    below = whole.select("host", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")).alias("name"))
+    met = below.join(intervals(entries), (F.col("name") == F.col("pattern")) & ((F.col("kind") == "domain") | (F.col("name") == F.col("host"))))
+    met = written(met.select(F.col("host").alias("of"), "kind", "pattern", "since", "until"))
+    on = (F.col("host") == F.col("of")) & (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
+    active = own.withColumn("row", F.monotonically_increasing_id()).join(met, on, "left")
+    best = F.max(F.struct(F.length("pattern").alias("n"), "kind", "pattern"))
+    judged = active.groupBy("row", "page_id", "host", "fetched").agg(F.count("pattern").alias("n_active"), best.alias("best"))
+    return judged.select("page_id", "host", "fetched", (F.col("n_active") > 0).alias("blocked"), "n_active", F.col("best.pattern").alias("pattern"))
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
@@ -82,7 +89,7 @@ o as (select kind, pattern, "at", max(action) as action from e group by kind, pa
 t as (select *, lead("at") over (partition by kind, pattern order by "at") as until from o),
 i as (select kind, pattern, "at" as since, until from t where action = 'add'),
 m as (select c.page_id, i.pattern, row_number() over (partition by c.page_id order by length(i.pattern) desc, i.kind desc, i.pattern desc) as k
-      from c join i on (c.host = i.pattern or (i.kind = 'domain' and ends_with(c.host, '.' || i.pattern)))
+      from c join i on (c.host = i.pattern or (i.kind = 'domain' and not regexp_matches(c.host, '{_ADDRESS}') and ends_with(c.host, '.' || i.pattern)))
                    and i.since <= c.fetched and (i.until is null or c.fetched < i.until)),
 g as (select page_id, count(*) as n, max(case when k = 1 then pattern end) as pattern from m group by page_id)
 select c.page_id, c.host, c.fetched, coalesce(g.n, 0) > 0 as blocked, coalesce(g.n, 0) as n_active, g.pattern
