@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, more) to (doc_id, fp, more)."""
     for b in batches:
         found = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
 # The embedding: a fingerprint's 32 segments of two bits become their bit counts, 0 to 2. The Manhattan
@@ -164,22 +165,27 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
     return dealt.mapInArrow(_links(distance), f"u {kind}, v {kind}")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, fingerprint, component_id.
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, fingerprint, component_id, and the columns to carry.
 
     Fingerprints link at `distance` or fewer differing bits; component_id is the smallest doc_id
     reachable. Equal fingerprints are one node, so copies cost nothing more. Null and empty texts
     have fingerprint 0, which links like any other. A null doc_id never names a component: its row
     gets the smallest id of its fingerprint's component, or null if only null ids share its
-    fingerprint, which then links no further. Repeated rows repeat. Empty tables give no rows."""
+    fingerprint, which then links no further. A long text's shingles are hashed in pieces. Repeated
+    rows repeat. Empty tables give no rows; other columns are not read, whatever their names."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = written(narrow(docs, "doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint"))
+    more = [f"c{k}_" for k in range(len(carry))]
+    own = narrow(docs, "doc_id", "text", *carry).toDF("doc_id", "text", *more)
+    kinds = "".join(f", {m} {docs.schema[c].dataType.simpleString()}" for m, c in zip(more, carry, strict=True))
+    prints = written(own.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint{kinds}"))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = components(links(nodes.where("rep is not null"), distance))
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(named, F.col("fp") == F.col("of"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[F.col(m).alias(c) for m, c in zip(more, carry, strict=True)])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates over documents, all rows and whole texts."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -68,7 +68,7 @@ def test_stages(spark, corpus):
     first = {i: named[k][0] for (i, _), k in zip(named, root, strict=True)}
     assert kept(stages["simhash"](spark, docs, d)) == brute(rows, lambda i, t: i is None or first[i] == i)
 
-    clean = lambda i, t: i is None or not hits_brute(t, bench)[4]
+    clean = lambda i, t: not hits_brute(t, bench)[4]
     assert kept(stages["decontaminate"](spark, docs, d)) == brute(rows, clean)
     assert not all(clean(i, t) for i, t in rows)
 
@@ -76,6 +76,30 @@ def test_stages(spark, corpus):
     assert mixed.columns == [*COLUMNS, "mix_pass", "mix_place"] and mixed.count() > 0
 
 
+def test_rows_are_judged_not_ids(spark, corpus):
+    """One doc_id on several texts."""
+    d, _, bench = corpus
+    rng = random.Random(30)
+    near = prose(rng, 300).split()
+    other = " ".join(near[:150] + ["changed"] + near[151:])
+    while linked([fingerprint(" ".join(near)), fingerprint(other)]) != [0, 0]:
+        near = prose(rng, 600).split()
+        other = " ".join(near[:150] + ["changed"] + near[151:])
+    near, far = " ".join(near), prose(rng, 300)
+    rows = [(1, "same"), (2, "same"), (1, "only here"), (1, "Same"), (None, "same"), (2, None), (3, ""), (4, near), (5, other), (5, far), (6, near), (6, other), (6, far + " more"), (7, bench[0][1]), (7, "clean text"), (None, bench[1][1])]
+    docs = clashing(spark, rows).select(COLUMNS)
+    verdict = {(r[0], r[4]): r[3] for r in exact_brute(rows)}
+    expected = sorted((i is None, i or 0, t or "") for (i, t) in rows if i is None or verdict[i, exact_brute([(i, t)])[0][4]])
+    assert kept(P.drop_copies(spark, docs, d)) == expected and (False, 1, "only here") in expected
+    got = P.drop_near_copies(spark, docs, d).collect()
+    texts = [(r.doc_id, r.text) for r in got]
+    assert (4, near) in texts and not any(t in (near, other) and i != 4 for i, t in texts) and any(i == 5 and t == far for i, t in texts)
+    two = P.drop_near_copies(spark, docs.where("doc_id = 6"), d).collect()
+    assert len({r.text for r in two if r.text in (near, other)}) == 1  # of one id's near copies one stays
+    clean = sorted((i is None, i or 0, t or "") for i, t in rows if not hits_brute(t, bench)[4])
+    assert kept(P.drop_contaminated(spark, docs, d)) == clean and (False, 7, "clean text") in clean
+
+
 def test_run(spark, corpus):
     d, rows, bench = corpus
     got = P.run(spark, d).collect()

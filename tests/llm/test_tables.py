@@ -1,6 +1,7 @@
 import datetime
 import math
 import random
+import re
 from collections import defaultdict
 
 import duckdb
@@ -90,13 +91,22 @@ def test_mix(spark, mix):
         assert abs(drawn[s] - weight[s] * total * mix.budget) <= largest / 2 + 1
 
 
+@pytest.mark.parametrize("wrong", [{"budget": 8.0, "max_repeats": 2.0}, {"entropy": 1.5}, {"budget": -1.0}, {"blocks": 0}])
+def test_impossible_mixes_are_refused(wrong):
+    with pytest.raises(ValueError):
+        M.Mix(**wrong)
+
+
 def test_draw_follows_the_plan(spark):
     mix = M.Mix(blocks=16)
     docs = spark.createDataFrame(sources(), "doc_id long, source string, text string").selectExpr("*", "'old' as mix_pass")
-    copies = {r.doc_id: r.copies for r in M.mix_sources(docs, mix).collect()}
-    found = defaultdict(list)
+    mixed = M.mix_sources(docs, mix).collect()
+    copies = {r.doc_id: r.copies for r in mixed}
+    found, places = defaultdict(list), defaultdict(list)
     for r in M.draw(docs, mix).collect():
         found[r.doc_id].append(r.mix_pass)
+        places[r.doc_id].append((r.mix_pass, r.mix_place))
+    assert all(r.places == ",".join(f"{a}:{b}" for a, b in sorted(places[r.doc_id])) for r in mixed)
     assert {k: len(v) for k, v in found.items()} == {k: n for k, n in copies.items() if n}
     assert all(sorted(v) == list(range(len(v))) for v in found.values())
 
@@ -127,9 +137,9 @@ T = lambda d: datetime.datetime(2024, 1, d)
 
 
 def test_hosts(spark):
-    urls = ["http://WWW.Example.com./x", "https://u:p@a.b:80/y?z#h", "ftp://h", "no url", "http:///x", None, "http://a.b?x", "http://a.b#x"]
+    urls = ["http://WWW.Example.com./x", "https://u:p@a.b:80/y?z#h", "ftp://h", "no url", "http:///x", None, "http://a.b?x", "http://a.b#x", "http://[2001:DB8::1]:80/x", "http://u@[::1]", "//c.d/e", "///x", "/path"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
-    assert [r[0] for r in df.select(host_of(df.url)).collect()] == ["www.example.com", "a.b", "h", None, None, None, "a.b", "a.b"]
+    assert [r[0] for r in df.select(host_of(df.url)).collect()] == ["www.example.com", "a.b", "h", None, None, None, "a.b", "a.b", "[2001:db8::1]", "[::1]", "c.d", None, None]
 
 
 def test_intervals(spark):
@@ -141,7 +151,8 @@ def test_intervals(spark):
 def active_brute(url_host, when, acts):
     found = []
     for kind, pattern in {(a[0], a[1]) for a in acts}:
-        fits = url_host is not None and (url_host == pattern or (kind == "domain" and url_host.endswith("." + pattern)))
+        address = url_host is not None and re.fullmatch(r"\[.*\]|\d+(\.\d+){3}", url_host)
+        fits = url_host is not None and (url_host == pattern or (kind == "domain" and not address and url_host.endswith("." + pattern)))
         past = [(a[3], a[2]) for a in acts if a[:2] == (kind, pattern) and when is not None and a[3] <= when]
         if fits and past and max(past)[1] == "add":
             found.append((len(pattern), kind, pattern))
@@ -150,11 +161,11 @@ def active_brute(url_host, when, acts):
 
 def test_url_filter(spark):
     rng = random.Random(2)
-    names = ["a.b", "x.a.b", "y.x.a.b", "b", "c.b", "aa.b"]
+    names = ["a.b", "x.a.b", "y.x.a.b", "b", "c.b", "aa.b", "10.0.0.1", "0.1", "[::1]"]
     acts = [(rng.choice(["host", "domain"]), rng.choice(names), rng.choice(["add", "remove"]), T(rng.randint(1, 28))) for _ in range(60)]
     caps = [(i, rng.choice(names + [None]), T(rng.randint(1, 28)) if rng.random() < 0.95 else None) for i in range(300)]
     caps += [(1000, "a.b", T(7))] * 3
-    df = spark.createDataFrame([(i, h and f"http://{h}/p", t) for i, h, t in caps], "page_id long, url string, fetched timestamp").selectExpr("*", *[f"'clash' as {c}" for c in ("host", "pattern", "of", "known", "kind", "blocked")])
+    df = spark.createDataFrame([(i, h and f"http://{h}/p", t) for i, h, t in caps], "page_id long, url string, fetched timestamp").selectExpr("*", *[f"'clash' as {c}" for c in ("host", "pattern", "of", "known", "kind", "blocked", "row", "since", "until", "best", "n_active")])
     got = rows_of(url_filter(df, spark.createDataFrame(acts, "kind string, pattern string, action string, at timestamp")))
     expected = sorted(((i, h, t, n > 0, n, p) for i, h, t in caps for n, p in [active_brute(h, t, acts)]), key=repr)
     assert got == expected
