@@ -2,23 +2,30 @@
 passages, mixing. Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
 all but the last return the columns of documents.
 
-A row with a null doc_id is judged by its text where texts are judged, and never dropped as a copy.
-Rows that repeat a doc_id share a verdict, but for toxicity, which judges each text. Other columns
-pass through, whatever their names."""
+Rows are judged, not ids: a row goes by its own text, also if other rows have its doc_id or none. A row
+with a null doc_id is judged by its text where texts are judged, and never dropped as a copy. Rows that
+repeat a doc_id and its text share a verdict. Other columns pass through, whatever their names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
 from lodestone.llm.common import table, written
 from lodestone.shipping import shipped
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose id is among the dropped."""
-    gone = dropped.select(dropped["doc_id"].alias("dropped_id"))
-    return docs.join(gone, docs["doc_id"] == gone["dropped_id"], "left_anti")
+def _without(docs: DataFrame, key: Column, dropped: DataFrame, by_id: bool = True) -> DataFrame:
+    """docs without the rows whose doc_id and key, or key alone, are among the dropped(doc_id, key)."""
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    gone = dropped.select(*([F.col("doc_id").alias("gone_id")] if by_id else []), F.col("key").alias("gone_key")).distinct()
+    same = F.col("key") == F.col("gone_key")
+    return own.join(gone, same & (F.col("row.doc_id") == F.col("gone_id")) if by_id else same, "left_anti").select("row.*")
+
+
+def _text_key(docs: DataFrame) -> Column:
+    return F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
 
 
 @shipped
@@ -31,20 +38,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @shipped
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept and doc_id is not null"))
+    gone = exact_dedup.exact_dedup(docs).where("not kept and doc_id is not null").withColumnRenamed("text_sha256", "key")
+    return _without(docs, exact_dedup.normalised_sha256(docs["text"]), gone)
 
 
 @shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints link, at 3 bits and over shingles of 3 words as the contract
-    of the operator says, the one with the smallest doc_id stays."""
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    of the operator says, the one with the smallest doc_id stays; of several texts of that id the one
+    with the smallest fingerprint."""
+    judged = written(simhash.near_duplicates(docs.select("doc_id", "text", _text_key(docs).alias("key")), carry=["key"]).where("doc_id is not null"))
+    heads = judged.where("doc_id = component_id").select("doc_id", "key", F.struct("fingerprint", "key").alias("rank"))
+    ties = heads.groupBy("doc_id").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least <> most").select(F.col("doc_id").alias("of"), "least")
+    beaten = heads.join(ties, (F.col("doc_id") == F.col("of")) & (F.col("rank") > F.col("least"))).select("doc_id", "key")
+    return _without(docs, _text_key(docs), judged.where("doc_id <> component_id").select("doc_id", "key").unionByName(beaten))
 
 
 @shipped
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
-    return _without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Rows of whose words a twentieth or more lies in benchmark windows go."""
+    found = decontaminate.decontaminate(docs.select(_text_key(docs).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(docs, _text_key(docs), found.where("contaminated").withColumnRenamed("doc_id", "key"), by_id=False)
 
 
 @shipped
