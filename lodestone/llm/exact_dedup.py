@@ -42,8 +42,7 @@ def _split(rows: DataFrame, digit: int) -> DataFrame:
 
 def _groups(rows: DataFrame) -> DataFrame:
     """The groups of more than one of rows(parent, digit, ended, doc_id), numbered, as a table of its own:
-    so the join with them has a shuffle on either side, which Spark splits at a hot digit, or, where the
-    table's size is known to be small, none."""
+    so the join with them has a shuffle on either side, which Spark splits at a hot digit."""
     found = rows.groupBy("parent", "digit", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where("n > 1")
     return written(found.select(*[F.col(c).alias(f"g_{c}") for c in ("parent", "digit", "ended")], "n", "last", F.monotonically_increasing_id().alias("group")))
 
@@ -74,7 +73,7 @@ def exact_dedup(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = G
         groups = _groups(heads)
         split = _split(now, digit)
         on = (F.col("parent") == F.col("g_parent")) & (F.col("digit") == F.col("g_digit")) & (F.col("ended") == F.col("g_ended"))
-        met = split.join(groups, on, "left")
+        met = split.join(groups.hint("merge"), on, "left")
         going = F.col("group").isNotNull() & ~F.col("ended")
         level = met.select("doc_id", "sha", "n", "last", "group", going.alias("going"), F.when(going, F.expr(f"substring(rest, {digit + 1})")).alias("rest"))
         level = written(level)
