@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -436,6 +437,128 @@ def test_all_visible_words_stay():
         assert out == ws, "".join(parts)
 
 
+VISIBILITY = [
+    ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no</div>", "yes"),
+    ("<style>.h{visibility:hidden}.v{visibility:visible}</style><ul class=h><li>no<li class=v>yes</ul>", "- yes"),
+    ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "yes"),
+    ("a<span style='visibility:hidden'>x</span>b", "a b"),
+    ("<div style='display:none'>no<p style='display:block;visibility:visible'>no</p></div>ok", "ok"),
+    ("<p style='visibility:hidden'>no <b style='visibility:inherit'>no</b><hr>", "---"),
+    ("<table><tr style='visibility:collapse'><td>no<tr><td>yes</table>", "yes"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), VISIBILITY)
+def test_visible_in_hidden(html, text):
+    assert extract(html)[1].strip() == text
+
+
+TAGS = [
+    ("<p title='>'>a<p title=\">\">b", "a\n\nb"),
+    ("<p ' x>a</p '>b", "a\n\nb"),  # a quotation mark without an equals sign is a name's
+    ("<p title='open>a<b>b</b>", "ab"),  # one that never comes again opens nothing
+    ("<p class=x class=y hidden=hidden>no<p>yes", "yes"),
+    ("<a href=x/>t</a><svg><g/><text>u</text></svg>", "t u"),
+    ("x <3 <- <é <1> y", "x <3 <- <é <1> y"),
+    ("a<!doctype html>b<?php no ?>c</ no>d<!-- no --->e", "abcde"),
+    ("<table><tr><td>a<table><tr><td>b</table>c</table>", "a\n\nb\n\nc"),
+    ("<table><tr><table><tr><td>b</table>", "b"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), TAGS)
+def test_tags(html, text):
+    assert extract(html)[1] == text
+
+
+M = 1_000_000
+HOSTILE = ["<a " * (M // 3) + '"', "<a x='" * (M // 6), "<" * M, "<!" * (M // 2), "<div>" * (M // 5), "<table>" * (M // 7), "<table><tr>" + "<td>a" * (M // 5), "<table>" + "<tr><td colspan=1000 rowspan=65534>a" * (M // 36), "<table>" + "x<b>" * (M // 4), "<blockquote>" * 300 + "a<br>" * (M // 5), "<ul><li>" * (M // 8), "<style>" + "".join(f"[a{i}]{{display:none}}" for i in range(M // 60)) + "</style>" + "<b>a" * (M // 8), "<style>" + "".join(f"b b b b b .c{i}{{display:none}}" for i in range(M // 60)) + "</style>" + "<b class=c1>a" * (M // 16), "&amp" * (M // 4), "<a " + "= " * (M // 2) + ">"]
+
+
+@pytest.mark.parametrize("k", range(len(HOSTILE)))
+def test_hostile_pages_take_seconds(k):
+    """A megabyte; alone on a core each takes below 5 s, here others may run beside it."""
+    began = time.process_time()
+    text = extract(HOSTILE[k])[1]
+    assert time.process_time() - began < 10 and len(text) < 30 * M
+
+
+def plain_lines(node):
+    """A plain renderer of nested (tag, children): blocks end lines, p and ul stand apart by empty lines."""
+    lines, now = [], []  # lines are text, or a number of empty lines owed
+
+    def flush():
+        s = " ".join("".join(now).split())
+        now.clear()
+        if s:
+            lines.append(s)
+
+    for c in node[1]:
+        if isinstance(c, str):
+            now.append(c)
+        elif c[0] in ("b", "span"):
+            now += c[1]
+        elif c[0] == "br":
+            s = " ".join("".join(now).split())
+            now.clear()
+            lines.append(s)
+        else:
+            flush()
+            inner = plain_lines(c)
+            margin = 1 if c[0] in ("p", "ul") else 0
+            if c[0] == "ul":
+                inner = [x for li in c[1] for x in listed_plainly(li)]
+            lines += [margin, *inner, margin]
+    flush()
+    return lines
+
+
+def listed_plainly(li):
+    rows = spread(plain_lines(li)) or [""]
+    return [("- " + rows[0]).rstrip(), *(("  " + r).rstrip() for r in rows[1:])]
+
+
+def spread(lines):
+    out, owed = [], 0
+    for x in lines:
+        if isinstance(x, int):
+            owed = max(owed, x)
+        else:
+            out += [""] * (owed if out else 0) + [x]
+            owed = 0
+    return out
+
+
+def test_simple_pages_equal_a_plain_renderer():
+    rng = random.Random(18)
+
+    def make(depth, tags):
+        kids = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(tags)
+            if tag == "text" or depth > 4:
+                kids.append(f"w{rng.randrange(99)} ")
+            elif tag == "br":
+                kids += [f"w{rng.randrange(99)} ", ("br", [])]
+            elif tag in ("b", "span"):
+                kids.append((tag, [f"w{rng.randrange(99)}"]))
+            elif tag == "ul":
+                kids.append(("ul", [("li", make(depth + 1, ["text", "b", "div", "ul"])) for _ in range(rng.randint(1, 3))]))
+            elif tag == "p":
+                kids.append(("p", make(depth + 1, ["text", "b", "br"])))
+            else:
+                kids.append((tag, make(depth + 1, tags)))
+        return kids
+
+    def markup(node):
+        return node if isinstance(node, str) else f"<{node[0]}>" + ("" if node[0] == "br" else "".join(map(markup, node[1])) + f"</{node[0]}>")
+
+    for _ in range(400):
+        tree = ("body", make(0, ["text", "p", "div", "ul", "b", "span", "br", "section"]))
+        page = "".join(map(markup, tree[1]))
+        assert extract(page)[1].split("\n") == spread(plain_lines(tree)), page
+
+
 def test_extract_table(spark):
     rows = [(1, "<title> a  b </title><p>x"), (2, None), (3, ""), (None, "<p>y"), (1, "<title> a  b </title><p>x")]
     df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'u' as url", "'clash' as text", "'clash' as title")
