@@ -20,8 +20,9 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
-#: Runs that the models judge, at least MIN_RUN long. Every access and hex match of full length lies in one.
-MIN_RUN = 16
+#: Runs that the models judge, at least MIN_RUN long; those below LONG_RUN as a whole, longer ones by their
+#: parts. Every access and hex match of full length lies in a long one.
+MIN_RUN, LONG_RUN = 8, 16
 SIGNS = "+/_=-"
 _SIGN = re.compile(f"[{SIGNS}]")
 #: Characters of long runs that are judged at once, and by which the pieces overlap.
@@ -37,7 +38,11 @@ WORDS = (
     "remote render request resource response result return root route row save schema search select send server service session set size sort source stack start state status stream string style sum sync system table "
     "target task template test text thread time title total trace tree type update upload user value version view virtual wait window worker write zone"
 ).split()
-SYLLABLES = "ai al an ar ation au aux be ber bla car ch che chen cion con cor da de den der di do eau ed ei el en er es est eu eur eux fi for ga gen ger gra ha heit he ich ie ier in ing is ist keit la le len li lich lo ly ma me men ment mi na ne nen ni no nt oi on or os ou pa per pf pre pro qua que ra re ren ri ro sa sch se sen ser si so st sta ta te ten ter th ti tion to tra tre tu tz ue un ung ur us ve ver vi vo wa we wi za zu".split()
+SYLLABLES = (
+    "ai al an and ar as at ation au aux ba be ber bi bla ble bo bra bre bu car ce ch cha che chen ci cion co con cor cu da de den der di do du eau ed ee ei el en er es est eu eur eux ez fa fe fi fo for fu ga ge gen ger gi go gra gu ha heit her ho "
+    "ich ie ier in ing is ist ja je ji jo ju keit la le len li lich ll lla lle llo lo lu ly ma me men ment mi mo mu na nd ne nen ni no nt nu oi on or os ou pa pe per pf po pre pro pu qua que qui ra re ren ri ro rr rra rro ru sa sch se sen ser sh si so "
+    "st sta su ta te ten ter th the ti tion to tra tre tu tz ue un ung ur us va ve ver vi vo wa we wh wi wo za ze zo zu"
+).split()
 #: The alphabets of random strings; each has a model of its own.
 ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef")
 
@@ -49,11 +54,11 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> tuple[list[list[str]], lis
     plain = []
     while len(plain) < 3 * n:
         words = [rng.choice(WORDS) for _ in range(rng.randint(2, 6))]
-        coined = "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(5, 12)))
+        coined = "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(4, 12)))
         number = str(rng.randrange(10 ** rng.randint(1, 4)))
         plain += [
             rng.choice("_-/").join(words), "".join(w.title() for w in words), words[0] + "".join(w.title() for w in words[1:]), "_".join(words).upper(), "".join(words) + number,
-            "/".join([*words, coined]), coined, coined.title(), coined.upper(), coined + "-" + words[0] + number, "".join(rng.choices(string.digits, k=rng.randint(MIN_RUN, 20))), rng.choice("=-_+/") * rng.randint(MIN_RUN, 60),
+            "/".join([*words, coined]), coined, coined.title(), coined.upper(), coined + "-" + words[0] + number, "".join(rng.choices(string.digits, k=rng.randint(MIN_RUN, 20))), f"{rng.randrange(1000):03d}-{rng.randrange(1000):03d}-{rng.randrange(10000):04d}", rng.choice("=-_+/") * rng.randint(MIN_RUN, 60),
             f"20{rng.randint(10, 29)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}-{words[0]}-{words[1]}", "=".join(words[:2]) + number,
         ]
     return secret, plain
@@ -68,22 +73,25 @@ def _markov(strings: list[str], smooth: float = 0.5) -> np.ndarray:
     return np.log(count / count.sum(1, keepdims=True))
 
 
+#: One in so many held-out ordinary identifiers may exceed the threshold, one in so many random strings fall below.
+PLAIN_ABOVE, RANDOM_BELOW = 2000, 100
+
+
 class Detector:
     """Log-likelihood ratio of the best model of random strings against that of ordinary identifiers.
 
-    A quarter of the samples is held out. threshold, in nats: half-way from the highest ratio of
-    held-out identifiers to the ratio that all but one in 500 held-out random strings exceed; never
-    below the former. part: the same for a stretch of a run, never below the highest one of held-out
-    identifiers."""
+    A quarter of the samples is held out. threshold, in nats: the ratio that all but one in RANDOM_BELOW
+    held-out random strings exceed, or that all but one in PLAIN_ABOVE held-out identifiers stay below,
+    if that is higher. part: the latter for the highest stretch of a run, if that is higher."""
 
     def __init__(self, secret: list[list[str]], plain: list[str]) -> None:
         self.random = [_markov([x for i, x in enumerate(s) if i % 4]) for s in secret]
         self.plain = _markov([x for i, x in enumerate(plain) if i % 4])
         self.gains = np.stack([m - self.plain for m in self.random])
-        ordinary = max(map(self.ratio, plain[::4]))
-        strange = float(np.quantile([self.ratio(x) for s in secret for x in s[::4]], 0.002))
-        self.threshold = max(ordinary, (ordinary + strange) / 2)
-        self.part = max(self.threshold, *(self._best(self._gains(x))[0] for x in plain[::4]))
+        rare = 1 - 1 / PLAIN_ABOVE
+        strange = float(np.quantile([self.ratio(x) for s in secret for x in s[::4]], 1 / RANDOM_BELOW))
+        self.threshold = max(strange, float(np.quantile([self.ratio(x) for x in plain[::4]], rare)))
+        self.part = max(self.threshold, float(np.quantile([self._best(self._gains(x))[0] for x in plain[::4]], rare)))
 
     def ratio(self, s: str) -> float:
         codes = np.frombuffer(("\0" + s).encode(), np.uint8)
@@ -93,6 +101,20 @@ class Detector:
     def __call__(self, s: str) -> bool:
         return self.ratio(s) > self.threshold
 
+    def random_ones(self, text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Those of some runs of a text (start, end) that are random as a whole, judged all at once."""
+        if not runs:
+            return []
+        codes = np.frombuffer(text.encode("ascii", "replace"), np.uint8)  # a byte for each code point
+        a, z = np.array(runs).T
+        size = z - a
+        first = np.cumsum(size) - size
+        at = np.repeat(a - first, size) + np.arange(size.sum())
+        before = codes[at - 1]
+        before[first] = 0
+        sums = np.add.reduceat(self.gains[:, before, codes[at]], first, axis=1).max(0) - np.log(len(self.gains))
+        return [runs[k] for k in np.flatnonzero(sums > self.threshold).tolist()]
+
     def _best(self, gains: np.ndarray) -> tuple[float, int, int]:
         """The stretch with the highest sum of ratios, over all models: the sum, less the choice of a model, start, end."""
         sums = np.concatenate((np.zeros((len(gains), 1)), gains.cumsum(1)), 1)
@@ -105,7 +127,7 @@ class Detector:
         return self.gains[:, codes[:-1], codes[1:]]
 
     def _weak(self, gains: np.ndarray) -> bool:
-        return float(gains.sum(1).max()) <= np.log(len(gains))
+        return float(gains.sum(1).max()) - np.log(len(gains)) <= self.threshold / 2
 
     def segments(self, s: str) -> list[tuple[int, int]]:
         """The random parts of s: the stretch with the highest sum of ratios if that exceeds part, and so
@@ -157,22 +179,28 @@ def spans(text: str | None, judge: Detector | None = None) -> list[tuple[int, in
     them, is added."""
     if not text:
         return []
-    found = []
+    judge = judge or detector()
+    found, short = [], []
     if ":" in text or "=" in text:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     assigned = list(found)
     for run in RUN.finditer(text):
         a, s = run.start(), run[0]
+        if len(s) < LONG_RUN and not assigned:
+            short.append((a, run.end()))
+            continue
         base = [(a + m.start(), 1, a + m.end()) for m in ACCESS.finditer(s) if m.end() - m.start() >= 20] if "AKIA" in s else []
         base += [(a + m.start(), 2, a + m.end()) for m in HEX.finditer(s) if m.end() - m.start() >= 24]
         found += base
         taken = sorted((max(a, x), min(run.end(), z)) for x, _, z in [*assigned, *base] if x < run.end() and a < z)
         at = a
         for x, z in [*taken, (run.end(), run.end())]:
-            if x - at >= MIN_RUN:
-                found += [(at + i, 3, at + k) for i, k in (judge or detector()).segments(s[at - a : x - a])]
+            if x - at >= LONG_RUN:
+                found += [(at + i, 3, at + k) for i, k in judge.segments(s[at - a : x - a])]
+            elif x - at >= MIN_RUN:
+                short.append((at, x))
             at = max(at, z)
-    return sorted(found)
+    return sorted(found + [(i, 3, k) for i, k in judge.random_ones(text, short)])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +217,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Row by row, so repeated rows repeat and no shuffle is needed. A null text is empty: counts of 0,
-    no spans. Empty tables give no rows."""
+    no spans. A long text is read whole, its runs in pieces. Spans that begin together go by kind.
+    Empty tables give no rows; other columns are not read, whatever their names."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return narrow(docs, "doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_secrets over documents, all rows and whole texts."""
     return find_secrets(table(spark, sf_dir, "documents"))
