@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from math import exp, log, log1p
 
@@ -19,8 +19,8 @@ from .common import fold, narrow, table, written
 FOLDS = 5
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 MAX_TRAIN = 8000
-#: Terms in the lexicon, at most.
-MAX_TERMS = 2000
+#: Tasks that learn from these.
+LEARNERS = 16
 #: Log odds of a term of weight 1.
 FULL_WEIGHT = 6.0
 #: What a misspelled term counts against one spelled out.
@@ -29,7 +29,8 @@ MISSPELLED = 0.7
 CONTEXT = 6
 WORD = re.compile(r"\w[\w@$]*\w|\w")
 _LEET = str.maketrans("013457@$", "oieastas")
-_QUOTES = re.compile("[\"“”„«»‹›‘’]")
+#: Quotation marks; single ones only beside a word, as between letters they are apostrophes.
+_QUOTES = re.compile(r"[\"“”„«»‹›]|(?<!\w)['‘’]|['‘’](?!\w)")
 #: Words that report speech or name a word as a word, and words that address somebody.
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term slur insult insults reported reports dit disait écrit mot insulte dijo dice escribió palabra insulto sagte schrieb nannte wort beleidigung".split())
 ADDRESS = frozenset("you your youre yours u ur tu te toi vous ton ta du dich dir dein ihr euch usted ustedes tú".split())
@@ -176,11 +177,13 @@ class Lexicon:
         return Lexicon, (self.terms, self.exceptions, self.wide)
 
 
-def quotation(text: str, start: int, end: int, reach: int = 60) -> float:
-    """How far the context says that the term at start..end is quoted, 0 to 1: marks on both sides,
-    words that report, and no address."""
-    before, after = text[max(0, start - reach) : start], text[end : end + reach]
-    near = set(WORD.findall(before)[-CONTEXT:]) | set(WORD.findall(after)[:CONTEXT])
+def quotation(text: str, words: Sequence[re.Match], i: int) -> float:
+    """How far the context says that the term that is word i is quoted, 0 to 1: marks on both sides,
+    words that report, and no address. The context is CONTEXT words to each side and what stands
+    between them."""
+    before = text[words[i - CONTEXT - 1].end() if i > CONTEXT else 0 : words[i].start()]
+    after = text[words[i].end() : words[i + CONTEXT + 1].start() if i + CONTEXT + 1 < len(words) else len(text)]
+    near = {w[0] for w in (*words[max(0, i - CONTEXT) : i], *words[i + 1 : i + CONTEXT + 1])}
     enclosed = len(_QUOTES.findall(before)) % 2 == 1 and bool(_QUOTES.search(after))
     return min(1.0, max(0.0, 0.6 * enclosed + 0.5 * bool(near & REPORTING) - 0.3 * bool(near & ADDRESS)))
 
@@ -193,9 +196,10 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[list[float], list[tupl
     abuse = quoted = 0.0
     hits = []
     if hit:
-        for m in WORD.finditer(low):
+        places = list(WORD.finditer(low))
+        for i, m in enumerate(places):
             if at := hit.get(m[0]):
-                q = quotation(low, m.start(), m.end())
+                q = quotation(low, places, i)
                 w = lexicon.terms[at[0]] * (MISSPELLED if at[1] else 1)
                 quoted += q * w
                 abuse += (1 - q) * w
@@ -239,6 +243,17 @@ def _contexts(terms: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def telling(counts: DataFrame, toxic: int, clean: int, vocabulary: int) -> DataFrame:
+    """The rows of counts(term, toxic, clean) that telling_terms keeps, but for rounding."""
+    base = toxic / max(1, toxic + clean)
+    if not 0 < base < 1:
+        return counts.limit(0)
+    t, c = F.col("toxic"), F.col("clean")
+    n = t + c
+    evidence = t * F.log(t / n / base) + F.when(c > 0, c * F.log(c / n / (1 - base))).otherwise(0.0)
+    return counts.where((t > 0) & (t >= c)).where(evidence >= log(3 * max(1, vocabulary)) - 1e-6)
+
+
 def telling_terms(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, vocabulary: int) -> dict[str, tuple[float, float]]:
     """Of (term, toxic, clean) counts the terms that tell toxic texts: their evidence, the log
     likelihood ratio beyond what chance among so many words explains, and their weight, the log of
@@ -268,8 +283,7 @@ def choose_terms(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int,
         if k.endswith("*") and max((size[w] for w in words if w.startswith(s)), default=0) < 0.5 * size[k] and not any(s.startswith(o) or o.startswith(s) for o in stems):
             stems[s] = e
     words = {w: (e, max([weight, *(stems[s][1] for s in stems if w.startswith(s))])) for w, (e, weight) in words.items()}
-    ranked = sorted([*words.items(), *((s + "*", e) for s, e in stems.items())], key=lambda x: (-x[1][0], x[0]))
-    return {t: w for t, (_, w) in ranked[:MAX_TERMS]}
+    return {t: w for t, (_, w) in [*words.items(), *((s + "*", e) for s, e in stems.items())]}
 
 
 def _featured(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -299,19 +313,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model from labels(doc_id, toxic) whose fold is not 0 and their texts in docs(doc_id, text).
 
-    Learns from at most max_train labelled rows, the first by a hash of their id; that sample is small
-    enough to broadcast to the scan. Terms are counted on the executors, and the lexicon, at most
-    MAX_TERMS, and a few numbers for each sampled row reach the driver. Rows with a null id, label or
-    a label other than 0 and 1 are left out. Without toxic and clean rows every score is 0 or so."""
+    Learns from at most max_train labelled ids, the first by a hash of the id, and one text of each, the
+    greatest; that sample is small enough to broadcast to the scan. Terms are counted on the executors,
+    and those that tell, which evidence alone decides, and a few numbers for each sampled text reach
+    the driver. Texts are read whole. Rows with a null id, label or a label other than 0 and 1 are left
+    out; of an id's labels the greatest counts. Without toxic and clean rows every score is 0 or so."""
     own = narrow(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(fold("doc_id", FOLDS) != 0)
     sample = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = written(narrow(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label"))  # one scan of docs
-    counts = texts.mapInArrow(_term_counts, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sampled = narrow(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("label").alias("label"))
+    texts = written(sampled.select("text", "label").repartition(LEARNERS))  # one scan of docs
+    counts = written(texts.mapInArrow(_term_counts, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     sizes = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    least = max(2, int(log(1000) / -log(max(1e-6, sizes.get(1, 0) / max(1, sum(sizes.values()))))) if sizes.get(1) and sizes.get(0) else 2)
-    ranked = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= F.col("clean"))).orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS)
-    found = [tuple(r) for r in ranked.collect()]
-    found = telling_terms(found, sizes.get(1, 0), sizes.get(0, 0), vocabulary := counts.count())
+    vocabulary = counts.count()
+    found = [tuple(r) for r in telling(counts, sizes.get(1, 0), sizes.get(0, 0), vocabulary).collect()]
+    found = telling_terms(found, sizes.get(1, 0), sizes.get(0, 0), vocabulary)
     seen = texts.mapInArrow(_contexts(frozenset(found)), "term string, label int, before string").distinct()
     seen = [(r.term, r.toxic, r.n - r.toxic) for r in seen.groupBy("term").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()]
     lexicon = Lexicon(choose_terms(seen, sizes.get(1, 0), sizes.get(0, 0), vocabulary), wide=True)
@@ -351,12 +366,14 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     held_out: the id's fold is 0, so no label of it was learned from; null for a null id. Scores
     come from whole texts alone, row by row; null and empty texts get the score of a text without
-    terms. Repeated rows repeat; empty tables give no rows."""
+    terms; a long text is held whole. Repeated rows repeat; equal scores need no order; empty tables
+    give no rows; other columns are not read, whatever their names."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = narrow(docs, "doc_id", "text").mapInArrow(_scored(model), f"doc_id {kind}, score double")
     return out.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity over documents, by a model learned from labels whose fold is not 0."""
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
