@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import fold, narrow, table
 
 FOLDS, HELD_OUT = 3, 1
-#: Labelled rows that the network is trained on, at most, and the longest text among them, in characters.
-MAX_TRAIN, MAX_TRAIN_CHARS = 3000, 20_000
+#: Labelled rows that the network is trained on, at most, the characters of each, and those of a piece: of a
+#: longer text pieces from evenly spread places are learned from.
+MAX_TRAIN, MAX_TRAIN_CHARS, PIECE = 3000, 20_000, 1000
 #: Bytes that a filter sees, bytes from one position to the next, bytes of half a chunk. Two
 #: neighbouring halves are a chunk, so chunks overlap by half and every byte lies in one.
 WIDTH, STRIDE, HALF = 8, 2, 256
@@ -137,10 +138,11 @@ class Network:
         return {"embed": embed, "filters": filters, "bias": dp.sum(0), "hidden": x.T @ dh, "hidden_bias": dh.sum(0), "out": h.T @ dz, "out_bias": dz.sum(keepdims=True)}
 
 
-def train(texts: list[str | None], y: list[int], steps: int = STEPS, seed: int = 5) -> Network:
-    """Adam with a rate that falls to zero. Texts of like length share a batch; the order of the
+def train(texts: list[str | None], y: list[int], steps: int | None = None, seed: int = 5) -> Network:
+    """Adam, by default in STEPS steps, with a rate that falls to zero. Texts of like length share a batch; the order of the
     batches is drawn anew each time through. The same rows give the same network."""
     _one_thread()
+    steps = STEPS if steps is None else steps
     rng = np.random.default_rng(seed)
     net, labels = Network.fresh(rng), np.array(y, np.float32)
     order = np.argsort([len(t or "") for t in texts], kind="stable")
@@ -162,13 +164,17 @@ def train(texts: list[str | None], y: list[int], steps: int = STEPS, seed: int =
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Network:
     """A network from labels(doc_id, quality) whose fold is not 1 and their texts in docs(doc_id, text).
 
-    Trains on the driver on at most max_train labelled rows, the first by a hash of their id, whose
-    texts have at most max_chars characters; the sample is small enough to broadcast and to collect.
-    Rows with a null id or label, or a label other than 0 and 1, are left out. Without any row the
-    network is untrained."""
+    Trains on the driver on at most max_train labelled ids, the first by a hash of the id, and one text of
+    each, the greatest; of a text beyond max_chars characters on that many, in pieces spread evenly over
+    all of it. So what is broadcast and collected is bounded. Rows with a null id or label, or a label
+    other than 0 and 1, are left out; of an id's labels the greatest counts. Without any row the network
+    is untrained."""
     own = narrow(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(fold("doc_id", FOLDS) != HELD_OUT)
     sample = own.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = narrow(docs, "doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(F.broadcast(sample), "doc_id").collect()
+    n = max(1, max_chars // PIECE)
+    pieces = F.expr(f"if(length(text) <= {max_chars}, text, array_join(transform(sequence(0, {n - 1}), i -> substring(text, cast(1 + i * (length(text) - {PIECE}) / {max(1, n - 1)} as int), {PIECE})), ''))")
+    met = narrow(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", pieces.alias("text"), "label")
+    rows = met.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("label").alias("label")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return train([r.text for r in rows], [r.label for r in rows])
 
@@ -200,12 +206,14 @@ def quality(docs: DataFrame, net: Network) -> DataFrame:
 
     held_out: the id's fold is 1, so no label of it was learned from; null for a null id. Scores come
     from whole texts alone: every byte lies in a chunk. Null and empty texts are scored as one chunk
-    of padding. Repeated rows repeat; empty tables give no rows."""
+    of padding. Equal scores need no order. Repeated rows repeat; empty tables give no rows; other
+    columns are not read, whatever their names."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = narrow(docs, "doc_id", "text").mapInArrow(_scored(net), f"doc_id {kind}, score double")
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality over documents, by a network learned from labels whose fold is not 1."""
     docs = table(spark, sf_dir, "documents")
     return quality(docs, learn(docs, table(spark, sf_dir, "labels")))

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -183,8 +185,12 @@ def test_toxicity_finds_misspelled_short_terms(spark):
 def test_quotation():
     said = 'He wrote "you are worthless" in the letter'
     told = "you are worthless"
-    at = [t.index("worthless") for t in (said, told)]
-    assert T.quotation(said, at[0], at[0] + 9) > 0.5 > T.quotation(told, at[1], at[1] + 9)
+    quoted = lambda t: T.quotation(t.lower(), (ms := list(T.WORD.finditer(t.lower()))), next(i for i, m in enumerate(ms) if m[0] == "worthless"))
+    assert quoted(said) > 0.5 > quoted(told)
+    apostrophes = [t.replace("'", a) for a in "'’" for t in ("you're worthless, it's over now", "it's worthless, isn't it")]
+    assert all(quoted(t) == 0 for t in apostrophes) and quoted("he was 'worthless' again") > 0.5
+    far = " ".join(["w" * 30] * 6)  # six words to each side, however long
+    assert quoted(f'"{far} worthless {far}"') > 0.5 and quoted(f'"{far} x worthless x {far}"') == 0
     lexicon = T.Lexicon({"worthless": 1.0})
     assert T.features(told, lexicon)[0][0] > T.features(said, lexicon)[0][0]
 
@@ -209,14 +215,53 @@ def test_toxicity_learns(spark):
     assert all(r.predicted == int(r.doc_id % 5 == 0) for r in got if r.doc_id is not None and r.doc_id < 600)
     by = {r.doc_id: r for r in got}
     assert by[1000].predicted == by[1001].predicted == 0 and by[1002].predicted == 1 and by[None].predicted == 1 and by[None].held_out is None
-    import zlib
-
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
 
 
-def test_toxicity_ignores_held_out_labels(spark):
-    import zlib
+def plain_score(text, model):
+    """The score, from distances to every term and a context of words, spelled out."""
+    low = (text or "").lower()
+    ms = list(T.WORD.finditer(low))
+    abuse = quoted = 0.0
+    for i, m in enumerate(ms):
+        w = m[0] if m[0].isalpha() else m[0].translate(str.maketrans("013457@$", "oieastas"))
+        near = [(0, t) for t in model.lexicon.terms if t.endswith("*") and w.startswith(t[:-1])][:1]
+        near += [(e, t) for t in model.lexicon.terms if not t.endswith("*") and (e := swapping(w, t)) <= T.slips(t) and (e == 0 or len(t) >= T.FIRST_EDITED or swapping(w[1:], t[1:]) <= T.slips(t) and w[:1] == t[:1])]
+        if near and not (min(near)[0] and m[0] in model.lexicon.exceptions):
+            e, t = min(near)
+            before, after = [x[0] for x in ms[max(0, i - 6) : i]], [x[0] for x in ms[i + 1 : i + 7]]
+            left = low[ms[i - 7].end() if i > 6 else 0 : m.start()]
+            right = low[m.end() : ms[i + 7].start() if i + 7 < len(ms) else len(low)]
+            marks = lambda s: len(re.findall(r"[\"“”„«»‹›]|(?<![^\W])['‘’]|['‘’](?![^\W])", s))
+            q = 0.6 * (marks(left) % 2 == 1 and marks(right) > 0) + 0.5 * bool({*before, *after} & T.REPORTING) - 0.3 * bool({*before, *after} & T.ADDRESS)
+            q, weight = min(1.0, max(0.0, q)), model.lexicon.terms[t] * (0.7 if e else 1)
+            abuse, quoted = abuse + (1 - q) * weight, quoted + q * weight
+    x = [math.log1p(abuse), math.log1p(100 * abuse / max(1, len(ms))), math.log1p(quoted), float(abuse > 0.5)]
+    return 1 / (1 + math.exp(-(model.bias + sum(a * b for a, b in zip(model.weights, x, strict=True)))))
+
+
+def test_scores_equal_plain_ones():
+    rng = random.Random(22)
+    model = T.Model(T.Lexicon({"idiot": 0.8, "worthless": 1.0, "scum": 0.5, "trash": 0.6, "lowei*": 0.9}, ["thrash"], wide=True), (1.5, 0.7, -0.3, 0.9), -2.0)
+    filler = ["you", "said", "it's", '"', "'", "table", "thrash", "worthlss", "idoit", "scu", "sum", "cum", "trush", "loweia", "w0rthless", "the", "“", "”", "x" * 40]
+    for _ in range(300):
+        text = " ".join(rng.choices([*filler, "worthless", "idiot", "scum"], k=rng.randint(0, 40)))
+        assert model.score(text) == pytest.approx(plain_score(text, model), abs=1e-12), text
+
+
+def test_toxicity_of_long_texts_and_repeated_ids(spark):
+    rng = random.Random(23)
+    rows = [(i, abuse(rng, 3 if i % 5 == 0 else 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = T.learn(clashing(spark, rows), labels)
+    again = T.learn(clashing(spark, rows * 3 + [(i, "") for i in range(300)]), labels)  # one text of each id
+    assert (again.lexicon.terms, again.weights) == (model.lexicon.terms, model.weights)
+    long = prose(rng, 100_000)
+    got = {r.doc_id: r.predicted for r in T.toxicity(clashing(spark, [(1, long), (2, long[:-200] + " ".join(["scoundrel nitwit wretched"] * 900))]), model).collect()}
+    assert got == {1: 0, 2: 1}
 
+
+def test_toxicity_ignores_held_out_labels(spark):
     rng = random.Random(12)
     rows = [(i, abuse(rng, 3 if i % 3 == 0 else 0)) for i in range(200)]
     flip = lambda i: int(i % 3 == 0) if zlib.crc32(str(i).encode()) % 5 else int(i % 3 != 0)
@@ -271,7 +316,7 @@ def test_scores_do_not_depend_on_the_batch():
 
 def test_quality_learns(spark, monkeypatch):
     rng = random.Random(4)
-    monkeypatch.setattr(Q, "STEPS", 150)
+    monkeypatch.setattr(Q, "STEPS", 20)
     rows = [(i, prose(rng, 80) if i % 2 else (prose(rng, 80).upper() + " !!! ###")) for i in range(240)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(240)] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     docs = clashing(spark, rows + [(1000, None), (1001, ""), (None, "x")])
@@ -282,6 +327,50 @@ def test_quality_learns(spark, monkeypatch):
     assert Q.learn(docs, labels.limit(0)) is not None and Q.quality(clashing(spark, []), net).count() == 0
 
 
+def test_forward_pass_equals_a_plain_one():
+    """Every position of every chunk, by loops."""
+    rng = np.random.default_rng(6)
+    net = Q.Network.fresh(rng)
+    net.bias, net.hidden_bias = rng.standard_normal(Q.FILTERS).astype(np.float32) * 0.1, rng.standard_normal(Q.HIDDEN).astype(np.float32) * 0.1
+    for text in ["", "short", "words and more words " * 40, "é" * 300, "x" * (2 * Q.HALF - Q.WIDTH)]:
+        raw = text.encode()
+        halves = (len(raw) + Q.WIDTH) // Q.HALF + 1
+        data = raw + bytes(halves * Q.HALF - len(raw))
+        chunks = []
+        for c in range(max(1, halves - 1)):
+            end = min(len(data), (c + 2) * Q.HALF)
+            best = np.full(Q.FILTERS, -np.inf)
+            for at in range(c * Q.HALF, end, Q.STRIDE):
+                if at + Q.WIDTH <= len(data):
+                    best = np.maximum(best, np.concatenate([net.embed[b] for b in data[at : at + Q.WIDTH]]) @ net.filters)
+            chunks.append(np.maximum(best + net.bias, 0))
+        x = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)])
+        z = np.maximum(x @ net.hidden + net.hidden_bias, 0) @ net.out + net.out_bias[0]
+        assert net.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5), text[:20]
+
+
+def test_quality_ignores_held_out_labels(spark, monkeypatch):
+    monkeypatch.setattr(Q, "STEPS", 30)
+    rng = random.Random(24)
+    rows = [(i, prose(rng, 40)) for i in range(90)]
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(90)]
+    nets = [Q.learn(clashing(spark, rows), spark.createDataFrame([(i, (i % 2) ^ (flip and held[i])) for i in range(90)], "doc_id long, quality int")) for flip in (False, True)]
+    assert any(held) and all((getattr(nets[0], k) == getattr(nets[1], k)).all() for k in vars(nets[0]))
+    other = Q.learn(clashing(spark, rows), spark.createDataFrame([(i, 1 - i % 2) for i in range(90)], "doc_id long, quality int"))
+    assert any((getattr(nets[0], k) != getattr(other, k)).any() for k in vars(other))
+
+
+def test_long_texts_and_repeated_ids_are_learned_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda texts, y: seen.append((texts, y)))
+    long = "".join(f"{k:07d} " for k in range(20_000))
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    Q.learn(clashing(spark, [(ids[0], long), (ids[1], "short"), (ids[1], "a"), (ids[2], None)]), spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int"))
+    (texts, y), = seen
+    assert texts[1:] == ["short", ""] and y == [1, 1, 1]
+    assert len(texts[0]) == Q.MAX_TRAIN_CHARS and texts[0].startswith(long[:900]) and texts[0].endswith(long[-900:])
+
+
 def test_training_is_repeatable():
     rng = random.Random(5)
     texts = [prose(rng, 20) for _ in range(20)]
