@@ -32,7 +32,7 @@ def _bm25(cols: list[str], phrases: list[tuple[list[str], bool]], name: str = "b
     parts.append("corpus as (select cast(count(*) as double) as n, cast(sum(dl) as double) / count(*) as avgdl from dl)")
     parts.append("pos as (select id, col, ws, unnest(range(1, len(ws) + 1)) as p from tok)")
     for k, (terms, start) in enumerate(phrases):
-        same = " and ".join(f"ws[p + {o}] = '{t}'" for o, t in enumerate(terms))
+        same = " and ".join(f"ws[p + {o}] in ('{t}')" if isinstance(t, str) else f"ws[p + {o}] in {t}" for o, t in enumerate(terms))
         parts.append(f"hit{k} as (select id, cast(count(*) as double) as tf from pos where {same}{' and p = 1' if start else ''} group by id)")
         parts.append(f"idf{k} as (select case when ln((n - df + 0.5e0) / (df + 0.5e0)) <= 0 then 1e-6 else ln((n - df + 0.5e0) / (df + 0.5e0)) end as idf from corpus, (select cast(count(*) as double) as df from hit{k}))")
     joins = " ".join(f"join hit{k} on hit{k}.id = dl.id" for k in range(len(phrases)))
@@ -84,11 +84,66 @@ def _hybrid(limit: int) -> str:
 {_ARMS.replace("LIM", str(2 * limit)).replace("TOP", str(limit))}"""
 
 
+# Lines of the sources' templates by the id's remainder: start, end, function and class.
+_TEMPLATES = "(values (0, 2, 4, 'f#', null), (0, 5, 8, null, 'C#'), (1, 0, 5, 'f#', null), (1, 7, 9, null, 'C#'), (2, 0, 0, null, 'T#'), (3, 0, 3, 'catch', null), (4, 0, 2, 'f#', null), (5, 0, 1, 'Run#', null), (5, 3, 4, null, 'S#'), (6, 0, 0, null, 'c#'), (6, 1, 2, 'm#', null), (7, 0, 1, null, null)) t(k, s, e, fn, cl)"
+_PY = "import os||def f#(x):|    return x||class C#:|    def m(self):|        pass|"
+_SOURCES = " union all ".join(
+    f"select doc_id, string_split(replace('{text}', '#', doc_id::varchar), '|') as ls from documents where doc_id % 8 = {k}"
+    for k, text in enumerate([_PY, "function f#(a) {|  if (a) {|    g();|  }|  return a;|}|const z = 1;|class C# {|  m(x) { return x; }|}|", "function f#() { type T# = 1; }|}|", "} catch (e#) {|  if (q) {|    r();|  }|}|rest();|", "const f# = (a) => a;|const g = 2;|let h = 3;", "func (r *T#) Run#() {|}||type S# struct {|}|", ".c# { x }|@mixin m# {|}|", "x = #|"])
+)
 _V2 = f"select file_path, case when language = 'fr' then content || chr(10) || 'edited' else content end as content, language from ({_FILES}) where language <> 'de'"
 _NAMED = f"select doc_id as id, file_path, content, len(string_split(content, chr(10))) - 1 as end_line, case when language = 'en' then language end as fn, case when language = 'de' then language end as cl, language from ({_FILES})"
 _RAW_SQL = " union all ".join(f"select '{q}' as raw" for q in ["find (auth) AND not_found or x:y*", 'say "near" and far', "a  NOT   b", "AND", "plain words", "[x] NEAR {y}"])
 
+_SHOWN = f"select *, file_path as path, case when language = 'en' then ' · method en' when language = 'de' then ' · class de' else '' end as tag, replace(substr(content, 1, 150), chr(10), ' ') as cut from ({_NAMED})"
+
+# Spans of HTML, line by line: base is what braces above a line add up to, be the line where its block ends.
+_HTML_SPANS = r"""with recursive l as (select page_id, url, string_split(html, chr(10)) as ls from pages),
+t as (select page_id, url, ls[i + 1] as s, i, n from (select *, unnest(range(0, len(ls))) as i, len(ls) as n from l)),
+x as (select page_id, url, i, n, s, regexp_matches(s, '<script[^>]*>') as script, regexp_matches(s, 'class="[^"]+"') as classed from t),
+k as (select page_id, url, i, n, script or regexp_matches(s, 'function\s+[A-Za-z0-9_]') as has_fn, case when not script then nullif(regexp_extract(s, 'function\s+([A-Za-z0-9_]+)', 1), '') end as fn,
+             classed or regexp_matches(s, 'id="[^"]+"') as has_cl, case when classed then regexp_extract(s, 'class="([^"]+)"', 1) else nullif(regexp_extract(s, 'id="([^"]+)"', 1), '') end as cl,
+             len(regexp_extract_all(s, '\{')) as ups, len(regexp_extract_all(s, '\}')) as downs from x),
+z as (select *, coalesce(sum(ups - downs) over w, 0) as base, coalesce(sum(ups) over w, 0) as opened from k window w as (partition by page_id order by i rows between unbounded preceding and 1 preceding)),
+c as (select page_id, i, unnest(regexp_extract_all(s, '[{}]')) as c, generate_subscripts(regexp_extract_all(s, '[{}]'), 1) as p from x),
+b as (select page_id, i, c, sum(case when c = '{' then 1 else -1 end) over o as cum, sum(case when c = '{' then 1 else 0 end) over o as opened from c window o as (partition by page_id order by i, p)),
+e as (select z.page_id, z.i, min(b.i) as be from z join b on b.page_id = z.page_id and b.i >= z.i and b.c = '}' and b.cum = z.base and b.opened > z.opened group by z.page_id, z.i),
+m as (select z.*, coalesce(e.be, least(z.i + 20, z.n - 1)) as be from z left join e on e.page_id = z.page_id and e.i = z.i),
+go as (select page_id, cast(0 as bigint) as i from l
+       union all
+       select go.page_id, 1 + case when a.has_cl then (case when a.has_fn then f.be else a.be end) when a.has_fn then a.be else a.i end
+       from go join m a on a.page_id = go.page_id and a.i = go.i join m f on f.page_id = a.page_id and f.i = case when a.has_fn then a.be else a.i end),
+r as (select a.url, a.i as s, a.be as e, a.fn, cast(null as varchar) as cl from go join m a using (page_id, i) where a.has_fn
+      union all
+      select a.url, f.i, f.be, cast(null as varchar), a.cl from go join m a using (page_id, i) join m f on f.page_id = a.page_id and f.i = case when a.has_fn then a.be else a.i end where a.has_cl)
+select sha256(url || ':' || s || ':' || e) as id, url as file_path, cast(s as integer) as start_line, cast(e as integer) as end_line, fn as function_name, cl as class_name from r"""
+
 ORACLES: dict[str, str] = {
+    "structured_chunks_html": _HTML_SPANS,
+    "structured_chunks_sources": f"""select sha256('/w/' || doc_id || ':' || s || ':' || e) as id, '/w/' || doc_id as file_path, s as start_line, e as end_line, replace(fn, '#', doc_id::varchar) as function_name, replace(cl, '#', doc_id::varchar) as class_name,
+sha256(array_to_string(list_slice(ls, s + 1, e + 1), chr(10))) as content_hash from ({_SOURCES}) join {_TEMPLATES} on k = doc_id % 8""",
+    "chunk_udtf": f"select doc_id, s as start_line, e as end_line, replace(fn, '#', doc_id::varchar) as function_name, replace(cl, '#', doc_id::varchar) as class_name from documents join (select * from {_TEMPLATES} union all select 2, 0, 0, 'f#', null) on k = doc_id % 8 where k in (1, 2)",
+    "chunk_lookup": f"select id, file_path, start_line, content_hash from ({_windows(_FILES)}) where file_path = (select file_path from ({_FILES}) where doc_id = 0) order by start_line limit 1",
+    "exists_with_hash": f"select 'own' as content_hash, count(*) > 0 as found from ({_windows(_FILES)}) union all select 'other', false",
+    "file_filters": f"""select file_path, length from (select (case when doc_id % 7 = 0 then '/build/' else '/src/' end) || doc_id || (case language when 'en' then '.py' when 'de' then '.txt' else '.min.js' end) as file_path,
+cast(strlen(content) as bigint) as length, * from ({_FILES})) where language = 'en' and doc_id % 7 <> 0 and length <= 1500""",
+    "failed_embeddings": f"select id, 2 as dims, 5 as updated_at from ({_windows(_FILES)}) where not regexp_matches(content, '^[aeiouAEIOU]')",
+    "store_migration": f"select id, case when language = 'de' then id else content_hash end as content_hash, true as unnamed, cast(5 as double) as norm from ({_windows(_FILES)})",
+    "store_upsert": f"select id, file_path, case when language in ('en', 'fr') then 2 else 1 end as version from ({_windows(_FILES)})",
+    "store_delete": f"""with t as (select id, unnest(list_concat({_tokens('file_path')}, {_tokens('content')})) as term from ({_windows(_FILES)}) where language <> 'de')
+select count(*) as n_tokens, count(distinct id) as n_chunks, count(distinct term) as n_terms, count(distinct id) as corpus_n, count(*) as corpus_tokens from t""",
+    "store_clear": f"select 'before' as state, count(*) as total_chunks, count(distinct file_path) as total_files, true as has_bytes from ({_windows(_FILES)}) union all select 'after', 0, 0, false",
+    "search_rows": f"select id || '.txt' as label, '50.0% - Lines 0-' || end_line as description, replace(substr(content, 1, 100), chr(10), ' ') || case when length(content) > 100 then '...' else '' end as detail from ({_NAMED})",
+    "quick_rows": f"""select id || '.txt' as label, case when tag = '' then '50.0% ' else '50.0%' || tag end as description,
+regexp_extract(path, '^(.*)/', 1) || ' · Lines 0-' || end_line || ' · ' || trim(cut, ' ') || case when length(content) > 150 then '...' else '' end as detail from ({_SHOWN})""",
+    "similar_rows": f"select id || '.txt' || case when fn is not null then ' · ' || fn || '()' when cl is not null then ' · ' || cl else '' end as label, '50% similar' as description, regexp_extract(file_path, '^(.*)/', 1) as detail from ({_NAMED})",
+    "open_tab_rows": f"select doc_id || '.txt' as label, regexp_extract(file_path, '^(.*)/', 1) as detail from ({_FILES}) order by doc_id limit 10",
+    "message_rows": "select 'No results' as label, '' as description, '' as detail",
+    "status_text": f"select 'Index Statistics:' || chr(10) || '- Total Chunks: ' || count(*) || chr(10) || '- Total Files: ' || count(distinct file_path) || chr(10) || '- Database Size: 3.00 MB' || chr(10) || '- Last Indexed: Never' as status from ({_windows(_FILES)})",
+    "flat_lists": f"""select id, '["' || language || '","a \\"b\\""]' as json, '[]' as none, language || '|a "b"' as joined from ({_windows(_FILES)})""",
+    "blob_round_trip": "select vec_id, cast(len(embedding) as integer) as dims, cast(embedding[1] as double) as first, cast(embedding[-1] as double) as last from embeddings where label <> 1",
+    "prompts": f"select doc_id as id, sha256(language || '|' || doc_id || '.txt|' || file_path || '|0-' || (len(string_split(content, chr(10))) - 1) || '|{{language}}|' || content || '|{{code}}') as prompt_sha from ({_FILES})",
+    "bm25_porter": _top_bm25([([("the", "thes")], False), ([("es", "eses", "esing", "esed", "esings", "eseds")], False)]),
     "vector_topk": f"select e.vec_id, round({_SIM}, 6) as similarity from embeddings e, {_Q} order by {_SIM} desc, e.vec_id limit 10",
     "vector_topk_dedup_label": f"""with h as (select e.vec_id, e.label, {_SIM} as s from embeddings e, {_Q} order by s desc, vec_id limit 30),
 b as (select *, row_number() over (partition by label order by s desc, vec_id) as k from h where label <> (select label from embeddings where vec_id = 0))

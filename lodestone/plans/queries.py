@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.context import fallback_context, full_context, parse_context
+from ..functions.context import fallback_context, full_context, parse_context, prompt
 from ..functions.paths import basename, excluded
+from ..functions.sql import register
 from ..functions.text import clean_query, parse_query
+from ..functions.vector import from_blob
 from ..operators import display, fulltext, fusion, lookup
-from ..operators.chunker import line_windows, structured_chunks
+from ..operators.chunker import chunk_files, line_windows, structured_chunks
 from ..operators.search import Searcher, best_per, chunks_at_lines, fuzzy_topk, vector_topk
 from ..schema import EXCLUDED, Config
+from ..sources.files import indexable, open_tabs
+from ..sources.flat import from_flat, to_blob, to_flat
 from ..sources.providers import HashingEmbedder
-from ..sources.scratch import forget_at_exit, shared_dir
+from ..sources.scratch import forget_at_exit, shared_dir, stored
 from ..sources.store import Store
 from ..streaming.feed import latest, start_feed
+from .ingest import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,8 +64,17 @@ def vector(spark: SparkSession, d: str, key: int = 0) -> list[float]:
     return list(table(spark, d, "embeddings").where(F.col("vec_id") == key).first().embedding)
 
 
+def _index(spark: SparkSession, d: str, columns: Sequence[str], stemmed: bool) -> tuple[DataFrame, DataFrame]:
+    """The stored postings of documents, sorted by term, and their figures: an index is written once,
+    and each query reads the row groups of its terms."""
+    name = f"{d} {columns} {stemmed}"
+    made = lambda: fulltext.postings(whole(spark, d), columns, stemmed).repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+    index = stored(spark, f"postings {name}", made)
+    return index, stored(spark, f"corpus {name}", lambda: fulltext.corpus(index))
+
+
 def text_index(spark: SparkSession, d: str, stemmed: bool = False) -> DataFrame:
-    return fulltext.postings(whole(spark, d).select("id", "content"), ["content"], stemmed)
+    return _index(spark, d, ["content"], stemmed)[0]
 
 
 def rounded(c: str, n: int = 6) -> Column:
@@ -102,8 +117,8 @@ def chunk_embedding_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str, text: str, stemmed: bool = False) -> DataFrame:
-    known = fulltext.corpus_of(whole(spark, d), ["content"])
-    return fulltext.keyword_search(text_index(spark, d, stemmed), parse_query(text, stemmed), 20, known).select(F.col("chunk_id").alias("id"), rounded("rank"))
+    index, known = _index(spark, d, ["content"], stemmed)
+    return fulltext.keyword_search(index, parse_query(text, stemmed), 20, known).select(F.col("chunk_id").alias("id"), rounded("rank"))
 
 
 @query
@@ -139,7 +154,8 @@ def postings_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyword_normalised(spark: SparkSession, d: str) -> DataFrame:
-    hits = fulltext.keyword_search(text_index(spark, d), parse_query(KEYWORDS, False), 20, fulltext.corpus_of(whole(spark, d), ["content"]))
+    index, known = _index(spark, d, ["content"], False)
+    hits = fulltext.keyword_search(index, parse_query(KEYWORDS, False), 20, known)
     return fusion.from_best(hits).select(F.col("chunk_id").alias("id"), rounded("similarity"))
 
 
@@ -161,9 +177,9 @@ def _searcher(spark: SparkSession, d: str, mode: str = "hybrid") -> Searcher:
     """Documents with their vectors; the query's vector is the first one, keywords are unstemmed."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     chunks = whole(spark, d).join(e, F.col("id") == F.col("vec_id"), "left").drop("vec_id")
-    index = fulltext.postings(whole(spark, d), stemmed=False)
+    index, known = _index(spark, d, fulltext.COLUMNS, False)
     q = vector(spark, d)
-    return Searcher(chunks, index, lambda _: q, Config(search_mode=mode), stemmed=False, corpus=fulltext.corpus_of(whole(spark, d)))
+    return Searcher(chunks, index, lambda _: q, Config(search_mode=mode), stemmed=False, corpus=known)
 
 
 def _flat(results: DataFrame) -> DataFrame:
@@ -333,7 +349,7 @@ def stream_index(spark: SparkSession, d: str) -> DataFrame:
     """The store after the change feed has taken all events."""
     root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     forget_at_exit(spark, root)
-    store = Store(spark, f"{root}/store")
+    store = Store(spark, f"{root}/store", buckets=8)
     schema = table(spark, d, "events").schema
     stream = _events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
 
@@ -345,6 +361,200 @@ def stream_index(spark: SparkSession, d: str) -> DataFrame:
     return store.chunks().select("id", "file_path", "start_line", "end_line", "content_hash")
 
 
+#: Contents whose spans are known, one for each document by its id; # stands for the id.
+TEMPLATES = (
+    ("python", "import os\n\ndef f#(x):\n    return x\n\nclass C#:\n    def m(self):\n        pass\n"),
+    ("typescript", "function f#(a) {\n  if (a) {\n    g();\n  }\n  return a;\n}\nconst z = 1;\nclass C# {\n  m(x) { return x; }\n}\n"),
+    ("typescript", "function f#() { type T# = 1; }\n}\n"),
+    ("javascript", "} catch (e#) {\n  if (q) {\n    r();\n  }\n}\nrest();\n"),
+    ("javascript", "const f# = (a) => a;\nconst g = 2;\nlet h = 3;"),
+    ("go", "func (r *T#) Run#() {\n}\n\ntype S# struct {\n}\n"),
+    ("scss", ".c# { x }\n@mixin m# {\n}\n"),
+    ("python", "x = #\n"),
+)
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """A source file for each document: file_path, content, language."""
+    docs = table(spark, d, "documents").select("doc_id")
+    made = F.create_map(*[x for k, (lang, text) in enumerate(TEMPLATES) for x in (F.lit(k), F.struct(F.lit(lang).alias("language"), F.lit(text).alias("text")))])
+    of = docs.withColumn("t", F.element_at(made, F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int")))
+    return of.select(F.concat(F.lit("/w/"), F.col("doc_id").cast("string")).alias("file_path"), F.replace(F.col("t.text"), F.lit("#"), F.col("doc_id").cast("string")).alias("content"), F.col("t.language").alias("language"), "doc_id")
+
+
+@query
+def structured_chunks_sources(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_files(sources(spark, d), SIZE, OVERLAP).select("id", "file_path", "start_line", "end_line", "function_name", "class_name", "content_hash")
+
+
+@query
+def chunk_udtf(spark: SparkSession, d: str) -> DataFrame:
+    """The table function in SQL."""
+    register(spark)
+    files_ = sources(spark, d).where("language = 'typescript'").select("doc_id", "content", "language")
+    return spark.sql(f"select f.doc_id, c.start_line, c.end_line, c.function_name, c.class_name from {{f}} f, lateral chunk_file(f.content, f.language, {SIZE}) c", f=files_)
+
+
+@query
+def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk by its id."""
+    path = files(spark, d).where("doc_id = 0").first().file_path
+    first = windows(spark, d).where(F.col("file_path") == path).orderBy("start_line").first().id
+    return lookup.chunk_by_id(windows(spark, d), first).select("id", "file_path", "start_line", "content_hash")
+
+
+@query
+def exists_with_hash(spark: SparkSession, d: str) -> DataFrame:
+    one = windows(spark, d).orderBy("id").first()
+    found = [(h, lookup.exists_with_hash(windows(spark, d), one.id, x)) for h, x in (("own", one.content_hash), ("other", "no hash"))]
+    return spark.createDataFrame(found, "content_hash string, found boolean")
+
+
+@query
+def file_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Which of some files made of documents are indexed: by extension, glob and size."""
+    f = files(spark, d)
+    ext = F.when(F.col("language") == "en", ".py").when(F.col("language") == "de", ".txt").otherwise(".min.js")
+    folder = F.when(F.col("doc_id") % 7 == 0, "/build/").otherwise("/src/")
+    own = f.select(F.concat(folder, F.col("doc_id").cast("string"), ext).alias("file_path"), F.octet_length("content").cast("bigint").alias("length"))
+    return indexable(own, Config(max_file_size=1500)).select("file_path", "length")
+
+
+class _Picky:
+    """Fails on texts that begin with a vowel."""
+
+    def embed(self, text: str) -> list[float]:
+        if text[:1] in "aeiouAEIOU":
+            raise OSError(text[:1])
+        return [1.0, 2.0]
+
+
+@query
+def failed_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose embedding fails are dropped."""
+    made = prepared(windows(spark, d), _Picky(), None, Config(), 5)
+    return made.select("id", F.size("embedding").alias("dims"), "updated_at")
+
+
+def _store(spark: SparkSession) -> Store:
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    forget_at_exit(spark, root)
+    return Store(spark, root, stemmed=False, buckets=8)
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return windows(spark, d).withColumns({"created_at": F.lit(1), "updated_at": F.lit(1), "embedding": F.array(F.lit(3.0), F.lit(4.0)).cast("array<float>")})
+
+
+@query
+def store_migration(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without a content hash get their id for it; empty names become null, norms are added."""
+    store = _store(spark)
+    store.commit(_rows(spark, d).withColumns({"content_hash": F.when(F.col("language") == "de", "").otherwise(F.col("content_hash")), "function_name": F.lit("")}))
+    return store.chunks().select("id", "content_hash", F.col("function_name").isNull().alias("unnamed"), "norm")
+
+
+@query
+def store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the same id are replaced, others added."""
+    store, rows = _store(spark), _rows(spark, d)
+    store.commit(rows.where("language <> 'en'"))
+    store.upsert(rows.where("language in ('en', 'fr')").withColumn("updated_at", F.lit(2)))
+    return store.chunks().select("id", "file_path", F.col("updated_at").alias("version"))
+
+
+@query
+def store_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and chunks of the index after the files of one language are deleted, and its figures."""
+    store = _store(spark)
+    store.commit(_rows(spark, d))
+    store.delete_files(files(spark, d).where(F.col("language") == REMOVED))
+    index = store.index().agg(F.count("*").alias("n_tokens"), F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct("term").alias("n_terms"))
+    return index.join(store.corpus().select(F.col("n").alias("corpus_n"), F.col("tokens").alias("corpus_tokens")))
+
+
+@query
+def store_clear(spark: SparkSession, d: str) -> DataFrame:
+    store = _store(spark)
+    store.commit(_rows(spark, d))
+    before = store.stats().select(F.lit("before").alias("state"), "total_chunks", "total_files", (F.col("database_size") > 0).alias("has_bytes"))
+    counted = [tuple(r) for r in before.collect()]
+    store.clear()
+    counted += [("after", r.total_chunks, r.total_files, r.database_size > 0) for r in store.stats().collect()]
+    return spark.createDataFrame(counted, before.schema)
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    named = _named(spark, d).withColumn("class_name", F.coalesce("class_name", F.lit("")))
+    return named.select(F.struct("*").alias("chunk"), F.lit(0.5).alias("similarity"))
+
+
+@query
+def search_rows(spark: SparkSession, d: str) -> DataFrame:
+    return display.search_rows(_hits(spark, d))
+
+
+@query
+def quick_rows(spark: SparkSession, d: str) -> DataFrame:
+    return display.quick_rows(_hits(spark, d))
+
+
+@query
+def similar_rows(spark: SparkSession, d: str) -> DataFrame:
+    return display.similar_rows(_hits(spark, d))
+
+
+@query
+def open_tab_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten of the open files."""
+    paths = [r.file_path for r in files(spark, d).orderBy("doc_id").limit(12).collect()]
+    return display.open_file_rows(open_tabs(spark, paths))
+
+
+@query
+def message_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A message where a search found nothing."""
+    nothing = display.search_rows(_hits(spark, d).where("chunk.language = 'none'"))
+    return display.or_message(nothing, "No results")
+
+
+@query
+def status_text(spark: SparkSession, d: str) -> DataFrame:
+    never = windows(spark, d).withColumn("updated_at", F.lit(0))
+    return display.status_text(lookup.stats(never, F.lit(3 << 20)))
+
+
+@query
+def flat_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists as JSON, and back."""
+    lists = F.array(F.col("language"), F.lit('a "b"'))
+    rows = _rows(spark, d).withColumns({"related_concepts": lists, "usage_patterns": F.array().cast("array<string>"), "dependencies": F.lit(None).cast("array<string>")})
+    flat, vectors = to_flat(rows)
+    back = from_flat(flat.withColumns({"enriched_context": F.lit(None).cast("string"), "summary": F.lit(None).cast("string"), "purpose": F.lit(None).cast("string")}), vectors)
+    return flat.select("id", F.col("related_concepts").alias("json"), F.col("usage_patterns").alias("none")).join(back.select("id", F.array_join("related_concepts", "|").alias("joined")), "id")
+
+
+@query
+def blob_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as float32 bytes and back; those of label 1 lose a byte and so are left out."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", to_blob("embedding").alias("b"))
+    back = e.select("vec_id", from_blob(F.when(F.col("label") == 1, F.expr("substring(b, 1, octet_length(b) - 1)")).otherwise(F.col("b"))).alias("v")).where("v is not null")
+    return back.select("vec_id", F.size("v").alias("dims"), F.element_at("v", 1).cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"))
+
+
+@query
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """A template's placeholders, each filled where it first stands."""
+    template = "{language}|{fileName}|{filePath}|{startLine}-{endLine}|{language}|{code}|{code}"
+
+    @F.pandas_udf("string")
+    def fill(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([prompt(r, template) for r in rows.to_dict("records")])
+
+    own = whole(spark, d)
+    return own.select("id", F.sha2(fill(F.struct("file_path", "start_line", "end_line", "content", "language")), 256).alias("prompt_sha"))
+
+
 @query
 def arm_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Rank of each vector of the nearest within its label."""

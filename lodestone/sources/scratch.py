@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
+from collections.abc import Callable
 from contextlib import suppress
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once for an application and name, written, and read from then on."""
+    app = spark.sparkContext.applicationId
+    if (app, name) not in _stored:
+        root = f"{shared_dir(spark)}/lodestone-stored-{app}"
+        df = make()
+        path = f"{root}/{len(_stored)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        forget_at_exit(spark, root)
+        _stored[app, name] = spark.read.schema(df.schema).parquet(path)
+    return _stored[app, name]
+
+
 _roots: set[str] = set()
 
 
