@@ -12,6 +12,7 @@ from . import decontaminate, exact_dedup, html_text, mixing, quality, secrets, s
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "secrets_base": secrets.secrets_base,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_html_text": html_text.op4_html_text,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "secrets_base": secrets.BASE_SQL,
         "op5_mix": mixing.OP5_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op7_substring_dedup": substring_dedup.OP7_SQL,

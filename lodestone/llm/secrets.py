@@ -226,3 +226,24 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """find_secrets over documents, all rows and whole texts."""
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1_secrets finds by the three rules alone."""
+    return op1_secrets(spark, sf_dir).drop("spans")
+
+
+#: Beginnings are what stands between the matches of a rule, added up.
+BASE_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+p as (select 0 as k, 'assign' as kind, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' as pat
+      union all select 1, 'access', '(AKIA[A-Z0-9]+)' union all select 2, 'hex', '([0-9a-f]{24,})'),
+m as (select doc_id, k, kind, unnest(regexp_extract_all(t, pat)) as found, unnest(regexp_extract_all(t, pat, 1)) as own,
+             unnest(list_slice(regexp_split_to_array(t, pat), 1, len(regexp_extract_all(t, pat)))) as before, unnest(range(1, len(regexp_extract_all(t, pat)) + 1)) as i
+      from t, p where regexp_matches(t, pat)),
+s as (select doc_id, k, kind, found, own, sum(len(before) + len(found)) over (partition by doc_id, k order by i) as z from m),
+g as (select doc_id, k, kind, z - len(found) as a, z from s where len(own) >= case k when 0 then 6 when 1 then 20 else 24 end),
+n as (select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex,
+             string_agg(kind || ':' || a || ':' || z, ',' order by a, k) as line from g group by doc_id)
+select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(line, '')) as base_sha256 from t left join n using (doc_id)
+"""

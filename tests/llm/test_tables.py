@@ -30,6 +30,19 @@ def test_query_returns_every_row(spark, data, name):
     assert queries()[name](spark, data).count() == spark.read.parquet(f"{data}/{source}.parquet").count()
 
 
+def test_base_sql_on_awkward_texts(spark, tmp_path):
+    """The SQL of the three rules and the operator on texts where matches touch, fail and overlap."""
+    rng = random.Random(25)
+    parts = ["token", "=", " ", ":", "AKIA", "A1B2C3D4E5F6G7H8", "abcdef0123456789", "'", "\n", "é", "secret", "Api_Key", "password", "\""]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for i in range(400)] + [(1000, None), (1001, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.execute(f"select doc_id, n_assign, n_access, n_hex, base_sha256 from ({oracle_sql()['secrets_base']})").fetchall()
+    got = queries()["secrets_base"](spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted) and any(sum(w[1:4]) > 2 for w in wanted)
+
+
 # Mixing
 
 
