@@ -14,7 +14,7 @@ from .common import components, narrow, table, written
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Most fingerprints of one grid cell that a task compares at once; a larger cell is dealt into blocks.
-BLOCK = 2048
+BLOCK = 16_384
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 15
 
@@ -87,28 +87,24 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(fp: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links within the distance among a cell's rows, at least one at home; of those, a spanning forest."""
-    parent = list(range(len(fp)))
+    """Links within the distance among a cell's rows, at least one at home; of those, a spanning forest.
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    links, counts = [], embed(fp)
+    Rows at home are compared with all, some at a time, and only a row that has a near one in another
+    tree is looked at by itself: there are fewer such than rows."""
+    label, links, counts = np.arange(len(fp)), [], embed(fp)
+    at_home = np.flatnonzero(home)
     width = max(1, (1 << 20) // len(fp))
-    for i in range(0, len(fp), width):
-        near = manhattan(counts[i : i + width, None], counts[None, :]) <= distance
-        near &= home[i : i + width, None] | home[None, :]
-        a, b = np.nonzero(near)
-        a += i
-        keep = (a < b) & (np.bitwise_count(fp[a] ^ fp[b]) <= distance)
-        a, b = a[keep], b[keep]
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                parent[rx] = ry
-                links.append((x, y))
+    for i in range(0, len(at_home), width):
+        rows = at_home[i : i + width]
+        near = manhattan(counts[rows, None], counts[None, :]) <= distance
+        r, c = np.nonzero(near)
+        near[r, c] = np.bitwise_count(fp[rows[r]] ^ fp[c]) <= distance
+        for k in np.flatnonzero((near & (label[rows, None] != label[None, :])).any(1)).tolist():
+            others = np.flatnonzero(near[k])
+            for j in others[np.unique(label[others], return_index=True)[1]].tolist():
+                if label[j] != label[rows[k]]:
+                    links.append((int(rows[k]), j))
+                    label[label == label[j]] = label[rows[k]]
     return links
 
 

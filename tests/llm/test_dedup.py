@@ -107,11 +107,31 @@ def test_links_of_dense_fingerprints(spark):
     prints |= {center ^ (1 << a) ^ (1 << b) for a in range(16) for b in range(16)}
     prints = sorted(prints)
     nodes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p, i) for i, p in enumerate(prints)], "fp long, rep long")
-    for block in (2048, 16):
+    for block in (16_384, 16):
         found = {r.node: r.component for r in components(links(nodes, block=block)).collect()}
         assert [found.get(i, i) for i in range(len(prints))] == linked(prints)
 
 
+def test_forest_of_a_crowd():
+    """As many trees as comparing all pairs gives, in one cell of thousands."""
+    import numpy as np
+
+    from lodestone.llm.simhash import _forest
+
+    rng = np.random.default_rng(4)
+    centers = rng.integers(0, 2**63, 40, np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in rng.integers(0, 7, 3000)]
+    fp = np.unique(np.array([int(centers[k % 40]) ^ f for k, f in enumerate(flips)], np.uint64))
+    home = rng.random(len(fp)) < 0.6
+    label = np.arange(len(fp))
+    for i in range(len(fp)):
+        for j in np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= 3) & (home | home[i])):
+            label[label == label[j]] = label[i]
+    links = _forest(fp, home, 3)
+    assert len(links) == len(fp) - len(np.unique(label))
+    assert all(np.bitwise_count(fp[a] ^ fp[b]) <= 3 and label[a] == label[b] for a, b in links)
+
+
 def test_manhattan_is_a_lower_bound():
     import numpy as np
 
