@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.context import prompt
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -120,6 +122,13 @@ select sha256(url || ':' || s || ':' || e) as id, url as file_path, cast(s as in
 
 ORACLES: dict[str, str] = {
     "structured_chunks_html": _HTML_SPANS,
+    "listed_files": "select name || '.parquet' as name, true as has_bytes, true as same from (values ('region'), ('nation'), ('documents'), ('embeddings'), ('pages')) t(name)",
+    "first_use": f"select turn, turn = 1 as indexed, count(*) as n_chunks from documents join {_TEMPLATES} on k = doc_id % 8, (values (1), (2)) u(turn) group by turn",
+    "store_rebuild": f"with t as (select id, unnest(list_concat({_tokens('file_path')}, {_tokens('content')})) as term from ({_windows(_FILES)})) select count(*) as n_tokens, true as same from t",
+    "blank_query": "select doc_id as id, cast(0 as double) as rank from documents where false",
+    "enriched_chunks": f"""select id, odd as answered, case when odd then 'odd' else coalesce('Function ' || fn || ' in ' || file_path, 'Code in ' || file_path || ' lines 0-' || end_line) end as summary,
+case when odd then null else 'Code implementation' end as purpose, case when odd then 'a|b' else coalesce(cl, '') end as concepts from (select *, (end_line + PLAIN) % 2 = 1 as odd from ({_NAMED}))""".replace("PLAIN", str(len(prompt({"file_path": "", "content": "", "language": "", "start_line": 0, "end_line": 0}).split("\n")))),
+    "flat_old_rows": f"select id, id as content_hash, 2 as dims from ({_windows(_FILES)})",
     "structured_chunks_sources": f"""select sha256('/w/' || doc_id || ':' || s || ':' || e) as id, '/w/' || doc_id as file_path, s as start_line, e as end_line, replace(fn, '#', doc_id::varchar) as function_name, replace(cl, '#', doc_id::varchar) as class_name,
 sha256(array_to_string(list_slice(ls, s + 1, e + 1), chr(10))) as content_hash from ({_SOURCES}) join {_TEMPLATES} on k = doc_id % 8""",
     "chunk_udtf": f"select doc_id, s as start_line, e as end_line, replace(fn, '#', doc_id::varchar) as function_name, replace(cl, '#', doc_id::varchar) as class_name from documents join (select * from {_TEMPLATES} union all select 2, 0, 0, 'f#', null) on k = doc_id % 8 where k in (1, 2)",

@@ -18,13 +18,13 @@ from ..operators import display, fulltext, fusion, lookup
 from ..operators.chunker import chunk_files, line_windows, structured_chunks
 from ..operators.search import Searcher, best_per, chunks_at_lines, fuzzy_topk, vector_topk
 from ..schema import EXCLUDED, Config
-from ..sources.files import indexable, open_tabs
+from ..sources.files import indexable, listed, open_tabs, read_files
 from ..sources.flat import from_flat, to_blob, to_flat
-from ..sources.providers import HashingEmbedder
+from ..sources.providers import HashingEmbedder, enrich
 from ..sources.scratch import forget_at_exit, shared_dir, stored
 from ..sources.store import Store
 from ..streaming.feed import latest, start_feed
-from .ingest import prepared
+from .ingest import index_if_empty, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -555,6 +555,70 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return own.select("id", F.sha2(fill(F.struct("file_path", "start_line", "end_line", "content", "language")), 256).alias("prompt_sha"))
 
 
+@query
+def listed_files(spark: SparkSession, d: str) -> DataFrame:
+    """The tables' files, listed and, but for the larger ones, opened by the executors."""
+    found = listed(spark, d, Config(extensions=("parquet",), max_file_size=1 << 40))
+    read = read_files(indexable(found, Config(extensions=("parquet",), max_file_size=1 << 16), d)).select(F.col("file_path").alias("of"), F.col("length").alias("n"))
+    met = found.join(read, F.col("file_path") == F.col("of"), "left")
+    name = basename(F.col("file_path"))
+    return met.where(name.isin([f"{t}.parquet" for t in ("region", "nation", "documents", "embeddings", "pages")])).select(name.alias("name"), (F.col("length") > 0).alias("has_bytes"), F.coalesce(F.col("n") == F.col("length"), F.lit(True)).alias("same"))
+
+
+@query
+def first_use(spark: SparkSession, d: str) -> DataFrame:
+    """An empty store is indexed at first use, and only then."""
+    store, embedder = _store(spark), HashingEmbedder(8)
+    some = lambda: sources(spark, d).select("file_path", "content", "language")
+    done = [(k, index_if_empty(store, some, embedder, Config(chunk_size=SIZE, chunk_overlap=OVERLAP)), store.chunks().count()) for k in (1, 2)]
+    return spark.createDataFrame(done, "turn int, indexed boolean, n_chunks bigint")
+
+
+@query
+def store_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Postings made anew are those that were there."""
+    store = _store(spark)
+    store.commit(_rows(spark, d))
+    figures = [F.count("*").alias("n"), F.sum(F.xxhash64("chunk_id", "col_no", "pos", "term").cast("decimal(38,0)")).alias("sum")]
+    before = store.index().agg(*figures).first()
+    store.rebuild()
+    after = store.index().agg(*figures).first()
+    return spark.createDataFrame([(after.n, before == after)], "n_tokens bigint, same boolean")
+
+
+@query
+def blank_query(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search for nothing finds nothing."""
+    return _bm25(spark, d, "  AND ")
+
+
+class _Labels:
+    """Answers about prompts, but not about those with an even line count."""
+
+    def answer(self, text: str) -> str:
+        if len(text.split("\n")) % 2 == 0:
+            raise OSError("even")
+        return "SUMMARY: odd\nCONCEPTS: a, b"
+
+
+@query
+def enriched_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts by a provider, and what stands in where it fails."""
+    own = _named(spark, d)
+    plain = len(prompt({"file_path": "", "content": "", "language": "", "start_line": 0, "end_line": 0}).split("\n"))
+    made = enrich(own, _Labels(), at_a_time=4).select("id", (F.size(F.split("content", "\n", -1)) + plain - 1).alias("lines"), "context.*")
+    return made.select("id", (F.col("lines") % 2 == 1).alias("answered"), "summary", "purpose", F.array_join("related_concepts", "|").alias("concepts"))
+
+
+@query
+def flat_old_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an older form, without content_hash, get their id for it."""
+    none = F.lit(None).cast("string")
+    rows = _rows(spark, d).withColumns({c: F.lit(None).cast("array<string>") for c in ("related_concepts", "usage_patterns", "dependencies")} | {c: none for c in ("enriched_context", "summary", "purpose")})
+    flat, vectors = to_flat(rows)
+    return from_flat(flat.drop("content_hash"), vectors).select("id", "content_hash", F.size("embedding").alias("dims"))
+
+
 @query
 def arm_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Rank of each vector of the nearest within its label."""
