@@ -190,6 +190,14 @@ def test_url_filter_empty(spark):
     assert [r.blocked for r in url_filter(caps, entries).collect()] == [False, False] and url_filter(caps.limit(0), entries).count() == 0
 
 
+def test_long_urls_and_a_hot_host(spark):
+    """A host with most captures and a pattern that is often toggled."""
+    acts = [("domain", "a.b", "add" if k % 2 else "remove", k) for k in range(1, 2000)]
+    caps = [(i, ("http://x.a.b/" + "p" * (100_000 if i == 7 else 3)), i) for i in range(1, 2000)] + [(5000, "http://c.d", 5)]
+    got = {r.page_id: r.blocked for r in url_filter(spark.createDataFrame(caps, "page_id long, url string, fetched int"), spark.createDataFrame(acts, "kind string, pattern string, action string, at int")).collect()}
+    assert got == {i: i % 2 == 1 for i in range(1, 2000)} | {5000: False}
+
+
 def test_url_filter_stays_in_the_jvm(spark, data):
     plan = queries()["op10_url_filter"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow")) and "html" not in plan

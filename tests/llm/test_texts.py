@@ -378,6 +378,15 @@ def test_training_is_repeatable():
     assert all((getattr(a, k) == getattr(b, k)).all() for k in vars(a))
 
 
+def test_learning_from_nothing(spark):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    none = clashing(spark, [])
+    assert T.learn(none, labels).lexicon.terms == {} and T.learn(none, labels.limit(0)).lexicon.terms == {}
+    texts = clashing(spark, [(1, None), (2, ""), (None, "x")])
+    assert {r.predicted for r in T.toxicity(texts, T.learn(none, labels)).collect()} == {0}
+    assert Q.quality(texts, Q.learn(none, labels)).count() == 3
+
+
 # Decontamination
 
 
@@ -434,6 +443,13 @@ def test_one_scan(spark, data):
     assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1
 
 
+def test_decontamination_of_long_texts(spark):
+    rng = random.Random(26)
+    item, long = prose(rng, 20), prose(rng, 120_000)
+    got = D.decontaminate(clashing(spark, [(1, long + " " + item), (2, long)]), clashing(spark, [(1, item)]).withColumnRenamed("doc_id", "item_id"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got.collect()) == [(1, 120_020, 20, False), (2, 120_000, 0, False)]
+
+
 def test_decontamination_spans(spark):
     text = "Ünder the   SHORT -- item, yes"
     docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, "short item")], "item_id long, text string")
