@@ -20,8 +20,10 @@ EITHER_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLD = str.maketrans(_UPPER, _UPPER.lower())
-#: Signs that become spaces, and words that vanish.
-SIGNS, OPERATORS = r'[:"*()\[\]]', r"(?i)\b(AND|OR|NOT|NEAR)\b"
+#: Signs and words that become spaces, and what counts as space. Words end at what is no ASCII
+#: letter, digit or underscore.
+SIGNS, OPERATORS = r'[:"*()\[\]]', r"(?i)(?<![A-Za-z0-9_])(AND|OR|NOT|NEAR)(?![A-Za-z0-9_])"
+SPACE = " \t\n\v\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def tokens(text: Column) -> Column:
@@ -39,13 +41,13 @@ def stems(words: pd.Series) -> pd.Series:
 
 def clean_query(query: Column) -> Column:
     """The query without signs and operator words, with single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(query, SIGNS, " "), OPERATORS, "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    bare = F.regexp_replace(F.regexp_replace(query, SIGNS, " "), OPERATORS, " ")
+    return F.trim(F.regexp_replace(bare, f"[{SPACE}]+", " "))
 
 
 def cleaned(query: str) -> str:
     """clean_query for a string."""
-    return re.sub(r"\s+", " ", re.sub(OPERATORS, "", re.sub(SIGNS, " ", query), flags=re.A)).strip()
+    return re.sub(f"[{SPACE}]+", " ", re.sub(OPERATORS, " ", re.sub(SIGNS, " ", query), flags=re.A)).strip(" ")
 
 
 @dataclass(frozen=True)

@@ -95,7 +95,7 @@ _SOURCES = " union all ".join(
 )
 _V2 = f"select file_path, case when language = 'fr' then content || chr(10) || 'edited' else content end as content, language from ({_FILES}) where language <> 'de'"
 _NAMED = f"select doc_id as id, file_path, content, len(string_split(content, chr(10))) - 1 as end_line, case when language = 'en' then language end as fn, case when language = 'de' then language end as cl, language from ({_FILES})"
-_RAW_SQL = " union all ".join(f"select '{q}' as raw" for q in ["find (auth) AND not_found or x:y*", 'say "near" and far', "a  NOT   b", "AND", "plain words", "[x] NEAR {y}"])
+_SPACES = r"[ \t\n\x0B\f\r\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 _SHOWN = f"select *, file_path as path, case when language = 'en' then ' · method en' when language = 'de' then ' · class de' else '' end as tag, replace(substr(content, 1, 150), chr(10), ' ') as cut from ({_NAMED})"
 
@@ -168,7 +168,8 @@ select vec_id, round(s, 6) as similarity from h where vec_id <> 0 order by s des
     "postings_stats": f"select count(distinct id) as n_chunks, count(*) as n_tokens, count(distinct term) as n_terms from (select doc_id as id, unnest({_tokens('text')}) as term from documents)",
     "keyword_normalised": f"""with {_bm25(["content"], [(["by"], False), (["es"], False)])}, h as (select * from bm order by rank, id limit 20)
 select id, round(case when min(rank) over () = max(rank) over () then 1e0 else 1e0 - abs(rank - min(rank) over ()) / abs(max(rank) over () - min(rank) over ()) end, 6) as similarity from h""",
-    "query_clean": rf"""select raw, trim(regexp_replace(regexp_replace(regexp_replace(raw, '[:"*()\[\]]', ' ', 'g'), '(?i)\b(AND|OR|NOT|NEAR)\b', '', 'g'), '\s+', ' ', 'g')) as cleaned from ({_RAW_SQL})""",
+    "query_clean": rf"""select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(raw, '[:"*()\[\]]', ' ', 'g'), '(?i)\b(AND|OR|NOT|NEAR)\b', ' ', 'g'), '{_SPACES}', ' ', 'g'), ' ')) as cleaned_md5
+from (select doc_id, '(near' || lang || ') AND not_found é-Or_é éor ' || coalesce(text, '') || ' NOT "x:y*" [AND]+OR+near' as raw from documents)""",
     "fuzzy_url": f"with recursive {_fuzzy('select page_id as id, url as t from pages', 'page')} select id as page_id, round(score, 6) as score from fz order by fz.score desc, id limit 20",
     "hybrid_rrf": f"{_hybrid(20)} select n.id, f.file_path, f.language, round(n.similarity, 6) as similarity from norm n join ({_FILES}) f on f.doc_id = n.id",
     "semantic_search": f"select f.doc_id as id, f.file_path, f.language, round({_SIM}, 6) as similarity from embeddings e join ({_FILES}) f on f.doc_id = e.vec_id, {_Q} order by {_SIM} desc, id limit 10",
@@ -181,7 +182,11 @@ where n.similarity >= 0.05 and contains(f.file_path, 'src1') and f.language = 'e
 select h.id, f.file_path, f.language, round(s, 6) as similarity from h join ({_FILES}) f on f.doc_id = h.id where h.id <> 0 order by s desc, h.id limit 15""",
     "similar_code": f"""with h as (select e.vec_id as id, {_SIM} as s from embeddings e, {_Q} where e.vec_id in (select doc_id from documents) order by s desc, id limit 30)
 select h.id, f.file_path, f.language, round(s, 6) as similarity from h join ({_FILES}) f on f.doc_id = h.id where h.id <> 0 order by s desc, h.id limit 15""",
-    "rrf_fusion": """with s as (select 'y' as id, 1e0 / 62e0 + 1e0 / 61e0 as score union all select 'z', 1e0 / 62e0 + 1e0 / 61e0 union all select 'x', 1e0 / 61e0)
+    "rrf_fusion": """with d as (select doc_id as id, coalesce(length(text), 0) as n from documents),
+a0 as (select 0 as arm, id, row_number() over (order by n desc, id) as r from d), a1 as (select 1 as arm, id, row_number() over (order by id * 7919 % 9973, id) as r from d), a2 as (select 2 as arm, id, row_number() over (order by id desc) as r from d),
+arms as (select * from (select * from a0 union all select * from a1 union all select * from a2) where r <= 500),
+fused as (select id, coalesce(sum(case when arm = 0 then 1e0 / (60e0 + r) end), 0e0) + coalesce(sum(case when arm = 1 then 1e0 / (60e0 + r) end), 0e0) + coalesce(sum(case when arm = 2 then 1e0 / (60e0 + r) end), 0e0) as score, min(arm * 1000000 + r) as met from arms group by id),
+s as (select * from fused order by score desc, met limit 100)
 select id, round(score, 9) as score, round((score - min(score) over ()) / (max(score) over () - min(score) over ()), 6) as similarity from s""",
     "rrf_single_hit": "select 'only' as id, round(1e0 / 61e0, 9) as score, cast(0 as double) as similarity",
     "line_windows": f"select id, file_path, start_line, end_line, content_hash from ({_windows(_FILES)})",

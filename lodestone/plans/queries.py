@@ -159,13 +159,11 @@ def keyword_normalised(spark: SparkSession, d: str) -> DataFrame:
     return fusion.from_best(hits).select(F.col("chunk_id").alias("id"), rounded("similarity"))
 
 
-#: Queries that cleaning is shown on.
-RAW = ["find (auth) AND not_found or x:y*", 'say "near" and far', "a  NOT   b", "AND", "plain words", "[x] NEAR {y}"]
-
-
 @query
 def query_clean(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in RAW], "raw string").select("raw", clean_query(F.col("raw")).alias("cleaned"))
+    """Queries made of documents, with signs and operator words between."""
+    made = F.concat(F.lit("(near"), "lang", F.lit(") AND not_found é-Or_é éor "), F.coalesce("text", F.lit("")), F.lit(' NOT "x:y*" [AND]+OR+near'))
+    return table(spark, d, "documents").select("doc_id", F.md5(clean_query(made).cast("binary")).alias("cleaned_md5"))
 
 
 @query
@@ -222,8 +220,11 @@ def similar_code(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    arms = spark.createDataFrame([(0, "x", 1), (0, "y", 2), (1, "y", 1), (1, "z", 2), (2, "z", 1), (2, "w", 2)], "arm int, id string, rank int")
-    return fusion.min_max(fusion.rrf(arms, 60, 3)).select("id", rounded("score", 9), rounded("similarity"))
+    """The best hundred of three arms of 500 documents each: the longest, those by a remainder, the last."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    orders = [[F.desc("n"), F.asc("id")], [F.asc(F.expr("id * 7919 % 9973")), F.asc("id")], [F.desc("id")]]
+    arms = [fusion.ranked(docs.orderBy(*o).limit(500), arm, *o) for arm, o in zip(fusion.ARMS, orders, strict=True)]
+    return fusion.min_max(fusion.rrf(arms[0].unionByName(arms[1]).unionByName(arms[2]), 60, 100)).select("id", rounded("score", 9), rounded("similarity"))
 
 
 @query

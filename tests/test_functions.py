@@ -11,7 +11,7 @@ from lodestone.functions.context import fallback_context, full_context, parse_co
 from lodestone.functions.fuzzy import fuzzy_score
 from lodestone.functions.paths import basename, dirname, excluded, glob_regex, language
 from lodestone.functions.stem import stem
-from lodestone.functions.text import Phrase, cleaned, parse_query, tokens
+from lodestone.functions.text import Phrase, clean_query, cleaned, parse_query, tokens
 from lodestone.functions.vector import cosine, cosine_to, from_blob, literal
 from lodestone.schema import EXCLUDED, Config
 
@@ -79,6 +79,8 @@ def test_stems_equal_sqlite():
 
 def test_query_cleaning(spark):
     assert cleaned('find (auth) AND not_found or "x:y"*') == "find auth not_found x y"
+    for raw, clean in [("éor x", "é x"), ("x-AND-y", "x- -y"), ("a\u00a0\u2003b\ufeff", "a b"), ("a\x85b", "a\x85b"), ("Near_by nearby", "Near_by nearby")]:
+        assert cleaned(raw) == clean == spark.createDataFrame([(raw,)], "q string").select(clean_query(F.col("q"))).first()[0], raw
 
 
 @pytest.mark.parametrize("q", ["what's", "foo.bar", "a-b", "user, token", "{user}", "?", "src/auth", "@user", "user;", "user!", "$user", "#user", "a=b", "<user>", "user|token", "user&token", "user%", "~user", "return -user", "foo +", "+ foo", "foo^", "___", "", "AND"])
