@@ -31,7 +31,16 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     forget_at_exit(spark, root)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fold(column: str, n: int) -> Column:
@@ -47,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v) as (node, component), component the smallest node.
 
     Alternates large-star and small-star steps until the edges are stars; each round ends in a
-    written table, in as many files as its first count of edges asks for. No node's edges meet in one task: minima are pre-aggregated, and the joins that
+    written table, in as many files as the first count of edges asks for, and removes the one before. No node's edges meet in one task: minima are pre-aggregated, and the joins that
     hand them back are sort-merge joins that Spark may split at a hot node. Edges with a null end
     and loops are ignored; repeated edges count once."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -60,7 +69,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(hung.select("e.u", "e.v").where("u <> v").distinct().coalesce(files))
+        last, now = now, written(hung.select("e.u", "e.v").where("u <> v").distinct().coalesce(files))
+        forget(last)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before:
             break
