@@ -465,6 +465,7 @@ PAGES = [
     ("<p>Hi <b>you</b><br>there<p>next&nbsp;&amp; more<div>d1</div><div>d2</div>", "Hi you\nthere\n\nnext\xa0& more\n\nd1\nd2"),
     ("<ul><li>a<li>b<ol start=3><li>c<li value=9>d</ol></ul>", "- a\n- b\n\n  3. c\n  9. d"),
     ("<ol reversed><li>x<li>y</ol>", "2. x\n1. y"),
+    ("<ol type=a start=26><li>x<li>y</ol><ol type=I><li>x<li value=1994>y<li type=1>z</ol>", "z. x\naa. y\n\nI. x\nMCMXCIV. y\n1995. z"),
     ("<table><caption>Cap</caption><tr><th>Name<th>Qty<tr><td>Apples<td align=right>5<tr><td rowspan=2>r<td>1<tr><td>2</table>", "Cap\nName    Qty\nApples    5\nr       1\n        2"),
     ("<table><tr><td colspan=2>wide cell<tr><td>a<td>b</table>", "wide cell\na  b"),
     ("<table>foo<tr><td>x</table>", "foo\n\nx"),
