@@ -68,7 +68,8 @@ def _index(spark: SparkSession, d: str, columns: Sequence[str], stemmed: bool) -
     """The stored postings of documents, sorted by term, and their figures: an index is written once,
     and each query reads the row groups of its terms."""
     name = f"{d} {columns} {stemmed}"
-    made = lambda: fulltext.postings(whole(spark, d), columns, stemmed).repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+    # Dealt by size, not by a range, for which Spark would make the postings twice; a frequent term is split.
+    made = lambda: fulltext.postings(whole(spark, d), columns, stemmed).hint("rebalance", "term").sortWithinPartitions("term", "chunk_id")
     index = stored(spark, f"postings {name}", made)
     return index, stored(spark, f"corpus {name}", lambda: fulltext.corpus(index))
 
@@ -77,6 +78,12 @@ def text_index(spark: SparkSession, d: str, stemmed: bool = False) -> DataFrame:
     return _index(spark, d, ["content"], stemmed)[0]
 
 
+def prepare(spark: SparkSession, d: str) -> None:
+    """Writes the indexes that the searches read; without it the first search writes its own."""
+    _index(spark, d, ["content"], False)
+    _index(spark, d, fulltext.COLUMNS, False)
+
+
 def rounded(c: str, n: int = 6) -> Column:
     return F.round(c, n).alias(c)
 
