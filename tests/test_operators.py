@@ -140,6 +140,20 @@ def test_searches(searcher):
         searcher().search("  ")
 
 
+def test_filtered_rows_keep_their_order(searcher):
+    rows = [(r.chunk.id, r.similarity) for r in searcher().search("connect", 8).collect()]
+    assert [(r.chunk.id, r.similarity) for r in searcher().filtered("connect", 4).collect()] == rows[:4]
+    assert [r.chunk.id for r in searcher().filtered("connect", 2, language="python").collect()] == [r.chunk.id for r in searcher().search("connect", 4).collect() if r.chunk.language == "python"][:2]
+
+
+def test_cached_searcher_is_released(spark, searcher):
+    plain = searcher()
+    chunks, index = plain.chunks.select("*"), plain.index.select("*")
+    with Searcher(chunks, index, plain.embed).cache() as s:
+        assert s.chunks.is_cached and s.search("connect", 2).count() == 2
+    assert not s.chunks.is_cached and not s.index.is_cached
+
+
 def test_single_hybrid_hit_is_zero(searcher):
     rows = searcher().search("connect", 1).collect()
     assert [r.similarity for r in rows] == [0.0]
