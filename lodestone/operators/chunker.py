@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -142,16 +142,18 @@ _CUT_DDL = "file_path string, language string, start_line int, end_line int, con
 
 
 def _cut(chunk_size: int, overlap: int | None, marked: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(file_path, content, language) to chunks: the spans, or without any, if an overlap is given, line
-    windows. marked: each file also gives a row without lines, which tells that it was read."""
+    """(file_path, content, language) to chunks: the spans, or, if an overlap is given, each place once, as
+    the last span that has it, and line windows where there is none. marked: each file also gives a row
+    without lines, which tells that it was read."""
 
-    def pieces(content: str, language: str) -> Iterator[Span]:
+    def pieces(content: str, language: str) -> Iterable[Span]:
         found = spans(content, language, chunk_size)
-        if found or overlap is None:
-            yield from found
-        else:
-            n = content.count("\n") + 1
-            yield from (Span(s, min(s + chunk_size, n) - 1) for s in range(0, n, chunk_size - overlap))
+        if overlap is None:
+            return found
+        if found:
+            return {(s.start, s.end): s for s in found}.values()
+        n = content.count("\n") + 1
+        return (Span(s, min(s + chunk_size, n) - 1) for s in range(0, n, chunk_size - overlap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,7 +182,8 @@ def structured_chunks(files: DataFrame, chunk_size: int = 500) -> DataFrame:
 
 def cut_files(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Structured chunks of the files that have spans, line windows of the others, and a row with a null
-    id for each file. One pass, so files that are read lazily are opened once."""
+    id for each file. One pass without a shuffle, so files that are read lazily are opened once. A chunk
+    that two spans of a line share, a function and a class, is kept once, as the class."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
     own = files.select("file_path", "content", "language").where("file_path is not null and content is not null")
@@ -189,12 +192,5 @@ def cut_files(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame
 
 
 def chunk_files(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
-    """The chunks of cut_files. One that two spans share by id is kept once, the last one's names with it."""
-    return one_per_id(cut_files(files, size, overlap).where("id is not null"))
-
-
-def one_per_id(chunks: DataFrame) -> DataFrame:
-    """Chunks of which two spans of one line, a function and a class, share the id, once, as the class."""
-    rest = [c for c in chunks.columns if c != "id"]
-    last = F.max_by(F.struct(*rest), F.coalesce("class_name", F.lit("")))
-    return chunks.groupBy("id").agg(last.alias("c")).select("id", *[F.col(f"c.{c}").alias(c) for c in rest])
+    """The chunks of cut_files."""
+    return cut_files(files, size, overlap).where("id is not null")

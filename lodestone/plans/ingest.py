@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup
-from ..operators.chunker import cut_files, one_per_id
+from ..operators.chunker import cut_files
 from ..schema import CHUNK, Config
 from ..sources.providers import ContextProvider, EmbeddingProvider, context_of, embed_column, embedder_of, enrich
 from ..sources.scratch import shared_dir
@@ -66,7 +66,8 @@ def index_files(
     store: Store, files: DataFrame, embedder: EmbeddingProvider | None = None, config: Config = Config(), context: ContextProvider | None = None, removed: DataFrame | None = None,
     now: int | None = None, progress: Callable[[str], None] | None = None, tag: str = "lodestone-index",
 ) -> int:
-    """Brings the store up to date with files(file_path, content, language), and without removed ones.
+    """Brings the store up to date with files(file_path, content, language), a row for each path, and
+    without removed ones.
 
     The files are read and cut once, into a table in the shared folder; a lost executor doesn't make
     them be read again. Only chunks whose hash is new are enriched and embedded, each once; unchanged
@@ -89,7 +90,7 @@ def index_files(
             touched = store.buckets_of(gone, base)
             if not touched:
                 return base.number
-            old, new = store.chunks(base, touched).select(*CHUNK.fieldNames()), one_per_id(cut.where("id is not null"))
+            old, new = store.chunks(base, touched).select(*CHUNK.fieldNames()), cut.where("id is not null")
             tell(f"embedding what is new in {len(touched)} of {base.buckets} buckets")
             fresh = prepared(lookup.to_process(old.select("id", "content_hash"), new), embedder, context, config, now)
             same = old.join(new.select(F.col("id").alias("n_id"), F.col("content_hash").alias("n_hash")), (F.col("id") == F.col("n_id")) & (F.col("content_hash") == F.col("n_hash")), "left_semi")
