@@ -21,6 +21,8 @@ ANCHOR = 3
 AUTOMATON_BYTES = 20_000_000
 #: Bytes as they count for words: A-Z lower-cased, 0-9, a-z and all above ASCII kept, the rest a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Windows that are compared at once.
+_AT_ONCE = 1 << 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,11 +107,12 @@ class Windows:
             h = self._hash(code, begin)
             low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
             for s, a, b in zip(begin.tolist(), low.tolist(), high.tolist(), strict=True):
-                if a < b:
-                    same = (self.code[self.at[a:b, None] + np.arange(self.window)] == code[s : s + self.window]).all(1)
-                    if same.any():
+                for k in range(a, b, _AT_ONCE):  # windows that many items share
+                    same = np.arange(k, min(b, k + _AT_ONCE))
+                    same = same[(self.code[self.at[same, None] + np.arange(self.window)] == code[s : s + self.window]).all(1)]
+                    if len(same):
                         ranges.append((s, s + self.window))
-                        items.update(self.item[a:b][same].tolist())
+                        items.update(self.item[same].tolist())
         merged: list[tuple[int, int]] = []
         for a, b in sorted(ranges):
             if merged and a <= merged[-1][1]:
