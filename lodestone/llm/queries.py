@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, mixing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from . import conversation_trie, decontaminate, exact_dedup, html_text, mixing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_conversation_trie": conversation_trie.op11_conversation_trie,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": substring_dedup.OP7_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op11_conversation_trie": conversation_trie.OP11_SQL,
     }
