@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontaminate, exact_dedup, html_text, mixing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from . import archives, conversation_trie, decontaminate, exact_dedup, html_text, mixing, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+        "op12_warc": archives.op12_warc,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
         "op11_conversation_trie": conversation_trie.OP11_SQL,
+        "op12_warc": archives.OP12_SQL,
     }
