@@ -127,7 +127,8 @@ def _as_arc(size: int):  # noqa: ANN202
 def _stored_as(archives: DataFrame, path: str, separator: str) -> None:
     """Writes each value(binary) as a gzip file of its own, the separator behind it."""
     text = archives.select(F.col("value").cast("string").alias("value"))
-    text.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    # most of the work is packing: the fastest level takes half the time of the usual one
+    text.write.options(lineSep=separator, compression="gzip", maxRecordsPerFile=1, **{"zlib.compress.level": "BEST_SPEED"}).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, size: int = ARCHIVE) -> None:
