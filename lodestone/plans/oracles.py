@@ -12,11 +12,11 @@ _SIM = "list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding a
 _Q = "(select embedding, label from embeddings where vec_id = 0) q"
 
 
-def _tokens(c: str) -> str:
+def tokens_sql(c: str) -> str:
     return f"regexp_extract_all(translate(coalesce({c}, ''), '{_UP}', '{_LOW}'), '{_TOKEN}')"
 
 
-def _windows(files: str, size: int = 20, overlap: int = 5) -> str:
+def windows_sql(files: str, size: int = 20, overlap: int = 5) -> str:
     return f"""
     select sha256(file_path || ':' || s || ':' || (least(s + {size}, n) - 1)) as id, file_path, language, cast(s as integer) as start_line, cast(least(s + {size}, n) - 1 as integer) as end_line,
            array_to_string(list_slice(ls, s + 1, least(s + {size}, n)), chr(10)) as content, sha256(array_to_string(list_slice(ls, s + 1, least(s + {size}, n)), chr(10))) as content_hash
@@ -27,7 +27,7 @@ def _windows(files: str, size: int = 20, overlap: int = 5) -> str:
 
 def _bm25(cols: list[str], phrases: list[tuple[list[str], bool]], name: str = "bm") -> str:
     """CTEs that end in one with id and rank of the documents in which all phrases occur."""
-    parts = [f"tok{c} as (select doc_id as id, {c} as col, {_tokens(x)} as ws from ({_FILES}))" for c, x in enumerate(cols)]
+    parts = [f"tok{c} as (select doc_id as id, {c} as col, {tokens_sql(x)} as ws from ({_FILES}))" for c, x in enumerate(cols)]
     union = " union all ".join(f"select id, col, ws from tok{c}" for c in range(len(cols)))
     parts.append(f"tok as ({union})")
     parts.append("dl as (select id, sum(len(ws)) as dl from tok group by id having sum(len(ws)) > 0)")
@@ -124,32 +124,32 @@ ORACLES: dict[str, str] = {
     "structured_chunks_html": _HTML_SPANS,
     "listed_files": "select name || '.parquet' as name, true as has_bytes, true as same from (values ('region'), ('nation'), ('documents'), ('embeddings'), ('pages')) t(name)",
     "first_use": f"select turn, turn = 1 as indexed, count(*) as n_chunks from documents join {_TEMPLATES} on k = doc_id % 8, (values (1), (2)) u(turn) group by turn",
-    "store_rebuild": f"with t as (select id, unnest(list_concat({_tokens('file_path')}, {_tokens('content')})) as term from ({_windows(_FILES)})) select count(*) as n_tokens, true as same from t",
+    "store_rebuild": f"with t as (select id, unnest(list_concat({tokens_sql('file_path')}, {tokens_sql('content')})) as term from ({windows_sql(_FILES)})) select count(*) as n_tokens, true as same from t",
     "blank_query": "select doc_id as id, cast(0 as double) as rank from documents where false",
     "enriched_chunks": f"""select id, odd as answered, case when odd then 'odd' else coalesce('Function ' || fn || ' in ' || file_path, 'Code in ' || file_path || ' lines 0-' || end_line) end as summary,
 case when odd then null else 'Code implementation' end as purpose, case when odd then 'a|b' else coalesce(cl, '') end as concepts from (select *, (end_line + PLAIN) % 2 = 1 as odd from ({_NAMED}))""".replace("PLAIN", str(len(prompt({"file_path": "", "content": "", "language": "", "start_line": 0, "end_line": 0}).split("\n")))),
-    "flat_old_rows": f"select id, id as content_hash, 2 as dims from ({_windows(_FILES)})",
+    "flat_old_rows": f"select id, id as content_hash, 2 as dims from ({windows_sql(_FILES)})",
     "structured_chunks_sources": f"""select sha256('/w/' || doc_id || ':' || s || ':' || e) as id, '/w/' || doc_id as file_path, s as start_line, e as end_line, replace(fn, '#', doc_id::varchar) as function_name, replace(cl, '#', doc_id::varchar) as class_name,
 sha256(array_to_string(list_slice(ls, s + 1, e + 1), chr(10))) as content_hash from ({_SOURCES}) join {_TEMPLATES} on k = doc_id % 8""",
     "chunk_udtf": f"select doc_id, s as start_line, e as end_line, replace(fn, '#', doc_id::varchar) as function_name, replace(cl, '#', doc_id::varchar) as class_name from documents join (select * from {_TEMPLATES} union all select 2, 0, 0, 'f#', null) on k = doc_id % 8 where k in (1, 2)",
-    "chunk_lookup": f"select id, file_path, start_line, content_hash from ({_windows(_FILES)}) where file_path = (select file_path from ({_FILES}) where doc_id = 0) order by start_line limit 1",
-    "exists_with_hash": f"select 'own' as content_hash, count(*) > 0 as found from ({_windows(_FILES)}) union all select 'other', false",
+    "chunk_lookup": f"select id, file_path, start_line, content_hash from ({windows_sql(_FILES)}) where file_path = (select file_path from ({_FILES}) where doc_id = 0) order by start_line limit 1",
+    "exists_with_hash": f"select 'own' as content_hash, count(*) > 0 as found from ({windows_sql(_FILES)}) union all select 'other', false",
     "file_filters": f"""select file_path, length from (select (case when doc_id % 7 = 0 then '/build/' else '/src/' end) || doc_id || (case language when 'en' then '.py' when 'de' then '.txt' else '.min.js' end) as file_path,
 cast(strlen(content) as bigint) as length, * from ({_FILES})) where language = 'en' and doc_id % 7 <> 0 and length <= 1500""",
-    "failed_embeddings": f"select id, 2 as dims, 5 as updated_at from ({_windows(_FILES)}) where not regexp_matches(content, '^[aeiouAEIOU]')",
-    "store_migration": f"select id, case when language = 'de' then id else content_hash end as content_hash, true as unnamed, cast(5 as double) as norm from ({_windows(_FILES)})",
-    "store_upsert": f"select id, file_path, case when language in ('en', 'fr') then 2 else 1 end as version from ({_windows(_FILES)})",
-    "store_delete": f"""with t as (select id, unnest(list_concat({_tokens('file_path')}, {_tokens('content')})) as term from ({_windows(_FILES)}) where language <> 'de')
+    "failed_embeddings": f"select id, 2 as dims, 5 as updated_at from ({windows_sql(_FILES)}) where not regexp_matches(content, '^[aeiouAEIOU]')",
+    "store_migration": f"select id, case when language = 'de' then id else content_hash end as content_hash, true as unnamed, cast(5 as double) as norm from ({windows_sql(_FILES)})",
+    "store_upsert": f"select id, file_path, case when language in ('en', 'fr') then 2 else 1 end as version from ({windows_sql(_FILES)})",
+    "store_delete": f"""with t as (select id, unnest(list_concat({tokens_sql('file_path')}, {tokens_sql('content')})) as term from ({windows_sql(_FILES)}) where language <> 'de')
 select count(*) as n_tokens, count(distinct id) as n_chunks, count(distinct term) as n_terms, count(distinct id) as corpus_n, count(*) as corpus_tokens from t""",
-    "store_clear": f"select 'before' as state, count(*) as total_chunks, count(distinct file_path) as total_files, true as has_bytes from ({_windows(_FILES)}) union all select 'after', 0, 0, false",
+    "store_clear": f"select 'before' as state, count(*) as total_chunks, count(distinct file_path) as total_files, true as has_bytes from ({windows_sql(_FILES)}) union all select 'after', 0, 0, false",
     "search_rows": f"select id || '.txt' as label, '50.0% - Lines 0-' || end_line as description, replace(substr(content, 1, 100), chr(10), ' ') || case when length(content) > 100 then '...' else '' end as detail from ({_NAMED})",
     "quick_rows": f"""select id || '.txt' as label, case when tag = '' then '50.0% ' else '50.0%' || tag end as description,
 regexp_extract(path, '^(.*)/', 1) || ' · Lines 0-' || end_line || ' · ' || trim(cut, ' ') || case when length(content) > 150 then '...' else '' end as detail from ({_SHOWN})""",
     "similar_rows": f"select id || '.txt' || case when fn is not null then ' · ' || fn || '()' when cl is not null then ' · ' || cl else '' end as label, '50% similar' as description, regexp_extract(file_path, '^(.*)/', 1) as detail from ({_NAMED})",
     "open_tab_rows": f"select doc_id || '.txt' as label, regexp_extract(file_path, '^(.*)/', 1) as detail from ({_FILES}) order by doc_id limit 10",
     "message_rows": "select 'No results' as label, '' as description, '' as detail",
-    "status_text": f"select 'Index Statistics:' || chr(10) || '- Total Chunks: ' || count(*) || chr(10) || '- Total Files: ' || count(distinct file_path) || chr(10) || '- Database Size: 3.00 MB' || chr(10) || '- Last Indexed: Never' as status from ({_windows(_FILES)})",
-    "flat_lists": f"""select id, '["' || language || '","a \\"b\\""]' as json, '[]' as none, language || '|a "b"' as joined from ({_windows(_FILES)})""",
+    "status_text": f"select 'Index Statistics:' || chr(10) || '- Total Chunks: ' || count(*) || chr(10) || '- Total Files: ' || count(distinct file_path) || chr(10) || '- Database Size: 3.00 MB' || chr(10) || '- Last Indexed: Never' as status from ({windows_sql(_FILES)})",
+    "flat_lists": f"""select id, '["' || language || '","a \\"b\\""]' as json, '[]' as none, language || '|a "b"' as joined from ({windows_sql(_FILES)})""",
     "blob_round_trip": "select vec_id, cast(len(embedding) as integer) as dims, cast(embedding[1] as double) as first, cast(embedding[-1] as double) as last from embeddings where label <> 1",
     "prompts": f"select doc_id as id, sha256(language || '|' || doc_id || '.txt|' || file_path || '|0-' || (len(string_split(content, chr(10))) - 1) || '|{{language}}|' || content || '|{{code}}') as prompt_sha from ({_FILES})",
     "bm25_porter": _top_bm25([([("the", "thes")], False), ([("es", "eses", "esing", "esed", "esings", "eseds")], False)]),
@@ -165,7 +165,7 @@ select vec_id, round(s, 6) as similarity from h where vec_id <> 0 order by s des
     "bm25_phrase": _top_bm25([(["of", "the"], False)]),
     "bm25_anchor": _top_bm25([(["the"], True), (["of"], False)]),
     "bm25_syntax_error": "select doc_id as id, cast(0 as double) as rank from documents where false",
-    "postings_stats": f"select count(distinct id) as n_chunks, count(*) as n_tokens, count(distinct term) as n_terms from (select doc_id as id, unnest({_tokens('text')}) as term from documents)",
+    "postings_stats": f"select count(distinct id) as n_chunks, count(*) as n_tokens, count(distinct term) as n_terms from (select doc_id as id, unnest({tokens_sql('text')}) as term from documents)",
     "keyword_normalised": f"""with {_bm25(["content"], [(["by"], False), (["es"], False)])}, h as (select * from bm order by rank, id limit 20)
 select id, round(case when min(rank) over () = max(rank) over () then 1e0 else 1e0 - abs(rank - min(rank) over ()) / abs(max(rank) over () - min(rank) over ()) end, 6) as similarity from h""",
     "query_clean": rf"""select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(raw, '[:"*()\[\]]', ' ', 'g'), '(?i)\b(AND|OR|NOT|NEAR)\b', ' ', 'g'), '{_SPACES}', ' ', 'g'), ' ')) as cleaned_md5
@@ -189,16 +189,16 @@ fused as (select id, coalesce(sum(case when arm = 0 then 1e0 / (60e0 + r) end),
 s as (select * from fused order by score desc, met limit 100)
 select id, round(score, 9) as score, round((score - min(score) over ()) / (max(score) over () - min(score) over ()), 6) as similarity from s""",
     "rrf_single_hit": "select 'only' as id, round(1e0 / 61e0, 9) as score, cast(0 as double) as similarity",
-    "line_windows": f"select id, file_path, start_line, end_line, content_hash from ({_windows(_FILES)})",
-    "chunk_at_line": f"""select file_path, 17 as line, id, start_line, end_line from (select *, row_number() over (partition by file_path order by end_line - start_line, id) as k from ({_windows(_FILES)})
+    "line_windows": f"select id, file_path, start_line, end_line, content_hash from ({windows_sql(_FILES)})",
+    "chunk_at_line": f"""select file_path, 17 as line, id, start_line, end_line from (select *, row_number() over (partition by file_path order by end_line - start_line, id) as k from ({windows_sql(_FILES)})
 where start_line <= 17 and end_line >= 17) where k = 1""",
-    "point_lookup": f"select id, content_hash from ({_windows(_FILES)}) where file_path = (select file_path from ({_FILES}) where doc_id = 0)",
+    "point_lookup": f"select id, content_hash from ({windows_sql(_FILES)}) where file_path = (select file_path from ({_FILES}) where doc_id = 0)",
     "hash_diff": f"""select coalesce(n.id, o.id) as id, case when o.id is null then 'new' when n.id is null then 'removed' when o.content_hash = n.content_hash then 'unchanged' else 'changed' end as state
-from ({_windows(_FILES)}) o full outer join ({_windows(_V2)}) n on n.id = o.id""",
+from ({windows_sql(_FILES)}) o full outer join ({windows_sql(_V2)}) n on n.id = o.id""",
     "merge_upsert": f"""select n.id, n.file_path, n.content_hash, case when o.content_hash = n.content_hash then 1 else 2 end as version
-from ({_windows(_V2)}) n left join ({_windows(_FILES)}) o on n.id = o.id""",
-    "delete_by_file": f"select language, count(*) as n_chunks from ({_windows(_FILES)}) where language <> 'de' group by language",
-    "index_stats": f"select count(*) as total_chunks, count(distinct file_path) as total_files, 1700000000000 as last_indexed_ms from ({_windows(_FILES)})",
+from ({windows_sql(_V2)}) n left join ({windows_sql(_FILES)}) o on n.id = o.id""",
+    "delete_by_file": f"select language, count(*) as n_chunks from ({windows_sql(_FILES)}) where language <> 'de' group by language",
+    "index_stats": f"select count(*) as total_chunks, count(distinct file_path) as total_files, 1700000000000 as last_indexed_ms from ({windows_sql(_FILES)})",
     "display_rows": f"select doc_id as id, doc_id || '.txt' as label, replace(substr(content, 1, 100), chr(10), ' ') || case when length(content) > 100 then '...' else '' end as detail from ({_FILES})",
     "parse_context": "select conv_id, turn, 'turn ' || turn as summary, cast(null as varchar) as purpose, role || '|chat|' || conv_id as related_concepts, '' as usage_patterns, 'none' as dependencies from conversations",
     "fallback_context": f"""select id, s as summary, 'Code implementation' as purpose, coalesce(cl, '') as concepts, sha256(s || chr(10) || chr(10) || content) as full_sha
