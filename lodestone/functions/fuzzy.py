@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,13 @@ from pyspark.sql import functions as F
 MATCH, RUN, BOUNDARY, AFTER_SEPARATOR, CAMEL, GAP, IN_NAME = 1.0, 5.0, 10.0, 15.0, 8.0, 0.1, 3.0
 
 
+def may_match(query: str, target: Column) -> Column:
+    """Whether the target can have the query as a subsequence: false only where it can't. A pattern of
+    the query's ASCII characters, so that most targets are passed over before they are folded."""
+    wanted = [re.escape(c) for c in query.lower() if c.isascii()]
+    return F.lower(target).rlike("(?s)" + ".*?".join(wanted)) if wanted else F.lit(True)
+
+
 def fuzzy_score(query: Column, target: Column) -> Column:
     """Score of the query's characters as a subsequence of the target, greedy from the left and
     regardless of case; null if they aren't one, or either is empty or null.

@@ -28,6 +28,11 @@ def postings(chunks: DataFrame, columns: Sequence[str] = COLUMNS, stemmed: bool
     return rows.select("chunk_id", *carry, "dl", "col_no", F.posexplode("words").alias("pos", "term"))
 
 
+def _place(index: DataFrame) -> list[str]:
+    """What the postings tell of where a chunk lies."""
+    return [c for c in ("file_path",) if c in index.columns]
+
+
 def n_tokens(columns: Sequence[str] = COLUMNS) -> Column:
     """The number of tokens of a chunk."""
     return sum((F.size(tokens(F.col(c))).cast("bigint") for c in columns), F.lit(0).cast("bigint"))
@@ -45,7 +50,8 @@ def corpus(index: DataFrame) -> DataFrame:
 
 
 def phrase_hits(index: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
-    """chunk_id, phrase_no, tf, dl: how often each phrase occurs. Phrases lie within one column.
+    """chunk_id, phrase_no, tf, dl: how often each phrase occurs, and file_path if the postings have it.
+    Phrases lie within one column.
 
     Each posting of a query term is one place of some phrases; a phrase stands where all its places
     fall on one beginning. The terms are pushed to the scan, and no two postings are joined."""
@@ -55,21 +61,23 @@ def phrase_hits(index: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
             place.setdefault(term, []).append((k, o, len(p.terms), p.at_start))
     entry = lambda x: F.struct(F.lit(x[0]).alias("phrase_no"), F.lit(x[1]).alias("o"), F.lit(x[2]).alias("n"), F.lit(x[3]).alias("at_start"))
     known = F.create_map(*[x for term, xs in place.items() for x in (F.lit(term), F.array(*map(entry, xs)))])
-    of = index.where(F.col("term").isin(list(place))).select("chunk_id", "dl", "col_no", "pos", F.explode(F.element_at(known, F.col("term"))).alias("p"))
-    begun = of.select("chunk_id", "dl", "col_no", "p.phrase_no", "p.n", "p.at_start", (F.col("pos") - F.col("p.o")).alias("begin"), "p.o").where("not at_start or begin = 0")
+    at = _place(index)
+    own = lambda: [F.max("dl").alias("dl"), *[F.max(c).alias(c) for c in at]]
+    of = index.where(F.col("term").isin(list(place))).select("chunk_id", *at, "dl", "col_no", "pos", F.explode(F.element_at(known, F.col("term"))).alias("p"))
+    begun = of.select("chunk_id", *at, "dl", "col_no", "p.phrase_no", "p.n", "p.at_start", (F.col("pos") - F.col("p.o")).alias("begin"), "p.o").where("not at_start or begin = 0")
     if any(len(p.terms) > 1 for p in phrases):
-        begun = begun.groupBy("chunk_id", "col_no", "phrase_no", "n", "begin").agg(F.count("*").alias("have"), F.max("dl").alias("dl")).where("have = n")
-    return begun.groupBy("chunk_id", "phrase_no").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+        begun = begun.groupBy("chunk_id", "col_no", "phrase_no", "n", "begin").agg(F.count("*").alias("have"), *own()).where("have = n")
+    return begun.groupBy("chunk_id", "phrase_no").agg(F.count("*").alias("tf"), *own())
 
 
 def bm25(index: DataFrame, phrases: Sequence[Phrase] | None, known: DataFrame | None = None) -> DataFrame:
-    """chunk_id, rank of the chunks in which all phrases occur; smaller is better.
+    """chunk_id, rank of the chunks in which all phrases occur, and file_path if the postings have it;
+    smaller ranks are better.
 
     known: the row of corpus, if it is stored. Phrases add up in query order; a repeated one counts
     twice. None, for a query that is an error, gives no rows."""
-    kind = index.schema["chunk_id"].dataType.simpleString()
     if not phrases:
-        return index.sparkSession.createDataFrame([], f"chunk_id {kind}, rank double")
+        return index.select("chunk_id", F.lit(0.0).alias("rank"), *_place(index)).limit(0)
     hits = phrase_hits(index, phrases)
     figures = (corpus(index) if known is None else known).select(F.col("n").cast("double").alias("n"), F.col("tokens").cast("double").alias("tokens"))
     n, frequency = F.col("n"), hits.groupBy("phrase_no").agg(F.count(F.when((F.col("tf") > 0) & (F.col("dl") > 0), 1)).cast("double").alias("df"))
@@ -78,9 +86,9 @@ def bm25(index: DataFrame, phrases: Sequence[Phrase] | None, known: DataFrame |
     idf = frequency.join(F.broadcast(figures)).select(F.col("phrase_no").alias("of"), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"), (F.col("tokens") / n).alias("avgdl"))
     idf = idf.select("of", F.when(F.col("raw") <= 0, F.lit(LEAST_IDF)).otherwise(F.col("raw")).alias("idf"), "avgdl")
     met = hits.join(F.broadcast(idf), F.col("phrase_no") == F.col("of"))
-    every = met.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("phrase_no", "idf", "tf", "avgdl"))).alias("terms"), F.max("dl").alias("dl")).where(F.size("terms") == len(phrases))
+    every = met.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("phrase_no", "idf", "tf", "avgdl"))).alias("terms"), F.max("dl").alias("dl"), *[F.max(c).alias(c) for c in _place(index)]).where(F.size("terms") == len(phrases))
     part = lambda t: t["idf"] * ((t["tf"] * F.lit(K1 + 1.0)) / (t["tf"] + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / t["avgdl"])))
-    return every.select("chunk_id", (F.lit(-1.0) * F.aggregate("terms", F.lit(0.0), lambda s, t: s + part(t))).alias("rank"))
+    return every.select("chunk_id", (F.lit(-1.0) * F.aggregate("terms", F.lit(0.0), lambda s, t: s + part(t))).alias("rank"), *_place(index))
 
 
 def keyword_search(index: DataFrame, phrases: Sequence[Phrase] | None, limit: int = 20, known: DataFrame | None = None) -> DataFrame:

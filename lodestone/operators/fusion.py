@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,21 @@ from pyspark.sql import functions as F
 ARMS = ("semantic", "keyword", "fuzzy")
 
 
-def ranked(hits: DataFrame, arm: str, *order: Column) -> DataFrame:
-    """arm, id, rank from 1 of an arm's limited hits."""
-    return hits.select(F.lit(ARMS.index(arm)).alias("arm"), "id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+def ranked(hits: DataFrame, arm: str, *order: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """arm, id, rank from 1 of an arm's limited hits, and columns that belong to the id."""
+    return hits.select(F.lit(ARMS.index(arm)).alias("arm"), "id", *carry, F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
 def rrf(arms: DataFrame, k: int = 60, limit: int | None = None) -> DataFrame:
     """id, score, met of arms(arm, id, rank): the sum of 1 / (k + rank), semantic first.
 
     met orders equal scores: the arm that has the id first, and its rank there. Takes a union and
-    one aggregation instead of outer joins. Only limited hits come here."""
+    one aggregation instead of outer joins. Only limited hits come here. Other columns belong to the id."""
+    rest = [c for c in arms.columns if c not in ("arm", "id", "rank")]
     parts = F.array_sort(F.collect_list(F.struct("arm", "rank")))
-    fused = arms.groupBy("id").agg(parts.alias("parts"))
+    fused = arms.groupBy("id").agg(parts.alias("parts"), *[F.max(c).alias(c) for c in rest])
     score = F.aggregate("parts", F.lit(0.0), lambda s, p: s + F.lit(1.0) / (F.lit(float(k)) + p["rank"]))
-    out = fused.select("id", score.alias("score"), F.col("parts")[0].alias("met"))
+    out = fused.select("id", *rest, score.alias("score"), F.col("parts")[0].alias("met"))
     return out.orderBy(F.desc("score"), "met").limit(limit) if limit else out
 
 

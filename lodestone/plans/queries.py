@@ -69,7 +69,7 @@ def _index(spark: SparkSession, d: str, columns: Sequence[str], stemmed: bool) -
     and each query reads the row groups of its terms."""
     name = f"{d} {columns} {stemmed}"
     # Dealt by size, not by a range, for which Spark would make the postings twice; a frequent term is split.
-    made = lambda: fulltext.postings(whole(spark, d), columns, stemmed).hint("rebalance", "term").sortWithinPartitions("term", "chunk_id")
+    made = lambda: fulltext.postings(whole(spark, d), columns, stemmed, carry=["file_path"]).hint("rebalance", "term").sortWithinPartitions("term", "chunk_id")
     index = stored(spark, f"postings {name}", made)
     return index, stored(spark, f"corpus {name}", lambda: fulltext.corpus(index))
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import logging
+import re
+import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -19,7 +23,11 @@ from ..schema import CHUNK
 
 #: The chunks with what is derived from them: the vector's norm, and the number of tokens.
 STORED = T.StructType([*CHUNK.fields, T.StructField("norm", T.DoubleType()), T.StructField("dl", T.LongType())])
-POSTING = "chunk_id string, dl bigint, col_no int, pos int, term string"
+POSTING = "chunk_id string, file_path string, dl bigint, col_no int, pos int, term string"
+#: Parquet's own index of ids, so that a look-up by id skips the row groups that don't have it.
+BY_ID = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+log = logging.getLogger("lodestone")
 
 
 class ConcurrentCommit(RuntimeError):
@@ -42,33 +50,37 @@ class Store:
     Files fall into buckets by a hash of their path. A commit writes the buckets it touches, chunks
     sorted by file and postings by term so that statistics skip what a query doesn't need, and then
     the version: a small file that names the commit of each bucket. So a change of one file rewrites
-    one bucket. That file is created only if it isn't there, so of two writers that began at one
-    version the later fails and loses nothing of the other's. A commit that fails half-way changes
-    nothing; readers of an older version are not disturbed; vacuum removes what no kept version names.
+    one bucket. The version is written under a name that no reader looks at and then renamed, which
+    fails if its number is taken: a commit is there as a whole or not at all, and of two writers that
+    began at one version the later fails and loses nothing of the other's. This needs a file system
+    whose rename is one step, as HDFS and local ones have it. A version that can't be read, as another
+    program may leave one, is passed over for the one before it.
+
+    Nothing is removed by a commit, so readers of older versions go on; vacuum, on call, removes what
+    was replaced more than keep_hours ago.
 
-    buckets: how many, set by the first commit; some gigabyte each is a good size."""
+    buckets: how many at first; when a bucket holds more than rows_per_bucket chunks on average, the
+    table is dealt anew to twice as many, or more, so that the cost of it stays in proportion to growth."""
 
-    def __init__(self, spark: SparkSession, root: str, stemmed: bool = True, keep: int = 2, buckets: int = 32) -> None:
-        self.spark, self.root, self.stemmed, self.keep, self._buckets = spark, root.rstrip("/"), stemmed, keep, buckets
+    def __init__(self, spark: SparkSession, root: str, stemmed: bool = True, keep_hours: float = 24, buckets: int = 32, rows_per_bucket: int = 500_000) -> None:
+        self.spark, self.root, self.stemmed, self.keep_hours, self._buckets, self.rows_per_bucket = spark, root.rstrip("/"), stemmed, keep_hours, buckets, rows_per_bucket
 
     def _fs(self, path: str):  # noqa: ANN202
         sc = self.spark.sparkContext
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
-    def _names(self, folder: str) -> list[str]:
+    def _listed(self, folder: str) -> dict[str, float]:
+        """The names in a folder, in order, with the times of their last change."""
         fs, p = self._fs(f"{self.root}/{folder}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return {x.getPath().getName(): x.getModificationTime() / 1000 for x in sorted(found, key=lambda x: x.getPath().getName())}
 
     def versions(self) -> list[int]:
         """The numbers of the versions, oldest first."""
-        return [int(n[:8]) for n in self._names("log") if n.endswith(".json")]
+        return [int(n[:8]) for n in self._listed("log") if re.fullmatch(r"\d{8}\.json", n)]
 
-    def state(self, number: int | None = None) -> State:
-        """A version, by default the newest; before the first commit an empty one."""
-        number = max(self.versions(), default=0) if number is None else number
-        if not number:
-            return State(0, self._buckets)
+    def _load(self, number: int) -> State:
         fs, p = self._fs(f"{self.root}/log/{number:08d}.json")
         stream = fs.open(p)
         try:
@@ -78,6 +90,40 @@ class Store:
         known = json.loads(text)
         return State(number, known["buckets"], {int(b): tuple(x) for b, x in known["at"].items()})
 
+    def state(self, number: int | None = None) -> State:
+        """A version, by default the newest that can be read; before the first commit an empty one. Its
+        number is that of the newest in any case, so the next commit comes after it."""
+        if number is not None:
+            return self._load(number)
+        found = self.versions()
+        for v in reversed(found):
+            try:
+                own = self._load(v)
+            except (ValueError, KeyError, TypeError, AttributeError) as e:
+                log.warning("version %d of %s can't be read: %s", v, self.root, e)
+                continue
+            return State(found[-1], own.buckets, own.at)
+        return State(found[-1] if found else 0, self._buckets)
+
+    def _publish(self, state: State) -> None:
+        """Makes a version visible, all of it at once, unless its number is taken."""
+        fs, hidden = self._fs(f"{self.root}/log/.{uuid.uuid4().hex}")
+        out = fs.create(hidden, False)
+        try:
+            out.write(bytearray(json.dumps({"buckets": state.buckets, "at": state.at}).encode()))
+        finally:
+            out.close()
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        known = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hidden.toUri() if hidden.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        _, shown = self._fs(f"{self.root}/log/{state.number:08d}.json")
+        try:
+            known.rename(hidden, shown, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            fs.delete(hidden, False)
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            raise ConcurrentCommit(f"version {state.number} of {self.root} is there already") from None
+
     def version(self) -> int | None:
         return self.state().number or None
 
@@ -91,6 +137,15 @@ class Store:
         """The current chunks, or those of a version, or of some of its buckets."""
         return self._read("chunks", STORED, state, only)
 
+    def chunks_of(self, paths: Sequence[str], state: State | None = None) -> DataFrame:
+        """The chunks of some files: only their buckets are read, and the paths are pushed to the scan."""
+        state = state or self.state()
+        if not state.at or not paths:
+            return self.chunks(state, [])
+        array = F.array(*[self.bucket(F.lit(p), state) for p in paths])
+        only = set(self.spark.range(1).select(array.alias("b")).first().b)
+        return self.chunks(state, only).where(F.col("file_path").isin(list(paths)))
+
     def index(self, state: State | None = None) -> DataFrame:
         """The postings. They lie by document, as in a distributed search engine: each bucket's are
         sorted by term, and a query reads the row groups of its terms in each."""
@@ -108,7 +163,7 @@ class Store:
         """The buckets of files(file_path); no more than there are."""
         return sorted(r.bucket for r in files.select(self.bucket(F.col("file_path"), state)).distinct().collect() if r.bucket is not None)
 
-    def write(self, rows: DataFrame, touched: Iterable[int], base: State) -> int:
+    def write(self, rows: DataFrame, touched: Iterable[int], base: State, grow: bool = True) -> int:
         """Commits a version on top of base in which the touched buckets hold these rows and no others."""
         known = rows.columns
         rows = rows.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK.fields])
@@ -120,45 +175,53 @@ class Store:
         # Rows are made once, before this shuffle, which Spark deals anew by size: no range is sampled.
         placed = rows.withColumn("bucket", self.bucket(F.col("file_path"), base)).hint("rebalance", "bucket")
         placed = placed.withColumns({"norm": norm(F.col("embedding")), "dl": n_tokens()})
-        placed.sortWithinPartitions("bucket", "file_path", "start_line").write.partitionBy("bucket").parquet(f"{folder}/chunks")
+        placed.sortWithinPartitions("bucket", "file_path", "start_line").write.options(**BY_ID).partitionBy("bucket").parquet(f"{folder}/chunks")
         written = self.spark.read.schema(T.StructType([*STORED.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{folder}/chunks")
-        terms = postings(written, stemmed=self.stemmed, carry=["bucket"]).hint("rebalance", "bucket")
+        terms = postings(written, stemmed=self.stemmed, carry=["file_path", "bucket"]).hint("rebalance", "bucket")
         terms.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
         figures = written.groupBy("bucket").agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n"), F.sum("dl").alias("tokens")).collect()
         at = {b: x for b, x in base.at.items() if b not in set(touched)} | {r.bucket: (name, r.n, r.tokens) for r in figures}
-        fs, p = self._fs(f"{self.root}/log/{base.number + 1:08d}.json")
-        try:
-            out = fs.create(p, False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in str(e.java_exception):
-                raise
-            own, data = self._fs(folder)
-            own.delete(data, True)
-            raise ConcurrentCommit(f"version {base.number + 1} of {self.root} is there already") from None
+        state = State(base.number + 1, base.buckets, at)
         try:
-            out.write(bytearray(json.dumps({"buckets": base.buckets, "at": at}).encode()))
-        finally:
-            out.close()
-        self.vacuum()
-        return base.number + 1
+            self._publish(state)
+        except ConcurrentCommit:
+            self._delete(f"data/{name}")
+            raise
+        rows = sum(x[1] for x in at.values())
+        if rows > self.rows_per_bucket * base.buckets and grow:
+            return self.deal(base.buckets * 2 ** max(1, (rows // (self.rows_per_bucket * base.buckets)).bit_length()))
+        return state.number
+
+    def deal(self, buckets: int) -> int:
+        """The same chunks in another number of buckets: the whole table is written once more."""
+        base = self.state()
+        log.info("dealing %s to %d buckets instead of %d", self.root, buckets, base.buckets)
+        return self.write(self.chunks(base).select(*CHUNK.fieldNames()), range(buckets), State(base.number, buckets), grow=False)
 
     def commit(self, chunks: DataFrame, base: State | None = None) -> int:
         """Makes these rows the whole table."""
         base = base or self.state()
         return self.write(chunks, range(base.buckets), base)
 
-    def vacuum(self) -> None:
-        """Removes all but the newest versions, and what only they, or commits that failed, have written."""
-        versions = self.versions()
-        kept, gone = versions[-self.keep :], versions[: -self.keep]
-        alive = {(b, x[0]) for v in kept for b, x in self.state(v).at.items()}
+    def vacuum(self, hours: float | None = None) -> None:
+        """Removes the versions that were replaced more than some hours ago, by default keep_hours, and
+        what only they, or commits whose number was taken by others, have written. A reader that
+        began with a version has that long to end."""
+        since = time.time() - 3600 * (self.keep_hours if hours is None else hours)
+        times = {int(n[:8]): t for n, t in self._listed("log").items() if re.fullmatch(r"\d{8}\.json", n)}
+        read = {}
+        for v in times:
+            with suppress(ValueError, KeyError, TypeError, AttributeError):  # what can't be read replaces nothing
+                read[v] = {(b, x[0]) for b, x in self._load(v).at.items()}
+        gone = {v for v, after in zip(sorted(read), sorted(read)[1:], strict=False) if times[after] <= since}
+        alive = {x for v in read if v not in gone for x in read[v]}
         commits = {c for _, c in alive}
-        for b, c in {(b, x[0]) for v in gone for b, x in self.state(v).at.items()} - alive:
+        for b, c in {x for v in gone for x in read[v]} - alive:
             if c in commits:  # else it goes as a whole
                 for what in ("chunks", "postings"):
                     self._delete(f"data/{c}/{what}/bucket={b}")
-        for c in self._names("data"):
-            if c not in commits and kept and int(c[:8]) <= kept[0]:
+        for c in self._listed("data"):
+            if c not in commits and int(c[:8]) <= max(times, default=0):
                 self._delete(f"data/{c}")
         for v in gone:
             self._delete(f"log/{v:08d}.json")

@@ -10,9 +10,11 @@ from urllib.error import HTTPError
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.sql import register
 from lodestone.logs import configure
+from lodestone.functions.fuzzy import fuzzy_score
+from lodestone.functions.sql import register
 from lodestone.operators.display import or_message
+from lodestone.operators.search import Searcher, fuzzy_paths
 from lodestone.plans.ingest import cancellable, index_files, index_if_empty, reindex, single_flight
 from lodestone.schema import EVENT, Config
 from lodestone.sources.flat import from_flat, to_flat
@@ -54,7 +56,9 @@ def test_index_twice_then_change_and_delete(spark, tmp_path):
     index_files(store, files(spark, a__py=" \n"), EMBED, now=4)  # no chunk is left
     assert sorted(state(store)) == [("b.py", 0)]
     assert store.index().select("chunk_id").distinct().count() == 1
-    assert len(store.versions()) == store.keep and len(list((tmp_path / "s" / "log").glob("*.json"))) == store.keep
+    assert len(store.versions()) == 4
+    store.vacuum(0)
+    assert len(store.versions()) == 1 and len(list((tmp_path / "s" / "log").glob("*.json"))) == 1 and sorted(state(store)) == [("b.py", 0)]
     store.delete_files(files(spark, b__py="").select("file_path"))
     assert store.chunks().isEmpty()
     store.clear()
@@ -63,13 +67,14 @@ def test_index_twice_then_change_and_delete(spark, tmp_path):
 
 
 def test_uncommitted_version_is_ignored(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"), keep=1)
+    store = Store(spark, str(tmp_path / "s"))
     v = index_files(store, files(spark, a__py=PY), EMBED, now=1)
     broken = tmp_path / "s" / "data" / "00000002-broken" / "chunks"
     broken.mkdir(parents=True)
     assert store.version() == v and store.chunks().count() == 2
     store.rebuild()
-    assert store.chunks().count() == 2 and not broken.exists()  # vacuumed with the version that failed
+    store.vacuum()
+    assert store.chunks().count() == 2 and not broken.exists() and len(store.versions()) == 2  # its number is taken, so it can't be published
 
 
 def written_buckets(store, tmp_path, version):
@@ -78,7 +83,7 @@ def written_buckets(store, tmp_path, version):
 
 
 def test_a_change_rewrites_its_bucket_only(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"), keep=3, buckets=16)
+    store = Store(spark, str(tmp_path / "s"), buckets=16)
     many = {f"f{k}__py": f"x = {k}\n" for k in range(60)}
     first = index_files(store, files(spark, **many), EMBED, now=1)
     assert len(written_buckets(store, tmp_path, first)) > 8
@@ -92,9 +97,10 @@ def test_a_change_rewrites_its_bucket_only(spark, tmp_path):
     assert store.state(first).at != store.state().at and store.chunks(store.state(first)).count() == 60  # older readers
     apply_events(store, spark.createDataFrame([("f9.py", "delete", datetime.datetime(2024, 1, 1))], EVENT), lambda p: p.selectExpr("file_path", "0L as length", "'' as content"), EMBED)
     assert store.chunks().count() == 59
-    for _ in range(4):
+    for _ in range(2):
         store.rebuild()
-    assert len(list((tmp_path / "s" / "data").iterdir())) == store.keep
+    store.vacuum(0)
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 1 and store.chunks().count() == 59
 
 
 def test_two_writers(spark, tmp_path):
@@ -110,6 +116,103 @@ def test_two_writers(spark, tmp_path):
         index_files(store, files(spark, b__py="x = 1\n"), EMBED)
 
 
+def test_half_written_version_is_passed_over(spark, tmp_path, caplog):
+    """A version that some crash has left empty stops neither readers nor writers."""
+    store = Store(spark, str(tmp_path / "s"))
+    index_files(store, files(spark, a__py="x = 1\n"), EMBED, now=1)
+    (tmp_path / "s" / "log" / "00000002.json").write_text("")
+    assert [r.file_path for r in store.chunks().collect()] == ["a.py"] and "can't be read" in caplog.text
+    assert index_files(store, files(spark, b__py="y = 1\n"), EMBED, now=2) == 3
+    (tmp_path / "s" / "log" / "00000004.json").write_text('{"buckets": 3')
+    assert sorted(r.file_path for r in store.chunks().collect()) == ["a.py", "b.py"]
+    store.vacuum(0)
+    assert sorted(r.file_path for r in store.chunks().collect()) == ["a.py", "b.py"]
+    store.delete_files(files(spark, a__py="").select("file_path"))
+    assert [r.file_path for r in store.chunks().collect()] == ["b.py"]
+
+
+def test_crash_before_publication(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    index_files(store, files(spark, a__py="x = 1\n"), EMBED, now=1)
+
+    def crash(self, state):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(Store, "_publish", crash)
+        index_files(store, files(spark, b__py="x = 1\n"), EMBED, now=2)
+    assert [r.file_path for r in store.chunks().collect()] == ["a.py"]
+    index_files(store, files(spark, c__py="x = 1\n"), EMBED, now=3)
+    store.vacuum(0)
+    assert sorted(r.file_path for r in store.chunks().collect()) == ["a.py", "c.py"]
+    assert not [x for x in (tmp_path / "s" / "log").iterdir() if ".json" not in x.name] and len(store._listed("data")) == 2
+
+
+def test_readers_of_older_versions_go_on(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    index_files(store, files(spark, a__py="x = 1\n"), EMBED, now=1)
+    chunks, postings = store.chunks(), store.index()
+    for k in range(2, 6):
+        index_files(store, files(spark, a__py=f"x = {k}\n"), EMBED, now=k)
+        store.vacuum()
+    assert [r.content for r in chunks.collect()] == ["x = 1\n"] and postings.where("term = '1'").count() == 1
+    store.vacuum(0)
+    assert [r.content for r in store.chunks().collect()] == ["x = 5\n"] and store.index().where("term = '5'").count() == 1
+
+
+def test_buckets_grow_with_the_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=2, rows_per_bucket=5)
+    seen = []
+    for step in range(3):
+        index_files(store, files(spark, **{f"f{step}_{k}__py": f"x = {step}{k}\n" for k in range(4 ** (step + 1) // 2)}), EMBED, now=step)
+        state_ = store.state()
+        seen.append(state_.buckets)
+        assert sum(x[1] for x in state_.at.values()) <= 5 * state_.buckets
+    assert seen[0] == 2 and seen[-1] >= 16
+    rows = {r.file_path: r for r in store.chunks().collect()}
+    assert len(rows) == 42 and rows["f0_1.py"].updated_at == 0
+    assert store.index().select("chunk_id").distinct().count() == 42 and store.corpus().first().n == 42
+    index_files(store, files(spark, f0_1__py="y = 7\n"), EMBED, now=9)
+    assert {r.file_path: r.content for r in store.chunks_of(["f0_1.py", "f1_3.py", "none.py"]).collect()} == {"f0_1.py": "y = 7\n", "f1_3.py": "x = 13\n"}
+
+
+def test_only_the_files_of_hits_are_read(spark, tmp_path):
+    """The second step of a search lists the hits' buckets, pushes their paths, and puts out few rows."""
+    store = Store(spark, str(tmp_path / "s"), buckets=16)
+    index_files(store, files(spark, **{f"f{k}__py": f"value{k} = shared\n" for k in range(60)}), EMBED, now=1)
+    read = []
+
+    class Watched(Store):
+        def chunks_of(self, paths, state=None):
+            read.append((paths, super().chunks_of(paths, state)))
+            return read[-1][1]
+
+    own = Searcher.of(Watched(spark, store.root), EMBED.embed)
+    hits = own.search("value7 shared", 3).collect()
+    assert hits and len(hits) <= 3 and "f7.py" in {r.chunk.file_path for r in hits}
+    (paths, df) = read[-1]
+    assert sorted({r.chunk.file_path for r in hits}) == sorted(paths)
+    assert len(df.inputFiles()) <= 3 and df.count() <= 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]]")[0]
+    assert "file_path" in pushed and ("In(file_path" in pushed or "EqualTo(file_path" in pushed)
+    for mode in ("semantic", "keyword"):
+        plain = Searcher(store.chunks(), store.index(), EMBED.embed, Config(search_mode=mode), corpus=store.corpus())
+        same = Searcher.of(store, EMBED.embed, Config(search_mode=mode))
+        assert plain.search("value7 shared", 5).collect() == same.search("value7 shared", 5).collect()
+    assert {r.chunk.file_path for r in same.similar_files("f3.py", 4).collect()} and "f3.py" not in {r.chunk.file_path for r in same.similar_code("f3.py", 0, 4).collect()}
+    assert same.similar_files("none.py", 4).count() == 0
+
+
+def test_paths_are_scored_once_and_rank_as_chunks_do(spark):
+    rows = [(f"id{k * 7919 % 500}", p) for k, p in enumerate(["/src/Query.ts", "/src/queryParser.ts", "/q/u/e/r/y", "/none", "/src/query_x.py", "/İ/query", "/K/queRY"] * 40)]
+    chunks = spark.createDataFrame(rows, "id string, file_path string")
+    for query, limit in (("query", 7), ("qy", 50), ("ſ", 5), ("k", 9), ("none!", 5)):
+        one = fuzzy_paths(chunks, query, limit).select("id", "score").collect()
+        plain = chunks.select("id", fuzzy_score(F.lit(query), F.col("file_path")).alias("score")).where("score is not null").orderBy(F.desc("score"), "id").limit(limit)
+        assert sorted(map(tuple, one)) == sorted(map(tuple, plain.collect()))
+
+
 class Counting:
     """An embedder that leaves a mark for each call, in whatever process."""
 
