@@ -59,6 +59,13 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+def closed_folders(globs: tuple[str, ...] | list[str]) -> str | None:
+    """A regular expression for the relative paths, with a slash at the end, of folders of which every
+    file is excluded: those below which a glob that ends in /** takes all. None if there are none."""
+    whole = [glob_regex(g.removesuffix("**"))[:-1] for g in globs if g.endswith("/**")]
+    return "|".join(f"{w}" for w in whole) or None
+
+
 def excluded(path: Column, globs: tuple[str, ...] | list[str]) -> Column:
     """Whether the relative path matches one of the globs."""
     return path.rlike("|".join(map(glob_regex, globs))) if globs else F.lit(False)

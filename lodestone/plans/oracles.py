@@ -212,4 +212,13 @@ f as (select '/u/' || user_id || '.py' as p from l where k = 1 and event_type <>
 select sha256(p || ':0:2') as id, p as file_path, 0 as start_line, 2 as end_line, sha256('# ' || p || chr(10) || 'value = 1' || chr(10)) as content_hash from f""",
     "arm_ranks": f"""with h as (select e.vec_id, e.label, {_SIM} as s from embeddings e, {_Q} order by s desc, vec_id limit 100)
 select vec_id, label, cast(row_number() over (partition by label order by s desc, vec_id) as integer) as rank from h""",
+    "term_dictionary": f"""with t as (select row_number() over () as line, {tokens_sql("text")} as ts from documents),
+each as (select line, unnest(ts) as term from t), counted as (select line, term, count(*) as tf from each group by all)
+select term, count(*) as df, cast(sum(tf) as bigint) as cf from counted group by term
+union all select null, count(*), cast(sum(len(ts)) as bigint) from t where len(ts) > 0""",
+    "folder_sync": f"""with f as (
+  select lang || ':' || (doc_id % 25) as file_path, 'plaintext' as language,
+         string_agg(coalesce(text, '') || case when lang = 'fr' then chr(10) || 'edited' else '' end, chr(10) order by doc_id) || chr(10) as content
+  from documents where lang <> 'de' group by all)
+select split_part(file_path, ':', 1) as lang, cast(split_part(file_path, ':', 2) as bigint) as slot, start_line, end_line, content_hash from ({windows_sql("select * from f")})""",
 }

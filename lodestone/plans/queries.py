@@ -14,7 +14,7 @@ from ..functions.paths import basename, excluded
 from ..functions.sql import register
 from ..functions.text import clean_query, parse_query
 from ..functions.vector import from_blob
-from ..operators import display, fulltext, fusion, lookup
+from ..operators import bulk, display, fulltext, fusion, lookup
 from ..operators.chunker import chunk_files, line_windows, structured_chunks
 from ..operators.search import Searcher, best_per, chunks_at_lines, fuzzy_topk, vector_topk
 from ..schema import EXCLUDED, Config
@@ -24,6 +24,7 @@ from ..sources.providers import HashingEmbedder, enrich
 from ..sources.scratch import forget_at_exit, shared_dir, stored
 from ..sources.store import Store
 from ..streaming.feed import latest, start_feed
+from ..streaming.watch import sync_folder
 from .ingest import index_if_empty, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -634,4 +635,40 @@ def arm_ranks(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("vec_id", "label", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id")).alias("rank"))
 
 
+@query
+def term_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Each term of documents, in how many it occurs and how often; the row without a term is the corpus."""
+    return bulk.dictionary(table(spark, d, "documents"))
+
+
+#: Files of a language that folder_sync makes of documents.
+SLOTS = 25
+
+
+def _write_texts(docs: DataFrame, path: str) -> None:
+    """The texts as files, one for each language and slot, below folders named by these."""
+    own = docs.select(F.coalesce("text", F.lit("")).alias("value"), "lang", (F.col("doc_id") % SLOTS).alias("slot"), "doc_id")
+    own.repartition("lang", "slot").sortWithinPartitions("lang", "slot", "doc_id").drop("doc_id").write.mode("append").partitionBy("lang", "slot").text(path)
+
+
+@query
+def folder_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The store after a folder of real files was indexed, some of them were edited and some deleted, and
+    the folder was looked at again."""
+    root = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
+    forget_at_exit(spark, root)
+    docs, store = table(spark, d, "documents"), Store(spark, f"{root}/store", buckets=8)
+    config = Config(extensions=("txt",), chunk_size=SIZE, chunk_overlap=OVERLAP, max_file_size=1 << 40)
+    sync = lambda: sync_folder(store, f"{root}/files", f"{root}/seen", HashingEmbedder(8), config)
+    _write_texts(docs, f"{root}/files")
+    sync()
+    for gone in (REMOVED, EDITED):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/files/lang={gone}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _write_texts(docs.where(F.col("lang") == EDITED).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\nedited"))), f"{root}/files")
+    sync()
+    part = lambda name: F.regexp_extract("file_path", f"/{name}=([^/]*)/", 1)
+    return store.chunks().select(part("lang").alias("lang"), part("slot").cast("bigint").alias("slot"), "start_line", "end_line", "content_hash")
+
+
 QUERIES = {name.rstrip("_"): f for name, f in QUERIES.items()}

@@ -2,9 +2,12 @@ import datetime
 import http.server
 import json
 import logging
+import os
+import shutil
 import subprocess
 import sys
 import threading
+import time
 from urllib.error import HTTPError
 
 import pytest
@@ -12,16 +15,19 @@ from pyspark.sql import functions as F
 
 from lodestone.logs import configure
 from lodestone.functions.fuzzy import fuzzy_score
+from lodestone.functions.paths import closed_folders
 from lodestone.functions.sql import register
 from lodestone.operators.display import or_message
 from lodestone.operators.search import Searcher, fuzzy_paths
 from lodestone.plans.ingest import cancellable, index_files, index_if_empty, reindex, single_flight
-from lodestone.schema import EVENT, Config
+from lodestone.schema import EVENT, EXCLUDED, Config
 from lodestone.sources.flat import from_flat, to_flat
+from lodestone.sources import files as files_of
 from lodestone.sources.files import indexable, listed, open_tabs, read_files, with_language
 from lodestone.sources.providers import CustomEmbedder, HashingEmbedder, context_of, embedding_of, enrich, ping, retrying
 from lodestone.sources.store import ConcurrentCommit, Store
 from lodestone.streaming.feed import apply_events, latest, start_feed
+from lodestone.streaming.watch import sync_folder, watch_folder
 
 PY = "def a(x):\n    return x\n\nclass B:\n    pass\n"
 EMBED = HashingEmbedder(16)
@@ -313,7 +319,7 @@ def test_unreadable_files_are_left_out(spark, tmp_path):
 
 
 def test_listing_leaves_depth_to_the_executors(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("lodestone.sources.files.FOLDERS", 3)
+    monkeypatch.setattr("lodestone.sources.files.ENTRIES", (0, 2, 5))
     for k in range(12):
         p = tmp_path / "w" / f"d{k % 4}" / f"e{k}" / "f"
         p.mkdir(parents=True)
@@ -325,6 +331,103 @@ def test_listing_leaves_depth_to_the_executors(spark, tmp_path, monkeypatch):
     assert listed(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_links_end(spark, tmp_path):
+    """Links to the folder itself, to its parent, to each other's folders and to nothing."""
+    w, out = tmp_path / "w", tmp_path / "other"
+    for p in (w / "a", out / "deep"):
+        p.mkdir(parents=True)
+        (p / "x.py").write_text("1")
+    for link, to in ((w / "self", w), (w / "up", tmp_path), (w / "a" / "root", w), (w / "a" / "other", out), (out / "back", w / "a"), (out / "deep" / "own", out), (w / "none", tmp_path / "none"), (w / "y.py", w / "a" / "x.py")):
+        link.symlink_to(to)
+    found = sorted(r.file_path.removeprefix(str(w)) for r in listed(spark, str(w)).collect())
+    assert found == ["/a/other/deep/x.py", "/a/x.py", "/y.py"]
+
+
+def _names(rows, schema="file_path"):
+    import pyarrow as pa
+
+    return iter([pa.RecordBatch.from_arrays([pa.array(rows), pa.array([[] for _ in rows], pa.list_(pa.string()))], ["file_path", "trail"])])
+
+
+def test_excluded_folders_are_not_entered(spark, tmp_path, monkeypatch):
+    for p in ("node_modules/deep/x.js", "src/.git/x.js", "src/x.js", "src/distant/x.js"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("1")
+    entered, scandir = [], os.scandir
+    monkeypatch.setattr("os.scandir", lambda p: (entered.append(p.removeprefix(str(tmp_path))), scandir(p))[1])
+    found = [x for b in files_of._listed(str(tmp_path), closed_folders(EXCLUDED), 1000)(_names([str(tmp_path)])) for x in b.column(0).to_pylist()]
+    assert sorted(entered) == ["", "/src", "/src/distant"] and len(found) == 2
+    monkeypatch.undo()
+    assert sorted(r.file_path.removeprefix(str(tmp_path)) for r in listed(spark, str(tmp_path)).collect()) == ["/src/distant/x.js", "/src/x.js"]
+
+
+def test_a_flat_folder_is_listed_in_pieces(tmp_path, monkeypatch):
+    for k in range(25):
+        (tmp_path / f"f{k}.py").write_text("x")
+    monkeypatch.setattr(files_of, "NAMES", 10)
+    assert [b.num_rows for b in files_of._listed(str(tmp_path), None, 0)(_names([str(tmp_path)]))] == [10, 10, 5]
+
+
+def test_folder_and_store_stay_alike(spark, tmp_path):
+    """Real files are created, changed, deleted, and left alone."""
+    w, seen = tmp_path / "build" / "w", str(tmp_path / "seen")  # the folder's own place is not judged by the globs
+    (w / "src").mkdir(parents=True)
+    (w / "src" / "a.py").write_text("x = 1\n")
+    (w / "src" / "b.py").write_text("y = 1\n")
+    (w / "c.txt").write_text("no code")
+    store = Store(spark, str(tmp_path / "s"))
+    assert sync_folder(store, str(w), seen, EMBED, now=1) == {"create": 2}
+    assert sync_folder(store, str(w), seen, EMBED, now=2) == {} and store.version() == 1
+    (w / "src" / "a.py").write_text("x = 22\n")
+    (w / "src" / "b.py").unlink()
+    (w / "src" / "d.py").write_text("z = 1\n")
+    assert sync_folder(store, str(w), seen, EMBED, now=3) == {"change": 1, "delete": 1, "create": 1}
+    assert {r.file_path.rsplit("/", 1)[-1]: r.content for r in store.chunks().collect()} == {"a.py": "x = 22\n", "d.py": "z = 1\n"}
+    # a listing that was lost costs a look at all files, and no more
+    shutil.rmtree(seen)
+    (w / "src" / "d.py").unlink()
+    assert sync_folder(store, str(w), seen, EMBED, now=4) == {"change": 1, "delete": 1}
+    assert {r.file_path.rsplit("/", 1)[-1]: r.updated_at for r in store.chunks().collect()} == {"a.py": 3}
+
+
+def test_watch(spark, tmp_path):
+    w = tmp_path / "w"
+    w.mkdir()
+    (w / "a.py").write_text("x = 1\n")
+    store = Store(spark, str(tmp_path / "s"))
+    query = watch_folder(store, str(w), str(tmp_path / "seen"), EMBED, every="1 second")
+    try:
+        for text in ("x = 1\n", "x = 23\n"):
+            (w / "a.py").write_text(text)
+            until = time.time() + 60
+            while [r.content for r in store.chunks().collect()] != [text] and time.time() < until and query.isActive:
+                time.sleep(0.5)
+            assert [r.content for r in store.chunks().collect()] == [text]
+    finally:
+        query.stop()
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """A delete that comes in a later batch than a newer change removes nothing."""
+    t = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    source, store = str(tmp_path / "events"), Store(spark, str(tmp_path / "s"))
+    read = lambda paths: paths.selectExpr("file_path", "6L as length", "'x = 1\\n' as content")
+
+    def feed(*events):
+        spark.createDataFrame(list(events), EVENT).write.mode("append").parquet(source)
+        start_feed(spark.readStream.schema(EVENT).parquet(source), store, read, EMBED, str(tmp_path / "ck"), once=True).awaitTermination()
+        return {r.file_path for r in store.chunks().collect()}
+
+    assert feed(("a.py", "change", t(5)), ("b.py", "change", t(5))) == {"a.py", "b.py"}
+    assert feed(("a.py", "delete", t(3)), ("b.py", "delete", t(7))) == {"a.py"}
+    assert feed(("b.py", "create", t(6))) == {"a.py"}  # it was deleted later than that
+    assert feed(("b.py", "create", t(8)), ("a.py", "delete", t(5))) == {"b.py"}
+    # the last batch once more, as after a crash
+    for f in (tmp_path / "ck" / "commits").glob("*3*"):
+        f.unlink()
+    assert feed(("c.py", "change", t(1))) == {"b.py", "c.py"}
+
+
 def test_logs(caplog):
     handler = logging.Handler()
     log = configure(Config(debug_logging=True), handler)
