@@ -212,6 +212,11 @@ f as (select '/u/' || user_id || '.py' as p from l where k = 1 and event_type <>
 select sha256(p || ':0:2') as id, p as file_path, 0 as start_line, 2 as end_line, sha256('# ' || p || chr(10) || 'value = 1' || chr(10)) as content_hash from f""",
     "arm_ranks": f"""with h as (select e.vec_id, e.label, {_SIM} as s from embeddings e, {_Q} order by s desc, vec_id limit 100)
 select vec_id, label, cast(row_number() over (partition by label order by s desc, vec_id) as integer) as rank from h""",
+    "nearest_vectors": """with s as (
+  select q.vec_id, e.vec_id as other, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as similarity
+  from embeddings e join embeddings q on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id),
+r as (select *, cast(row_number() over (partition by vec_id order by similarity desc, other) as integer) as place from s)
+select vec_id, other, round(similarity, 6) as similarity, place from r where place <= 10""",
     "term_dictionary": f"""with t as (select row_number() over () as line, {tokens_sql("text")} as ts from documents),
 each as (select line, unnest(ts) as term from t), counted as (select line, term, count(*) as tf from each group by all)
 select term, count(*) as df, cast(sum(tf) as bigint) as cf from counted group by term

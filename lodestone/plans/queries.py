@@ -16,6 +16,7 @@ from ..functions.text import clean_query, parse_query
 from ..functions.vector import from_blob
 from ..operators import bulk, display, fulltext, fusion, lookup
 from ..operators.chunker import chunk_files, line_windows, structured_chunks
+from ..operators.neighbours import nearest_of_each
 from ..operators.search import Searcher, best_per, chunks_at_lines, fuzzy_topk, vector_topk
 from ..schema import EXCLUDED, Config
 from ..sources.files import indexable, listed, open_tabs, read_files
@@ -635,6 +636,13 @@ def arm_ranks(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("vec_id", "label", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id")).alias("rank"))
 
 
+@query
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest others of every vector whose number a hundred divides."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest_of_each(e, e.where("vec_id % 100 = 0"), 10, "vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
 @query
 def term_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Each term of documents, in how many it occurs and how often; the row without a term is the corpus."""

@@ -45,6 +45,16 @@ def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Dat
     return _stored[app, name]
 
 
+def stored_once(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again; removed when the process ends."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/lodestone-once-{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    forget_at_exit(spark, root)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _roots: set[str] = set()
 
 

@@ -1,11 +1,13 @@
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import parse_query
-from lodestone.operators import display, fulltext, fusion, lookup
+from lodestone.operators import bulk, display, fulltext, fusion, lookup
 from lodestone.operators.chunker import PATTERNS, chunk_files, line_windows, patterns, spans
+from lodestone.operators.neighbours import nearest_of_each
 from lodestone.operators.search import Searcher, best_per, chunk_at_line, chunks_at_lines, vector_topk
 from lodestone.schema import Config
 from lodestone.sources.providers import HashingEmbedder
@@ -226,3 +228,43 @@ def test_display(searcher):
     assert tuple(display.search_rows(hits).first()) == ("a.py", "100.0% - Lines 0-9", "connect to database")
     assert tuple(display.quick_rows(hits).first()) == ("a.py", "100.0% · method connect", "/s · Lines 0-9 · connect to database")
     assert tuple(display.similar_rows(hits).first()) == ("a.py · connect()", "100% similar", "/s")
+
+
+def test_nearest_of_each_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 6)).round(1)
+    m[40:60] = m[0]  # ties
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(m)] + [(300, None), (301, [0.0] * 6), (302, [1.0] * 5), (None, [1.0] * 6), (7, [1.0, 0.0, 0.0, 0.0, 0.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(5)
+    queries = vectors.where("id % 20 = 0 or id > 299").withColumn("block_x", F.lit(1))
+    good = [(k, np.array(v, np.float32).astype(float)) for k, v in rows if k is not None and v and len(v) == 6 and any(v)]
+    want = set()
+    for k, v in good:
+        if k % 20 == 0:
+            sims = sorted((-round(float(v @ w / np.sqrt(v @ v) / np.sqrt(w @ w)), 9), j) for j, w in good if j != k)
+            want |= {(k, p + 1, -s) for p, (s, j) in enumerate(sims[:4])}
+    for sent in (8 * 6, 8 * 6 * 4, 1 << 20):
+        got = nearest_of_each(vectors, queries.select("id", "embedding"), 4, sent=sent).collect()
+        assert {(r.id, r.place, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
+        assert {r.other for r in got if r.id == 0} == {40, 41, 42, 43}
+    assert nearest_of_each(vectors, vectors.limit(0), 4).count() == nearest_of_each(vectors.limit(0), queries.select("id", "embedding"), 4).count() == 0
+
+
+def test_dictionary_and_bulk_search_agree_with_bm25(spark):
+    texts = [(k, " ".join(f"w{(k * j * j) % 11}" for j in range(1, 9)) + " É é") for k in range(60)] + [(60, None), (61, "  "), (62, "w1 W1 w1")]
+    docs = spark.createDataFrame(texts, "id bigint, content string")
+    known = bulk.dictionary(docs, "content")
+    index = fulltext.postings(docs, ["content"], stemmed=False)
+    assert {r.term: (r.df, r.cf) for r in known.where("term is not null").collect()} == {r.term: (r.df, r.cf) for r in index.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"), F.count("*").alias("cf")).collect()}
+    corpus = fulltext.corpus(index).first()
+    total = known.where("term is null").first()
+    assert (total.df, total.cf) == (corpus.n, corpus.tokens)
+    asked = spark.createDataFrame([(1, "w1"), (2, "w3 w5"), (3, "w1 W1 é w9"), (4, "none w1"), (5, None)], "item_id bigint, text string")
+    searches = bulk.telling_terms(asked, known, 9)
+    got = bulk.bulk_keyword(bulk.term_counts(docs, searches, "id", "content"), searches, known.where("term is null"), 7, key="id")
+    got = {(r.item_id, r.place, r.id, round(r["rank"], 9)) for r in got.collect()}
+    want = set()
+    for item, words in ((1, "w1"), (2, "w3 w5"), (3, "w1 é w9"), (4, "w1")):  # words that occur nowhere tell nothing
+        hits = fulltext.keyword_search(index, parse_query(words, False), 7).collect()
+        want |= {(item, p + 1, r.chunk_id, round(r["rank"], 9)) for p, r in enumerate(hits)}
+    assert got == want
