@@ -62,25 +62,40 @@ DEEPEST, MOST_COLUMNS, MOST_ROWS = 256, 1000, 65534
 INDENTED, WIDEST, ALIGNED = 16, 120, 400
 #: Columns in which cells from above are minded.
 COLUMNS = 4096
-#: Steps of comparing a page's elements with its style rules. A page that would need more has so many rules for
-#: anything that they are no page's; what is left of it counts as not styled, so no text of it is lost.
-STYLE_STEPS = 4_000_000
+#: What display makes of an element: a block, part of a line, or part of a line that stands apart.
+SHAPES = {
+    **dict.fromkeys("block flow-root list-item flex grid table -webkit-box -webkit-flex table-row table-row-group table-header-group table-footer-group table-caption".split(), "block"),
+    **dict.fromkeys("inline contents ruby".split(), "inline"),
+    **dict.fromkeys("inline-block inline-flex inline-grid inline-table table-cell -webkit-inline-box -webkit-inline-flex".split(), "apart"),
+}
+#: Whose children are boxes of their own, whatever they are.
+SPLIT = frozenset("flex grid inline-flex inline-grid -webkit-box -webkit-flex -webkit-inline-box -webkit-inline-flex".split())
+#: Controls, which stand apart in a line, and the kinds of input whose value is shown.
+CONTROLS = frozenset("button select textarea input".split())
+TEXT_INPUTS = frozenset(["", "text", "search", "email", "url", "tel", "number", "submit", "button", "reset", "date", "time", "month", "week", "datetime-local"])
+#: What white-space keeps: all, line breaks only, or nothing.
+KEPT = {"pre": "pre", "pre-wrap": "pre", "break-spaces": "pre", "pre-line": "lines", "normal": "", "nowrap": "", "initial": ""}
 
 #: A whole tag of the usual form; it holds no other <, so trying costs no more than to the next one.
 _USUAL = re.compile(r"(/?)([a-zA-Z][^\s/><]*)\s*((?:[^\s=/\"'<>]+=(?:\"[^\"<]*\"|'[^'<]*')\s*)*)(/?)>")
 _USUAL_ATTRIBUTE = re.compile(r"([^\s=]+)=(?:\"([^\"]*)\"|'([^']*)')")
 _TAG_NAME, _BETWEEN, _KEY, _EQUALS, _BARE = (re.compile(x) for x in (r"(/?)([a-zA-Z][^\s/>]*)", r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
-_DECLARED = re.compile(r"(display|visibility)\s*:\s*([\w-]+(?:\s+[\w-]+)*)\s*(!\s*important)?\Z", re.I)
+_DECLARED = re.compile(r"(display|visibility|white-space)\s*:\s*([\w-]+(?:\s+[\w-]+)*)\s*(!\s*important)?\Z", re.I)
 #: Comments, and what else style sheets may be wrapped in; strings, escapes and what ends a piece of a sheet.
 _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|<!\[CDATA\[|\]\]>", re.S)
 _CSS_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|url\([^)\"']*\)|\\.|[{};]", re.S)
-_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[[\w-]+(?:=(?:\"[^\"]*\"|'[^']*'|[\w-]+))?\])*)\Z")
-_PART = re.compile(r"([.#\[])([\w-]+)(?:=(?:\"([^\"]*)\"|'([^']*)'|([\w-]+)))?")
+_SELECTOR = re.compile(r"(?:[^\s>+~\[(]|\[[^\]]*\]|\([^)]*\))+|[>+~]")
+_LISTED = re.compile(r",(?![^(\[]*[)\]])")
+_ATTRIBUTE = r"\[\s*[\w-]+\s*(?:[~|^$*]?=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]"
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|" + _ATTRIBUTE + r"|:(?:first|last|only)-child|:root|:not\([^()]*\))*)\Z")
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?)=\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]|:(first-child|last-child|only-child|root)|:not\(([^()]*)\)")
 _FEATURE = re.compile(r"(min-|max-)?(width|height)\s*(?::|(<=|>=|<|>|=))\s*([\d.]+)(px|em|rem|)\Z")
 #: The screen that media queries are judged for, in pixels, and the features that it has.
 SCREEN = {"width": 1280, "height": 800}
 TRAITS = frozenset(["color", "hover", "any-hover", "orientation:landscape", "hover:hover", "any-hover:hover", "pointer:fine", "any-pointer:fine", "pointer", "any-pointer", "grid:0", "update:fast", "update", "scripting:enabled", "scripting", "prefers-color-scheme:light", "prefers-reduced-motion:no-preference", "prefers-contrast:no-preference", "forced-colors:none", "display-mode:browser"])
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Characters that the renderer uses itself.
+_MARKS = dict.fromkeys((0, 1, 2))
 
 
 class Element:
@@ -361,106 +376,255 @@ def declarations(css: str) -> Iterator[tuple[str, bool, str]]:
         yield blocks[-1][0], blocks[-1][2], css[start:].strip()
 
 
-Compound = tuple[str, frozenset[str], frozenset[str], tuple[tuple[str, str | None], ...]]
+class Compound:
+    """What one element has to be: of a tag, with classes, ids and attributes, at a place among its
+    siblings, and not like others."""
+
+    __slots__ = ("tag", "classes", "ids", "attributes", "places", "nots", "weight", "sign")
+
+    def __init__(self, tag: str, classes: frozenset, ids: frozenset, attributes: tuple, places: frozenset, nots: tuple) -> None:
+        self.tag, self.classes, self.ids, self.attributes, self.places, self.nots = tag, classes, ids, attributes, places, nots
+        own = [len(ids), len(classes) + len(attributes) + len(places), int(bool(tag))]
+        for group in nots:
+            own = [x + y for x, y in zip(own, max(c.weight for c in group), strict=True)]
+        self.weight = own
+        self.sign = (tag, classes, ids, attributes, places, tuple(tuple(c.sign for c in group) for group in nots))
+
+    @classmethod
+    def read(cls, s: str) -> Compound | None:
+        m = _COMPOUND.match(s)
+        if not m or not s:
+            return None
+        classes, ids, attributes, places, nots = set(), set(), [], set(), []
+        for p in _PART.finditer(m[2]):
+            if p[1]:
+                (classes if p[1] == "." else ids).add(p[2])
+            elif p[3]:
+                attributes.append((p[3].lower(), p[4], next((x for x in p.groups()[4:7] if x is not None), None)))
+            elif p[8]:
+                places.add(p[8])
+            else:
+                group = [cls.read(x.strip()) for x in p[9].split(",")]
+                if not all(group):
+                    return None
+                nots.append(tuple(group))
+        return cls("" if m[1] in (None, "*") else m[1].lower(), frozenset(classes), frozenset(ids), tuple(attributes), frozenset(places), tuple(nots))
+
+    def keys(self) -> list[str]:
+        """What an element must have among its own keys to fit, the more telling first."""
+        return ["#" + i for i in sorted(self.ids)] + ["." + c for c in sorted(self.classes)] + ["[" + k for k, _, _ in self.attributes] + [self.tag] * bool(self.tag)
+
+
+def _has(value: str | None, how: str | None, wanted: str | None) -> bool:
+    if value is None or wanted is None:
+        return value is not None
+    if not how:
+        return value == wanted
+    if not wanted:
+        return False
+    return {"~": wanted in value.split(), "|": value == wanted or value.startswith(wanted + "-"), "^": value.startswith(wanted), "$": value.endswith(wanted), "*": wanted in value}[how]
 
 
-def _fits(e: Element, c: Compound) -> bool:
-    tag, classes, ids, attributes = c
+def keys_of(e: Element) -> list[str]:
+    """By what the rules for an element are found."""
     a = e.attributes
-    return (
-        (not tag or tag == e.tag)
-        and (not classes or classes <= set(a.get("class", "").split()))
-        and (not ids or ids <= {a.get("id")})
-        and all(k in a and (v is None or v == a[k]) for k, v in attributes)
-    )
+    return ["", e.tag, *(["#" + a["id"]] if "id" in a else []), *("." + c for c in set(a.get("class", "").split())), *("[" + k for k in a)]
+
+
+class Rule:
+    """A selector's compounds and what stands between them, a declaration, and its rank. What is found
+    out about an element's ancestors and earlier siblings is kept, so each is looked at once."""
+
+    __slots__ = ("chain", "links", "what", "value", "rank", "above", "before")
 
+    def __init__(self, chain: list[Compound], links: list[str], what: str, value: str, rank: tuple) -> None:
+        self.chain, self.links, self.what, self.value, self.rank = chain, links, what, value, rank
+        self.above: dict[tuple[int, int], bool] = {}
+        self.before: dict[tuple[int, int], bool] = {}
 
-class Hidden:
-    """What isn't displayed, with all it holds, and what visibility each element has: elements that never
-    are, and declarations of display and visibility; attributes, style elements (tags, classes, ids, attributes, descendants and children; no
-    pseudo-classes or siblings) and inline styles, of which the one that wins in a browser counts.
-    Media are judged for SCREEN."""
+    def ancestors(self) -> list[Compound]:
+        """Compounds that one of the ancestors of a fitting element fits."""
+        return [c for c, link in zip(self.chain, self.links[1:], strict=False) if link in (" ", ">")]
+
+
+class Styles:
+    """What isn't displayed, with all it holds, what shape each element has, what visibility and which
+    white space: by elements that never are displayed, attributes, style elements and inline styles, of
+    which the one that wins in a browser counts. Selectors: tags, classes, ids, attributes, :not(), :root,
+    first, last and only children; descendants, children and siblings. Others are no rules. Media are
+    judged for SCREEN.
+
+    Rules are found by what their last compound needs of the element, and among these by what they
+    need of one of its ancestors, in both by what the fewest rules need; so a rule costs something only
+    where it may hold."""
 
     def __init__(self, root: Element) -> None:
-        self.rules: dict[str, list[tuple]] = {}  # by what the selector's last compound names
+        self.won: dict[int, dict[str, tuple]] = {}  # of elements that rules hold for
         self.up: dict[int, Element] = {}
-        self.steps = STYLE_STEPS
-        found, n, hides, far = [], 0, False, False
+        self.place: dict[int, tuple[list[Element], int]] = {}
+        rules = self._rules(root)
+        if rules:
+            self._apply(root, rules)
+
+    def _rules(self, root: Element) -> list[Rule]:
+        found, n = [], 0
         for e in walk(root):
             if e.tag == "style" and e.children and holds(e.attributes.get("media", "")):
                 for selectors, layer, piece in declarations(str(e.children[0])):
                     if m := _DECLARED.match(piece):
                         n += 1
-                        found += [(s, layer, m[1].lower(), m[2].lower(), bool(m[3]), n) for s in selectors.split(",")]
-                        hides = hides or m[2].lower() in ("none", "hidden", "collapse")
-        best: dict[tuple, tuple] = {}  # of rules for the same elements the one that wins
+                        found += [(s, layer, m[1].lower(), m[2].lower(), bool(m[3]), n) for s in _LISTED.split(selectors)]
+        best: dict[tuple, Rule] = {}  # of rules for the same elements the one that wins
+        known: dict[str, Compound | None] = {}
         for s, layer, what, value, strong, n in found:
-            tokens = re.sub(r"\s*>\s*", " > ", s.strip()).split()
-            steps = [_COMPOUND.match(t) for t in tokens if t != ">"]
-            if not steps or not all(steps) or tokens[0] == ">" or tokens[-1] == ">":
+            chain, links, link = [], [], ""
+            for token in _SELECTOR.findall(s.strip()):
+                if token in (">", "+", "~"):
+                    if not chain or link not in ("", " "):
+                        chain = []
+                        break
+                    link = token
+                    continue
+                if token not in known:
+                    known[token] = Compound.read(token)
+                chain.append(known[token])
+                links.append(link if len(chain) > 1 else "")
+                link = " "
+            if not chain or not all(chain) or link != " ":
                 continue
-            chain, weight = [], [0, 0, 0]
-            for m in steps:
-                parts = [(p[1], p[2], next((x for x in p.groups()[2:] if x is not None), None)) for p in _PART.finditer(m[2])]
-                tag = "" if m[1] in (None, "*") else m[1].lower()
-                chain.append((tag, frozenset(x for k, x, _ in parts if k == "."), frozenset(x for k, x, _ in parts if k == "#"), tuple((x.lower(), v) for k, x, v in parts if k == "[")))
-                weight[0] += sum(k == "#" for k, _, _ in parts)
-                weight[1] += sum(k != "#" for k, _, _ in parts)
-                weight[2] += bool(tag)
-            tag, classes, ids, attributes = chain[-1]
-            key = "#" + min(ids) if ids else "." + min(classes) if classes else tag or "".join("[" + k for k, _ in attributes[:1])
-            direct = [bool(i) and tokens[i - 1] == ">" for i, t in enumerate(tokens) if t != ">"]
-            far = far or len(chain) > 1
-            rank = (strong, False, layer == strong, *weight, n)
-            known = best.get((what, tuple(chain), tuple(direct)))
-            if known is None or rank > known[1]:
-                best[what, tuple(chain), tuple(direct)] = (value, rank, key)
-        for (what, chain, direct), (value, rank, key) in best.items():
-            self.rules.setdefault(key, []).append((chain, direct, what, value, rank))
-        if far:
+            rank = (strong, False, layer == strong, *[sum(x) for x in zip(*(c.weight for c in chain), strict=True)], n)
+            sign = (what, tuple(c.sign for c in chain), tuple(links))
+            if sign not in best or rank > best[sign].rank:
+                best[sign] = Rule(chain, links, what, value, rank)
+        return list(best.values())
+
+    def _apply(self, root: Element, rules: list[Rule]) -> None:
+        uses: dict[str, int] = {}
+        for r in rules:
+            for k in {k for c in r.chain for k in c.keys()}:
+                uses[k] = uses.get(k, 0) + 1
+        index: dict[str, dict[str, list[Rule]]] = {}
+        for r in rules:
+            own = min(r.chain[-1].keys(), key=uses.get, default="")
+            far = min((k for c in r.ancestors() for k in c.keys()), key=uses.get, default="")
+            index.setdefault(own, {}).setdefault(far, []).append(r)
+        if any(len(r.chain) > 1 or r.chain[-1].places or any(c.places for g in r.chain[-1].nots for c in g) for r in rules):
             for e in walk(root):
-                self.up.update((id(c), e) for c in e.children if isinstance(c, Element))
-
-    def _matches(self, e: Element, chain: tuple[Compound, ...], direct: tuple[bool, ...]) -> bool:
-        if not _fits(e, chain[-1]):
+                kids = [c for c in e.children if isinstance(c, Element)]
+                for i, c in enumerate(kids):
+                    self.up[id(c)], self.place[id(c)] = e, (kids, i)
+        on_path: dict[str, int] = {}  # keys of the open elements, and how many have them
+        todo: list[tuple[Element, list[str] | None]] = [(root, None)]
+        while todo:
+            e, opened = todo.pop()
+            if opened is not None:
+                for k in opened:
+                    on_path[k] -= 1
+                    if not on_path[k]:
+                        del on_path[k]
+                continue
+            keys, won = keys_of(e), {}
+            for k in keys:
+                groups = index.get(k)
+                if not groups:
+                    continue
+                for far in ("", *(on_path if len(on_path) < len(groups) else groups)):
+                    if far in groups and (not far or far in on_path):
+                        for r in groups[far]:
+                            if (r.what not in won or r.rank > won[r.what][0]) and self._at(r, e, len(r.chain) - 1):
+                                won[r.what] = (r.rank, r.value)
+            if won:
+                self.won[id(e)] = won
+            kids = [c for c in e.children if isinstance(c, Element)]
+            if kids:
+                for k in keys[1:]:
+                    on_path[k] = on_path.get(k, 0) + 1
+                todo.append((e, keys[1:]))
+                todo += [(c, None) for c in reversed(kids)]
+
+    def _fits(self, e: Element, c: Compound) -> bool:
+        a = e.attributes
+        return (
+            (not c.tag or c.tag == e.tag)
+            and (not c.classes or c.classes <= set(a.get("class", "").split()))
+            and (not c.ids or c.ids <= {a.get("id")})
+            and all(_has(a.get(k), how, v) for k, how, v in c.attributes)
+            and (not c.places or self._placed(e, c.places))
+            and not any(self._fits(e, x) for group in c.nots for x in group)
+        )
+
+    def _placed(self, e: Element, places: frozenset) -> bool:
+        kids, i = self.place.get(id(e), ([e], 0))
+        first, last = i == 0, i == len(kids) - 1
+        is_ = {"first-child": first, "last-child": last, "only-child": first and last, "root": id(e) not in self.up}
+        return all(is_[p] for p in places)
+
+    def _previous(self, e: Element) -> Element | None:
+        kids, i = self.place.get(id(e), ([], 0))
+        return kids[i - 1] if i else None
+
+    def _at(self, r: Rule, e: Element | None, k: int) -> bool:
+        """Whether the beginning of a rule's chain, up to k, ends at e."""
+        if e is None or not self._fits(e, r.chain[k]):
             return False
-        if len(chain) == 1:
+        if not k:
             return True
-        path = [e]
-        while up := self.up.get(id(path[-1])):
-            path.append(up)
-        self.steps -= len(path) * len(chain)
-        above, parent = [False] * len(chain), [False] * len(chain)
-        for x in reversed(path):  # which beginnings of the chain end at the parent, and anywhere above
-            parent = [_fits(x, c) and (k == 0 or (parent if direct[k] else above)[k - 1]) for k, c in enumerate(chain)]
-            above = [a or b for a, b in zip(above, parent, strict=True)]
-        return parent[-1]
+        link = r.links[k]
+        if link == ">":
+            return self._at(r, self.up.get(id(e)), k - 1)
+        if link == "+":
+            return self._at(r, self._previous(e), k - 1)
+        if link == " ":
+            return self._any(r, self.up.get(id(e)), k - 1, r.above, lambda x: self.up.get(id(x)))
+        return self._any(r, self._previous(e), k - 1, r.before, self._previous)
+
+    def _any(self, r: Rule, e: Element | None, k: int, known: dict, onward) -> bool:  # noqa: ANN001
+        """Whether the chain up to k ends at e or at one of those that follow onward."""
+        met = []
+        while e is not None and (id(e), k) not in known:
+            met.append(e)
+            e = onward(e)
+        found = e is not None and known[id(e), k]
+        for x in reversed(met):
+            found = found or self._at(r, x, k)
+            known[id(x), k] = found
+        return found
+
+    def _declared(self, e: Element) -> dict[str, tuple]:
+        won = self.won.get(id(e), {})
+        if "style" in e.attributes:
+            won = dict(won)
+            for n, piece in enumerate(_CSS_COMMENT.sub("", e.attributes["style"]).split(";")):
+                if m := _DECLARED.match(piece.strip()):
+                    rank = (bool(m[3]), True, n)
+                    if m[1].lower() not in won or rank > won[m[1].lower()][0]:
+                        won[m[1].lower()] = (rank, m[2].lower())
+        return won
 
     def __call__(self, e: Element, seen: bool = True) -> tuple[bool, bool]:
         """Whether e is left out with all it holds, and whether it is visible, its parent being so or not."""
-        a = e.attributes
         if e.tag in UNSEEN or (e.foreign and e.tag in FOREIGN_UNSEEN):
             return True, False
-        own = "hidden" in a or (e.tag == "dialog" and "open" not in a)  # as browsers have it without styles
-        if not self.rules and "style" not in a:
+        own = "hidden" in e.attributes or (e.tag == "dialog" and "open" not in e.attributes)  # as browsers have it without styles
+        won = self._declared(e)
+        if not won:
             return own, seen
-        won: dict[str, tuple[tuple, str]] = {}
-        if self.rules:
-            keys = ["", e.tag, "#" + a.get("id", ""), *("." + c for c in set(a.get("class", "").split())), *("[" + k for k in a)]
-            for k in keys:
-                for chain, direct, what, value, rank in self.rules.get(k, ()) if self.steps > 0 else ():
-                    self.steps -= 1
-                    if (what not in won or rank > won[what][0]) and self._matches(e, chain, direct):
-                        won[what] = (rank, value)
-        for n, piece in enumerate(_CSS_COMMENT.sub("", a.get("style", "")).split(";")):
-            if m := _DECLARED.match(piece.strip()):
-                rank = (bool(m[3]), True, n)
-                if m[1].lower() not in won or rank > won[m[1].lower()][0]:
-                    won[m[1].lower()] = (rank, m[2].lower())
         display, visibility = won.get("display", ((), "revert"))[1], won.get("visibility", ((), "inherit"))[1]
         gone = (own if display.startswith("revert") else display == "none") or (visibility == "collapse" and e.tag in TABLE_PARTS)
         return gone, False if visibility in ("hidden", "collapse") else True if visibility in ("visible", "initial") else seen
 
+    def shape(self, e: Element) -> tuple[str, bool]:
+        """Whether e is a block, inline, or inline and apart, and whether its children are boxes of their own."""
+        display = self._declared(e).get("display", ((), ""))[1]
+        usual = "block" if e.tag in BLOCK else "apart" if e.tag in APART or e.tag in CONTROLS else "inline"
+        if display in ("initial", "unset"):
+            return "inline", False
+        return SHAPES.get(display, usual), display in SPLIT
+
+    def space(self, e: Element, outer: str | None) -> str | None:
+        """What e keeps of its white space, its parent keeping some; None is what the flow does."""
+        return KEPT.get(self._declared(e).get("white-space", ((), "inherit"))[1], outer)
+
 
 def width(s: str) -> int:
     return len(s) if s.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in s)
@@ -494,8 +658,9 @@ class Renderer:
 
     What is not visible keeps its place as a space; what it holds may be visible again."""
 
-    def __init__(self, hidden: Hidden, pre: bool = False, seen: bool = True, depth: int = 0) -> None:
-        self.hidden, self.pre, self.seen, self.depth = hidden, pre, seen, depth
+    def __init__(self, styles: Styles, pre: bool = False, seen: bool = True, depth: int = 0, space: str | None = None) -> None:
+        self.styles, self.pre, self.seen, self.depth, self.space = styles, pre, seen, depth, space
+        self.split = False  # whether what is visited stands in a box of boxes
         self.lines: list[str] = []
         self.inline: list[str] = []
         self.margin = 0  # empty lines owed before what comes next
@@ -512,6 +677,8 @@ class Renderer:
             rows = [_SPACE.sub(" ", r).strip(" ") for r in s.split("\0")]
             if rows and not rows[-1]:
                 rows.pop()
+            if "\1" in s or "\2" in s:  # spaces and tabs that are kept
+                rows = [r.replace("\1", " ").replace("\2", "\t") for r in rows]
         self.put(rows, 0)
 
     def put(self, rows: list[str], margin: int) -> None:
@@ -525,7 +692,8 @@ class Renderer:
         self.margin = max(self.margin, margin)
 
     def within(self, e: Element, seen: bool, pre: bool | None = None) -> list[str]:
-        inner = Renderer(self.hidden, self.pre if pre is None else pre, seen, self.depth + 1)
+        inner = Renderer(self.styles, self.pre if pre is None else pre, seen, self.depth + 1, None if pre else self.space)
+        inner.space = self.styles.space(e, inner.space)
         for c in e.children:
             inner.visit(c)
         inner.flush()
@@ -536,32 +704,47 @@ class Renderer:
             first, rest = first.lstrip(" "), ""
         return [((rest if k else first) + r).rstrip(" ") if r or not k else "" for k, r in enumerate(rows)]
 
+    def text(self, s: str) -> str:
+        """Text with what is kept of its white space told by other characters, as the flow's end folds it."""
+        if self.pre:
+            return _SPACE.sub(" ", s) if self.space == "" else s
+        s = s.translate(_MARKS)
+        if self.space == "pre":
+            return s.replace("\r\n", "\n").replace("\n", "\0").replace(" ", "\1").replace("\t", "\2")
+        return s.replace("\r\n", "\n").replace("\n", "\0") if self.space == "lines" else s
+
     def visit(self, c: Element | str) -> None:
         if isinstance(c, str):
             if self.seen:
-                self.inline.append(c if self.pre else c.replace("\0", ""))
+                self.inline.append(self.text(c))
             elif c:
                 self.inline.append(" ")
             return
-        outer = self.seen
-        gone, self.seen = self.hidden(c, outer)
+        outer, space, split = self.seen, self.space, self.split
+        gone, self.seen = self.styles(c, outer)
         if not gone:
-            self.element(c)
-        self.seen = outer
+            self.space, self.split = self.styles.space(c, space), False
+            self.element(c, split)
+        self.seen, self.space, self.split = outer, space, split
 
-    def element(self, c: Element) -> None:
+    def element(self, c: Element, boxed: bool = False) -> None:
+        """boxed: whether c stands in a box of boxes, and so apart from its siblings."""
         tag = c.tag
+        shape, split = self.styles.shape(c)
         if tag == "br":
             self.inline.append("\n" if self.pre else "\0")
         elif tag == "input":
-            if self.seen and c.attributes.get("type", "").lower() in ("submit", "button", "reset"):
-                self.inline.append(c.attributes.get("value", ""))
-        elif tag not in BLOCK:
-            spaced = tag in APART
+            if self.seen and c.attributes.get("type", "").lower() in TEXT_INPUTS:
+                self.inline += [" ", self.text(c.attributes.get("value") or c.attributes.get("placeholder", "")), " "]
+        elif shape != "block" and tag != "table":
+            spaced = shape == "apart" or boxed
             if spaced:
                 self.inline.append(" ")
-            for x in c.children:
-                self.visit(x)
+            if tag == "textarea" and self.space is None:
+                self.space = "pre"
+            self.split = split
+            for k, x in enumerate(c.children):
+                self.visit(x.removeprefix("\n") if tag == "textarea" and not k and isinstance(x, str) else x)
             if spaced:
                 self.inline.append(" ")
         else:
@@ -586,6 +769,7 @@ class Renderer:
                         self.visit(x)
             else:
                 self.owe(margin)
+                self.split = split
                 for x in c.children:
                     self.visit(x)
                 self.flush()
@@ -598,24 +782,39 @@ class Renderer:
         return self.indented(rows or [""], mark if seen else " " * len(mark), " " * len(mark))
 
     def items(self, e: Element) -> list[str]:
-        shown = {id(c): state for c in e.children if isinstance(c, Element) and c.tag == "li" and not (state := self.hidden(c, self.seen))[0]}
+        shown = {id(c): state for c in e.children if isinstance(c, Element) and c.tag == "li" and not (state := self.styles(c, self.seen))[0]}
         numbered, back, kind = e.tag == "ol", "reversed" in e.attributes, e.attributes.get("type", "1")
         n = _number(e.attributes.get("start"), len(shown) if back else 1, 10**9)
         rows: list[str] = []
+        line = Renderer(self.styles, self.pre, self.seen, self.depth + 1, self.space)  # of items that are no blocks
+
+        def end() -> None:
+            nonlocal line
+            line.flush()
+            rows.extend(line.lines)
+            line = Renderer(self.styles, self.pre, self.seen, self.depth + 1, self.space)
+
         for c in e.children:
             if isinstance(c, str) and not c.strip():
                 continue
             if isinstance(c, Element) and c.tag == "li":
                 if id(c) not in shown:
                     continue
+                if self.styles.shape(c)[0] != "block":
+                    line.split = True
+                    line.visit(c)
+                    continue
+                end()
                 n = _number(c.attributes.get("value"), n, 10**9)
                 rows += self.item(c, marker(n, c.attributes.get("type", kind)) if numbered else "- ", shown[id(c)][1])
                 n += -1 if back else 1
             else:
-                inner = Renderer(self.hidden, self.pre, self.seen, self.depth + 1)
+                end()
+                inner = Renderer(self.styles, self.pre, self.seen, self.depth + 1, self.space)
                 inner.visit(c)
                 inner.flush()
                 rows += self.indented(inner.lines, "  ", "  ")
+        end()
         return rows
 
     def grid(self, e: Element) -> list[str]:
@@ -625,7 +824,7 @@ class Renderer:
         parts: dict[str, list[tuple[Element, bool]]] = {"thead": [], "tbody": [], "tfoot": []}
         for c in e.children:
             if isinstance(c, Element):
-                gone, seen = self.hidden(c, self.seen)
+                gone, seen = self.styles(c, self.seen)
                 if gone:
                     continue
                 if c.tag == "caption":
@@ -633,7 +832,7 @@ class Renderer:
                 elif c.tag in parts:
                     for r in c.children:
                         if isinstance(r, Element) and r.tag == "tr":
-                            state = self.hidden(r, seen)
+                            state = self.styles(r, seen)
                             if not state[0]:
                                 parts[c.tag].append((r, state[1]))
         rows: list[list[tuple[int, int, list[str], bool]]] = []
@@ -642,7 +841,7 @@ class Renderer:
             cells, col = [], 0
             for c in r.children:
                 if isinstance(c, Element) and c.tag in ("td", "th"):
-                    gone, cell_seen = self.hidden(c, seen)
+                    gone, cell_seen = self.styles(c, seen)
                     if gone:
                         continue
                     first, until = col, MOST_ROWS + len(rows) + y
@@ -706,7 +905,7 @@ def extract(html: str | None) -> tuple[str | None, str]:
     """(title, visible text) of a page."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
     root = parse(html or "")
-    return title(root), "\n".join(Renderer(Hidden(root), depth=-1).within(root, True))
+    return title(root), "\n".join(Renderer(Styles(root), depth=-1).within(root, True))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -721,8 +920,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Row by row, without a shuffle. A null or empty page has the text '' and a null title, as has a
     page without one. Time grows with the length of a page, whatever it holds, and so does the text.
     Repeated rows repeat; empty tables give no rows; other columns are not read, whatever their names.
-    Ties can't occur. Nesting beyond DEEPEST is flattened, and no text is lost by it, nor by the bounds
-    of the layout. Labels of svg and formulas of math are text of their line; what svg only shows
+    Ties can't occur. Nesting beyond DEEPEST (256) is flattened, and no text is lost by it, nor by the
+    bounds of the layout: levels beyond INDENTED (16) are indented no more; a cell aligns what follows
+    it up to WIDEST (120) columns, and a row up to ALIGNED (400), cells beyond follow each other; cells from
+    above are minded in the first COLUMNS (4,096) columns of a table. Every style rule is judged for
+    every element it may hold for, however many there are. Labels of svg and formulas of math are text of their line; what svg only shows
     through a use element is left out. A tag that never ends is text."""
     kind = pages.schema["page_id"].dataType.simpleString()
     return narrow(pages, "page_id", "html").mapInArrow(_extracted, f"page_id {kind}, title string, text string")

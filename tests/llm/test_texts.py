@@ -477,7 +477,7 @@ PAGES = [
     ("<dl><dt>t<dd>d</dl><hr>", "t\n    d\n\n---"),
     ("<title>no</title><script>var a='<p>no'</script><noscript>no</noscript><!-- no --><textarea>yes &lt;</textarea>", "yes <"),
     ("a < b & c &lt; d &#x41;", "a < b & c < d A"),
-    ("<input type=submit value=Go><input value=no><select><option>o<option>p</select>", "Go\no\np"),
+    ("<input type=submit value=Go><input value=in><input type=hidden value=no><input type=checkbox value=no><select><option>o<option>p</select>", "Go in\no\np"),
     ("</p>x</div></table><td>y", "x y"),
     ("<!-- open", ""),
     ("<script>open", ""),
@@ -530,6 +530,110 @@ def test_styles(css, attributes, shown):
     assert extract(f"<style>{css}</style><div class=open><p {attributes}>a</p></div>b")[1].split() == (["a", "b"] if shown else ["b"])
 
 
+SHAPED = [
+    ("<span style='display:block'>a</span><span style='display:block'>b</span>", "a\nb"),
+    ("<div style='display:table-row'><div style='display:table-cell'>a</div><div style='display:table-cell'>b</div></div>c", "a b\nc"),
+    ("a<div style='display:inline'>b</div>c", "abc"),
+    ("<button>Go</button><textarea>\nhey\n  you</textarea>", "Go hey\n  you"),
+    ("<p style='white-space:pre'>a\n  b\tc</p>", "a\n  b\tc"),
+    ("<p style='white-space:pre-line'>a  b\n  c</p>d", "a b\nc\n\nd"),
+    ("<pre>a\n  b<span style='white-space:normal'>\n c\n</span>d</pre>", "a\n  b c d"),
+    ("<style>.x{white-space:pre}</style><div class=x><b>a  b</b><p style='white-space:normal'>c   d</div>", "a  b\n\nc d"),
+    ("<div style='display:flex'><span>a</span><span>b</span></div>c", "a b\nc"),
+    ("<style>.m li{display:inline}</style><ul class=m><li>a<li>b</ul><ul><li>c</ul>", "a b\n\n- c"),
+    ("<style>li{display:inline-block}</style><ul><li>a<li style='display:none'>no<li>b<li style='display:list-item'>c</ul>", "a b\n- c"),
+    ("a<b style='display:inline-block'>b</b>c", "a b c"),
+    ("<input value=v placeholder=no><input placeholder=p><input type=password value=no>", "v p"),
+    ("<table style='display:block'><tr><td>a<td>b</table>", "a  b"),
+    ("<b style='display:contents'>a</b>b<i style='display:wrong'>c</i>", "abc"),
+    ("<ul><li style='white-space:pre'>a  b</ul><table style='white-space:pre'><tr><td>c  d<td>e</table>", "- a  b\n\nc  d  e"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SHAPED)
+def test_shapes_and_white_space(html, text):
+    assert extract(html)[1] == text
+
+
+SELECTORS = [
+    ("p + p", [1, 2]), ("p ~ p", [1, 2]), ("p:first-child", [0]), ("p:last-child", [2]), ("p:not(.b)", [0, 2]), ("p:not(.b, #c)", [0]), ("div > p + p.b", [1]), ("#w p.b ~ p", [2]), ("section p", []),
+    ("p[title^=he]", [0]), ("p[title$='lo']", [0]), ("p[title*=ell]", [0]), ("p[lang|=en]", [1]), ("p[class~=b]", [1]), ("p[title=hello]", [0]), ("p[title^='']", []), (":root p", [0, 1, 2]), ("p:hover", []),
+    ("div:only-child > p", [0, 1, 2]), ("p:not(:first-child):not(:last-child)", [1]), ("> p", []), ("p >", []), ("p + + p", []), (".b, #c", [1, 2]), ("h1 + p, body p.b", [1]), ("div p:not(div p)", []),
+]
+
+
+@pytest.mark.parametrize(("selector", "hidden"), SELECTORS)
+def test_selectors(selector, hidden):
+    page = f"<style>{selector} {{display:none}}</style><div id=w><p title=hello>p0</p>x<p class='a b' lang=en-GB>p1</p><p id=c>p2</p></div>"
+    assert [f"p{k}" in extract(page)[1] for k in range(3)] == [k not in hidden for k in range(3)]
+
+
+def test_the_stronger_of_selectors_with_not():
+    assert extract("<style>p:not(#i){display:none} p.x.y{display:block}</style><p class='x y'>no")[1] == ""
+    assert extract("<style>p:not(.i){display:none} p.x.y{display:block}</style><p class='x y'>yes")[1] == "yes"
+
+
+def test_size_of_a_page_changes_no_style():
+    """Thousands of rules for the same class, none of which holds, and one that does, at the end."""
+    rules = "".join(f".a{k} .b{{display:none}}" for k in range(3000))
+    page = f"<style>{rules} .end .last{{display:none}}</style>" + "<p class=b>shown" * 3000 + "<div class=end><p class='b last'>hidden</div>"
+    began = time.process_time()
+    text = extract(page)[1]
+    assert text.count("shown") == 3000 and "hidden" not in text and time.process_time() - began < 4
+
+
+def test_rules_against_plain_matching():
+    """Random trees and selectors: what is found by keys and kept is what trying each chain gives."""
+    rng = random.Random(4)
+
+    def tree(depth):
+        kids = [tree(depth + 1) for _ in range(rng.randint(0, 3))] if depth < 5 else []
+        return (rng.choice(["div", "b"]), rng.sample("xyz", rng.randint(0, 2)), kids)
+
+    def flat(node, up, prev, out):
+        me = {"tag": node[0], "classes": set(node[1]), "up": up, "prev": prev, "n": len(out)}
+        out.append(me)
+        before = None
+        for c in node[2]:
+            before = flat(c, me, before, out)
+        return me
+
+    def fits(e, part):
+        return e is not None and (part[0] == "." and part[1:] in e["classes"] or part == e["tag"])
+
+    def ends(e, parts):
+        if not fits(e, parts[-1]):
+            return False
+        if len(parts) == 1:
+            return True
+        step = {">": ("up", False), " ": ("up", True), "+": ("prev", False), "~": ("prev", True)}[parts[-2]]
+        x = e[step[0]]
+        while x is not None:
+            if ends(x, parts[:-2]):
+                return True
+            x = x[step[0]] if step[1] else None
+        return False
+
+    def markup(node, count):
+        n = next(count)
+        return f"<{node[0]} class='{' '.join(node[1])}'>[{n}]" + "".join(markup(c, count) for c in node[2]) + f"</{node[0]}>"
+
+    for _ in range(200):
+        top = ("div", [], [tree(0), tree(0)])
+        nodes = []
+        flat(top, {"tag": "body", "classes": set(), "up": None, "prev": None}, None, nodes)
+        parts = [rng.choice([".x", ".y", ".z", "div", "b"])]
+        for _ in range(rng.randint(0, 3)):
+            parts += [rng.choice([" ", ">", "+", "~"]), rng.choice([".x", ".y", ".z", "div", "b"])]
+        css = "".join(f" {p} " if p in ">+~" else p for p in parts)
+        text = extract(f"<style>{css}{{visibility:hidden}} .never .x{{visibility:hidden}}</style>" + markup(top, iter(range(10**6))))[1]
+        hidden = set()
+        for e in nodes:
+            if ends(e, parts) or (e["up"] or {}).get("n") in hidden:
+                hidden.add(e["n"])
+        assert {int(x) for x in re.findall(r"\[(\d+)\]", text)} == {e["n"] for e in nodes} - hidden, css
+
+
 def test_media_of_style_elements():
     assert extract("<style media=print>p{display:none}</style><p>a")[1] == "a"
     assert extract("<style media='screen, print'>p{display:none}</style><p>a")[1] == ""
@@ -611,7 +715,7 @@ def test_tags(html, text):
 
 
 M = 1_000_000
-HOSTILE = ["<a " * (M // 3) + '"', "<a x='" * (M // 6), "<" * M, "<!" * (M // 2), "<div>" * (M // 5), "<table>" * (M // 7), "<table><tr>" + "<td>a" * (M // 5), "<table>" + "<tr><td colspan=1000 rowspan=65534>a" * (M // 36), "<table>" + "x<b>" * (M // 4), "<blockquote>" * 300 + "a<br>" * (M // 5), "<ul><li>" * (M // 8), "<style>" + "".join(f"[a{i}]{{display:none}}" for i in range(M // 60)) + "</style>" + "<b>a" * (M // 8), "<style>" + "".join(f"b b b b b .c{i}{{display:none}}" for i in range(M // 60)) + "</style>" + "<b class=c1>a" * (M // 16), "&amp" * (M // 4), "<a " + "= " * (M // 2) + ">"]
+HOSTILE = ["<a " * (M // 3) + '"', "<a x='" * (M // 6), "<" * M, "<!" * (M // 2), "<div>" * (M // 5), "<table>" * (M // 7), "<table><tr>" + "<td>a" * (M // 5), "<table>" + "<tr><td colspan=1000 rowspan=65534>a" * (M // 36), "<table>" + "x<b>" * (M // 4), "<blockquote>" * 300 + "a<br>" * (M // 5), "<ul><li>" * (M // 8), "<style>" + "".join(f"[a{i}]{{display:none}}" for i in range(M // 60)) + "</style>" + "<b>a" * (M // 8), "<style>" + "".join(f"b b b b b .c{i}{{display:none}}" for i in range(M // 60)) + "</style>" + "<b class=c1>a" * (M // 16), "&amp" * (M // 4), "<a " + "= " * (M // 2) + ">", "<style>.q ~ b{display:none} i + b b ~ b > u{display:none}</style>" + "<b>a</b>" * (M // 8), "<style>" + "".join(f".a{i} .b{{display:none}}" for i in range(M // 40)) + "</style><div class=a7>" + "<p class=b>x" * (M // 24)]
 
 
 @pytest.mark.parametrize("k", range(len(HOSTILE)))
