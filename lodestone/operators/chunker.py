@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -121,8 +122,8 @@ def chunk_id(path: Column, start: Column, end: Column) -> Column:
     return F.sha2(F.concat_ws(":", path, start.cast("string"), end.cast("string")), 256)
 
 
-def _with_ids(chunks: DataFrame) -> DataFrame:
-    return chunks.select(chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("id"), "file_path", "start_line", "end_line", "content", F.sha2("content", 256).alias("content_hash"), "language", "function_name", "class_name")
+def _with_ids(chunks: DataFrame, *carry: str) -> DataFrame:
+    return chunks.select(chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("id"), "file_path", "start_line", "end_line", "content", F.sha2("content", 256).alias("content_hash"), "language", "function_name", "class_name", *carry)
 
 
 def line_windows(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
@@ -137,8 +138,14 @@ def line_windows(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFr
     return _with_ids(cut.where(F.trim("content", F.lit(JS_SPACE)) != "").select("*", none.alias("function_name"), none.alias("class_name")))
 
 
-_CUT = {"file_path": pa.string(), "language": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "content": pa.string(), "function_name": pa.string(), "class_name": pa.string()}
-_CUT_DDL = "file_path string, language string, start_line int, end_line int, content string, function_name string, class_name string"
+_CUT = {"file_path": pa.string(), "language": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "content": pa.string(), "function_name": pa.string(), "class_name": pa.string(), "file_hash": pa.string()}
+_CUT_DDL = "file_path string, language string, start_line int, end_line int, content string, function_name string, class_name string, file_hash string"
+
+
+def file_hash(content: Column, size: int, overlap: int) -> Column:
+    """What a file's chunks depend on: its content and how it is cut. The rows of cut_files have the number
+    of the file's chunks and a colon before it."""
+    return F.sha2(F.concat(F.lit(f"{size} {overlap}\n"), content), 256)
 
 
 def _cut(chunk_size: int, overlap: int | None, marked: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -158,16 +165,20 @@ def _cut(chunk_size: int, overlap: int | None, marked: bool = False) -> Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {k: [] for k in _CUT}
-            for path, content, language in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if marked:
-                    for k, v in zip(out, (path, language, None, None, None, None, None), strict=True):
+            for path, content, language, *same in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if any(same):
+                    for k, v in zip(out, (path, language, *[None] * 6), strict=True):
                         out[k].append(v)
+                    continue
                 lines = content.split("\n")
-                for s in pieces(content, language or ""):
-                    text = "\n".join(lines[s.start : s.end + 1])
-                    if text.strip(JS_SPACE):  # a span is never blank
-                        for k, v in zip(out, (path, language, s.start, s.end, text, s.function_name, s.class_name), strict=True):
-                            out[k].append(v)
+                kept = [(s, text) for s in pieces(content, language or "") if (text := "\n".join(lines[s.start : s.end + 1])).strip(JS_SPACE)]  # a span is never blank
+                digest = f"{len(kept)}:{hashlib.sha256(f'{chunk_size} {overlap}\n{content}'.encode()).hexdigest()}" if marked else None
+                if marked:
+                    for k, v in zip(out, (path, language, None, None, None, None, None, digest), strict=True):
+                        out[k].append(v)
+                for s, text in kept:
+                    for k, v in zip(out, (path, language, s.start, s.end, text, s.function_name, s.class_name, digest), strict=True):
+                        out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), _CUT.values(), strict=True)], list(out))
 
     return run
@@ -182,15 +193,16 @@ def structured_chunks(files: DataFrame, chunk_size: int = 500) -> DataFrame:
 
 def cut_files(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Structured chunks of the files that have spans, line windows of the others, and a row with a null
-    id for each file. One pass without a shuffle, so files that are read lazily are opened once. A chunk
+    id for each file; all with the file_hash of their file. Files with a true column same are not cut: they
+    give the one row, without a hash. One pass without a shuffle, so files that are read lazily are opened once. A chunk
     that two spans of a line share, a function and a class, is kept once, as the class."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
-    own = files.select("file_path", "content", "language").where("file_path is not null and content is not null")
+    own = files.select("file_path", "content", "language", *(["same"] if "same" in files.columns else [])).where("file_path is not null and content is not null")
     cut = own.mapInArrow(_cut(size, overlap, marked=True), _CUT_DDL)
-    return _with_ids(cut).withColumn("id", F.when(F.col("start_line").isNotNull(), F.col("id")))
+    return _with_ids(cut, "file_hash").withColumn("id", F.when(F.col("start_line").isNotNull(), F.col("id")))
 
 
 def chunk_files(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """The chunks of cut_files."""
-    return cut_files(files, size, overlap).where("id is not null")
+    return cut_files(files, size, overlap).where("id is not null").drop("file_hash")

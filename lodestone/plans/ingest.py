@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup
-from ..operators.chunker import cut_files
+from ..operators.chunker import cut_files, file_hash
 from ..schema import CHUNK, Config
 from ..sources.providers import ContextProvider, EmbeddingProvider, context_of, embed_column, embedder_of, enrich
 from ..sources.scratch import shared_dir
-from ..sources.store import Store
+from ..sources.store import KEPT, Store
 
 log = logging.getLogger("lodestone")
 
@@ -44,7 +44,8 @@ def prepared(chunks: DataFrame, embedder: EmbeddingProvider, context: ContextPro
     text = F.coalesce(F.nullif("enriched_context", F.lit("")), F.col("content"))
     out = chunks.withColumns({"embedding": embed_column(embedder, text, config.batch_size), "created_at": F.lit(now), "updated_at": F.lit(now)})
     known = out.columns
-    return out.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK.fields]).where("embedding is not null")
+    own = CHUNK.fields + ([KEPT["file_hash"]] if "file_hash" in known else [])
+    return out.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in own]).where("embedding is not null")
 
 
 _busy: set[str] = set()
@@ -69,8 +70,9 @@ def index_files(
     """Brings the store up to date with files(file_path, content, language), a row for each path, and
     without removed ones.
 
-    The files are read and cut once, into a table in the shared folder; a lost executor doesn't make
-    them be read again. Only chunks whose hash is new are enriched and embedded, each once; unchanged
+    The files are read once; those whose hash the store has are neither cut nor written, and if there are
+    no others, there is no new version. The others are cut into a table in the shared folder; a lost
+    executor doesn't make them be read again. Only chunks whose hash is new are enriched and embedded, each once; unchanged
     ones keep their rows. A file without chunks loses its old ones. Only the buckets of these files
     are rewritten. Without a provider the configured one is used. progress is told each step; jobs
     carry the tag, by which they can be cancelled, and a cancelled indexing changes nothing."""
@@ -82,18 +84,24 @@ def index_files(
         base = store.state()
         try:
             tell("reading and cutting files")
+            if base.at:
+                known = store.digests(base).select(F.col("file_path").alias("k_"), F.col("file_hash").alias("h_"))
+                own = file_hash(F.col("content"), config.chunk_size, config.chunk_overlap)
+                files = files.join(known, F.col("file_path") == F.col("k_"), "left").withColumn("same", own.eqNullSafe(F.col("h_"))).drop("k_", "h_")
             cut = cut_files(files, config.chunk_size, config.chunk_overlap)
             cut.write.parquet(scratch)
             cut = spark.read.schema(cut.schema).parquet(scratch)
-            paths = cut.where("id is null").select("file_path")
-            gone = (paths if removed is None else paths.unionByName(removed.select("file_path"))).distinct()
+            paths = cut.where("id is null and file_hash is not null").select("file_path")
+            same = cut.where("id is null and file_hash is null").select("file_path")
+            gone = (paths if removed is None else paths.unionByName(removed.select("file_path").join(same, "file_path", "left_anti"))).distinct()
             touched = store.buckets_of(gone, base)
             if not touched:
                 return base.number
-            old, new = store.chunks(base, touched).select(*CHUNK.fieldNames()), cut.where("id is not null")
+            old, new = store.chunks(base, touched).select(*KEPT.fieldNames()), cut.where("id is not null")
             tell(f"embedding what is new in {len(touched)} of {base.buckets} buckets")
             fresh = prepared(lookup.to_process(old.select("id", "content_hash"), new), embedder, context, config, now)
-            same = old.join(new.select(F.col("id").alias("n_id"), F.col("content_hash").alias("n_hash")), (F.col("id") == F.col("n_id")) & (F.col("content_hash") == F.col("n_hash")), "left_semi")
+            again = new.select(F.col("id").alias("n_id"), F.col("content_hash").alias("n_hash"), F.col("file_hash").alias("n_file"))
+            same = old.join(again, (F.col("id") == F.col("n_id")) & (F.col("content_hash") == F.col("n_hash"))).withColumn("file_hash", F.col("n_file")).select(*KEPT.fieldNames())
             version = store.write(lookup.delete_files(old, gone).unionByName(same).unionByName(fresh), touched, base)
         finally:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch)

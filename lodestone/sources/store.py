@@ -21,8 +21,10 @@ from ..operators import lookup
 from ..operators.fulltext import n_tokens, postings
 from ..schema import CHUNK
 
+#: What is kept of a chunk: the hash of its file beside it.
+KEPT = T.StructType([*CHUNK.fields, T.StructField("file_hash", T.StringType())])
 #: The chunks with what is derived from them: the vector's norm, and the number of tokens.
-STORED = T.StructType([*CHUNK.fields, T.StructField("norm", T.DoubleType()), T.StructField("dl", T.LongType())])
+STORED = T.StructType([*KEPT.fields, T.StructField("norm", T.DoubleType()), T.StructField("dl", T.LongType())])
 POSTING = "chunk_id string, file_path string, dl bigint, col_no int, pos int, term string"
 #: Parquet's own index of ids, so that a look-up by id skips the row groups that don't have it.
 BY_ID = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
@@ -146,6 +148,12 @@ class Store:
         only = set(self.spark.range(1).select(array.alias("b")).first().b)
         return self.chunks(state, only).where(F.col("file_path").isin(list(paths)))
 
+    def digests(self, state: State | None = None) -> DataFrame:
+        """file_path, file_hash of the files of which all chunks are there; one of which a chunk could not be
+        embedded is none of them."""
+        own = self.chunks(state).where("file_hash is not null").groupBy("file_path", "file_hash").agg(F.count("*").alias("n"))
+        return own.where("n = cast(substring_index(file_hash, ':', 1) as bigint)").select("file_path", F.substring_index("file_hash", ":", -1).alias("file_hash"))
+
     def index(self, state: State | None = None) -> DataFrame:
         """The postings. They lie by document, as in a distributed search engine: each bucket's are
         sorted by term, and a query reads the row groups of its terms in each."""
@@ -166,7 +174,7 @@ class Store:
     def write(self, rows: DataFrame, touched: Iterable[int], base: State, grow: bool = True) -> int:
         """Commits a version on top of base in which the touched buckets hold these rows and no others."""
         known = rows.columns
-        rows = rows.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK.fields])
+        rows = rows.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in KEPT.fields])
         for c in ("function_name", "class_name", "enriched_context", "summary", "purpose"):
             rows = rows.withColumn(c, F.nullif(F.col(c), F.lit("")))
         rows = rows.withColumn("content_hash", F.coalesce(F.nullif("content_hash", F.lit("")), F.col("id")))
@@ -196,7 +204,7 @@ class Store:
         """The same chunks in another number of buckets: the whole table is written once more."""
         base = self.state()
         log.info("dealing %s to %d buckets instead of %d", self.root, buckets, base.buckets)
-        return self.write(self.chunks(base).select(*CHUNK.fieldNames()), range(buckets), State(base.number, buckets), grow=False)
+        return self.write(self.chunks(base).select(*KEPT.fieldNames()), range(buckets), State(base.number, buckets), grow=False)
 
     def commit(self, chunks: DataFrame, base: State | None = None) -> int:
         """Makes these rows the whole table."""
@@ -236,7 +244,7 @@ class Store:
         old = self.chunks(base)
         moved = old.join(new.select("id"), "id", "left_semi").select("file_path")
         touched = self.buckets_of(new.select("file_path").unionByName(moved), base)
-        kept = self.chunks(base, touched).join(new.select("id"), "id", "left_anti").select(*CHUNK.fieldNames())
+        kept = self.chunks(base, touched).join(new.select("id"), "id", "left_anti").select(*KEPT.fieldNames())
         return self.write(kept.unionByName(new, allowMissingColumns=True), touched, base)
 
     def delete_files(self, files: DataFrame) -> int:
@@ -246,7 +254,7 @@ class Store:
 
     def rebuild(self) -> int:
         """The same chunks with postings made anew, for a version whose postings were lost."""
-        return self.commit(self.chunks().select(*CHUNK.fieldNames()))
+        return self.commit(self.chunks().select(*KEPT.fieldNames()))
 
     def clear(self) -> int:
         return self.commit(self.chunks().limit(0))

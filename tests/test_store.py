@@ -62,7 +62,7 @@ def test_index_twice_then_change_and_delete(spark, tmp_path):
     index_files(store, files(spark, a__py=" \n"), EMBED, now=4)  # no chunk is left
     assert sorted(state(store)) == [("b.py", 0)]
     assert store.index().select("chunk_id").distinct().count() == 1
-    assert len(store.versions()) == 4
+    assert len(store.versions()) == 3
     store.vacuum(0)
     assert len(store.versions()) == 1 and len(list((tmp_path / "s" / "log").glob("*.json"))) == 1 and sorted(state(store)) == [("b.py", 0)]
     store.delete_files(files(spark, b__py="").select("file_path"))
@@ -83,6 +83,33 @@ def test_uncommitted_version_is_ignored(spark, tmp_path):
     assert store.chunks().count() == 2 and not broken.exists() and len(store.versions()) == 2  # its number is taken, so it can't be published
 
 
+def test_unchanged_files_are_not_cut(spark, tmp_path, monkeypatch):
+    """Files whose content and way of cutting the store knows come to nothing; others are as before."""
+    import lodestone.plans.ingest as I
+
+    cut, real = [], I.cut_files
+
+    def watched(rows, *size):
+        cut.append(sorted(r.file_path for r in rows.collect() if not getattr(r, "same", False)))
+        return real(rows, *size)
+
+    monkeypatch.setattr(I, "cut_files", watched)
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    texts = {f"f{k}__py": PY.replace("a", f"a{k}") for k in range(6)} | {"blank__py": " \n"}
+    first = index_files(store, files(spark, **texts), EMBED, now=1)
+    before = store.chunks().orderBy("id").collect()
+    assert index_files(store, files(spark, **texts), EMBED, now=2) == first + 1  # the blank one is looked at again
+    assert cut[1] == ["blank.py"] and store.chunks().orderBy("id").collect() == before
+    del texts["blank__py"]
+    assert index_files(store, files(spark, **texts), EMBED, now=3) == first + 1 and cut[2] == []
+    index_files(store, files(spark, **texts | {"f2__py": PY.replace("pass", "go()")}), EMBED, now=4)
+    assert cut[3] == ["f2.py"]
+    assert {r.updated_at for r in store.chunks().where("file_path = 'f2.py'").collect()} == {4}
+    assert len({r.file_hash for r in store.chunks().where("file_path = 'f2.py'").collect()}) == 1
+    index_files(store, files(spark, **texts), EMBED, Config(chunk_size=2, chunk_overlap=0), now=5)
+    assert len(cut[4]) == 6  # cut in another way
+
+
 def written_buckets(store, tmp_path, version):
     (commit,) = (tmp_path / "s" / "data").glob(f"{version:08d}-*")
     return {p.name for p in (commit / "chunks").glob("bucket=*")}
@@ -475,8 +502,12 @@ def test_failed_embeddings_are_dropped(spark, tmp_path):
             return [1.0]
 
     store = Store(spark, str(tmp_path / "s"))
-    index_files(store, files(spark, a__py="x = 1\n", b__py="boom\n"), Failing(), now=1)
-    assert [r.file_path for r in store.chunks().collect()] == ["a.py"]
+    some = files(spark, a__py="x = 1\n", b__py="boom\n", c__py=PY.replace("pass", "boom()"))
+    index_files(store, some, Failing(), now=1)
+    assert sorted((r.file_path, r.start_line) for r in store.chunks().collect()) == [("a.py", 0), ("c.py", 0)]
+    # what failed is tried again, also of a file that is as it was and has other chunks
+    index_files(store, some, EMBED, now=2)
+    assert sorted((r.file_path, r.start_line, r.updated_at) for r in store.chunks().collect()) == [("a.py", 0, 1), ("b.py", 0, 2), ("c.py", 0, 1), ("c.py", 3, 2)]
 
 
 def test_feed(spark, tmp_path):
@@ -568,7 +599,7 @@ def test_first_use_and_reindex(spark, tmp_path):
 def test_flat_round_trip(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     index_files(store, files(spark, a__py=PY), EMBED, Config(enable_context=True), Context(), now=1)
-    chunks = store.chunks().drop("norm", "dl")
+    chunks = store.chunks().drop("norm", "dl", "file_hash")
     rows, vectors = to_flat(chunks)
     assert rows.schema["related_concepts"].dataType.typeName() == "string"
     back = from_flat(rows.drop("content_hash"), vectors)
