@@ -8,9 +8,9 @@ them, and the best are written below
 
     target/language=<language of the document>
 
-with their place. The dictionary of the documents' terms, of which the searches are made, is written to
-the work folder and read by both steps. Both folders are replaced as a whole, so running again gives
-the same. Null texts have no words; rows without an id are left out; rows that repeat
+with their place. The dictionary of the documents' terms, the searches that are made of it and the places
+of their words are written to the work folder. All folders are replaced as a whole, so running again
+gives the same. Null texts have no words; rows without an id are left out; rows that repeat
 a doc_id are one document to the ranking, with the greatest language and length, and rows to the dictionary."""
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import command_line, log
-from lodestone.operators.bulk import bulk_keyword, dictionary, telling_terms, term_counts
+from lodestone.operators.bulk import bulk_keyword, frequencies, telling_terms, term_counts
 
 OUTPUT = "item_id long, place int, doc_id long, rank double, language string"
 
@@ -32,25 +32,32 @@ class Settings:
     limit: int = 10
 
 
-def answers(documents: DataFrame, items: DataFrame, known: DataFrame, settings: Settings) -> DataFrame:
-    """item_id, place, doc_id, rank, language of the best documents of each item."""
-    searches = telling_terms(items, known, settings.terms)
-    best = bulk_keyword(term_counts(documents, searches), searches, known.where("term is null"), settings.limit)
-    of = documents.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max(F.coalesce(F.nullif("lang", F.lit("")), F.lit("none"))).alias("language"))
-    return best.join(of, F.col("doc_id") == F.col("of")).select("item_id", "place", "doc_id", "rank", "language")
+def placed(best: DataFrame, documents: DataFrame) -> DataFrame:
+    """The answers with the language of their documents."""
+    of = documents.select(F.col("doc_id").alias("of"), F.coalesce(F.nullif("lang", F.lit("")), F.lit("none")).alias("own"))
+    met = best.join(of, F.col("doc_id") == F.col("of"))
+    return met.groupBy("item_id", "place", "doc_id", "rank").agg(F.max("own").alias("language"))
 
 
 def run(spark: SparkSession, documents: str, items: str, target: str, work: str, settings: Settings = Settings()) -> None:
-    """Writes the answers to all items."""
+    """Writes the answers to all items. What each step finds is written to the work folder for the next."""
     docs, asked = spark.read.parquet(documents), spark.read.parquet(items)
     log.info("read %d documents from %s, %d items from %s", docs.count(), documents, asked.count(), items)
-    docs = docs.select("doc_id", "text", "lang")
-    dictionary(docs.where("doc_id is not null")).write.mode("overwrite").parquet(f"{work}/dictionary")
-    known = spark.read.parquet(f"{work}/dictionary")
-    made = answers(docs, asked.select("item_id", "text"), known, settings)
-    made.write.mode("overwrite").partitionBy("language").parquet(target)
+    docs, asked = docs.where("doc_id is not null").select("doc_id", "text", "lang"), asked.select("item_id", "text")
+
+    def step(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{work}/{name}")
+        out = spark.read.schema(rows.schema).parquet(f"{work}/{name}")
+        log.info("%s/%s has %d rows", work, name, out.count())
+        return out
+
+    known = step("dictionary", frequencies(docs))
+    searches = step("searches", telling_terms(asked, known, settings.terms))
+    counts = step("counts", term_counts(docs, searches))
+    best = bulk_keyword(counts, searches, known.where("term is null"), settings.limit)
+    placed(best, docs).write.mode("overwrite").partitionBy("language").parquet(target)
     found = output(spark, target).agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("items")).first()
-    log.info("wrote %d answers to %d items to %s, by a dictionary of %d terms", found.n, found.items, target, known.count() - 1)
+    log.info("wrote %d answers to %d items to %s", found.n, found.items, target)
 
 
 def output(spark: SparkSession, target: str) -> DataFrame:

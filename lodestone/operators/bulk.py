@@ -9,16 +9,28 @@ from ..functions.text import tokens
 from .fulltext import K1, LEAST_IDF, B
 
 
+#: Terms up to which they are sent to the texts, so that tokens of others are not shuffled.
+SENT = 1_000_000
+
+
 def dictionary(texts: DataFrame, text: str = "text") -> DataFrame:
     """term, df, cf of the unstemmed tokens of a column: in how many rows a term occurs, and how often.
 
     The row without a term holds the corpus: its df is the rows that have tokens, its cf their tokens.
     One scan and one aggregation, combined before the shuffle; a frequent term is one row of each task."""
-    found = texts.select(tokens(F.col(text)).alias("ts")).where(F.size("ts") > 0)
+    found = texts.select(tokens(F.col(text)).alias("ts"))
     entry = lambda term, df, cf: F.struct(term.alias("term"), F.lit(df).cast("bigint").alias("df"), cf.cast("bigint").alias("cf"))
     every = F.array(entry(F.lit(None).cast("string"), 1, F.size("ts")))
     rows = F.concat(every, F.transform(F.array_distinct("ts"), lambda t: entry(t, 1, F.lit(0))), F.transform("ts", lambda t: entry(t, 0, F.lit(1))))
-    return found.select(F.explode(rows).alias("e")).select("e.*").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    each = found.select(F.size("ts").alias("dl"), F.explode(rows).alias("e")).where("dl > 0")
+    return each.select("e.*").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
+    """The dictionary with cf in the row of the corpus only, at half the work: each term once for a row."""
+    found = texts.select(tokens(F.col(text)).alias("ts"))
+    each = found.select(F.size("ts").cast("bigint").alias("dl"), F.explode(F.array_append(F.array_distinct("ts"), F.lit(None))).alias("term")).where("dl > 0")
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("cf"))
 
 
 def telling_terms(items: DataFrame, known: DataFrame, most: int, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -31,12 +43,15 @@ def telling_terms(items: DataFrame, known: DataFrame, most: int, key: str = "ite
 
 
 def term_counts(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf, dl of the rows that hold some of terms(term), dl being the row's tokens. Tokens
-    of other terms end at the join, before anything is shuffled if the terms are few."""
+    """key, term, tf, dl of the rows that hold some of terms(term), dl being the row's tokens.
+
+    Terms are counted first: up to SENT they are sent to the texts, and tokens of others are dropped before
+    the shuffle; more than that are many enough for a shuffle of all tokens."""
+    wanted = terms.select(F.col("term").alias("t_")).distinct()
+    few = wanted.limit(SENT + 1).count() <= SENT
     every = texts.where(F.col(key).isNotNull()).select(key, tokens(F.col(text)).alias("ts"))
     each = every.select(key, F.size("ts").cast("bigint").alias("dl"), F.explode("ts").alias("term"))
-    wanted = terms.select(F.col("term").alias("t_")).distinct()
-    return each.join(wanted, F.col("term") == F.col("t_"), "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    return each.join(F.broadcast(wanted) if few else wanted, F.col("term") == F.col("t_"), "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:

@@ -186,7 +186,7 @@ def _searcher(spark: SparkSession, d: str, mode: str = "hybrid") -> Searcher:
     chunks = whole(spark, d).join(e, F.col("id") == F.col("vec_id"), "left").drop("vec_id")
     index, known = _index(spark, d, fulltext.COLUMNS, False)
     q = vector(spark, d)
-    return Searcher(chunks, index, lambda _: q, Config(search_mode=mode), stemmed=False, corpus=known)
+    return Searcher(chunks, index, lambda _: q, Config(search_mode=mode), stemmed=False, corpus=known, payload=lambda paths: whole(spark, d).where(F.col("file_path").isin(paths)))
 
 
 def _flat(results: DataFrame) -> DataFrame:

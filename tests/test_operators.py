@@ -250,7 +250,9 @@ def test_nearest_of_each_against_brute_force(spark):
     assert nearest_of_each(vectors, vectors.limit(0), 4).count() == nearest_of_each(vectors.limit(0), queries.select("id", "embedding"), 4).count() == 0
 
 
-def test_dictionary_and_bulk_search_agree_with_bm25(spark):
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_dictionary_and_bulk_search_agree_with_bm25(spark, monkeypatch, sent):
+    monkeypatch.setattr(bulk, "SENT", sent)
     texts = [(k, " ".join(f"w{(k * j * j) % 11}" for j in range(1, 9)) + " É é") for k in range(60)] + [(60, None), (61, "  "), (62, "w1 W1 w1")]
     docs = spark.createDataFrame(texts, "id bigint, content string")
     known = bulk.dictionary(docs, "content")
@@ -259,6 +261,8 @@ def test_dictionary_and_bulk_search_agree_with_bm25(spark):
     corpus = fulltext.corpus(index).first()
     total = known.where("term is null").first()
     assert (total.df, total.cf) == (corpus.n, corpus.tokens)
+    less = bulk.frequencies(docs, "content")
+    assert {(r.term, r.df) for r in less.collect()} == {(r.term, r.df) for r in known.collect()} and less.where("term is null").first().cf == total.cf
     asked = spark.createDataFrame([(1, "w1"), (2, "w3 w5"), (3, "w1 W1 é w9"), (4, "none w1"), (5, None)], "item_id bigint, text string")
     searches = bulk.telling_terms(asked, known, 9)
     got = bulk.bulk_keyword(bulk.term_counts(docs, searches, "id", "content"), searches, known.where("term is null"), 7, key="id")
