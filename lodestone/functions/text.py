@@ -26,11 +26,20 @@ SIGNS, OPERATORS = r'[:"*()\[\]]', r"(?i)(?<![A-Za-z0-9_])(AND|OR|NOT|NEAR)(?![A
 SPACE = " \t\n\v\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def found(text: Column) -> Column:
+    """The tokens as they are spelled, in order; none for null."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EITHER_CASE), F.lit(0))
+
+
+def folded(token: Column) -> Column:
+    """A token with A-Z lower-cased. lower() is much the faster, and folds no more than A-Z where a
+    token is ASCII."""
+    return F.when(F.octet_length(token) == F.length(token), F.lower(token)).otherwise(F.translate(token, _UPPER, _UPPER.lower()))
+
+
 def tokens(text: Column) -> Column:
-    """Unstemmed tokens in order; none for null. lower() is much the faster, and folds no more than
-    A-Z where a token is ASCII."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EITHER_CASE), F.lit(0))
-    return F.transform(found, lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, _UPPER, _UPPER.lower())))
+    """Unstemmed tokens in order; none for null."""
+    return F.transform(found(text), folded)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import folded, found, tokens
 from .fulltext import K1, LEAST_IDF, B
 
 
@@ -28,9 +28,11 @@ def dictionary(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
     """The dictionary with cf in the row of the corpus only, at half the work: each term once for a row."""
-    found = texts.select(tokens(F.col(text)).alias("ts"))
-    each = found.select(F.size("ts").cast("bigint").alias("dl"), F.explode(F.array_append(F.array_distinct("ts"), F.lit(None))).alias("term")).where("dl > 0")
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("cf"))
+    own = texts.select(tokens(F.col(text)).alias("ts"))
+    terms = F.when(F.size("ts") > 0, F.array_append(F.array_distinct("ts"), F.lit(None)))
+    each = own.select(F.size("ts").cast("bigint").alias("dl"), F.explode(terms).alias("term"))
+    sums = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    return sums.select("term", "df", F.when(F.col("term").isNull(), F.col("dl")).alias("cf"))
 
 
 def telling_terms(items: DataFrame, known: DataFrame, most: int, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -49,8 +51,8 @@ def term_counts(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: s
     the shuffle; more than that are many enough for a shuffle of all tokens."""
     wanted = terms.select(F.col("term").alias("t_")).distinct()
     few = wanted.limit(SENT + 1).count() <= SENT
-    every = texts.where(F.col(key).isNotNull()).select(key, tokens(F.col(text)).alias("ts"))
-    each = every.select(key, F.size("ts").cast("bigint").alias("dl"), F.explode("ts").alias("term"))
+    every = texts.where(F.col(key).isNotNull()).select(key, found(F.col(text)).alias("ts"))
+    each = every.select(key, F.size("ts").cast("bigint").alias("dl"), F.explode("ts").alias("t")).select(key, "dl", folded(F.col("t")).alias("term"))
     return each.join(F.broadcast(wanted) if few else wanted, F.col("term") == F.col("t_"), "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 

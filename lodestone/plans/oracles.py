@@ -188,7 +188,7 @@ arms as (select * from (select * from a0 union all select * from a1 union all se
 fused as (select id, coalesce(sum(case when arm = 0 then 1e0 / (60e0 + r) end), 0e0) + coalesce(sum(case when arm = 1 then 1e0 / (60e0 + r) end), 0e0) + coalesce(sum(case when arm = 2 then 1e0 / (60e0 + r) end), 0e0) as score, min(arm * 1000000 + r) as met from arms group by id),
 s as (select * from fused order by score desc, met limit 100)
 select id, round(score, 9) as score, round((score - min(score) over ()) / (max(score) over () - min(score) over ()), 6) as similarity from s""",
-    "rrf_single_hit": "select 'only' as id, round(1e0 / 61e0, 9) as score, cast(0 as double) as similarity",
+    "rrf_single_hit": "select doc_id as id, round(1e0 / 61e0, 9) as score, cast(0 as double) as similarity from documents order by coalesce(length(text), 0) desc, doc_id limit 1",
     "line_windows": f"select id, file_path, start_line, end_line, content_hash from ({windows_sql(_FILES)})",
     "chunk_at_line": f"""select file_path, 17 as line, id, start_line, end_line from (select *, row_number() over (partition by file_path order by end_line - start_line, id) as k from ({windows_sql(_FILES)})
 where start_line <= 17 and end_line >= 17) where k = 1""",

@@ -238,7 +238,10 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rrf_single_hit(spark: SparkSession, d: str) -> DataFrame:
-    arms = spark.createDataFrame([(1, "only", 1)], "arm int, id string, rank int")
+    """The longest document, if one arm finds it and no other finds anything."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    order = [F.desc("n"), F.asc("id")]
+    arms = fusion.ranked(docs.orderBy(*order).limit(1), "keyword", *order)
     return fusion.min_max(fusion.rrf(arms, 60, 10)).select("id", rounded("score", 9), rounded("similarity"))
 
 
