@@ -18,6 +18,7 @@ from lodestone.functions.fuzzy import fuzzy_score
 from lodestone.functions.paths import closed_folders
 from lodestone.functions.sql import register
 from lodestone.operators.display import or_message
+from lodestone.operators.lookup import chunk_by_id
 from lodestone.operators.search import Searcher, fuzzy_paths
 from lodestone.plans.ingest import cancellable, index_files, index_if_empty, reindex, single_flight
 from lodestone.schema import EVENT, EXCLUDED, Config
@@ -237,6 +238,26 @@ def test_only_the_files_of_hits_are_read(spark, tmp_path):
     assert same.similar_files("none.py", 4).count() == 0
 
 
+def test_a_look_up_by_id_skips_row_groups(spark, tmp_path):
+    """Parquet's bloom filters tell which row groups lack an id, within the range of those that are there."""
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    index_files(store, files(spark, **{f"f{k}__py": f"value = {k}\n" for k in range(200)}), EMBED, now=1)
+    some = store.chunks().where("file_path = 'f7.py'").first()
+
+    def scanned(chunk_id):
+        df = chunk_by_id(store.chunks(), chunk_id)
+        found = df.collect()
+        plan, out = df._jdf.queryExecution().executedPlan(), 0
+        leaves = plan.collectLeaves()
+        for i in range(leaves.size()):
+            out += leaves.apply(i).metrics().apply("numOutputRows").value()
+        return found, out
+
+    found, n = scanned(some.id)
+    assert [r.file_path for r in found] == ["f7.py"] and n < 100  # of 200 rows in 8 buckets
+    assert scanned("8" * 64)[1] < 100
+
+
 def test_paths_are_scored_once_and_rank_as_chunks_do(spark):
     rows = [(f"id{k * 7919 % 500}", p) for k, p in enumerate(["/src/Query.ts", "/src/queryParser.ts", "/q/u/e/r/y", "/none", "/src/query_x.py", "/İ/query", "/K/queRY"] * 40)]
     chunks = spark.createDataFrame(rows, "id string, file_path string")
