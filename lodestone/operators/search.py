@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING
 
@@ -18,6 +19,8 @@ from .fulltext import keyword_search
 if TYPE_CHECKING:
     from ..sources.store import Store
 
+log = logging.getLogger("lodestone")
+
 #: From this length on vectors are scored by whole batches instead of by expressions.
 LONG_VECTOR = 256
 
@@ -33,6 +36,15 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], limit: int, key: str
     return whole.select(key, *extra, score.alias("similarity")).where("similarity is not null").orderBy(F.desc("similarity"), key).limit(limit)
 
 
+def rejected(vectors: DataFrame, length: int, key: str = "id") -> DataFrame:
+    """key, reason of the vectors that a query of some length can't be compared with: missing, of another
+    length, or of length zero."""
+    v = F.col("embedding")
+    empty = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) == 0
+    reason = F.when(v.isNull(), "missing").when(F.size(v) != length, "of another length").when(empty, "zero")
+    return vectors.select(key, reason.alias("reason")).where("reason is not null")
+
+
 def fuzzy_topk(items: DataFrame, query: str, text: Column, limit: int = 20, key: str = "id") -> DataFrame:
     """key, score of the items whose text has the query as a subsequence; ties by key."""
     return items.where(may_match(query, text)).select(key, fuzzy_score(F.lit(query), text).alias("score")).where("score is not null").orderBy(F.desc("score"), key).limit(limit)
@@ -108,6 +120,14 @@ class Searcher:
     def __exit__(self, *_: object) -> None:
         self.close()
 
+    def rejects(self) -> dict[str, int]:
+        """How many chunks no semantic search can find, by reason; they are logged. Asks the provider once."""
+        dims = len(self.embed("test"))
+        counts = {r.reason: r.n for r in rejected(self.chunks.select("id", "embedding"), dims).groupBy("reason").agg(F.count("*").alias("n")).collect()}
+        for reason, n in counts.items():
+            log.warning("%d chunks are left out of semantic searches, which compare %d dimensions: vector %s", n, dims, reason)
+        return counts
+
     def _semantic(self, text: str, limit: int) -> DataFrame:
         vectors = self.chunks.select("id", "file_path", "embedding", *(["norm"] if "norm" in self.chunks.columns else []))
         return vector_topk(vectors, self.embed(text), limit, extra=["file_path"])

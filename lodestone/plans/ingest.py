@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], list]]:
         spark.removeTag(tag)
 
 
-def prepared(chunks: DataFrame, embedder: EmbeddingProvider, context: ContextProvider | None, config: Config, now: int) -> DataFrame:
+def prepared(chunks: DataFrame, embedder: EmbeddingProvider, context: ContextProvider | None, config: Config, now: int, failed: Accumulator | None = None) -> DataFrame:
     """New chunks as rows of the table: enriched if wanted, embedded by the enriched text or else the
     content; those whose embedding fails are dropped. Both are asked once for each row: Spark takes
     them for not deterministic, so the last filter stays above."""
@@ -42,7 +43,7 @@ def prepared(chunks: DataFrame, embedder: EmbeddingProvider, context: ContextPro
     else:
         chunks = chunks.withColumn("enriched_context", F.lit(None).cast("string"))
     text = F.coalesce(F.nullif("enriched_context", F.lit("")), F.col("content"))
-    out = chunks.withColumns({"embedding": embed_column(embedder, text, config.batch_size), "created_at": F.lit(now), "updated_at": F.lit(now)})
+    out = chunks.withColumns({"embedding": embed_column(embedder, text, config.batch_size, failed), "created_at": F.lit(now), "updated_at": F.lit(now)})
     known = out.columns
     own = CHUNK.fields + ([KEPT["file_hash"]] if "file_hash" in known else [])
     return out.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in own]).where("embedding is not null")
@@ -99,13 +100,16 @@ def index_files(
                 return base.number
             old, new = store.chunks(base, touched).select(*KEPT.fieldNames()), cut.where("id is not null")
             tell(f"embedding what is new in {len(touched)} of {base.buckets} buckets")
-            fresh = prepared(lookup.to_process(old.select("id", "content_hash"), new), embedder, context, config, now)
+            failed = spark.sparkContext.accumulator(0)
+            fresh = prepared(lookup.to_process(old.select("id", "content_hash"), new), embedder, context, config, now, failed)
             again = new.select(F.col("id").alias("n_id"), F.col("content_hash").alias("n_hash"), F.col("file_hash").alias("n_file"))
             same = old.join(again, (F.col("id") == F.col("n_id")) & (F.col("content_hash") == F.col("n_hash"))).withColumn("file_hash", F.col("n_file")).select(*KEPT.fieldNames())
             version = store.write(lookup.delete_files(old, gone).unionByName(same).unionByName(fresh), touched, base)
         finally:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if failed.value:
+        log.warning("%d chunks could not be embedded and are left out until they are indexed again", failed.value)
     tell(f"indexed to version {version} in {time.perf_counter() - began:.1f} s")
     return version
 

@@ -15,6 +15,7 @@ from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,14 +175,18 @@ def ping(provider: EmbeddingProvider | ContextProvider) -> bool:
         return False
 
 
-def embed_column(provider: EmbeddingProvider, text: Column, at_a_time: int = 1) -> Column:
+def embed_column(provider: EmbeddingProvider, text: Column, at_a_time: int = 1, failed: Accumulator | None = None) -> Column:
     """The embedding of a column of texts, null where the provider fails; Arrow batches, of whose texts
-    at_a_time are sent at once. Not deterministic to Spark, so no plan asks twice for a row."""
+    at_a_time are sent at once. Not deterministic to Spark, so no plan asks twice for a row. failed: counts the
+    texts that could not be embedded; a task that Spark runs again counts them again."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(_each(provider.embed, b, at_a_time, "embedding"), b.index, dtype=object)
+            out = _each(provider.embed, b, at_a_time, "embedding")
+            if failed is not None:
+                failed.add(sum(x is None for x in out))
+            yield pd.Series(out, b.index, dtype=object)
 
     return run.asNondeterministic()(text)
 

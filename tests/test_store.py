@@ -19,7 +19,7 @@ from lodestone.functions.paths import closed_folders
 from lodestone.functions.sql import register
 from lodestone.operators.display import or_message
 from lodestone.operators.lookup import chunk_by_id
-from lodestone.operators.search import Searcher, fuzzy_paths
+from lodestone.operators.search import Searcher, fuzzy_paths, rejected, vector_topk
 from lodestone.plans.ingest import cancellable, index_files, index_if_empty, reindex, single_flight
 from lodestone.schema import EVENT, EXCLUDED, Config
 from lodestone.sources.flat import from_flat, to_flat
@@ -258,6 +258,16 @@ def test_a_look_up_by_id_skips_row_groups(spark, tmp_path):
     assert scanned("8" * 64)[1] < 100
 
 
+def test_vectors_that_can_not_be_compared_are_told(spark, caplog):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0]), ("d", None), ("e", [0.5, 0.5]), ("f", [1.0] * 3)]
+    chunks = spark.createDataFrame(rows, "id string, embedding array<float>")
+    assert {tuple(r) for r in rejected(chunks, 2).collect()} == {("b", "zero"), ("c", "of another length"), ("d", "missing"), ("f", "of another length")}
+    with caplog.at_level(logging.WARNING, "lodestone"):
+        assert Searcher(chunks, chunks, lambda _: [1.0, 2.0]).rejects() == {"zero": 1, "of another length": 2, "missing": 1}
+    assert "2 chunks are left out" in caplog.text
+    assert {r.id for r in vector_topk(chunks, [1.0, 2.0], 9).collect()} == {"a", "e"}
+
+
 def test_paths_are_scored_once_and_rank_as_chunks_do(spark):
     rows = [(f"id{k * 7919 % 500}", p) for k, p in enumerate(["/src/Query.ts", "/src/queryParser.ts", "/q/u/e/r/y", "/none", "/src/query_x.py", "/İ/query", "/K/queRY"] * 40)]
     chunks = spark.createDataFrame(rows, "id string, file_path string")
@@ -515,7 +525,7 @@ def test_enrichment(spark, tmp_path):
     assert got["b.py"].purpose == "Code implementation"
 
 
-def test_failed_embeddings_are_dropped(spark, tmp_path):
+def test_failed_embeddings_are_dropped(spark, tmp_path, caplog):
     class Failing:
         def embed(self, text):
             if "boom" in text:
@@ -524,7 +534,9 @@ def test_failed_embeddings_are_dropped(spark, tmp_path):
 
     store = Store(spark, str(tmp_path / "s"))
     some = files(spark, a__py="x = 1\n", b__py="boom\n", c__py=PY.replace("pass", "boom()"))
-    index_files(store, some, Failing(), now=1)
+    with caplog.at_level(logging.WARNING, "lodestone"):
+        index_files(store, some, Failing(), now=1)
+    assert "2 chunks could not be embedded" in caplog.text
     assert sorted((r.file_path, r.start_line) for r in store.chunks().collect()) == [("a.py", 0), ("c.py", 0)]
     # what failed is tried again, also of a file that is as it was and has other chunks
     index_files(store, some, EMBED, now=2)
