@@ -67,11 +67,11 @@ def vector(spark: SparkSession, d: str, key: int = 0) -> list[float]:
 
 
 def _index(spark: SparkSession, d: str, columns: Sequence[str], stemmed: bool) -> tuple[DataFrame, DataFrame]:
-    """The stored postings of documents, sorted by term, and their figures: an index is written once,
-    and each query reads the row groups of its terms."""
+    """The stored postings of documents, sorted by term in each file, and their figures: an index is
+    written once, and each query reads the row groups of its terms."""
     name = f"{d} {columns} {stemmed}"
-    # Dealt by size, not by a range, for which Spark would make the postings twice; a frequent term is split.
-    made = lambda: fulltext.postings(whole(spark, d), columns, stemmed, carry=["file_path"]).hint("rebalance", "term").sortWithinPartitions("term", "chunk_id")
+    # Postings stay with their documents, as in a store: nothing is shuffled, and each task sorts its own.
+    made = lambda: fulltext.postings(whole(spark, d), columns, stemmed, carry=["file_path"]).sortWithinPartitions("term", "chunk_id")
     index = stored(spark, f"postings {name}", made)
     return index, stored(spark, f"corpus {name}", lambda: fulltext.corpus(index))
 
