@@ -652,6 +652,13 @@ def term_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return bulk.dictionary(table(spark, d, "documents"))
 
 
+class _Sized:
+    """The length of a text for its embedding, where that is not what a query is about."""
+
+    def embed(self, text: str) -> list[float]:
+        return [1.0, float(len(text))]
+
+
 #: Files of a language that folder_sync makes of documents.
 SLOTS = 25
 
@@ -669,8 +676,8 @@ def folder_sync(spark: SparkSession, d: str) -> DataFrame:
     root = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
     forget_at_exit(spark, root)
     docs, store = table(spark, d, "documents"), Store(spark, f"{root}/store", buckets=8)
-    config = Config(extensions=("txt",), chunk_size=SIZE, chunk_overlap=OVERLAP, max_file_size=1 << 40)
-    sync = lambda: sync_folder(store, f"{root}/files", f"{root}/seen", HashingEmbedder(8), config)
+    config = Config(extensions=("txt",), batch_size=1, chunk_size=SIZE, chunk_overlap=OVERLAP, max_file_size=1 << 40)
+    sync = lambda: sync_folder(store, f"{root}/files", f"{root}/seen", _Sized(), config)
     _write_texts(docs, f"{root}/files")
     sync()
     for gone in (REMOVED, EDITED):

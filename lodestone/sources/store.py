@@ -185,7 +185,8 @@ class Store:
         placed = placed.withColumns({"norm": norm(F.col("embedding")), "dl": n_tokens()})
         placed.sortWithinPartitions("bucket", "file_path", "start_line").write.options(**BY_ID).partitionBy("bucket").parquet(f"{folder}/chunks")
         written = self.spark.read.schema(T.StructType([*STORED.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{folder}/chunks")
-        terms = postings(written, stemmed=self.stemmed, carry=["file_path", "bucket"]).hint("rebalance", "bucket")
+        # The chunks lie by bucket already, so their postings are not dealt out again.
+        terms = postings(written, stemmed=self.stemmed, carry=["file_path", "bucket"])
         terms.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
         figures = written.groupBy("bucket").agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n"), F.sum("dl").alias("tokens")).collect()
         at = {b: x for b, x in base.at.items() if b not in set(touched)} | {r.bucket: (name, r.n, r.tokens) for r in figures}
