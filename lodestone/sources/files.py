@@ -160,9 +160,10 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_files(paths: DataFrame, tasks: int | None = None) -> DataFrame:
     """file_path, length, content, language of listed files, decoded as UTF-8. Executors open them, by
     URI; Spark's own readers would skip names that begin with _ or a dot. A file that can't be read
-    is logged and left out."""
+    is logged and left out. The paths, which are small and may lie in one partition, are dealt to some
+    tasks, by default eight for each core."""
     own = paths.select("file_path")
-    return with_language((own.repartition(tasks) if tasks else own).mapInArrow(_opened, FILE))
+    return with_language(own.repartition(tasks or 8 * own.sparkSession.sparkContext.defaultParallelism).mapInArrow(_opened, FILE))
 
 
 def with_language(files: DataFrame) -> DataFrame:

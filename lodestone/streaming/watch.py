@@ -33,6 +33,11 @@ def differences(indexed: DataFrame, seen: DataFrame, now: DataFrame) -> DataFram
     return new.join(have, F.col("file_path") == F.col("have"), "left").select("file_path", op.alias("op")).unionByName(gone)
 
 
+def tasks_for(files: int, cores: int) -> int:
+    """Tasks that open some files: one for each if they are few, a thousand files each if they are many."""
+    return max(1, min(files, max(8 * cores, files // 1000)))
+
+
 def sync_folder(store: Store, root: str, seen: str, embedder: EmbeddingProvider, config: Config = Config(), context: ContextProvider | None = None, now: int | None = None) -> dict[str, int]:
     """Brings a store up to date with the files below a folder, and tells how many it created, changed and
     deleted. Only these are opened. seen: a folder for the listing that was applied last; it is
@@ -44,7 +49,8 @@ def sync_folder(store: Store, root: str, seen: str, embedder: EmbeddingProvider,
     events = differences(store.chunks().select("file_path"), before, there).withColumn("ts", F.current_timestamp())
     counts = {r.op: r.n for r in events.groupBy("op").agg(F.count("*").alias("n")).collect()}
     if counts:
-        apply_events(store, events, read_files, embedder, config, context, now, root=root)
+        tasks = tasks_for(sum(counts.values()), spark.sparkContext.defaultParallelism)
+        apply_events(store, events, lambda paths: read_files(paths, tasks), embedder, config, context, now, root=root)
     there.write.mode("overwrite").parquet(seen)
     log.info("%s: %s", root, counts or "nothing new")
     return counts

@@ -28,7 +28,7 @@ from lodestone.sources.files import indexable, listed, open_tabs, read_files, wi
 from lodestone.sources.providers import CustomEmbedder, HashingEmbedder, context_of, embedding_of, enrich, ping, retrying
 from lodestone.sources.store import ConcurrentCommit, Store
 from lodestone.streaming.feed import apply_events, latest, start_feed
-from lodestone.streaming.watch import sync_folder, watch_folder
+from lodestone.streaming.watch import sync_folder, tasks_for, watch_folder
 
 PY = "def a(x):\n    return x\n\nclass B:\n    pass\n"
 EMBED = HashingEmbedder(16)
@@ -448,6 +448,16 @@ def test_folder_and_store_stay_alike(spark, tmp_path):
     assert {r.file_path.rsplit("/", 1)[-1]: r.updated_at for r in store.chunks().collect()} == {"a.py": 3}
 
 
+def test_files_are_opened_by_many_tasks(spark, tmp_path):
+    """Paths that lie in one partition are dealt out, for a few files to no more tasks than these."""
+    for k in range(6):
+        (tmp_path / f"f{k}.py").write_text("x")
+    paths = spark.createDataFrame([(str(tmp_path / f"f{k}.py"),) for k in range(6)], "file_path string").coalesce(1)
+    assert read_files(paths).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+    assert len(set(r.p for r in read_files(paths, 3).select(F.spark_partition_id().alias("p")).collect())) > 1
+    assert [tasks_for(n, 8) for n in (0, 1, 50, 10_000, 1_000_000)] == [1, 1, 50, 64, 1000]
+
+
 def test_watch(spark, tmp_path):
     w = tmp_path / "w"
     w.mkdir()
