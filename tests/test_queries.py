@@ -35,3 +35,13 @@ def test_filters_reach_the_scan(spark, data):
     postings(docs, ["content"], stemmed=False).write.mode("overwrite").parquet(path)
     plan = phrase_hits(spark.read.parquet(path), parse_query("b", False))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "term" in plan.split("PushedFilters")[1].split("]")[0]
+
+
+def test_listed_files_has_a_row_for_a_table_that_is_a_folder(spark, data, tmp_path):
+    from pathlib import Path
+
+    for p in Path(data).iterdir():
+        if p.stem != "documents":
+            (tmp_path / p.name).symlink_to(p)
+    spark.read.parquet(f"{data}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert of_spark(QUERIES["listed_files"](spark, str(tmp_path))) == of_duckdb(ORACLES["listed_files"], data)
