@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +21,40 @@ def postings(chunks: DataFrame, columns: Sequence[str] = COLUMNS, stemmed: bool
     more columns of the chunks.
 
     The index to persist: write it sorted or bucketed by term, and a query reads its terms only."""
+    return _exploded(chunks, columns, stemmed, lambda dl: [F.col("id").alias("chunk_id"), *map(F.col, carry), dl.alias("dl")])
+
+
+def _exploded(chunks: DataFrame, columns: Sequence[str], stemmed: bool, kept: Callable[[Column], list[Column]]) -> DataFrame:
+    """What is kept of a chunk and its number of tokens, col_no, pos, term for each token."""
     words = [stems(tokens(F.col(c))) if stemmed else tokens(F.col(c)) for c in columns]
-    rows = chunks.select(F.col("id").alias("chunk_id"), *carry, F.array(*words).alias("all"))
-    dl = F.aggregate("all", F.lit(0).cast("bigint"), lambda s, w: s + F.size(w))
-    rows = rows.select("chunk_id", *carry, dl.alias("dl"), F.posexplode_outer("all").alias("col_no", "words"))  # outer: else a filter would tokenize again
-    return rows.select("chunk_id", *carry, "dl", "col_no", F.posexplode("words").alias("pos", "term"))
+    rows = chunks.select("*", F.array(*words).alias("all"))
+    own = kept(F.aggregate("all", F.lit(0).cast("bigint"), lambda s, w: s + F.size(w)))
+    rows = rows.select(*own, F.posexplode_outer("all").alias("col_no", "words"))  # outer: else a filter would tokenize again
+    names = [c for c in rows.columns if c != "words"]
+    return rows.select(*names, F.posexplode("words").alias("pos", "term"))
+
+
+#: What is stored of a posting, beside columns that are carried.
+PACKED = "place string, col_no int, pos int, term string"
+
+
+def packed(chunks: DataFrame, columns: Sequence[str] = COLUMNS, stemmed: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """postings in the form to store, place, col_no, pos, term: place is one value that has dl, chunk_id and
+    file_path, so that a file holds one dictionary of chunks and a posting one number for all three."""
+    key, empty = F.col("id").cast("string"), F.lit("")
+    path = F.coalesce(F.concat(F.lit("="), F.col("file_path")), empty)  # so that null is not the empty path
+    one = lambda dl: F.concat(dl.cast("string"), F.lit(" "), F.coalesce(F.length(key), F.lit(-1)).cast("string"), F.lit(" "), F.coalesce(key, empty), path).alias("place")
+    return _exploded(chunks, columns, stemmed, lambda dl: [one(dl), *map(F.col, carry)])
+
+
+def unpacked(stored: DataFrame, id_type: str = "string") -> DataFrame:
+    """postings(chunk_id, file_path, dl, and what is beside place) of what packed gave; filters by term reach the scan."""
+    head = F.substring_index("place", " ", 2)
+    rest = F.substr("place", F.length(head) + 2)
+    n = F.substring_index(head, " ", -1).cast("int")
+    key, path = F.when(n >= 0, F.substr(rest, F.lit(1), n)), F.substr(rest, F.greatest(n, F.lit(0)) + 1)
+    own = [key.cast(id_type).alias("chunk_id"), F.when(path != "", F.substr(path, F.lit(2))).alias("file_path"), F.substring_index("place", " ", 1).cast("bigint").alias("dl")]
+    return stored.select(*own, *[c for c in stored.columns if c != "place"])
 
 
 def _place(index: DataFrame) -> list[str]:

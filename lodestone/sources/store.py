@@ -18,16 +18,21 @@ from pyspark.sql import types as T
 
 from ..functions.vector import norm
 from ..operators import lookup
-from ..operators.fulltext import n_tokens, postings
+from ..operators.fulltext import PACKED, n_tokens, packed, unpacked
 from ..schema import CHUNK
+from .scratch import DENSE, NO_LEFTOVERS, POSTINGS, SMALL_TASKS, settings
 
 #: What is kept of a chunk: the hash of its file beside it.
 KEPT = T.StructType([*CHUNK.fields, T.StructField("file_hash", T.StringType())])
 #: The chunks with what is derived from them: the vector's norm, and the number of tokens.
 STORED = T.StructType([*KEPT.fields, T.StructField("norm", T.DoubleType()), T.StructField("dl", T.LongType())])
 POSTING = "chunk_id string, file_path string, dl bigint, col_no int, pos int, term string"
+#: What is read of a posting: stores of before have the three values of place in columns of their own.
+READ = f"{PACKED}, chunk_id string, file_path string, dl bigint"
 #: Parquet's own index of ids, so that a look-up by id skips the row groups that don't have it.
 BY_ID = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+#: Row groups of chunks, small enough for a task that makes the postings of one or two.
+GROUPS = {"parquet.block.size": str(4 << 20)}
 
 log = logging.getLogger("lodestone")
 
@@ -39,11 +44,16 @@ class ConcurrentCommit(RuntimeError):
 @dataclass(frozen=True)
 class State:
     """A version: its number, and for each bucket with rows the commit that wrote it, its chunks with
-    tokens, and their tokens."""
+    tokens, their tokens, and, if its postings were made anew later, the commit that wrote these."""
 
     number: int = 0
     buckets: int = 0
-    at: dict[int, tuple[str, int, int]] = field(default_factory=dict)
+    at: dict[int, tuple] = field(default_factory=dict)
+
+
+def _parts(at: dict[int, tuple]) -> set[tuple[str, int, str]]:
+    """kind, bucket and commit of the folders that a version reads."""
+    return {("chunks", b, x[0]) for b, x in at.items()} | {("postings", b, x[3] if len(x) > 3 else x[0]) for b, x in at.items()}
 
 
 class Store:
@@ -126,13 +136,22 @@ class Store:
                 raise
             raise ConcurrentCommit(f"version {state.number} of {self.root} is there already") from None
 
+    def _publish_or_drop(self, state: State, name: str) -> int:
+        """Makes a version visible; if its number is taken, what its commit has written is removed."""
+        try:
+            self._publish(state)
+        except ConcurrentCommit:
+            self._delete(f"data/{name}")
+            raise
+        return state.number
+
     def version(self) -> int | None:
         return self.state().number or None
 
     def _read(self, what: str, schema: T.StructType | str, state: State | None, only: Iterable[int] | None = None) -> DataFrame:
         at = (state or self.state()).at
         wanted = at if only is None else set(only) & set(at)
-        paths = [f"{self.root}/data/{at[b][0]}/{what}/bucket={b}" for b in sorted(wanted)]
+        paths = [f"{self.root}/data/{c}/{what}/bucket={b}" for x, b, c in sorted(_parts({b: at[b] for b in wanted})) if x == what]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def chunks(self, state: State | None = None, only: Iterable[int] | None = None) -> DataFrame:
@@ -157,7 +176,10 @@ class Store:
     def index(self, state: State | None = None) -> DataFrame:
         """The postings. They lie by document, as in a distributed search engine: each bucket's are
         sorted by term, and a query reads the row groups of its terms in each."""
-        return self._read("postings", POSTING, state)
+        own = self._read("postings", READ, state)
+        made, rest = unpacked(own.select("place")).columns, ["col_no", "pos", "term"]
+        new = unpacked(own.withColumnsRenamed({c: f"{c}_" for c in made}))
+        return new.select(*[F.coalesce(c, f"{c}_").alias(c) for c in made], *rest)
 
     def corpus(self, state: State | None = None) -> DataFrame:
         """The index's figures, one row, from the version's file."""
@@ -183,24 +205,26 @@ class Store:
         # Rows are made once, before this shuffle, which Spark deals anew by size: no range is sampled.
         placed = rows.withColumn("bucket", self.bucket(F.col("file_path"), base)).hint("rebalance", "bucket")
         placed = placed.withColumns({"norm": norm(F.col("embedding")), "dl": n_tokens()})
-        placed.sortWithinPartitions("bucket", "file_path", "start_line").write.options(**BY_ID).partitionBy("bucket").parquet(f"{folder}/chunks")
+        with settings(placed.sparkSession, NO_LEFTOVERS):
+            placed.sortWithinPartitions("bucket", "file_path", "start_line").write.options(**DENSE | BY_ID | GROUPS).partitionBy("bucket").parquet(f"{folder}/chunks")
         written = self.spark.read.schema(T.StructType([*STORED.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{folder}/chunks")
-        # The chunks lie by bucket already, so their postings are not dealt out again.
-        terms = postings(written, stemmed=self.stemmed, carry=["file_path", "bucket"])
-        terms.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        self._index(written, folder)
         figures = written.groupBy("bucket").agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n"), F.sum("dl").alias("tokens")).collect()
         at = {b: x for b, x in base.at.items() if b not in set(touched)} | {r.bucket: (name, r.n, r.tokens) for r in figures}
         state = State(base.number + 1, base.buckets, at)
-        try:
-            self._publish(state)
-        except ConcurrentCommit:
-            self._delete(f"data/{name}")
-            raise
+        self._publish_or_drop(state, name)
         rows = sum(x[1] for x in at.values())
         if rows > self.rows_per_bucket * base.buckets and grow:
             return self.deal(base.buckets * 2 ** max(1, (rows // (self.rows_per_bucket * base.buckets)).bit_length()))
         return state.number
 
+    def _index(self, chunks: DataFrame, folder: str) -> None:
+        """Writes the postings of stored chunks. These lie by bucket already, so nothing is dealt out again: each
+        task takes few row groups and sorts their postings in memory."""
+        with settings(self.spark, SMALL_TASKS):
+            terms = packed(chunks, stemmed=self.stemmed, carry=["bucket"])
+            terms.sortWithinPartitions("bucket", "term", "place").write.options(**POSTINGS).partitionBy("bucket").parquet(f"{folder}/postings")
+
     def deal(self, buckets: int) -> int:
         """The same chunks in another number of buckets: the whole table is written once more."""
         base = self.state()
@@ -221,14 +245,13 @@ class Store:
         read = {}
         for v in times:
             with suppress(ValueError, KeyError, TypeError, AttributeError):  # what can't be read replaces nothing
-                read[v] = {(b, x[0]) for b, x in self._load(v).at.items()}
+                read[v] = _parts(self._load(v).at)
         gone = {v for v, after in zip(sorted(read), sorted(read)[1:], strict=False) if times[after] <= since}
         alive = {x for v in read if v not in gone for x in read[v]}
-        commits = {c for _, c in alive}
-        for b, c in {x for v in gone for x in read[v]} - alive:
+        commits = {c for _, _, c in alive}
+        for what, b, c in {x for v in gone for x in read[v]} - alive:
             if c in commits:  # else it goes as a whole
-                for what in ("chunks", "postings"):
-                    self._delete(f"data/{c}/{what}/bucket={b}")
+                self._delete(f"data/{c}/{what}/bucket={b}")
         for c in self._listed("data"):
             if c not in commits and int(c[:8]) <= max(times, default=0):
                 self._delete(f"data/{c}")
@@ -255,7 +278,10 @@ class Store:
 
     def rebuild(self) -> int:
         """The same chunks with postings made anew, for a version whose postings were lost."""
-        return self.commit(self.chunks().select(*KEPT.fieldNames()))
+        base = self.state()
+        name = f"{base.number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        self._index(self.chunks(base).withColumn("bucket", self.bucket(F.col("file_path"), base)), f"{self.root}/data/{name}")
+        return self._publish_or_drop(State(base.number + 1, base.buckets, {b: (*x[:3], name) for b, x in base.at.items()}), name)
 
     def clear(self) -> int:
         return self.commit(self.chunks().limit(0))

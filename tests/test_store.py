@@ -668,3 +668,20 @@ def test_cancellable(spark):
 def test_message_rows(spark):
     rows = spark.createDataFrame([], "label string, detail string")
     assert [tuple(r) for r in or_message(rows, "nothing").collect()] == [("nothing", "")]
+
+
+def test_rebuild_writes_postings_only(spark, tmp_path):
+    """Chunks stay where they are, and vacuum keeps both commits and removes the replaced postings."""
+    store = Store(spark, str(tmp_path / "s"), keep_hours=0)
+    index_files(store, files(spark, a__py=PY, b__py="x = 1\n"), EMBED)
+    chunks, postings = store.chunks().inputFiles(), sorted(map(tuple, store.index().collect()))
+    first = store.state()
+    store.rebuild()
+    assert sorted(store.chunks().inputFiles()) == sorted(chunks)
+    assert sorted(map(tuple, store.index().collect())) == postings
+    assert not set(store.index().inputFiles()) & set(store.index(first).inputFiles())
+    store.vacuum()
+    assert sorted(map(tuple, store.index().collect())) == postings and store.chunks().count() > 0
+    assert not list((tmp_path / "s" / "data" / next(iter(first.at.values()))[0] / "postings").glob("bucket=*"))
+    index_files(store, files(spark, b__py="x = 2\n"), EMBED)
+    assert store.index().where("term = '2'").count() == 1 and store.corpus().first().tokens == store.index().count()
