@@ -15,6 +15,7 @@ from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ log = logging.getLogger("lodestone")
 WAITS, EMBED_TIMEOUT, CONTEXT_TIMEOUT = (1, 2, 4), 30, 60
 
 
+#: Texts of a batch that are taken out of it and embedded before the next ones.
+TEXTS = 256
+
+
 class EmbeddingProvider(Protocol):
     def embed(self, text: str) -> list[float]: ...
 
@@ -175,18 +180,24 @@ def ping(provider: EmbeddingProvider | ContextProvider) -> bool:
         return False
 
 
+def _embedded(provider: EmbeddingProvider, batches: Iterable[pa.Array], at_a_time: int, failed: Accumulator | None) -> Iterator[pa.Array]:
+    """The embeddings of arrays of texts, of which few at a time are Python strings beside the array."""
+    for b in batches:
+        for at in range(0, len(b), TEXTS):
+            out = _each(provider.embed, b.slice(at, TEXTS).to_pylist(), at_a_time, "embedding")
+            if failed is not None:
+                failed.add(sum(x is None for x in out))
+            yield pa.array(out, pa.list_(pa.float32()))
+
+
 def embed_column(provider: EmbeddingProvider, text: Column, at_a_time: int = 1, failed: Accumulator | None = None) -> Column:
     """The embedding of a column of texts, null where the provider fails; Arrow batches, of whose texts
     at_a_time are sent at once. Not deterministic to Spark, so no plan asks twice for a row. failed: counts the
     texts that could not be embedded; a task that Spark runs again counts them again."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            out = _each(provider.embed, b, at_a_time, "embedding")
-            if failed is not None:
-                failed.add(sum(x is None for x in out))
-            yield pd.Series(out, b.index, dtype=object)
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _embedded(provider, batches, at_a_time, failed)
 
     return run.asNondeterministic()(text)
 

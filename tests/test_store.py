@@ -685,3 +685,22 @@ def test_rebuild_writes_postings_only(spark, tmp_path):
     assert not list((tmp_path / "s" / "data" / next(iter(first.at.values()))[0] / "postings").glob("bucket=*"))
     index_files(store, files(spark, b__py="x = 2\n"), EMBED)
     assert store.index().where("term = '2'").count() == 1 and store.corpus().first().tokens == store.index().count()
+
+
+def test_few_texts_of_a_batch_are_taken_out_at_a_time():
+    import pyarrow as pa
+
+    from lodestone.sources import providers
+
+    class Counting:
+        asked = 0
+
+        def embed(self, text):
+            self.asked += 1
+            return [1.0]
+
+    counting = Counting()
+    out = providers._embedded(counting, [pa.array(["x", None] * 1000)], 10, None)
+    first = next(out)
+    assert len(first) == 2 * counting.asked == providers.TEXTS and first[1].as_py() is None
+    assert len(first) + sum(map(len, out)) == 2000 and counting.asked == 1000
