@@ -50,6 +50,8 @@ def fold(column: str, n: int) -> Column:
 
 #: Rows of a file of edges.
 EDGES_PER_FILE = 500_000
+#: Most edges whose minima are broadcast: some megabytes. Of more none are, however small Spark takes their file to be.
+EDGES_BROADCAST = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -57,22 +59,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges are stars; each round ends in a
     written table, in as many files as the first count of edges asks for, and removes the one before. No node's edges meet in one task: minima are pre-aggregated, and the joins that
-    hand them back are sort-merge joins that Spark may split at a hot node. Edges with a null end
-    and loops are ignored; repeated edges count once."""
+    hand them back are sort-merge joins that Spark may split at a hot node, or broadcasts if the edges were
+    counted and are few. Edges with a null end and loops are ignored; repeated edges count once."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = written(now.where("u is not null and v is not null and u <> v").distinct())
-    files = 1 + now.count() // EDGES_PER_FILE
+    n = now.count()
+    files = 1 + n // EDGES_PER_FILE
     before = None
     while True:
+        few = n <= EDGES_BROADCAST
+        handed = lambda df, few=few: F.broadcast(df) if few else df.hint("merge")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(handed(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        hung = large.join(handed(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         last, now = now, written(hung.select("e.u", "e.v").where("u <> v").distinct().coalesce(files))
         forget(last)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before:
             break
-        before = sign
+        before, n = sign, sign[0]
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -153,7 +153,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
     cells = narrow(nodes, "fp", "rep").mapInArrow(_cells, f"cell bigint, fp bigint, rep {kind}, home boolean")
     # Cells without a home row, or of one row, have no pairs.
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any")
-    sized = cells.join(sizes.select(F.col("cell").alias("c"), F.expr(f"cast((n - 1) div {block} + 1 as int)").alias("nb")), F.col("cell") == F.col("c"))
+    # A row has some two dozen cells, of which Spark's estimate knows nothing: it would broadcast all of them.
+    sized = cells.hint("merge").join(sizes.select(F.col("cell").alias("c"), F.expr(f"cast((n - 1) div {block} + 1 as int)").alias("nb")), F.col("cell") == F.col("c"))
     own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     dealt = sized.select("cell", "fp", "rep", "home", F.explode(pairs).alias("p")).select("cell", "fp", "rep", "home", "p.i", "p.j")
@@ -177,8 +178,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, carry: Sequence[s
     prints = written(own.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint{kinds}"))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = components(links(nodes.where("rep is not null"), distance))
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(named, F.col("fp") == F.col("of"))
+    named = nodes.hint("merge").join(found, nodes["rep"] == found["node"], "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
+    out = prints.hint("merge").join(named, F.col("fp") == F.col("of"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[F.col(m).alias(c) for m, c in zip(more, carry, strict=True)])
 
 

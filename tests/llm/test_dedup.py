@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import xxhash
 
+from lodestone.llm import common, simhash
 from lodestone.llm import substring_dedup as S
 from lodestone.llm.common import components
 from lodestone.llm.exact_dedup import exact_dedup
@@ -244,3 +245,17 @@ def test_long_text_in_chunks(spark):
     rows = [(1, prose(rng, 400)), (2, prose(rng, 200_000)), (3, "")]
     rows[2] = (3, rows[0][1] + " " + rows[1][1][-2000:])
     assert rows_of(substring_dedup(clashing(spark, rows))) == substring_brute(rows)
+
+
+def test_no_join_of_near_duplicates_is_broadcast_by_an_estimate(spark, monkeypatch):
+    """Files of a few kilobytes, whose rows become many more: all of them were sent to the driver."""
+    monkeypatch.setattr(common, "EDGES_BROADCAST", 0, raising=False)
+    plans = []
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    for module in (common, simhash):
+        monkeypatch.setattr(module, "written", lambda df, real=module.written: real(planned(df)))
+    rows = [(i, t) for i, t in awkward() if i is not None]
+    out = planned(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    expected = linked([fingerprint(t) for _, t in rows])
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: rows[k][0] for (i, _), k in zip(rows, expected, strict=True)}
+    assert sum("Join" in p for p in plans) > 3 and not any("Broadcast" in p for p in plans)
