@@ -17,11 +17,13 @@ from lodestone.shipping import shipped
 
 
 def _without(docs: DataFrame, key: Column, dropped: DataFrame, by_id: bool = True) -> DataFrame:
-    """docs without the rows whose doc_id and key, or key alone, are among the dropped(doc_id, key)."""
+    """docs without the rows whose doc_id and key, or key alone, are among the dropped(doc_id, key).
+
+    Never by a broadcast: files of copies, which repeat their keys, are many times smaller than their rows."""
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
     gone = dropped.select(*([F.col("doc_id").alias("gone_id")] if by_id else []), F.col("key").alias("gone_key")).distinct()
     same = F.col("key") == F.col("gone_key")
-    return own.join(gone, same & (F.col("row.doc_id") == F.col("gone_id")) if by_id else same, "left_anti").select("row.*")
+    return own.join(gone.hint("merge"), same & (F.col("row.doc_id") == F.col("gone_id")) if by_id else same, "left_anti").select("row.*")
 
 
 def _text_key(docs: DataFrame) -> Column:
@@ -50,7 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     judged = written(simhash.near_duplicates(docs.select("doc_id", "text", _text_key(docs).alias("key")), carry=["key"]).where("doc_id is not null"))
     heads = judged.where("doc_id = component_id").select("doc_id", "key", F.struct("fingerprint", "key").alias("rank"))
     ties = heads.groupBy("doc_id").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least <> most").select(F.col("doc_id").alias("of"), "least")
-    beaten = heads.join(ties, (F.col("doc_id") == F.col("of")) & (F.col("rank") > F.col("least"))).select("doc_id", "key")
+    beaten = heads.join(ties.hint("merge"), (F.col("doc_id") == F.col("of")) & (F.col("rank") > F.col("least"))).select("doc_id", "key")
     return _without(docs, _text_key(docs), judged.where("doc_id <> component_id").select("doc_id", "key").unionByName(beaten))
 
 

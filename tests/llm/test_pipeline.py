@@ -118,3 +118,13 @@ def test_stages_take_empty_tables(spark, corpus):
     docs = spark.read.parquet(f"{d}/documents.parquet").where("false")
     for _, stage in P.STAGES:
         assert stage(spark, docs, d).count() == 0
+
+
+def test_copies_are_never_broadcast(spark, corpus):
+    """The files of copies are small, as their keys repeat; their rows are not."""
+    d, _, _ = corpus
+    copies = spark.createDataFrame([(k, f"one two three {k % 3}") for k in range(3000)], "doc_id long, text string")
+    for stage in (P.drop_copies, P.drop_near_copies):
+        out = stage(spark, copies, d)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == len({r.text for r in out.collect()}) <= 3
