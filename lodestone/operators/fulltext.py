@@ -40,20 +40,36 @@ PACKED = "place string, col_no int, pos int, term string"
 
 def packed(chunks: DataFrame, columns: Sequence[str] = COLUMNS, stemmed: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """postings in the form to store, place, col_no, pos, term: place is one value that has dl, chunk_id and
-    file_path, so that a file holds one dictionary of chunks and a posting one number for all three."""
+    file_path, so that a file holds one dictionary of chunks and a posting one number for all three. It is #,
+    dl and the bytes of the id in ten digits each, the id, and = and the path: a reader cuts it by places."""
     key, empty = F.col("id").cast("string"), F.lit("")
     path = F.coalesce(F.concat(F.lit("="), F.col("file_path")), empty)  # so that null is not the empty path
-    one = lambda dl: F.concat(dl.cast("string"), F.lit(" "), F.coalesce(F.length(key), F.lit(-1)).cast("string"), F.lit(" "), F.coalesce(key, empty), path).alias("place")
+    digits = lambda n: F.lpad(n.cast("string"), _WIDE, "0")
+    one = lambda dl: F.concat(F.lit("#"), digits(dl), F.coalesce(digits(F.octet_length(key)), F.lit(_NO_KEY)), F.coalesce(key, empty), path).alias("place")
     return _exploded(chunks, columns, stemmed, lambda dl: [one(dl), *map(F.col, carry)])
 
 
+#: Digits of a number in place; what it has for the length of an id that is null.
+_WIDE, _NO_KEY = 10, "-000000001"
+
+
 def unpacked(stored: DataFrame, id_type: str = "string") -> DataFrame:
-    """postings(chunk_id, file_path, dl, and what is beside place) of what packed gave; filters by term reach the scan."""
+    """postings(chunk_id, file_path, dl, and what is beside place) of what packed gave; filters by term reach the scan.
+    Places without a # are of the form of before: dl, the characters of the id, and the same rest, after spaces."""
+    new = F.startswith("place", F.lit("#"))
+    raw = F.col("place").cast("binary")  # bytes are cut at once, characters are counted from the first
+    cut = lambda begin, n: F.substring(raw, begin, n).cast("string")
+    n, at = cut(2 + _WIDE, _WIDE).cast("int"), 2 + 2 * _WIDE
+    key = F.when(n >= 0, cut(at, n))
+    path = cut(F.greatest(n, F.lit(0)) + at, F.octet_length("place"))
     head = F.substring_index("place", " ", 2)
     rest = F.substr("place", F.length(head) + 2)
-    n = F.substring_index(head, " ", -1).cast("int")
-    key, path = F.when(n >= 0, F.substr(rest, F.lit(1), n)), F.substr(rest, F.greatest(n, F.lit(0)) + 1)
-    own = [key.cast(id_type).alias("chunk_id"), F.when(path != "", F.substr(path, F.lit(2))).alias("file_path"), F.substring_index("place", " ", 1).cast("bigint").alias("dl")]
+    n_old = F.substring_index(head, " ", -1).cast("int")
+    key_old, path_old = F.when(n_old >= 0, F.substr(rest, F.lit(1), n_old)), F.substr(rest, F.greatest(n_old, F.lit(0)) + 1)
+    named = lambda path: F.when(path != "", F.substr(path, F.lit(2)))
+    either = lambda a, b: F.when(new, a).otherwise(b)
+    dl = either(cut(2, _WIDE).cast("bigint"), F.substring_index("place", " ", 1).cast("bigint"))
+    own = [either(key, key_old).cast(id_type).alias("chunk_id"), either(named(path), named(path_old)).alias("file_path"), dl.alias("dl")]
     return stored.select(*own, *[c for c in stored.columns if c != "place"])
 
 

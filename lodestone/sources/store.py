@@ -208,7 +208,7 @@ class Store:
         with settings(placed.sparkSession, NO_LEFTOVERS):
             placed.sortWithinPartitions("bucket", "file_path", "start_line").write.options(**DENSE | BY_ID | GROUPS).partitionBy("bucket").parquet(f"{folder}/chunks")
         written = self.spark.read.schema(T.StructType([*STORED.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{folder}/chunks")
-        self._index(written, folder)
+        self._index(written, folder, base.buckets)
         figures = written.groupBy("bucket").agg(F.count(F.when(F.col("dl") > 0, 1)).alias("n"), F.sum("dl").alias("tokens")).collect()
         at = {b: x for b, x in base.at.items() if b not in set(touched)} | {r.bucket: (name, r.n, r.tokens) for r in figures}
         state = State(base.number + 1, base.buckets, at)
@@ -218,12 +218,14 @@ class Store:
             return self.deal(base.buckets * 2 ** max(1, (rows // (self.rows_per_bucket * base.buckets)).bit_length()))
         return state.number
 
-    def _index(self, chunks: DataFrame, folder: str) -> None:
+    def _index(self, chunks: DataFrame, folder: str, buckets: int) -> None:
         """Writes the postings of stored chunks. These lie by bucket already, so nothing is dealt out again: each
-        task takes few row groups and sorts their postings in memory."""
-        with settings(self.spark, SMALL_TASKS):
+        task takes few row groups and sorts their postings in memory, by term alone: those of a term stay as the chunks
+        lie. A writer for each bucket takes them as they come, where Spark would sort them by bucket once more."""
+        writers = {"spark.sql.optimizer.plannedWrite.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": str(max(1, buckets))}
+        with settings(self.spark, SMALL_TASKS | writers):
             terms = packed(chunks, stemmed=self.stemmed, carry=["bucket"])
-            terms.sortWithinPartitions("bucket", "term", "place").write.options(**POSTINGS).partitionBy("bucket").parquet(f"{folder}/postings")
+            terms.sortWithinPartitions("term").write.options(**POSTINGS).partitionBy("bucket").parquet(f"{folder}/postings")
 
     def deal(self, buckets: int) -> int:
         """The same chunks in another number of buckets: the whole table is written once more."""
@@ -280,7 +282,7 @@ class Store:
         """The same chunks with postings made anew, for a version whose postings were lost."""
         base = self.state()
         name = f"{base.number + 1:08d}-{uuid.uuid4().hex[:8]}"
-        self._index(self.chunks(base).withColumn("bucket", self.bucket(F.col("file_path"), base)), f"{self.root}/data/{name}")
+        self._index(self.chunks(base).withColumn("bucket", self.bucket(F.col("file_path"), base)), f"{self.root}/data/{name}", base.buckets)
         return self._publish_or_drop(State(base.number + 1, base.buckets, {b: (*x[:3], name) for b, x in base.at.items()}), name)
 
     def clear(self) -> int:

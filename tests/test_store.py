@@ -704,3 +704,27 @@ def test_few_texts_of_a_batch_are_taken_out_at_a_time():
     first = next(out)
     assert len(first) == 2 * counting.asked == providers.TEXTS and first[1].as_py() is None
     assert len(first) + sum(map(len, out)) == 2000 and counting.asked == 1000
+
+
+def test_postings_of_a_term_stay_as_their_chunks_lie(spark, tmp_path):
+    """They are sorted by term alone, whatever the bucket; settings are as they were."""
+    names = ("spark.sql.optimizer.plannedWrite.enabled", "spark.sql.maxConcurrentOutputFileWriters")
+    before = [spark.conf.get(k) for k in names]
+    store = Store(spark, str(tmp_path / "s"), stemmed=False, buckets=1)
+    index_files(store, files(spark, **{f"f{k}__py": "x " * (20 - k) for k in range(9)}), EMBED, now=1)
+    (path,) = (tmp_path / "s" / "data").glob("*/postings/bucket=0/*.parquet")
+    rows = spark.read.parquet(str(path)).collect()
+    terms = [r.term for r in rows]
+    assert terms == sorted(terms) and [r.place[-4:] for r in rows if r.term == "x"] == [f"{k}.py" for k in range(9) for _ in range(20 - k)]
+    assert [spark.conf.get(k) for k in names] == before
+
+
+def test_postings_of_both_forms_are_read(spark):
+    from lodestone.operators.fulltext import packed, unpacked
+
+    old = spark.createDataFrame([("3 3 a b=/p q",), ("1 0 =",), ("2 -1 =/é",), ("4 1 é",)], "place string")
+    want = [("a b", "/p q", 3), ("", "", 1), (None, "/é", 2), ("é", None, 4)]
+    assert [tuple(r) for r in unpacked(old).collect()] == want
+    docs = spark.createDataFrame([(i, p, "x " * n) for i, p, n in want], "id string, file_path string, content string")
+    new = packed(docs, ["content"], stemmed=False).where("pos = 0")
+    assert [tuple(r) for r in unpacked(new.select("place")).collect()] == want and new.where("place like '#%'").count() == 4
