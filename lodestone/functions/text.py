@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,10 +43,16 @@ def tokens(text: Column) -> Column:
     return F.transform(found(text), folded)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    """Porter stems of arrays of tokens."""
-    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+def stemmed(words: pa.Array) -> pa.Array:
+    """Porter stems of arrays of tokens; each word of a batch is a Python string, and stemmed, once."""
+    known = words.flatten().dictionary_encode()
+    stem_of = pa.array([None if w is None else stem(w) for w in known.dictionary.to_pylist()], pa.string())
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(words), 0)).cast(pa.int32())
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+    return pa.ListArray.from_arrays(offsets, stem_of.take(known.indices), mask=words.is_null())
+
+
+stems = F.arrow_udf(stemmed, T.ArrayType(T.StringType()))
 
 
 def clean_query(query: Column) -> Column:

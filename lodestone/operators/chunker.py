@@ -139,6 +139,8 @@ def line_windows(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFr
 
 
 _CUT = {"file_path": pa.string(), "language": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "content": pa.string(), "function_name": pa.string(), "class_name": pa.string(), "file_hash": pa.string()}
+#: Characters of chunks in a batch, and of a file that are hashed at a time.
+_HELD = 4 << 20
 _CUT_DDL = "file_path string, language string, start_line int, end_line int, content string, function_name string, class_name string, file_hash string"
 
 
@@ -162,24 +164,36 @@ def _cut(chunk_size: int, overlap: int | None, marked: bool = False) -> Callable
         n = content.count("\n") + 1
         return (Span(s, min(s + chunk_size, n) - 1) for s in range(0, n, chunk_size - overlap))
 
+    def rows(path: str, content: str, language: str | None) -> Iterator[tuple]:
+        lines = content.split("\n")
+        kept = [s for s in pieces(content, language or "") if any(line.strip(JS_SPACE) for line in lines[s.start : s.end + 1])]  # a span is never blank
+        digest = None
+        if marked:
+            own = hashlib.sha256(f"{chunk_size} {overlap}\n".encode())
+            for k in range(0, len(content), _HELD):
+                own.update(content[k : k + _HELD].encode())
+            digest = f"{len(kept)}:{own.hexdigest()}"
+            yield path, language, None, None, None, None, None, digest
+        for s in kept:
+            yield path, language, s.start, s.end, "\n".join(lines[s.start : s.end + 1]), s.function_name, s.class_name, digest
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), _CUT.values(), strict=True)], list(_CUT))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A file at a time, and its chunks as they fill a batch: large files are never held beside each other."""
         for b in batches:
-            out: dict[str, list] = {k: [] for k in _CUT}
-            for path, content, language, *same in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if any(same):
-                    for k, v in zip(out, (path, language, *[None] * 6), strict=True):
-                        out[k].append(v)
-                    continue
-                lines = content.split("\n")
-                kept = [(s, text) for s in pieces(content, language or "") if (text := "\n".join(lines[s.start : s.end + 1])).strip(JS_SPACE)]  # a span is never blank
-                digest = f"{len(kept)}:{hashlib.sha256(f'{chunk_size} {overlap}\n{content}'.encode()).hexdigest()}" if marked else None
-                if marked:
-                    for k, v in zip(out, (path, language, None, None, None, None, None, digest), strict=True):
-                        out[k].append(v)
-                for s, text in kept:
-                    for k, v in zip(out, (path, language, s.start, s.end, text, s.function_name, s.class_name, digest), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), _CUT.values(), strict=True)], list(out))
+            out, held = [], 0
+            for k in range(b.num_rows):
+                path, language, *same = (b.column(c)[k].as_py() for c in range(b.num_columns) if c != 1)
+                for row in [(path, language, *[None] * 6)] if any(same) else rows(path, b.column(1)[k].as_py(), language):
+                    out.append(row)
+                    held += len(row[4] or "")
+                    if held >= _HELD:
+                        yield made(out)
+                        out, held = [], 0
+            if out:
+                yield made(out)
 
     return run
 

@@ -161,3 +161,17 @@ def test_config():
     for bad in ({"search_mode": "x"}, {"rrf_k": 0}, {"chunk_size": 5, "chunk_overlap": 5}):
         with pytest.raises(ValueError):
             Config(**bad)
+
+
+def test_each_word_of_a_batch_is_stemmed_once(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.functions import text
+
+    seen = []
+    monkeypatch.setattr(text, "stem", lambda w: seen.append(w) or stem(w))
+    rows = [["running", "flies"], None, [], ["flies", "é", "running"], ["cats"]]
+    want = [None if ws is None else [stem(w) for w in ws] for ws in rows]
+    for k, n in ((0, 5), (1, 3), (3, 2), (2, 0)):  # slices of a larger array too
+        assert text.stemmed(pa.array(rows, pa.list_(pa.string())).slice(k, n)).to_pylist() == want[k : k + n]
+    assert len(seen) <= 4 + 3 + 4

@@ -1,3 +1,4 @@
+import hashlib
 import sqlite3
 
 import numpy as np
@@ -272,3 +273,25 @@ def test_dictionary_and_bulk_search_agree_with_bm25(spark, monkeypatch, sent):
         hits = fulltext.keyword_search(index, parse_query(words, False), 7).collect()
         want |= {(item, p + 1, r.chunk_id, round(r["rank"], 9)) for p, r in enumerate(hits)}
     assert got == want
+
+
+def test_large_files_are_cut_one_at_a_time(monkeypatch):
+    """What is held doesn't grow with the files of a batch, nor with a file's chunks; the rows are the same."""
+    import pyarrow as pa
+
+    from lodestone.operators import chunker
+
+    monkeypatch.setattr(chunker, "_HELD", 1000, raising=False)
+    text = "\n".join(f"line {k} é" if k % 7 else " \t" for k in range(500))
+    names = ["file_path", "content", "language"]
+    files = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([text, "", text]), pa.array(["x", "x", None])], names)
+    batches = list(chunker._cut(20, 5, marked=True)(iter([files])))
+    assert len(batches) > 10 and max(sum(len(x or "") for x in b.column(4).to_pylist()) for b in batches) < 1500
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    lines = text.split("\n")
+    want = ["\n".join(lines[s : s + 20]) for s in range(0, 500, 15)]
+    digest = f"{len(want)}:{hashlib.sha256(('20 5' + chr(10) + text).encode()).hexdigest()}"
+    for path in "ac":
+        own = [r for r in rows if r[0] == path]
+        assert own[0][2:] == (None, None, None, None, None, digest) and [r[4] for r in own[1:]] == want and {r[7] for r in own} == {digest}
+    assert [r[2:4] for r in rows if r[0] == "b"] == [(None, None)]
